@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "packing")
+MODULES = ("decontaminate", "chat_format", "jaccard_join", "sharding", "packing", "topk_search")
 
 
 def queries() -> dict:
