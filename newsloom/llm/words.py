@@ -83,6 +83,14 @@ def _word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix((total[ends] - before) * inverse[starts]), np.searchsorted(starts, at)
 
 
+def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hash of every word, words before each row) for ranges of rows."""
+    whole, at = text_buffer(column)
+    with np.errstate(over="ignore"):
+        for a, b in chunks(at):
+            yield a, b, *_word_hashes(whole[at[a] : at[b]], at[a : b + 1] - at[a])
+
+
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For each document its shingle hashes, ascending, each once."""
     whole, at = text_buffer(column)
