@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "chat_format", "ctw", "jaccard_join", "sharding", "packing", "topk_search")
+MODULES = ("html_extract", "decontaminate", "chat_format", "ctw", "jaccard_join", "sharding", "packing", "topk_search")
 
 
 def queries() -> dict:
