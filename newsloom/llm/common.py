@@ -30,6 +30,16 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: A list of ids goes to every task up to this many (about 32 bytes each); beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """left_semi or left_anti join with a column of ids, without a shuffle of df where the ids are counted to be few."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, how)
+
+
 def number_rows(df: DataFrame, group: str, order: list[str], out: str, rows: int) -> DataFrame:
     """Gapless numbers from 0 within each group, also where one group holds most rows.
 

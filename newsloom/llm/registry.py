@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("html_extract", "decontaminate", "chat_format", "ctw", "jaccard_join", "language_id", "sharding", "packing", "topk_search")
+MODULES = ("html_extract", "decontaminate", "chat_format", "ctw", "toxicity", "jaccard_join", "language_id", "sharding", "packing", "topk_search")
 
 
 def queries() -> dict:
