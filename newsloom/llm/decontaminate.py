@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialize, table
+from newsloom.llm.common import join_ids, materialize, table
 from newsloom.llm.words import shingle_sets
 
 THRESHOLD = 0.75
@@ -56,7 +56,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     size = parts.count()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if size <= broadcast_shingles:
-        own = parts.select("h", "in_sketch").groupBy("h").agg(F.max("in_sketch").alias("s")).toPandas().sort_values("h")  # at most broadcast_shingles rows
+        own = parts.select("h", "in_sketch").groupBy("h").agg(F.max("in_sketch").alias("s")).toArrow().to_pandas().sort_values("h")  # at most broadcast_shingles rows
         known = slim.sparkSession.sparkContext.broadcast((own["h"].to_numpy(np.int64), own["s"].to_numpy(bool)))
 
         def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +100,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that contain an item; all columns stay. A row with a null doc_id stays unless its text does."""
-    hit = contained_items(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """docs without those that contain an item; all columns stay. Rows with a null doc_id cannot be named and stay."""
+    hit = materialize(contained_items(docs, items, threshold).where("doc_id IS NOT NULL").select("doc_id").distinct())
+    return join_ids(docs, hit, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
