@@ -164,7 +164,7 @@ def gram_log_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[start]), *map(pa.array, sums)], ["key", "n0", "n1", "below"])
 
     rows = dealt.mapInArrow(tops, "key long, n0 double, n1 double, below double").groupBy("key").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas()  # at most 2^16 rows
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toArrow().to_pandas()  # at most 2^16 rows
     size = 1 << 16
     n0, n1, below = (np.bincount(rows["key"], rows[c], size) for c in ("n0", "n1", "below"))
     one = Level(n0, n1, below)
@@ -292,7 +292,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
     per_token, end_log = math.log10(total + 0.5 * (distinct + 1)), math.log10(ends + 0.5)
     some_words, all_words = most_frequent(words, "c", frequent_words)
     some_grams, all_grams = most_frequent(grams, "n", frequent_grams)
-    w, g = some_words.toPandas(), some_grams.select("gram", "lp").toPandas()  # at most frequent_words and frequent_grams rows
+    w, g = some_words.toArrow().to_pandas(), some_grams.select("gram", "lp").toArrow().to_pandas()  # at most frequent_words and frequent_grams rows
     model = sc.broadcast((w["w"].to_numpy(np.int64), w["c"].to_numpy(np.int64), g["gram"].to_numpy(np.int64), g["lp"].to_numpy(float)))
     name = uuid.uuid4().hex
 
