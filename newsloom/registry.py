@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.operators import alerts, events, feeds, related
+from newsloom.operators import alerts, classify, events, feeds, maintenance, related, search
+from newsloom.streaming import queries as streaming
 
-_MODULES = (related, feeds, events, alerts)
+_MODULES = (related, feeds, events, alerts, maintenance, classify, search, streaming)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
