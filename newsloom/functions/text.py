@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters with marks and their plain forms (what decomposition leaves of them).
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -90,7 +91,7 @@ def og_image(html) -> Column:
     return F.coalesce(pick("og:image"), pick("twitter:image"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fix_mojibake(x: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252, read again; anything else unchanged."""
 
