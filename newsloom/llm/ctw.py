@@ -91,7 +91,7 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     for j in range(8):
         shift += np.log(x + j)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - shift
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
 class Level:
