@@ -80,4 +80,10 @@ FROM p JOIN f USING (term), s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20"""
     "url_hash": "SELECT page_id, sha256(trim(url)) AS url_hash FROM pages",
     "source_domain": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain, count(*) AS n FROM pages GROUP BY 1",
     "html_text": f"WITH a AS (SELECT page_id, {_PAGE_TEXT.format(_CUT.format('html'))} AS x FROM pages), b AS (SELECT page_id, {_PAGE_TEXT.format(_CUT.format('x'))} AS x FROM a) SELECT page_id, sha256(x) AS text_sha256, length(x) AS n FROM b",
+    "search_highlight": "SELECT doc_id, regexp_replace(substr(substr(text, 1, 180), greatest(instr(lower(substr(text, 1, 180)), 'of the') - 60, 1), 180), '(?i)(of the)', '<mark>\\1</mark>', 'g') AS snippet FROM documents WHERE contains(lower(text), 'of the')",
+    "internal_links": """
+WITH p AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"#]+)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"#]+)">([^<]*)</a>', 2) AS t FROM pages),
+u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(h) AS url, trim(unnest(t)) AS text, unnest(range(len(h))) AS i FROM p),
+f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY i) = 1)
+SELECT page_id, url, text FROM f WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 20""",
 }
