@@ -7,9 +7,10 @@
    sets that link share a prefix shingle, so they meet in the bucket of that shingle.
 4. Of the classes that meet at a shingle, all are paired with the first one only; pairs are verified by walking a
    prefix tree of their ordered sets, and the links give components.
-5. Classes that meet at a shingle but still lie in different components are paired again, now every such pair that the
-   metric allows: with d the Jaccard distance (a metric) to the shingle's first class, |d(a) - d(b)| <= 1 - t. So no
-   link between components is lost, and pairs within a component are never made.
+5. Classes that meet at shingles but still lie in different components are counted against each other and verified
+   where they share enough of their prefixes and the metric allows it: with d the Jaccard distance (a metric) to a
+   shingle's first class, |d(a) - d(b)| <= 1 - t. So no link between components is lost, and pairs within a component
+   are never made.
 
 In a prefix tree (a list of sets in lexicographic order, with the lengths of common prefixes) sets with a common
 beginning share the count of its overlap with the probe, and a subtree is left as soon as the remaining lengths cannot
@@ -27,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialize, table
+from newsloom.llm.common import BROADCAST_IDS, join_ids, materialize, table
 from newsloom.llm.words import mix, shingle_sets
 
 PERCENT = 75
-#: At most so many shingles are ordered by frequency (16 bytes each in every task); the others count as rare.
-FREQUENT_SHINGLES = 500_000
+#: At most so many shingles are ordered by frequency (16 bytes each in every task), and only those counted so often at
+#: least; the others count as rare.
+FREQUENT_SHINGLES, FREQUENT_FROM = 500_000, 8
 #: Shingles that a task has gathered before it gives out those met more than once.
-GATHER = 4_000_000
+GATHER = 2_000_000
+#: Documents whose sets a task holds at once.
+ROWS = 1000
 CHUNK = 256
 #: Similarities from this on are kept exactly, for the metric filter of step 5.
 WIDE_PERCENT = 50
@@ -49,6 +53,12 @@ def _needed(a: int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest (null without shingles)."""
 
@@ -82,8 +92,15 @@ def frequent_shingles(docs: DataFrame, limit: int = FREQUENT_SHINGLES) -> pd.Dat
                     held, size = [], 0
         yield flush()
 
-    counts = _slim(docs).mapInArrow(repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(limit).toPandas()  # at most `limit` rows
+    counts = materialize(
+        _slim(docs).mapInArrow(repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM))
+    bins = counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("rows")).collect()  # at most 4,097 rows
+    rows, least = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r["n"]):
+        if rows + r["rows"] > limit:
+            break
+        rows, least = rows + r["rows"], r["n"]
+    top = counts.where(F.col("n") >= least).toArrow().to_pandas()  # at most `limit` rows
     top = top.sort_values(["n", "h"])
     top["rank"] = np.arange(1, len(top) + 1)
     return top.sort_values("h")[["h", "rank"]]
@@ -152,7 +169,7 @@ def _prefix_blocks(docs: DataFrame, order, buckets: int, percent: int) -> DataFr
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = GlobalOrder(*order.value)
-        for batch in batches:
+        for batch in _parts(batches):
             keys, owner, places = [], [], []
             for doc, own in zip(batch.column(0).to_numpy(), shingle_sets(batch.column(1)), strict=True):
                 n = len(own)
@@ -199,21 +216,31 @@ def _may_link(n1: str, pos1: str, n2: str, pos2: str, percent: int):
     return best * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
 
 
+def _enough(count: str, n1: str, n2: str, percent: int):
+    """Whether sets whose prefixes share so many shingles can link. What two sets share lies in both prefixes up to where
+    the first of these ends, and what comes after is in that set's remainder."""
+    beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    return (F.col(count) + F.greatest(beyond(n1), beyond(n2))) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
+
+
 def verify(pairs: DataFrame, sets: DataFrame, floor: int) -> DataFrame:
     """pairs: first, doc_id; sets: doc_id, set. Adds total (both sizes) and overlap, or -1 where the similarity is below
     floor percent. A probe with many partners is salted over chunks."""
     degree = pairs.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).alias("__chunks"))
-    dealt = pairs.join(degree, "first").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("__chunks")))
-    probes = dealt.select("first", "chunk").distinct().join(sets.select(F.col("doc_id").alias("first"), F.col("set").alias("set")), "first")
-    members = dealt.select(F.col("first").alias("of"), F.col("chunk").alias("part"), "doc_id").join(sets, "doc_id")
+    dealt = materialize(pairs.join(degree, "first").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("__chunks"))).drop("__chunks"))
+    few = dealt.count() <= BROADCAST_IDS  # then the sets stay where they are until they go to their probe
+    near = lambda df: F.broadcast(df) if few else df
+    probes = sets.select(F.col("doc_id").alias("first"), "set").join(near(dealt.select("first", "chunk").distinct()), "first")
+    members = sets.select("doc_id", F.col("set").alias("held")).join(near(dealt.select(F.col("first").alias("of"), F.col("chunk").alias("part"), "doc_id")), "doc_id")
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"first": [], "doc_id": [], "overlap": [], "total": []}).astype("int64")
-        own = np.frombuffer(left["set"].iloc[0], np.uint64)
-        others = [np.frombuffer(s, np.uint64) for s in right["set"]]
-        overlap = tree_overlaps(own, others, floor)
-        return pd.DataFrame({"first": left["first"].iloc[0], "doc_id": right["doc_id"], "overlap": overlap, "total": [len(own) + len(o) for o in others]})
+        out = [pd.DataFrame({"first": [], "doc_id": [], "overlap": [], "total": []}).astype("int64")]
+        others = [np.frombuffer(s, np.uint64) for s in right["held"]]
+        for first, own in zip(left["first"], left["set"], strict=True):  # more than one where rows repeat a doc_id
+            own = np.frombuffer(own, np.uint64)
+            out.append(pd.DataFrame({
+                "first": first, "doc_id": right["doc_id"], "overlap": tree_overlaps(own, others, floor), "total": [len(own) + len(o) for o in others]}))
+        return pd.concat(out)
 
     return probes.groupBy("first", "chunk").cogroup(members.groupBy("of", "part")).applyInPandas(
         probe, "first long, doc_id long, overlap long, total long")
@@ -255,51 +282,60 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int =
     order = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["rank"].to_numpy(np.int64)))
     buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     slim = _slim(docs).where("doc_id IS NOT NULL")
-    heads = slim.join(copies.select("doc_id"), "doc_id", "left_anti")
+    heads = join_ids(slim, copies.select("doc_id"), "doc_id", "left_anti")
     blocks = _prefix_blocks(heads, order, buckets, percent)
     shared = materialize(_meetings(blocks))
     heads_of = shared.where("doc_id = first").select("k", F.col("pos").alias("pos1"), F.col("n").alias("n1")).dropDuplicates(["k"])
+    with_first = shared.where("doc_id <> first").join(heads_of, "k").where(_may_link("n1", "pos1", "n", "pos", percent))
+    # a pair left out here, because another document is first at its other shingles, comes again in _across
     met = materialize(
-        shared.where("doc_id <> first").join(heads_of, "k").where(_may_link("n1", "pos1", "n", "pos", percent)).select("first", "doc_id").distinct())
+        with_first.groupBy("first", "doc_id", "n1", "n").agg(F.count("*").alias("c")).where(_enough("c", "n1", "n", percent)).select("first", "doc_id").distinct())
 
     def ordered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = GlobalOrder(*order.value)
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [ordered(own).tobytes() for own in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    involved = shared.select("doc_id").distinct()
-    wanted = heads.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(wanted.mapInArrow(ordered_sets, "doc_id long, set binary"))
-    checked = materialize(verify(met, sets, WIDE_PERCENT))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = materialize(pairs.select(F.col("first").alias("doc_id")).unionByName(pairs.select("doc_id")).distinct())
+        return materialize(join_ids(heads, ids, "doc_id", "left_semi").mapInArrow(ordered_sets, "doc_id long, set binary"))
+
+    checked = materialize(verify(met, sets_of(met), WIDE_PERCENT))
     linking = lambda df: df.where(F.col("overlap") * (100 + percent) >= F.col("total") * percent)
     as_edges = lambda df: linking(df).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = as_edges(checked).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
     roots = components(links)
-    more = materialize(as_edges(verify(_across(shared, checked, roots, percent), sets, percent)))
-    if not more.isEmpty():
+    rest = materialize(_across(shared, checked, roots, percent))
+    if not rest.isEmpty():
+        more = materialize(as_edges(verify(rest, sets_of(rest), percent)))
         roots = components(links.unionByName(more))
     return digests.select("doc_id", "n_shingles").join(roots, digests["doc_id"] == roots["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def _across(shared: DataFrame, checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """first, doc_id: pairs that share a prefix shingle, lie in different components, and may link by their lengths, by
-    the shingle's positions and by their distances to the shingle's first document (with which they were compared)."""
+    """first, doc_id: pairs that lie in different components and may link by the number of prefix shingles they share,
+    by their lengths, by the shingles' positions and by their distances to the shingles' first documents (with which
+    they were compared)."""
     limit = 1 - percent / 100 + 1e-9
     d = F.when(F.col("overlap") >= 0, 1 - F.col("overlap") / (F.col("total") - F.col("overlap")))
     far = 1 - WIDE_PERCENT / 100  # the distance is at least this where the walk gave none
     known = checked.select("first", "doc_id", F.coalesce(d, F.lit(far)).alias("low"), F.coalesce(d, F.lit(1.0)).alias("high"))
-    others = shared.where("doc_id <> first").join(known, ["first", "doc_id"], "left").select(
-        "k", "doc_id", "pos", "n", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-    at = others.join(roots, others["doc_id"] == roots["node"], "left").select(
+    own = F.when(F.col("doc_id") == F.col("first"), 0.0)
+    members = shared.join(known, ["first", "doc_id"], "left").select(
+        "k", "doc_id", "pos", "n", F.coalesce(own, "low", F.lit(0.0)).alias("low"), F.coalesce(own, "high", F.lit(1.0)).alias("high"))
+    at = members.join(roots, members["doc_id"] == roots["node"], "left").select(
         "k", "doc_id", "pos", "n", "low", "high", F.coalesce("root", "doc_id").alias("root"))
     mixed = at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
     at = materialize(at.join(mixed, "k", "left_semi"))
     other = at.select("k", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "pos", "n", "low", "high", "root")])
     may = _may_link("n", "pos", "n2", "pos2", percent) & (F.col("low2") <= F.col("high") + limit) & (F.col("low") <= F.col("high2") + limit)
-    return at.join(other, "k").where((F.col("root") < F.col("root2")) & may).select(
-        F.least("doc_id", "doc_id2").alias("first"), F.greatest("doc_id", "doc_id2").alias("doc_id")).distinct()
+    # a pair that any shingle rules out is ruled out, so that its lower count does no harm
+    pairs = at.join(other, (at["k"] == other["k"]) & (F.col("root") < F.col("root2")) & may).groupBy("doc_id", "doc_id2", "n", "n2").agg(F.count("*").alias("c"))
+    enough = _enough("c", "n", "n2", percent)
+    return pairs.where(enough).select(F.least("doc_id", "doc_id2").alias("first"), F.greatest("doc_id", "doc_id2").alias("doc_id")).distinct()
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
