@@ -33,6 +33,10 @@ UNKNOWN = "und"
 _LETTER = r"\p{L}"
 
 
+#: Documents whose feature vectors are made at once.
+VECTORS = 256
+
+
 def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, gram buckets, row of each): bigrams in the lower half, trigrams in the upper."""
     raw, at = text_buffer(pc.utf8_lower(column))
@@ -56,7 +60,7 @@ def sample_features(docs: DataFrame, label: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part.slice(i, VECTORS) for part in batches for i in range(0, part.num_rows, VECTORS)):
             for a, b, grams, owner in _grams(batch.column(1)):
                 dense = np.bincount(owner * BUCKETS + grams, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS)
                 share = (dense * (BUCKETS / dense.sum(axis=1, keepdims=True))).astype(np.float32)

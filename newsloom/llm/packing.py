@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import materialize, number_rows, table
 
 CAPACITY = 1024
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 #: Characters for which Python's word classes and the tokenizer's letter and number classes agree.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ſ‘-„…]*")
 #: The byte-level pre-tokenizer's own pattern, written for such characters.
