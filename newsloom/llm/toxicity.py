@@ -2,8 +2,9 @@
 
 Channel: an author's letter may be written as a look-alike (0 for o, $ for s), repeated, masked, or set apart by spaces
 or symbols. A suspicious token (or a run of single characters) becomes a lattice of what each character can stand for,
-and Viterbi finds the path that is most probable under a character trigram model of the corpus. Plain words have a
-lattice of one path and stay as they are.
+and Viterbi finds the path that is most probable under a character trigram model of the corpus. Plain words without a
+doubled letter have a lattice of one path and stay as they are. A run of single characters can hold several words: its
+lattice has word boundaries too, and known words are looked for from each of its positions.
 
 Score: words of the restored text weigh what their stems' document frequencies among labelled toxic and clean texts
 say (log odds); a logistic model turns a document's strongest words into a probability.
@@ -44,7 +45,13 @@ LOOKALIKES = {
 SUBSTITUTED, SEPARATED, COLLAPSED = math.log(0.05), math.log(0.05), math.log(0.2)
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…-_*&%$#|/\\~^=+`"
 _PLAIN = re.compile(r"(?:([^\W\d_])(?!\1\1))+")
+_DOUBLED = re.compile(r"(.)\1", re.S)
+_REPEATS = re.compile(r"(.)\1*", re.S)
 _SYMBOLS = re.compile(r"([*&%$#!.?,;:~^=+|])\1{2,}$")
+#: Words of such lengths count.
+SHORTEST, LONGEST = 3, 40
+#: Inside a run of single characters, words count that take so many of them, and beginnings of so many letters.
+LEAST_RUN = 4
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýßœ"
 _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1  # 0: outside of a word
@@ -88,21 +95,21 @@ class Channel:
         p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
         self.lm = np.log((three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)).tolist()
 
+    @staticmethod
+    def options(char: str, n: int) -> list[tuple[str, float]]:
+        """What n times the same character can stand for, and at what cost."""
+        if char in _CODE:
+            return [(char, 0.0)] if n == 1 else [(char, COLLAPSED), (char * 2, 0.0 if n == 2 else COLLAPSED)]
+        out: list[tuple[str, float]] = []
+        for x in LOOKALIKES.get(char, ("",)):
+            out += [(x, SUBSTITUTED if x else SEPARATED)] if n == 1 or not x else [(x, SUBSTITUTED + COLLAPSED), (x * 2, 2 * SUBSTITUTED)]
+        return out
+
     def decode(self, text: str) -> str:
         """The most probable restoration of a token. Viterbi over the last two letters."""
-        runs = [(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", text, re.S)]
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for char, n in runs:
-            options: list[tuple[str, float]] = []
-            if char in _CODE:
-                options = [(char * n, 0.0)] if n < 3 else [(char, COLLAPSED), (char * 2, COLLAPSED)]
-                if n == 2:
-                    options.append((char, COLLAPSED))
-            elif char in LOOKALIKES:
-                for x in LOOKALIKES[char]:
-                    options += [(x, SUBSTITUTED if x else SEPARATED)] if n == 1 or not x else [(x, SUBSTITUTED + COLLAPSED), (x * 2, 2 * SUBSTITUTED)]
-            else:
-                options = [("", SEPARATED)]
+        for m in _REPEATS.finditer(text):
+            options = self.options(m[1], len(m[0]))
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, made) in paths.items():
                 for x, cost in options:
@@ -116,14 +123,47 @@ class Channel:
             paths = new
         return max(((s + self.lm[a][b][0], made) for (a, b), (s, made) in paths.items()), default=(0.0, ""))[1]
 
+    def segment(self, run: str) -> list[str]:
+        """The most probable words of a run of single characters: as decode, but each may begin a new word."""
+        # a path is (score, its last piece and what comes before it)
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for m in _REPEATS.finditer(run):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, made) in paths.items():
+                for x, cost in self.options(m[1], len(m[0])):
+                    # the boundaries stand before, or within a doubled letter
+                    for at in (None, *range(len(x))):
+                        s, i, j = score + cost, a, b
+                        for k, c in enumerate(x):
+                            if k == at:
+                                s += self.lm[i][j][0]
+                                i = j = 0
+                            s += self.lm[i][j][_CODE[c]]
+                            i, j = j, _CODE[c]
+                        if (i, j) not in new or new[i, j][0] < s:
+                            new[i, j] = (s, (x if at is None else f"{x[:at]} {x[at:]}", made))
+            paths = new
+        made = max(((s + self.lm[a][b][0], made) for (a, b), (s, made) in paths.items()), key=lambda p: p[0])[1]
+        pieces = []
+        while made:
+            piece, made = made
+            pieces.append(piece)
+        return "".join(reversed(pieces)).split()
+
     def restore(self, token: str) -> tuple[str, ...]:
         """The words that a lower-cased token can stand for: itself without edge marks, and its restoration."""
         word = token.strip(_EDGE)
         if _PLAIN.fullmatch(word) and (word == token or token.rstrip(".,;:!?") == word or _SYMBOLS.search(token)):
+            if not _DOUBLED.search(word):
+                return (word,)
+            token = word
+        elif not any(c.isalpha() for c in token):
             return (word,)
-        if not any(c.isalpha() for c in token) or len(token) > 60:
+        token = _SYMBOLS.sub("", token)
+        # what must stay a letter: with too many, no restoration is a word that counts
+        if len(token) > LONGEST and sum("" not in LOOKALIKES.get(m[1], "" if m[1] in _CODE else ("",)) for m in _REPEATS.finditer(token)) > LONGEST:
             return (word,)
-        return tuple(dict.fromkeys((word, self.decode(_SYMBOLS.sub("", token)))))
+        return tuple(dict.fromkeys((word, self.decode(token))))
 
 
 def tokens(text: str) -> list[str]:
@@ -151,13 +191,6 @@ def stems(word: str) -> Iterator[str]:
             yield word[:n] + "-"
 
 
-def spaced_stems(run: str) -> Iterator[str]:
-    """Words of four letters and more inside a run of single letters, which may hold other single letters at its ends."""
-    for i in range(min(4, len(run))):
-        for j in range(max(i + 4, len(run) - 3), len(run) + 1):
-            yield run[i:j]
-
-
 _kept: dict[str, object] = {}  # of the worker, so that tasks share a cache
 
 
@@ -178,7 +211,7 @@ def stem_counts(labelled: DataFrame, channel) -> DataFrame:
         made: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = {w for t in set(tokens(text)) for w in restore(t) if 3 <= len(w) <= 40}
+                words = {w for t in set(tokens(text)) for w in restore(t) if SHORTEST <= len(w) <= LONGEST}
                 made[int(toxic)].update({s for w in words for s in stems(w)})
         for label in (0, 1):
             yield pd.DataFrame({"stem": list(made[label]), "toxic": [n if label else 0 for n in made[label].values()], "clean": [0 if label else n for n in made[label].values()]})
@@ -192,13 +225,47 @@ class Lexicon:
 
     def __init__(self, channel: Channel, weights: dict[str, float]):
         self.channel, self.weights, self.cache = channel, weights, {}
+        self.root: dict = {}  # letters, then the weight of a word under "" and of a beginning under "-"
+        for stem, w in weights.items():
+            node = self.root
+            for c in stem.removesuffix("-"):
+                node = node.setdefault(c, {})
+            node["-" if stem.endswith("-") else ""] = w
+
+    def _word(self, word: str) -> float:
+        return max(self.weights.get(s, 0.0) for s in stems(word)) if SHORTEST <= len(word) <= LONGEST else 0.0
 
     def _weigh(self, token: str) -> float:
-        best = 0.0
-        for word in self.channel.restore(token):
-            if 3 <= len(word) <= 40:
-                best = max([best, *(self.weights.get(s, 0.0) for s in stems(word))])
-        return best
+        return max(0.0, *map(self._word, self.channel.restore(token)))
+
+    def spaced(self, run: str) -> dict[str, float]:
+        """The weighted words of a run of single characters: those of its segments, and those that begin at any of its places."""
+        hits = {w: x for w in self.channel.segment(run) if (x := self._word(w)) > 0}
+        pieces = [(m[1], len(m[0])) for m in _REPEATS.finditer(run)]
+        for first in range(len(pieces)):
+            walks = [(self.root, "", 0)]
+            for k in range(first, len(pieces)):
+                char, n = pieces[k]
+                new = {}
+                for node, made, taken in walks:
+                    for x, _ in self.channel.options(char, n):
+                        at = node
+                        for c in x:
+                            at = at.get(c)
+                            if at is None:
+                                break
+                        if at is None or at is self.root:
+                            continue
+                        word = made + x
+                        new[word] = (at, word, taken + n)
+                        if x and "" in at and len(word) >= SHORTEST and taken + n >= LEAST_RUN:
+                            hits[word] = max(hits.get(word, 0.0), at[""])
+                        if x and "-" in at and len(word) >= LEAST_RUN and k + 1 < len(pieces):
+                            hits[word] = max(hits.get(word, 0.0), at["-"])
+                walks = list(new.values())
+                if not walks:
+                    break
+        return hits
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         """The three strongest distinct words' log odds, and ln(1 + all hits)."""
@@ -217,10 +284,12 @@ class Lexicon:
                 found += 1
         if sum(1 for t in all_tokens if len(t) <= 2) > 2:
             for run in tokens(text)[len(all_tokens) :]:
-                w = max((self.weights.get(self.channel.decode(x), 0.0) for x in spaced_stems(run)), default=0.0) if len(run) <= 60 else 0.0
-                if w:
-                    hits[run] = w
-                    found += 1
+                words = self.spaced(run)
+                # of words inside one another the longest, so that none counts twice
+                for w, x in words.items():
+                    if not any(w != other and w in other and words[other] >= x for other in words):
+                        hits[w] = max(hits.get(w, 0.0), x)
+                        found += 1
         top = sorted(hits.values(), reverse=True)[:3] + [0.0] * 3
         return top[0], top[1], top[2], math.log1p(found)
 
