@@ -13,10 +13,23 @@ from newsloom.llm import decontaminate, jaccard_join, language_id, packing, toxi
 from newsloom.llm.common import fold, join_ids, materialize, table
 
 
+#: A text may fit its language so many times worse than the worst labelled text that was not learnt from.
+FIT_SLACK = 1.1
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no identifiable language (null, no letters) go."""
-    model = language_id.train_machines(docs, fold(F.col("doc_id"), 4) != 2)
-    return language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Documents whose text has no identifiable language go: null, no letters, or n-grams unlike the predicted language.
+
+    The bound is the worst fit of the labelled texts outside the training fold, times FIT_SLACK. Where nothing was learnt
+    or no labelled text is left out, every text with a letter stays.
+    """
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language_id.train_machines(docs, ~held_out, typical=True)
+    worst = language_id.lowest_fit(docs, held_out, model) if model["families"] else None
+    if worst is None:
+        return docs.where(F.col("text").rlike(language_id.LETTER))
+    found = language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.where(F.col("fit") >= min(0.0, worst) * FIT_SLACK).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,9 @@ BUCKETS = 4096
 #: About so many documents of each language are learnt from.
 SAMPLE = 600
 UNKNOWN = "und"
-_LETTER = r"\p{L}"
+#: So many n-grams of a typical text are added to a text when its fit is judged, since a short text says little.
+PRIOR_GRAMS = 50
+LETTER = r"\p{L}"
 
 
 #: Documents whose feature vectors are made at once.
@@ -73,7 +75,7 @@ def sample_features(docs: DataFrame, label: str) -> DataFrame:
 
 def learnable(docs: DataFrame, train: Column, sample: int = SAMPLE) -> DataFrame:
     """About `sample` documents of each language by a hash of the id; fewer where there are fewer."""
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
+    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return known
@@ -82,8 +84,11 @@ def learnable(docs: DataFrame, train: Column, sample: int = SAMPLE) -> DataFrame
     return known.where(part < F.element_at(share, F.col("lang")))
 
 
-def train_machines(docs: DataFrame, train: Column, families: dict[str, str] | None = None) -> dict:
-    """{"families": {family: [languages]}, (a, b): (weights, intercept)}: a machine's margin is positive for b."""
+def train_machines(docs: DataFrame, train: Column, families: dict[str, str] | None = None, typical: bool = False) -> dict:
+    """{"families": {family: [languages]}, (a, b): (weights, intercept)}: a machine's margin is positive for b.
+
+    With typical, also {"typical": {language: (ln of its n-grams' shares, their mean over its own n-grams)}}.
+    """
     from pyspark.ml.classification import LinearSVC
 
     families = FAMILIES if families is None else families
@@ -99,10 +104,22 @@ def train_machines(docs: DataFrame, train: Column, families: dict[str, str] | No
         rows = data.where(F.col("label").isin(left + right)).select("features", F.col("label").isin(right).cast("double").alias("label"))
         machine = LinearSVC(maxIter=25, regParam=0.01, standardization=False).fit(rows)
         model[a, b] = (machine.coefficients.toArray() * BUCKETS, machine.intercept)
+    if typical:
+        from pyspark.ml.stat import Summarizer
+
+        means = data.groupBy("label").agg(Summarizer.mean(F.col("features")).alias("m")).collect()  # one row a language
+        shares = {r["label"]: (r["m"].toArray() + 0.01) / (r["m"].toArray() + 0.01).sum() for r in means}
+        model["typical"] = {lang: (np.log(x), float((x * np.log(x)).sum())) for lang, x in shares.items()}
     data.unpersist()
     return model
 
 
+def lowest_fit(docs: DataFrame, held_out: Column, model: dict) -> float | None:
+    """The worst fit among the held-out texts that have a label and a letter; None without any. model has typical."""
+    rows = docs.where(held_out & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("text")
+    return predict(rows, model).agg(F.min("fit")).first()[0]
+
+
 def _decide(margin: dict, names: list[str], prefix: str, shape: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the name with most one-versus-one wins (ties: larger sum of probabilities), and its mean probability."""
     if len(names) == 1:
@@ -122,19 +139,24 @@ def _decide(margin: dict, names: list[str], prefix: str, shape: int) -> tuple[np
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of docs (any of these names but text are replaced), lang_pred and score (0 to 1).
 
+    If the model has typical, also fit: the mean ln share of the text's n-grams in the predicted language, less that of
+    a typical text (0: as typical texts; below: n-grams rare in it), PRIOR_GRAMS typical n-grams added; null for `und`.
     `und` with score 0 where text is null or has no letter, or where nothing was learnt. Empty tables give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    made = ["lang_pred string", "score double"] + (["fit double"] if "typical" in model else [])
+    kept = [c for c in docs.columns if c not in {m.split()[0] for m in made}]
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         groups = m["families"]
         families = sorted(groups)
-        machines = {k: v for k, v in m.items() if k != "families"}
+        typical = m.get("typical")
+        machines = {k: v for k, v in m.items() if k not in ("families", "typical")}
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("__text"))
             lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            fit = np.zeros(batch.num_rows)
             if groups:
                 for a, b, grams, owner in _grams(text):
                     size = np.maximum(1, np.bincount(owner, minlength=b - a))
@@ -145,13 +167,19 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                         own = np.flatnonzero(family == f)
                         lang[a + own] = np.array(groups[name], object)[best[own]]
                         score[a + own] = p[own] * q[own]
-            letters = pc.fill_null(pc.match_substring_regex(text, _LETTER), False).to_numpy(zero_copy_only=False)
+                    for name in typical or ():
+                        log_share, mean = typical[name]
+                        own = np.flatnonzero(lang[a:b] == name)
+                        if len(own):
+                            fit[a + own] = ((np.bincount(owner, log_share[grams], b - a) - mean * size) / (size + PRIOR_GRAMS))[own]
+            letters = pc.fill_null(pc.match_substring_regex(text, LETTER), False).to_numpy(zero_copy_only=False)
             lang[~letters], score[~letters] = UNKNOWN, 0.0
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            columns += [pa.array(lang, pa.string()), pa.array(score)] + ([pa.array(fit, mask=lang == UNKNOWN)] if typical is not None else [])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *(x.split()[0] for x in made)])
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + made)
     return rows.mapInArrow(guess, schema)
 
 
