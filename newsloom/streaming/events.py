@@ -50,8 +50,17 @@ def ban_stream(strikes: DataFrame, hours: int = 24) -> DataFrame:
     return strikes.groupBy("ip").agg(F.when(F.max(F.col("permanent").cast("int")) > 0, None).otherwise(until).alias("expires_at"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is, into an in-memory table (for small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is, into Parquet files under path, and reads them. No row passes through the driver.
+
+    append: each micro-batch has its own folder, so one that runs again replaces itself. complete: the latest batch replaces the last.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=0")  # in case no batch runs
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else batch_id}")
+
+    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)

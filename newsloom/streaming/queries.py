@@ -30,7 +30,7 @@ def _activity_stream(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _work(spark)
     limited = stream.rate_limit_stream(_activity_stream(spark, sf_dir, work), 1)
-    out = stream.run_to_table(limited, f"rate_{uuid.uuid4().hex}", f"{work}/state", "complete")
+    out = stream.run_to_table(limited, f"{work}/out", f"{work}/state", "complete")
     return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
@@ -44,7 +44,7 @@ def stream_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _work(spark)
     e = _activity_stream(spark, sf_dir, work)
     strikes = e.where("status = 500").select((F.col("user_id") % 200).alias("ip"), "ts", (F.col("target_id") == 13).alias("permanent"))
-    out = stream.run_to_table(stream.ban_stream(strikes), f"bans_{uuid.uuid4().hex}", f"{work}/state", "complete")
+    out = stream.run_to_table(stream.ban_stream(strikes), f"{work}/out", f"{work}/state", "complete")
     return out.select("ip", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
@@ -52,7 +52,7 @@ def stream_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and targets with an impression; one row each."""
     work = _work(spark)
     firsts = stream.first_impressions(_activity_stream(spark, sf_dir, work), ["user_id", "target_id"]).select("user_id", "target_id")
-    return stream.run_to_table(firsts, f"seen_{uuid.uuid4().hex}", f"{work}/state")
+    return stream.run_to_table(firsts, f"{work}/out", f"{work}/state")
 
 
 QUERIES = {"stream_rate_limit": stream_rate_limit, "stream_counters": stream_counters, "stream_bans": stream_bans, "stream_impressions": stream_impressions}
