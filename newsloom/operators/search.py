@@ -55,11 +55,17 @@ def _highlight(spark, sf):
     return docs.select("doc_id", mark_matches(F.substring("text", 1, 180), "of the").alias("snippet"))
 
 
+def _fragments(spark, sf):
+    docs = Domain(spark, sf).table("documents").where(F.col("text").rlike("(?i)of the"))
+    return docs.select("doc_id", mark_matches("text", "of the").alias("snippet"))
+
+
 _PAGE_TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _CUT = "regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
 QUERIES = {
     "search_bm25": _bm25,
     "search_highlight": _highlight,
+    "search_fragments": _fragments,
     "search_suggest": lambda spark, sf: suggest(Domain(spark, sf).topics(), "al"),
     "term_statistics": lambda spark, sf: postings(Domain(spark, sf).table("documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).orderBy(F.desc("tf"), "term").limit(200),
     "url_hash": lambda spark, sf: Domain(spark, sf).table("pages").select("page_id", url_hash("url").alias("url_hash")),
