@@ -1,9 +1,9 @@
 """Shortest-pack-first packing over the length histogram.
 
 Every document is tokenized once; its ids are cut into pieces of at most `capacity`. Only the histogram of piece
-lengths (at most `capacity` bins) reaches the driver, which places lengths longest first into the open packing pattern
-with the least room that still fits, updating the patterns' counts. The patterns then become ranges of ranks within a
-length, and each piece finds its sequence by its own rank.
+lengths (at most `capacity` bins) reaches the driver, which places lengths longest first into the shortest open packing
+pattern (the one with the most room left), updating the patterns' counts. The patterns then become ranges of ranks within
+a length, and each piece finds its sequence by its own rank.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +23,9 @@ from newsloom.llm.common import materialize, number_rows, table
 
 CAPACITY = 1024
 CACHE_WORDS = 200_000
+#: Slots of packing patterns go to every task up to this number (40 bytes each); beyond it they are joined by blocks of
+#: 2^RANK_BLOCK ranks. There are a few thousand for each power of ten of the input, since lengths are at most `capacity`.
+BROADCAST_SLOTS, RANK_BLOCK = 200_000, 12
 #: Characters for which Python's word classes and the tokenizer's letter and number classes agree.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ſ‘-„…]*")
 #: The byte-level pre-tokenizer's own pattern, written for such characters.
@@ -97,7 +100,9 @@ def _encoder(path: str, ranks_path: str) -> TokenBytes:
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(count, lengths) of each packing pattern: longest lengths first, each into the open pattern with the least room."""
+    """(count, lengths) of each packing pattern: longest lengths first, each into the shortest open pattern; a new one is
+    opened where even that has too little room. histogram: {length: count}, lengths from 1 to capacity; an empty one gives
+    no pattern. The same as placing single items, since equal packs are filled one after another."""
     room: list[int] = []  # of open patterns, ascending
     patterns: dict[int, list[list]] = {}
 
@@ -110,15 +115,14 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
         while todo:
-            k = bisect_left(room, length)
-            if k == len(room):
+            if not room or room[-1] < length:  # new packs, each filled before the next, for none has more room
                 each = capacity // length
                 if todo >= each:
                     put(todo // each, (length,) * each, capacity - each * length)
                 if todo % each:
                     put(1, (length,) * (todo % each), capacity - todo % each * length)
                 break
-            free = room[k]
+            free = room[-1]
             last = patterns[free][-1]
             count, lengths = last
             placed = min(todo, count)
@@ -126,7 +130,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 patterns[free].pop()
                 if not patterns[free]:
                     del patterns[free]
-                    room.pop(k)
+                    room.pop()
             else:
                 last[0] -= placed
             put(placed, (*lengths, length), free - length)
@@ -149,7 +153,7 @@ def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = CAPACITY, broadcast_slots: int = BROADCAST_SLOTS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece.
 
     Null text counts as empty; every document ends with id 0, so an empty one is one piece of one id. Rows that repeat
@@ -172,12 +176,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, capacity: int =
     slots = _slots(shortest_pack_first(histogram, capacity))
     spark = docs.sparkSession
     ranges = spark.createDataFrame(slots, "length long, first long, after long, base long, offset long")
-    # a table of slots has at most a few thousand rows for each power of ten of the input: lengths are at most `capacity`
-    ranges = F.broadcast(ranges) if len(slots) <= 200_000 else ranges
     ranked = number_rows(cut, "length", ["doc_id", "start", "ids_crc32"], "rank", sum(histogram.values()))
+    keys = ["length"]
+    if len(slots) <= broadcast_slots:
+        ranges = F.broadcast(ranges)
+    else:  # a length may hold a third of all pieces, so blocks of its ranks meet the ranges that touch them
+        block = lambda c: F.shiftright(c, RANK_BLOCK)
+        ranges = ranges.withColumn("block", F.explode(F.sequence(block("first"), block(F.col("after") - 1))))
+        ranked, keys = ranked.withColumn("block", block("rank")), ["length", "block"]
     return (
-        ranked.join(ranges, (ranked["length"] == ranges["length"]) & (ranked["rank"] >= ranges["first"]) & (ranked["rank"] < ranges["after"]))
-        .select("doc_id", "start", ranked["length"], "ids_crc32", "doc_tokens",
+        ranked.join(ranges, keys).where("rank >= first AND rank < after")
+        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
                 (F.col("base") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
     )
 

@@ -223,9 +223,10 @@ def test_packing_round_trip(spark):
 
 
 def test_shortest_pack_first():
-    """As many packs as placing every length by itself, longest first, into the fullest pack that has room."""
+    """The same packs as placing every length by itself, longest first, into the pack with the most room left."""
     rng = random.Random(9)
-    for capacity in (16, 128):
+    assert packing.shortest_pack_first({}, 8) == []
+    for capacity in (16, 128, 1024):
         histogram = {n: rng.randint(1, 60) for n in rng.sample(range(1, capacity + 1), capacity // 2)}
         patterns = packing.shortest_pack_first(dict(histogram), capacity)
         placed = {}
@@ -237,13 +238,33 @@ def test_shortest_pack_first():
         room = []
         for n in sorted(histogram, reverse=True):
             for _ in range(histogram[n]):
-                fits = [r for r in room if r >= n]
-                if fits:
-                    room.remove(min(fits))
-                    room.append(min(fits) - n)
+                most = max(room, default=0)
+                if most >= n:
+                    room.remove(most)
+                    room.append(most - n)
                 else:
                     room.append(capacity - n)
-        assert sum(c for c, _ in patterns) == len(room)
+        assert sorted(room) == sorted(capacity - sum(lengths) for count, lengths in patterns for _ in range(count))
+
+
+def test_packing_joined_slots(spark):
+    """Slots that are joined by blocks of ranks give a packing as good as slots that are broadcast."""
+    docs = docs_of(spark, ["word " * (k % 7) for k in range(300)])
+    one, two = (packing.pack_documents(docs, *packing.default_tokenizer(), capacity=16, broadcast_slots=n).collect() for n in (0, 10**6))
+    assert sorted(one) == sorted(two) and len(one) == 300
+
+
+def test_token_ids_of_random_texts():
+    """The cut at spaces and the rank file give the tokenizer's ids for any text."""
+    from tokenizers import Tokenizer
+
+    path, ranks = packing.default_tokenizer()
+    ours, theirs = packing.TokenBytes(path, ranks), Tokenizer.from_file(path)
+    rng = random.Random(12)
+    alphabets = ["ab cd e", "aZ09 .,'!", "don't we'll I'm ", " \n\t\r x", "éàü ßœ Ÿ€", "a1² ½ ٣ 東京", "<|endoftext|> ", "\u00a0\u2003\u200b \x1c\x85a", "_-#@ a_b", "🙂 e\u0301 a"]
+    for _ in range(20_000):
+        text = "".join(rng.choices("".join(rng.sample(alphabets, rng.randint(1, 3))), k=rng.randint(0, 24)))
+        assert ours(text) == np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 def test_top_k_prunes_and_ties(spark):
