@@ -40,6 +40,38 @@ def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, how)
 
 
+def most_frequent(df: DataFrame, key: str, count: str, limit: int) -> tuple[DataFrame, bool]:
+    """The rows with the highest counts, about `limit` at most, and whether these are all.
+
+    Counts are binned on a log scale (sixteen bins an octave, so at most some 1,000 rows come here); of the bin that does
+    not fit whole, a share of its keys by their hash goes along. The rest is the caller's to join.
+    """
+    binned = F.floor(F.log2(F.greatest(F.col(count).cast("double"), F.lit(0.5))) * 16).cast("int")
+    bins = df.groupBy(binned.alias("bin")).agg(F.count("*").alias("rows")).collect()
+    rows = 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        if rows + r["rows"] > limit:
+            share = int((limit - rows) / r["rows"] * 0.99 * (1 << 20))
+            return df.where((binned > r["bin"]) | (binned == r["bin"]) & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share)), False
+        rows += r["rows"]
+    return df, True
+
+
+def give_back() -> None:
+    """Return memory that a Python worker no longer needs to the system: workers live on after their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def number_rows(df: DataFrame, group: str, order: list[str], out: str, rows: int) -> DataFrame:
     """Gapless numbers from 0 within each group, also where one group holds most rows.
 

@@ -1,20 +1,18 @@
 """Prefix-tree join of word-shingle sets under a Jaccard threshold, reduced to components.
 
-1. Documents of equal shingle sets form one class (an aggregate over a 128-bit digest); classes go on.
+1. Documents of equal shingle sets form one class (an aggregate over a 128-bit digest); one head of each class goes on.
 2. A global order of shingles puts frequent ones last. Frequency only steers the work: shingles met in several
    documents of one task are summed over tasks, and the most frequent of these, a bounded list, are broadcast.
-3. Each class sends its prefix (its first n - ceil(t n) + 1 shingles in that order) to buckets of shingle hashes. Two
-   sets that link share a prefix shingle, so they meet in the bucket of that shingle.
-4. Of the classes that meet at a shingle, all are paired with the first one only; pairs are verified by walking a
-   prefix tree of their ordered sets, and the links give components.
-5. Classes that meet at shingles but still lie in different components are counted against each other and verified
-   where they share enough of their prefixes and the metric allows it: with d the Jaccard distance (a metric) to a
-   shingle's first class, |d(a) - d(b)| <= 1 - t. So no link between components is lost, and pairs within a component
-   are never made.
-
-In a prefix tree (a list of sets in lexicographic order, with the lengths of common prefixes) sets with a common
-beginning share the count of its overlap with the probe, and a subtree is left as soon as the remaining lengths cannot
-reach the overlap that the threshold needs.
+3. Each head sends its prefix (its first n - ceil(t n) + 1 shingles in that order) to buckets of shingle hashes. Two
+   sets that link share a prefix shingle, so they meet at that shingle, and so in the group of its first document.
+4. In each group the first document probes the prefix tree of the others; these links give components.
+5. Groups that still hold several components are joined whole: all but their largest component probe the prefix tree
+   of the group. A subtree that holds a probe's own component only is left at once, so what is linked already is never
+   compared again, and a task gives out at most one link for each component that it joins.
+
+A prefix tree (trie) holds ordered sets; all probes of a task walk it together. Sets with a common beginning share the
+counts of its overlap with each probe, and a probe leaves a subtree as soon as what remains of it, or of the subtree's
+sets, cannot reach the overlap that the threshold needs.
 """
 
 from __future__ import annotations
@@ -28,82 +26,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import BROADCAST_IDS, join_ids, materialize, table
+from newsloom.llm.common import BROADCAST_IDS, give_back, join_ids, materialize, most_frequent, table
 from newsloom.llm.words import mix, shingle_sets
 
 PERCENT = 75
-#: At most so many shingles are ordered by frequency (16 bytes each in every task), and only those counted so often at
+#: About so many shingles are ordered by frequency (16 bytes each in every task), and only those counted so often at
 #: least; the others count as rare.
 FREQUENT_SHINGLES, FREQUENT_FROM = 500_000, 8
+#: Shingles counted so often are dealt to buckets by their documents too, since one of them can be in a third of all rows.
+HOT_SHINGLE = 100_000
 #: Shingles that a task has gathered before it gives out those met more than once.
 GATHER = 2_000_000
 #: Documents whose sets a task holds at once.
 ROWS = 1000
-CHUNK = 256
-#: Similarities from this on are kept exactly, for the metric filter of step 5.
-WIDE_PERCENT = 50
+#: Prefix shingles of one bucket, about.
+BUCKET_ENTRIES = 1 << 18
+#: Shingles of one task's probes or tree, about (8 bytes each); larger groups are cut into blocks that meet each other.
+BLOCK_SHINGLES = 2_000_000
+#: Cells of a task's table of probes by shingles.
+CELLS = 1 << 22
+#: Rows of a group's members go to every task up to this number (about 100 bytes each); beyond it the join shuffles.
+BROADCAST_MEMBERS = 200_000
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _needed(a: int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
-    """The least overlap of sets of sizes a and b that links them: 100 o >= percent (a + b - o)."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS):
             yield batch.slice(first, ROWS)
 
 
-def set_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (null without shingles)."""
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, digest (null without shingles) of every row; and in rows of their own (n_shingles is null
+    there) h, n: shingles met in several documents of one task."""
+    names = ["doc_id", "n_shingles", "digest", "h", "n"]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests = [], []
-            for own in shingle_sets(batch.column(1)):
-                sizes.append(len(own))
-                digests.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_shingles", "digest"])
-
-    return _slim(docs).mapInArrow(digest, "doc_id long, n_shingles long, digest binary")
-
-
-def frequent_shingles(docs: DataFrame, limit: int = FREQUENT_SHINGLES) -> pd.DataFrame:
-    """h, rank (1: least frequent) of the shingles most often met in several documents of one task, `limit` at most."""
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+            h, n = h[n > 1], n[n > 1]
+            none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(h.view(np.int64)), pa.array(n)], names)
 
-        for batch in batches:
+        for batch in _parts(batches):
+            sizes, digests = [], []
             for own in shingle_sets(batch.column(1)):
+                sizes.append(len(own))
+                digests.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 held.append(own)
                 size += len(own)
                 if size > GATHER:
                     yield flush()
                     held, size = [], 0
+            none = [pa.nulls(batch.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *none], names)
         yield flush()
+        held = []
+        give_back()
+
+    return _slim(docs).mapInArrow(read, "doc_id long, n_shingles long, digest binary, h long, n long")
 
-    counts = materialize(
-        _slim(docs).mapInArrow(repeated, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM))
-    bins = counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("rows")).collect()  # at most 4,097 rows
-    rows, least = 0, 1 << 62
-    for r in sorted(bins, key=lambda r: -r["n"]):
-        if rows + r["rows"] > limit:
-            break
-        rows, least = rows + r["rows"], r["n"]
-    top = counts.where(F.col("n") >= least).toArrow().to_pandas()  # at most `limit` rows
-    top = top.sort_values(["n", "h"])
+
+def frequent_shingles(counts: DataFrame, limit: int = FREQUENT_SHINGLES) -> pd.DataFrame:
+    """counts: h, n. The most frequent shingles, about `limit` at most: h, n, rank (1: least frequent), ascending by h."""
+    some, _ = most_frequent(counts.where(F.col("n") >= FREQUENT_FROM), "h", "n", limit)
+    top = some.toArrow().to_pandas().sort_values(["n", "h"])  # about `limit` rows at most
     top["rank"] = np.arange(1, len(top) + 1)
-    return top.sort_values("h")[["h", "rank"]]
+    return top.sort_values("h")
 
 
 class GlobalOrder:
@@ -124,51 +119,107 @@ class GlobalOrder:
         return np.sort(keys)
 
 
-def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Overlap of the ordered set `probe` with each of the ordered `sets`; -1 where it cannot link.
+class PrefixTree:
+    """A trie over ordered sets, paths without branches compressed, walked by many probes at once.
 
-    The prefix tree is the list in lexicographic order. `shared[d]` is the overlap of the first d shingles of the
-    current path; a subtree is skipped when even its longest remainder cannot reach the overlap needed.
+    sets: ascending arrays of numbers from 0 to len(alphabet) - 1 in `reduced`, which leave out what no probe holds, and
+    the sizes of the whole sets. labels: the component of each set (a number); a node keeps the label that all its sets
+    share, or -1. Empty sets are in the root and never link.
     """
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    out = np.full(len(sets), -1, np.int64)
-    path = np.empty(0, np.uint64)
-    shared = np.zeros(1, np.int64)
-    dead = None  # depth of the pruned node on the current path
-    for i in order:
-        own = sets[i]
-        m = min(len(path), len(own))
-        differs = np.flatnonzero(path[:m] != own[:m])
-        depth = int(differs[0]) if len(differs) else m
-        if dead is not None and depth >= dead:
-            continue
-        dead = None
-        depth = min(depth, len(shared) - 1)
-        need = _needed(len(probe), len(own), percent)
-        if min(len(probe), len(own)) < need:
-            continue
-        rest = own[depth:]
-        at = np.searchsorted(probe, rest)
-        at[at == len(probe)] = 0
-        shared = np.concatenate([shared[: depth + 1], shared[depth] + np.cumsum(probe[at] == rest)])
-        path = own
-        # what the probe still has after the path's last shingle, at each depth of the path
-        left = len(probe) - np.searchsorted(probe, own, "right")
-        # below depth d a set of any size s links only if shared + min(s - d, left) reaches the need of s; s = d + left is the best
-        depths = np.arange(1, len(own) + 1)
-        hopeless = np.flatnonzero(shared[1:] + left < _needed(len(probe), depths + left, percent))
-        if len(hopeless):
-            dead = int(hopeless[0]) + 1
-        if shared[-1] >= need:
-            out[i] = shared[-1]
+
+    def __init__(self, reduced: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int):
+        self.order = sorted(range(len(reduced)), key=lambda i: reduced[i].astype(">u4").tobytes())
+        self.percent, self.sizes = percent, sizes[self.order].astype(np.int64)
+        seqs = [reduced[i] for i in self.order]
+        lens = np.array([len(s) for s in seqs], np.int64)
+        labels = labels[self.order]
+        self.labels = labels
+        common = np.zeros(len(seqs), np.int64)  # length of the beginning shared with the set before
+        for i in range(1, len(seqs)):
+            m = min(lens[i - 1], lens[i])
+            differs = np.flatnonzero(seqs[i - 1][:m] != seqs[i][:m])
+            common[i] = differs[0] if len(differs) else m
+        # the best that a set can still give: percent * size - (100 + percent) * (length)
+        best = percent * self.sizes - (100 + percent) * lens
+        #: (shingles of the edge, depth, first and last terminal, least `best`, least size, label, children)
+        self.nodes: list[tuple] = []
+        todo = [(0, len(seqs), 0, None)] if seqs else []
+        while todo:
+            low, high, depth, parent = todo.pop()
+            end = int(lens[low]) if high - low == 1 else int(common[low + 1 : high].min())
+            after = low
+            while after < high and lens[after] == end:
+                after += 1
+            same = labels[low] if (labels[low:high] == labels[low]).all() else -1
+            node = (seqs[low][depth:end], end, low, after, int(best[low:high].min()), int(self.sizes[low:high].min()), same, [])
+            if parent is not None:
+                parent.append(len(self.nodes))
+            self.nodes.append(node)
+            if after < high:
+                cuts = [after, *(np.flatnonzero(common[after + 1 : high] == end) + after + 1).tolist(), high]
+                todo += [(a, b, end, node[7]) for a, b in zip(cuts, cuts[1:])]
+
+    def links(self, holds: np.ndarray, sizes: np.ndarray, labels: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(probe, set) for links between different components. holds: shingle by probe, 0 or 1; sizes: of the whole
+        probes; joined: a component's number after the links so far, by its label; changed as links are found."""
+        p, whole = self.percent, 100 + self.percent
+        left = holds.sum(axis=0, dtype=np.int64) - np.cumsum(holds, axis=0, dtype=np.int32) if len(holds) else np.zeros((0, len(sizes)), np.int64)
+        needs = p * sizes.astype(np.int64)
+        todo = [(0, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))] if self.nodes else []
+        while todo:
+            at, probes, overlap = todo.pop()
+            edge, depth, low, after, best, least, label, children = self.nodes[at]
+            if label >= 0:
+                other = joined[labels[probes]] != joined[label]
+                probes, overlap = probes[other], overlap[other]
+            if len(edge) and len(probes):
+                overlap = overlap + (holds[edge, probes[0]].sum(dtype=np.int64) if len(probes) == 1 else holds[np.ix_(edge, probes)].sum(axis=0, dtype=np.int64))
+                need = needs[probes]
+                can = (overlap * whole - need >= best + whole * depth) & ((overlap + left[edge[-1], probes]) * whole >= need + p * least)
+                probes, overlap = probes[can], overlap[can]
+            if not len(probes):
+                continue
+            for k in range(low, after):
+                hit = probes[(overlap > 0) & (overlap * whole >= needs[probes] + p * self.sizes[k])]
+                while len(hit := hit[joined[labels[hit]] != joined[self.labels[k]]]):
+                    yield int(hit[0]), self.order[k]
+                    joined[joined == joined[labels[hit[0]]]] = joined[self.labels[k]]
+            todo += [(child, probes, overlap) for child in children]
+
+
+def group_links(probes: list[np.ndarray], probe_labels: np.ndarray, sets: list[np.ndarray], set_labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(probe, set) for enough links that everything which links is joined, given what has equal labels. The sets of both
+    sides are ordered; the labels are numbers from 0."""
+    out: list[tuple[int, int]] = []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    alphabet = np.intersect1d(np.concatenate(probes), np.concatenate(sets)) if probes and sets else np.empty(0, np.uint64)
+    if not len(alphabet):
+        return out
+
+    def reduce(own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(alphabet, own)
+        at[at == len(alphabet)] = 0
+        return at[alphabet[at] == own]
+
+    tree = PrefixTree([reduce(s) for s in sets], sizes, set_labels, percent)
+    joined = np.arange(int(max(probe_labels.max(), set_labels.max())) + 1)
+    step = max(1, CELLS // len(alphabet))
+    for first in range(0, len(probes), step):
+        some = probes[first : first + step]
+        holds = np.zeros((len(alphabet), len(some)), np.uint8)
+        for i, own in enumerate(some):
+            holds[reduce(own), i] = 1
+        found = tree.links(holds, np.array([len(s) for s in some]), probe_labels[first : first + step], joined)
+        out += [(first + i, j) for i, j in found]
     return out
 
 
-def _prefix_blocks(docs: DataFrame, order, buckets: int, percent: int) -> DataFrame:
+def _prefix_blocks(heads: DataFrame, order, buckets: int, percent: int) -> DataFrame:
     """bucket, keys, docs, places: the prefix shingles of each batch, packed by bucket; places hold position and set size."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = GlobalOrder(*order.value)
+        hashes, ranks, hot = order.value
+        ordered = GlobalOrder(hashes, ranks)
         for batch in _parts(batches):
             keys, owner, places = [], [], []
             for doc, own in zip(batch.column(0).to_numpy(), shingle_sets(batch.column(1)), strict=True):
@@ -181,19 +232,22 @@ def _prefix_blocks(docs: DataFrame, order, buckets: int, percent: int) -> DataFr
                 continue
             key, owner, places = np.concatenate(keys), np.concatenate(owner), np.concatenate(places)
             with np.errstate(over="ignore"):
-                bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
+                spread = np.where(key >= np.uint64(hot), key + mix(owner.view(np.uint64)), key)
+                bucket = (mix(spread) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             bucket, key, owner, places = bucket[by], key[by], owner[by], places[by]
             edge = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = list(zip(edge, np.append(edge[1:], len(bucket)), strict=True))
             packed = [pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in (key, owner, places)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), *packed], ["bucket", "keys", "docs", "places"])
+        give_back()
 
-    return docs.mapInArrow(blocks, "bucket int, keys binary, docs binary, places binary")
+    return heads.mapInArrow(blocks, "bucket int, keys binary, docs binary, places binary")
 
 
-def _meetings(blocks: DataFrame) -> DataFrame:
-    """k, doc_id, first, pos, n: the prefix shingles that several documents have, with the first of these documents."""
+def _meetings(blocks: DataFrame, hot: int) -> DataFrame:
+    """k, doc_id, pos, n, first, pos1, n1: the prefix shingles that several documents have, each document's position of the
+    shingle and size, and the same of the first of these documents."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
@@ -202,53 +256,102 @@ def _meetings(blocks: DataFrame) -> DataFrame:
         by = np.lexsort((docs, keys))
         keys, docs, places = keys[by], docs[by], places[by]
         new = np.append(True, keys[1:] != keys[:-1])
-        first = docs[new][np.cumsum(new) - 1]
-        last = docs[np.append(new[1:], True)][np.cumsum(new) - 1]
-        many = first != last
-        return pd.DataFrame({"k": keys[many].view(np.int64), "doc_id": docs[many], "first": first[many], "pos": places[many, 0], "n": places[many, 1]})
+        run = np.cumsum(new) - 1
+        head, last = np.flatnonzero(new)[run], docs[np.append(new[1:], True)][run]
+        many = (docs[head] != last) | (keys >= np.uint64(hot))
+        head = head[many]
+        return pd.DataFrame({
+            "k": keys[many].view(np.int64), "doc_id": docs[many], "pos": places[many, 0], "n": places[many, 1],
+            "first": docs[head], "pos1": places[head, 0], "n1": places[head, 1]})
 
-    return blocks.groupBy("bucket").applyInPandas(meet, "k long, doc_id long, first long, pos int, n int")
+    return blocks.groupBy("bucket").applyInPandas(meet, "k long, doc_id long, pos int, n int, first long, pos1 int, n1 int")
 
 
-def _may_link(n1: str, pos1: str, n2: str, pos2: str, percent: int):
+def _first_of_hot(met: DataFrame, hot: int) -> DataFrame:
+    """met with the true first documents of hot shingles, which were dealt to several buckets."""
+    is_hot = (F.col("k") < 0) & (F.col("k") >= hot - (1 << 64))
+    firsts = met.where(is_hot).groupBy("k").agg(F.min(F.struct("doc_id", "pos", "n")).alias("f"))  # fewer rows than ordered shingles
+    found = met.where(is_hot).drop("first", "pos1", "n1").join(F.broadcast(firsts), "k").select(
+        "k", "doc_id", "pos", "n", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("pos1"), F.col("f.n").alias("n1"))
+    return met.where(~is_hot).unionByName(found)
+
+
+def _may_link(percent: int):
     """The length and positional bounds for two sets that share a shingle at these positions."""
-    best = F.least(pos1, pos2) + 1 + F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)) - 1
-    return best * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
+    best = F.least("pos1", "pos") + F.least(F.col("n1") - F.col("pos1"), F.col("n") - F.col("pos"))
+    return best * (100 + percent) >= (F.col("n1") + F.col("n")) * percent
 
 
-def _enough(count: str, n1: str, n2: str, percent: int):
-    """Whether sets whose prefixes share so many shingles can link. What two sets share lies in both prefixes up to where
-    the first of these ends, and what comes after is in that set's remainder."""
+def _enough(percent: int):
+    """Whether sets whose prefixes share `c` shingles can link. What two sets share lies in both prefixes up to where the
+    first of these ends, and what comes after is in that set's remainder."""
     beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    return (F.col(count) + F.greatest(beyond(n1), beyond(n2))) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
+    return (F.col("c") + F.greatest(beyond("n1"), beyond("n"))) * (100 + percent) >= (F.col("n1") + F.col("n")) * percent
 
 
-def verify(pairs: DataFrame, sets: DataFrame, floor: int) -> DataFrame:
-    """pairs: first, doc_id; sets: doc_id, set. Adds total (both sizes) and overlap, or -1 where the similarity is below
-    floor percent. A probe with many partners is salted over chunks."""
-    degree = pairs.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).alias("__chunks"))
-    dealt = materialize(pairs.join(degree, "first").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("__chunks"))).drop("__chunks"))
-    few = dealt.count() <= BROADCAST_IDS  # then the sets stay where they are until they go to their probe
-    near = lambda df: F.broadcast(df) if few else df
-    probes = sets.select(F.col("doc_id").alias("first"), "set").join(near(dealt.select("first", "chunk").distinct()), "first")
-    members = sets.select("doc_id", F.col("set").alias("held")).join(near(dealt.select(F.col("first").alias("of"), F.col("chunk").alias("part"), "doc_id")), "doc_id")
+def tree_links(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: components to be joined, because in one group a probe of component a links with a member of component b.
 
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"first": [], "doc_id": [], "overlap": [], "total": []}).astype("int64")]
-        others = [np.frombuffer(s, np.uint64) for s in right["held"]]
-        for first, own in zip(left["first"], left["set"], strict=True):  # more than one where rows repeat a doc_id
-            own = np.frombuffer(own, np.uint64)
-            out.append(pd.DataFrame({
-                "first": first, "doc_id": right["doc_id"], "overlap": tree_overlaps(own, others, floor), "total": [len(own) + len(o) for o in others]}))
-        return pd.concat(out)
+    probes, members: grp, doc_id, n, root (its component); sets: doc_id, set. The sides of a large group are cut into blocks
+    of about `block` shingles by hashes of their documents, and every block of probes meets every block of members. A
+    doc_id with several sets has them all on either side. Empty inputs give no rows.
+    """
+    spark = sets.sparkSession
+    large = probes.groupBy("grp").agg(F.ceil(F.sum("n") / block).alias("pb")).join(
+        members.groupBy("grp").agg(F.ceil(F.sum("n") / block).alias("mb")), "grp").where("pb > 1 OR mb > 1")
+    large = F.broadcast(materialize(large))  # no more rows than all groups have blocks
+    at = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)).cast("int") - 1))
+    probes = probes.join(large, "grp", "left").select(
+        "grp", at(F.col("pb"), 1).alias("i"), every(F.col("mb")).alias("j"), F.lit(0).alias("side"), "doc_id", "root")
+    members = members.join(large, "grp", "left").select(
+        "grp", every(F.col("pb")).alias("i"), at(F.col("mb"), 2).alias("j"), F.lit(1).alias("side"), "doc_id", "root")
+    rows = materialize(probes.unionByName(members))
+    few = rows.count() <= BROADCAST_MEMBERS  # then the sets stay where they are until they go to their group
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = sets.join(F.broadcast(rows) if few else rows, "doc_id").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+        now = None
+        a: list[int] = []
+        b: list[int] = []
+
+        def finish() -> None:
+            (own, own_roots), (others, other_roots) = held[0], held[1]
+            if own and others:
+                roots, label = np.unique(np.array(own_roots + other_roots), return_inverse=True)
+                for i, j in group_links(own, label[: len(own)], others, label[len(own) :], percent):
+                    a.append(own_roots[i])
+                    b.append(other_roots[j])
+            for side in held.values():
+                side[0].clear()
+                side[1].clear()
 
-    return probes.groupBy("first", "chunk").cogroup(members.groupBy("of", "part")).applyInPandas(
-        probe, "first long, doc_id long, overlap long, total long")
+        for batch in batches:
+            groups, side, root = (batch.column(i) for i in (1, 4, 5))
+            keys = list(zip(groups.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            for key, s, r, own in zip(keys, side.to_pylist(), root.to_pylist(), batch.column(0).to_pylist()):
+                if key != now:
+                    finish()
+                    now = key
+                held[s][0].append(np.frombuffer(own, np.uint64))
+                held[s][1].append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
+
+    return dealt.select("set", "grp", "i", "j", "side", "root").mapInArrow(walk, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: a, b. node, root: the least node reachable, for every node of an edge. Alternates the large-star and
-    small-star steps until the forest is made of stars; each round costs two shuffles of the remaining edges."""
+    small-star steps until the forest is made of stars; each round costs two shuffles of the remaining edges. Raises
+    where `rounds` (about the square of the logarithm of the longest path) do not suffice; edges with a null and loops
+    are left out."""
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     both = materialize(both)
     last = None
@@ -262,80 +365,73 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = materialize(small.where("a <> b").distinct())
         now = both.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == last:
-            break
+            return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         last = now
-    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    raise RuntimeError(f"components not found in {rounds} rounds")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT_SHINGLES, hot_shingle: int = HOT_SHINGLE,
+                       block: int = BLOCK_SHINGLES, entries: int = BUCKET_ENTRIES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (repeated rows too).
 
     Null texts and texts without words have no shingle and are their own component. A null doc_id is never linked and
-    gets a null component. Rows that repeat a doc_id count as one document with several sets, all in one component.
+    gets a null component. Rows that repeat a doc_id count as one document with several sets, all in one component. An
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    digests = materialize(set_digests(docs))
-    classes = digests.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    member = digests.select("doc_id", "digest").where("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes, "digest")
-    copies = materialize(member.where("doc_id <> class_id").select("doc_id", "class_id").distinct())
-    top = frequent_shingles(docs, frequent)
-    order = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["rank"].to_numpy(np.int64)))
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    slim = _slim(docs).where("doc_id IS NOT NULL")
-    heads = join_ids(slim, copies.select("doc_id"), "doc_id", "left_anti")
-    blocks = _prefix_blocks(heads, order, buckets, percent)
-    shared = materialize(_meetings(blocks))
-    heads_of = shared.where("doc_id = first").select("k", F.col("pos").alias("pos1"), F.col("n").alias("n1")).dropDuplicates(["k"])
-    with_first = shared.where("doc_id <> first").join(heads_of, "k").where(_may_link("n1", "pos1", "n", "pos", percent))
-    # a pair left out here, because another document is first at its other shingles, comes again in _across
-    met = materialize(
-        with_first.groupBy("first", "doc_id", "n1", "n").agg(F.count("*").alias("c")).where(_enough("c", "n1", "n", percent)).select("first", "doc_id").distinct())
+    seen = materialize(scan(docs))
+    digests = seen.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest")
+    named = digests.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = materialize(named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("n_shingles").alias("n")))
+    member = materialize(named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "head").distinct())
+    # a document that is no class's head is a copy in all its rows
+    copies = materialize(member.where("doc_id <> head").select("doc_id").distinct().join(classes.select(F.col("head").alias("doc_id")), "doc_id", "left_anti"))
+    top = frequent_shingles(seen.where("h IS NOT NULL").groupBy("h").agg(F.sum("n").alias("n")), frequent)
+    hot = int(top["rank"][top["n"] >= hot_shingle].min()) if (top["n"] >= hot_shingle).any() else len(top) + 1
+    hot |= 1 << 63
+    order = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["rank"].to_numpy(np.int64), hot))
+    sent = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    heads = join_ids(_slim(docs).where("doc_id IS NOT NULL"), copies, "doc_id", "left_anti")
+    met = materialize(_meetings(_prefix_blocks(heads, order, max(32, int(sent) // entries), percent), hot))
+    shared = _first_of_hot(met, hot) if (top["n"] >= hot_shingle).any() else met
 
     def ordered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = GlobalOrder(*order.value)
+        ordered = GlobalOrder(*order.value[:2])
         for batch in _parts(batches):
             sets = [ordered(own).tobytes() for own in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
-
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.col("first").alias("doc_id")).unionByName(pairs.select("doc_id")).distinct())
-        return materialize(join_ids(heads, ids, "doc_id", "left_semi").mapInArrow(ordered_sets, "doc_id long, set binary"))
-
-    checked = materialize(verify(met, sets_of(met), WIDE_PERCENT))
-    linking = lambda df: df.where(F.col("overlap") * (100 + percent) >= F.col("total") * percent)
-    as_edges = lambda df: linking(df).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = as_edges(checked).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
-    roots = components(links)
-    rest = materialize(_across(shared, checked, roots, percent))
-    if not rest.isEmpty():
-        more = materialize(as_edges(verify(rest, sets_of(rest), percent)))
-        roots = components(links.unionByName(more))
-    return digests.select("doc_id", "n_shingles").join(roots, digests["doc_id"] == roots["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def _across(shared: DataFrame, checked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """first, doc_id: pairs that lie in different components and may link by the number of prefix shingles they share,
-    by their lengths, by the shingles' positions and by their distances to the shingles' first documents (with which
-    they were compared)."""
-    limit = 1 - percent / 100 + 1e-9
-    d = F.when(F.col("overlap") >= 0, 1 - F.col("overlap") / (F.col("total") - F.col("overlap")))
-    far = 1 - WIDE_PERCENT / 100  # the distance is at least this where the walk gave none
-    known = checked.select("first", "doc_id", F.coalesce(d, F.lit(far)).alias("low"), F.coalesce(d, F.lit(1.0)).alias("high"))
-    own = F.when(F.col("doc_id") == F.col("first"), 0.0)
-    members = shared.join(known, ["first", "doc_id"], "left").select(
-        "k", "doc_id", "pos", "n", F.coalesce(own, "low", F.lit(0.0)).alias("low"), F.coalesce(own, "high", F.lit(1.0)).alias("high"))
-    at = members.join(roots, members["doc_id"] == roots["node"], "left").select(
-        "k", "doc_id", "pos", "n", "low", "high", F.coalesce("root", "doc_id").alias("root"))
-    mixed = at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    at = materialize(at.join(mixed, "k", "left_semi"))
-    other = at.select("k", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "pos", "n", "low", "high", "root")])
-    may = _may_link("n", "pos", "n2", "pos2", percent) & (F.col("low2") <= F.col("high") + limit) & (F.col("low") <= F.col("high2") + limit)
-    # a pair that any shingle rules out is ruled out, so that its lower count does no harm
-    pairs = at.join(other, (at["k"] == other["k"]) & (F.col("root") < F.col("root2")) & may).groupBy("doc_id", "doc_id2", "n", "n2").agg(F.count("*").alias("c"))
-    enough = _enough("c", "n", "n2", percent)
-    return pairs.where(enough).select(F.least("doc_id", "doc_id2").alias("first"), F.greatest("doc_id", "doc_id2").alias("doc_id")).distinct()
+        give_back()
+
+    ids = materialize(shared.select("doc_id").distinct())
+    sets = materialize(join_ids(heads, ids, "doc_id", "left_semi").mapInArrow(ordered_sets, "doc_id long, set binary"))
+
+    # every group's first document against the others; what is left out here comes again below
+    near = shared.where("doc_id <> first").where(_may_link(percent)).groupBy("first", "doc_id", "n1", "n").agg(F.count("*").alias("c")).where(_enough(percent))
+    near = materialize(near.groupBy("first", "doc_id").agg(F.max("n1").alias("n1"), F.max("n").alias("n")))
+    firsts = near.groupBy(F.col("first").alias("grp")).agg(F.max("n1").alias("n")).select("grp", F.col("grp").alias("doc_id"), "n", F.col("grp").alias("root"))
+    others = near.select(F.col("first").alias("grp"), "doc_id", "n", F.col("doc_id").alias("root"))
+    several = member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    same = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    roots = materialize(components(tree_links(firsts, others, sets, percent, block).unionByName(same)))
+
+    # groups of several components: all but the largest component of each against all
+    at = shared.select("k", "doc_id", "n", "first").join(roots, shared["doc_id"] == roots["node"], "left").select(
+        "k", "doc_id", "n", F.col("first").alias("grp"), F.coalesce("root", "doc_id").alias("root"))
+    mixed = materialize(at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
+    if not mixed.isEmpty():
+        group = materialize(join_ids(at, mixed, "k", "left_semi").groupBy("grp", "doc_id", "root").agg(F.max("n").alias("n")))
+        largest = group.groupBy("grp", "root").agg(F.sum("n").alias("w")).groupBy("grp").agg(F.max_by("root", F.struct("w", "root")).alias("largest"))
+        few = largest.count() <= BROADCAST_IDS
+        rest = group.join(F.broadcast(largest) if few else largest, "grp").where("root <> largest").drop("largest")
+        more = components(tree_links(rest, group, sets, percent, block))
+        outer = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = materialize(
+            roots.join(outer, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            .unionByName(more.join(roots.select("node"), "node", "left_anti")))
+    # a copy has its head's component; a document of several sets is in the one component of their heads
+    where = member.groupBy("doc_id").agg(F.min("head").alias("head"))
+    by_head = where.join(roots, where["head"] == roots["node"], "left").select("doc_id", F.coalesce("root", "head").alias("component"))
+    return digests.join(by_head, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,17 +86,69 @@ def test_jaccard_edges(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in rows) == [(False, 4), (False, 4), (True, None)]
 
 
-def test_prefix_tree_overlaps():
+def test_jaccard_blocks_and_hot_shingles(spark):
+    """Small blocks, buckets and bounds of hot shingles: groups are cut everywhere and lose no link."""
+    texts = noisy_copies(random.Random(3), 6, 25)
+    found = jaccard_join.jaccard_components(docs_of(spark, texts), frequent=400, hot_shingle=9, block=600, entries=50).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
+
+
+def test_jaccard_two_large_groups(spark):
+    """Two groups of near copies a few words apart: most documents link within their group, some with none, one with both."""
+    rng = random.Random(8)
+    base = ["b%d" % i for i in range(90)]
+    other = base[:74] + ["o%d" % i for i in range(16)]
+    texts = []
+    for words in (base, other):
+        for _ in range(120):
+            own = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+                own[rng.randrange(len(own))] = "e%d" % rng.randrange(10**6)
+            texts.append(" ".join(own))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts), block=3000).collect()}
+    want = brute_components(texts)
+    assert found == want and len({c for _, c in want.values()}) > 4
+
+
+def test_jaccard_repeated_ids(spark):
+    """A doc_id with two texts joins the components of both; a copy of a smaller id's text does not hide its other text."""
+    long = " ".join("w%d" % i for i in range(40))
+    near = long.replace("w39", "z")
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (2, long), (3, near), (4, near), (5, "else"), (5, "else"), (6, None), (6, "else")]
+    found = jaccard_join.jaccard_components(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5), (6, 5), (6, 5)]
+
+
+def test_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.root for r in jaccard_join.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        jaccard_join.components(chain, 2)
+
+
+def test_prefix_tree():
+    """Every component that links is joined, each link is true, and the walk leaves subtrees early."""
     rng = np.random.default_rng(5)
-    for _ in range(30):
+    for trial in range(40):
         base = np.sort(rng.choice(200, 60, False)).astype(np.uint64)
         sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), False), rng.integers(0, 200, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(25)]
-        sets += [base, base[:1], sets[0]]
-        got = jaccard_join.tree_overlaps(base, sets, 75)
-        for s, o in zip(sets, got, strict=True):
-            true = len(np.intersect1d(base, s))
-            links = 100 * true >= 75 * (len(base) + len(s) - true)
-            assert (o == true) if links else (o in (-1, true))
+        sets += [base, base[:1], sets[0], np.empty(0, np.uint64)]
+        labels = np.arange(len(sets)) if trial % 2 else rng.integers(0, 6, len(sets))
+        got = jaccard_join.group_links(sets, labels, sets, labels, 75)
+        root = {c: c for c in set(labels.tolist())}
+
+        def find(c, root=root):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        links = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) > 0
+        for i, j in got:
+            assert links(sets[i], sets[j]) and find(labels[i]) != find(labels[j])
+            root[find(labels[i])] = find(labels[j])
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert not links(a, b) or find(labels[i]) == find(labels[j])
 
 
 def test_shingle_sets_match_words():
