@@ -15,7 +15,6 @@ Texts end with byte 0xFF, which UTF-8 never has; it also stands before the first
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import fold, materialize, table
+from newsloom.llm.common import fold, give_back, materialize, most_frequent, table
 from newsloom.llm.words import chunks, text_buffer, word_hashes
 
 DEPTH = 6
@@ -80,6 +79,8 @@ def gram_counts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame
                     yield flush()
                     held, size = [], 0
         yield flush()
+        held = []
+        give_back()
 
     rows = docs.select(F.col("text").cast("string").alias("text"), train.alias("train"))
     return rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -200,17 +201,6 @@ def gram_log_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return dealt.mapInArrow(mix, "gram long, n long, lp double")
 
 
-def most_frequent(df: DataFrame, count: str, limit: int) -> tuple[DataFrame, bool]:
-    """The rows with the highest counts, `limit` at most and with no tie cut, and whether these are all."""
-    bins = df.groupBy(F.least(count, F.lit(4096)).alias("n")).agg(F.count("*").alias("rows")).collect()  # at most 4,097 rows
-    rows, least = 0, 1 << 62
-    for r in sorted(bins, key=lambda r: -r["n"]):
-        if rows + r["rows"] > limit:
-            return df.where(F.col(count) >= least), False
-        rows, least = rows + r["rows"], r["n"]
-    return df, True
-
-
 class HashTable:
     """Values of 64-bit keys by open addressing in one array; 0 for keys it does not hold."""
 
@@ -260,14 +250,13 @@ def word_counts(docs: DataFrame, train: Column) -> DataFrame:
                     yield flush()
                     held, size = [], 0
         yield flush()
+        held = []
+        give_back()
 
     texts = docs.where(train).select(F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-_models: dict[str, tuple[HashTable, HashTable]] = {}
-
-
 def _runs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (owner, key) in this order: keys, how often, owners."""
     by = np.lexsort((keys, owner))
@@ -290,18 +279,15 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
     ends = docs.where(~held_out).count()
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     per_token, end_log = math.log10(total + 0.5 * (distinct + 1)), math.log10(ends + 0.5)
-    some_words, all_words = most_frequent(words, "c", frequent_words)
-    some_grams, all_grams = most_frequent(grams, "n", frequent_grams)
-    w, g = some_words.toArrow().to_pandas(), some_grams.select("gram", "lp").toArrow().to_pandas()  # at most frequent_words and frequent_grams rows
-    model = sc.broadcast((w["w"].to_numpy(np.int64), w["c"].to_numpy(np.int64), g["gram"].to_numpy(np.int64), g["lp"].to_numpy(float)))
-    name = uuid.uuid4().hex
+    some_words, all_words = most_frequent(words, "w", "c", frequent_words)
+    some_grams, all_grams = most_frequent(grams, "gram", "n", frequent_grams)
+    w, g = some_words.toArrow(), some_grams.select("gram", "lp").toArrow()  # about frequent_words and frequent_grams rows at most
+    # the tables themselves go to the tasks (32 to 64 bytes a key), so that a worker holds them once
+    model = sc.broadcast((HashTable(w["w"].to_numpy(), w["c"].to_numpy()), HashTable(g["gram"].to_numpy(), g["lp"].to_numpy())))
+    del w, g
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            a, b, c, d = model.value
-            _models[name] = HashTable(a, b), HashTable(c, d)
-        count_of, lp_of = _models[name]
+        count_of, lp_of = model.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
@@ -335,6 +321,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
                  pa.array(base - tokens * per_token), pa.array(own / math.log(10)), *lists.values()],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", *lists])
             row += n
+        give_back()
 
     slim = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))
     parts = materialize(slim.mapInArrow(

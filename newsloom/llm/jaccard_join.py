@@ -5,10 +5,13 @@
    documents of one task are summed over tasks, and the most frequent of these, a bounded list, are broadcast.
 3. Each head sends its prefix (its first n - ceil(t n) + 1 shingles in that order) to buckets of shingle hashes. Two
    sets that link share a prefix shingle, so they meet at that shingle, and so in the group of its first document.
-4. In each group the first document probes the prefix tree of the others; these links give components.
+4. In each group the first document is compared with the others; these links give components.
 5. Groups that still hold several components are joined whole: all but their largest component probe the prefix tree
    of the group. A subtree that holds a probe's own component only is left at once, so what is linked already is never
-   compared again, and a task gives out at most one link for each component that it joins.
+   compared again. A probe gives a bounded number of candidates; where it has more, the next round, with the components
+   found meanwhile, allows more, until no probe had to stop.
+6. Candidates are verified over whole sets, again by walking prefix trees; a task gives out at most one link for each
+   component that it joins.
 
 A prefix tree (trie) holds ordered sets; all probes of a task walk it together. Sets with a common beginning share the
 counts of its overlap with each probe, and a probe leaves a subtree as soon as what remains of it, or of the subtree's
@@ -43,6 +46,8 @@ ROWS = 1000
 BUCKET_ENTRIES = 1 << 18
 #: Shingles of one task's probes or tree, about (8 bytes each); larger groups are cut into blocks that meet each other.
 BLOCK_SHINGLES = 2_000_000
+#: Candidates that a probe gives in the first round of a group; sixteen times as many in each next one, while any has more.
+MOST = 32
 #: Cells of a task's table of probes by shingles.
 CELLS = 1 << 22
 #: Rows of a group's members go to every task up to this number (about 100 bytes each); beyond it the join shuffles.
@@ -122,26 +127,23 @@ class GlobalOrder:
 class PrefixTree:
     """A trie over ordered sets, paths without branches compressed, walked by many probes at once.
 
-    sets: ascending arrays of numbers from 0 to len(alphabet) - 1 in `reduced`, which leave out what no probe holds, and
-    the sizes of the whole sets. labels: the component of each set (a number); a node keeps the label that all its sets
-    share, or -1. Empty sets are in the root and never link.
+    reduced: ascending arrays of numbers of an alphabet, without what no probe holds; sizes: of the whole sets; labels: the
+    component of each set (a number). A node keeps the label that all its sets share, or -1. With prefixes, the reduced
+    sets are prefixes of whole ones, and what lies beyond counts as shared as far as it can be.
     """
 
-    def __init__(self, reduced: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int):
+    def __init__(self, reduced: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int, prefixes: bool = False):
         self.order = sorted(range(len(reduced)), key=lambda i: reduced[i].astype(">u4").tobytes())
-        self.percent, self.sizes = percent, sizes[self.order].astype(np.int64)
+        self.percent, self.prefixes = percent, prefixes
+        self.sizes, self.labels = sizes[self.order].astype(np.int64), labels[self.order]
         seqs = [reduced[i] for i in self.order]
         lens = np.array([len(s) for s in seqs], np.int64)
-        labels = labels[self.order]
-        self.labels = labels
         common = np.zeros(len(seqs), np.int64)  # length of the beginning shared with the set before
         for i in range(1, len(seqs)):
             m = min(lens[i - 1], lens[i])
             differs = np.flatnonzero(seqs[i - 1][:m] != seqs[i][:m])
             common[i] = differs[0] if len(differs) else m
-        # the best that a set can still give: percent * size - (100 + percent) * (length)
-        best = percent * self.sizes - (100 + percent) * lens
-        #: (shingles of the edge, depth, first and last terminal, least `best`, least size, label, children)
+        #: (numbers of the edge, depth, first terminal, the one after the last, most numbers below, least and largest size, label, children)
         self.nodes: list[tuple] = []
         todo = [(0, len(seqs), 0, None)] if seqs else []
         while todo:
@@ -150,68 +152,92 @@ class PrefixTree:
             after = low
             while after < high and lens[after] == end:
                 after += 1
-            same = labels[low] if (labels[low:high] == labels[low]).all() else -1
-            node = (seqs[low][depth:end], end, low, after, int(best[low:high].min()), int(self.sizes[low:high].min()), same, [])
+            same = self.labels[low] if (self.labels[low:high] == self.labels[low]).all() else -1
+            own = self.sizes[low:high]
+            node = (seqs[low][depth:end], end, low, after, int(lens[low:high].max()) - end, int(own.min()), int(own.max()), same, [])
             if parent is not None:
                 parent.append(len(self.nodes))
             self.nodes.append(node)
             if after < high:
                 cuts = [after, *(np.flatnonzero(common[after + 1 : high] == end) + after + 1).tolist(), high]
-                todo += [(a, b, end, node[7]) for a, b in zip(cuts, cuts[1:])]
-
-    def links(self, holds: np.ndarray, sizes: np.ndarray, labels: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(probe, set) for links between different components. holds: shingle by probe, 0 or 1; sizes: of the whole
-        probes; joined: a component's number after the links so far, by its label; changed as links are found."""
-        p, whole = self.percent, 100 + self.percent
-        left = holds.sum(axis=0, dtype=np.int64) - np.cumsum(holds, axis=0, dtype=np.int32) if len(holds) else np.zeros((0, len(sizes)), np.int64)
-        needs = p * sizes.astype(np.int64)
+                todo += [(x, y, end, node[8]) for x, y in zip(cuts, cuts[1:])]
+
+    def needed(self, a: np.ndarray, b: int) -> np.ndarray:
+        """The overlap of the reduced sets that sets of sizes a and b need to link, 1 at least. Over b it is least at one of
+        the ends of any range: it grows, with prefixes up to a only, then falls."""
+        need = -(-self.percent * (a + b) // (100 + self.percent))
+        if self.prefixes:
+            need = need + 1 - np.maximum(-(-self.percent * a // 100), -(-self.percent * b // 100))
+        return np.maximum(need, 1)
+
+    def walk(self, holds: np.ndarray, sizes: np.ndarray, labels: np.ndarray, joined: np.ndarray, going: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(set, probes) where the overlap suffices and the components differ. holds: number by probe, 0 or 1; sizes: of the
+        whole probes; joined: a component's number by its label, going: whether a probe goes on. The caller may change both."""
+        left = holds.sum(axis=0, dtype=np.int64) - np.cumsum(holds, axis=0, dtype=np.int32)
+        sizes = sizes.astype(np.int64)
         todo = [(0, np.arange(len(sizes)), np.zeros(len(sizes), np.int64))] if self.nodes else []
         while todo:
             at, probes, overlap = todo.pop()
-            edge, depth, low, after, best, least, label, children = self.nodes[at]
-            if label >= 0:
-                other = joined[labels[probes]] != joined[label]
-                probes, overlap = probes[other], overlap[other]
+            edge, _, low, after, below, least, largest, label, children = self.nodes[at]
+            other = going[probes] if label < 0 else going[probes] & (joined[labels[probes]] != joined[label])
+            probes, overlap = probes[other], overlap[other]
             if len(edge) and len(probes):
                 overlap = overlap + (holds[edge, probes[0]].sum(dtype=np.int64) if len(probes) == 1 else holds[np.ix_(edge, probes)].sum(axis=0, dtype=np.int64))
-                need = needs[probes]
-                can = (overlap * whole - need >= best + whole * depth) & ((overlap + left[edge[-1], probes]) * whole >= need + p * least)
+                own = sizes[probes]
+                best = overlap + np.minimum(left[edge[-1], probes], below)
+                can = (best >= np.minimum(self.needed(own, least), self.needed(own, largest))) & (own * 100 >= self.percent * least) & (largest * 100 >= self.percent * own)
                 probes, overlap = probes[can], overlap[can]
             if not len(probes):
                 continue
             for k in range(low, after):
-                hit = probes[(overlap > 0) & (overlap * whole >= needs[probes] + p * self.sizes[k])]
-                while len(hit := hit[joined[labels[hit]] != joined[self.labels[k]]]):
-                    yield int(hit[0]), self.order[k]
-                    joined[joined == joined[labels[hit[0]]]] = joined[self.labels[k]]
+                own, size = sizes[probes], self.sizes[k]
+                hit = probes[(overlap >= self.needed(own, int(size))) & (own * 100 >= self.percent * size) & (size * 100 >= self.percent * own)]
+                hit = hit[joined[labels[hit]] != joined[self.labels[k]]]
+                if len(hit):
+                    yield k, hit
             todo += [(child, probes, overlap) for child in children]
 
 
-def group_links(probes: list[np.ndarray], probe_labels: np.ndarray, sets: list[np.ndarray], set_labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(probe, set) for enough links that everything which links is joined, given what has equal labels. The sets of both
-    sides are ordered; the labels are numbers from 0."""
+def walk_group(probes: list[np.ndarray], probe_sizes: np.ndarray, probe_labels: np.ndarray, sets: list[np.ndarray], set_sizes: np.ndarray,
+               set_labels: np.ndarray, percent: int, most: int | None = None) -> tuple[list[tuple[int, int]], bool]:
+    """(probe, set) pairs, and whether there may be more. Both sides hold ascending arrays; labels are numbers from 0.
+
+    most None: whole sets, and so many of their links that everything which links is joined, given what has equal labels.
+    Else the arrays are prefixes, and the pairs are those that may link by these, `most` for each probe.
+    """
     out: list[tuple[int, int]] = []
-    sizes = np.array([len(s) for s in sets], np.int64)
     alphabet = np.intersect1d(np.concatenate(probes), np.concatenate(sets)) if probes and sets else np.empty(0, np.uint64)
     if not len(alphabet):
-        return out
+        return out, False
 
     def reduce(own: np.ndarray) -> np.ndarray:
         at = np.searchsorted(alphabet, own)
         at[at == len(alphabet)] = 0
         return at[alphabet[at] == own]
 
-    tree = PrefixTree([reduce(s) for s in sets], sizes, set_labels, percent)
+    tree = PrefixTree([reduce(s) for s in sets], set_sizes, set_labels, percent, most is not None)
     joined = np.arange(int(max(probe_labels.max(), set_labels.max())) + 1)
+    more = False
     step = max(1, CELLS // len(alphabet))
     for first in range(0, len(probes), step):
         some = probes[first : first + step]
         holds = np.zeros((len(alphabet), len(some)), np.uint8)
         for i, own in enumerate(some):
             holds[reduce(own), i] = 1
-        found = tree.links(holds, np.array([len(s) for s in some]), probe_labels[first : first + step], joined)
-        out += [(first + i, j) for i, j in found]
-    return out
+        going, labels, given = np.ones(len(some), bool), probe_labels[first : first + step], np.zeros(len(some), np.int64)
+        for k, hit in tree.walk(holds, probe_sizes[first : first + step], labels, joined, going):
+            if most is None:
+                while len(hit):
+                    out.append((first + int(hit[0]), tree.order[k]))
+                    joined[joined == joined[labels[hit[0]]]] = joined[tree.labels[k]]
+                    hit = hit[joined[labels[hit]] != joined[tree.labels[k]]]
+            else:
+                over = given[hit] >= most
+                going[hit[over]], more = False, more or bool(over.any())
+                hit = hit[~over]
+                given[hit] += 1
+                out += [(first + i, tree.order[k]) for i in hit.tolist()]
+    return out, more
 
 
 def _prefix_blocks(heads: DataFrame, order, buckets: int, percent: int) -> DataFrame:
@@ -289,12 +315,13 @@ def _enough(percent: int):
     return (F.col("c") + F.greatest(beyond("n1"), beyond("n"))) * (100 + percent) >= (F.col("n1") + F.col("n")) * percent
 
 
-def tree_links(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """a, b: components to be joined, because in one group a probe of component a links with a member of component b.
+def walk_groups(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int, most: int | None = None) -> DataFrame:
+    """walk_group over every group: a, b (doc_id of the probe and of the set) and more (whether the probe's group has more).
 
-    probes, members: grp, doc_id, n, root (its component); sets: doc_id, set. The sides of a large group are cut into blocks
-    of about `block` shingles by hashes of their documents, and every block of probes meets every block of members. A
-    doc_id with several sets has them all on either side. Empty inputs give no rows.
+    probes, members: grp, doc_id, n (shingles), root (the component); sets: doc_id, size (of the whole set), set (ordered,
+    packed; whole, or with `most` a prefix). The sides of a large group are cut into blocks of about `block` shingles by
+    hashes of their documents, and every block of probes meets every block of members. A doc_id with several sets has
+    them all on either side. Empty inputs give no rows.
     """
     spark = sets.sparkSession
     large = probes.groupBy("grp").agg(F.ceil(F.sum("n") / block).alias("pb")).join(
@@ -312,39 +339,39 @@ def tree_links(probes: DataFrame, members: DataFrame, sets: DataFrame, percent:
     dealt = sets.join(F.broadcast(rows) if few else rows, "doc_id").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+        held: tuple[list, list] = ([], [])  # (set, size, root, doc_id) of either side
         now = None
-        a: list[int] = []
-        b: list[int] = []
+        out: list[tuple[int, int, bool]] = []
 
         def finish() -> None:
-            (own, own_roots), (others, other_roots) = held[0], held[1]
-            if own and others:
-                roots, label = np.unique(np.array(own_roots + other_roots), return_inverse=True)
-                for i, j in group_links(own, label[: len(own)], others, label[len(own) :], percent):
-                    a.append(own_roots[i])
-                    b.append(other_roots[j])
-            for side in held.values():
-                side[0].clear()
-                side[1].clear()
+            if held[0] and held[1]:
+                _, label = np.unique(np.array([r[2] for side in held for r in side]), return_inverse=True)
+                sizes = [np.array([r[1] for r in side]) for side in held]
+                cut = len(held[0])
+                pairs, more = walk_group([r[0] for r in held[0]], sizes[0], label[:cut], [r[0] for r in held[1]], sizes[1], label[cut:], percent, most)
+                out.extend((held[0][i][3], held[1][j][3], more) for i, j in pairs)
+            for side in held:
+                side.clear()
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
 
         for batch in batches:
-            groups, side, root = (batch.column(i) for i in (1, 4, 5))
-            keys = list(zip(groups.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            for key, s, r, own in zip(keys, side.to_pylist(), root.to_pylist(), batch.column(0).to_pylist()):
+            own, size, grp, i, j, side, root, doc = (c.to_pylist() for c in batch.columns)
+            for k in range(len(own)):
+                key = grp[k], i[k], j[k]
                 if key != now:
                     finish()
                     now = key
-                held[s][0].append(np.frombuffer(own, np.uint64))
-                held[s][1].append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a.clear()
-            b.clear()
+                held[side[k]].append((np.frombuffer(own[k], np.uint64), size[k], root[k], doc[k]))
+            yield flush()
         finish()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield flush()
         give_back()
 
-    return dealt.select("set", "grp", "i", "j", "side", "root").mapInArrow(walk, "a long, b long")
+    return dealt.select("set", "size", "grp", "i", "j", "side", "root", "doc_id").mapInArrow(walk, "a long, b long, more boolean")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -371,7 +398,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT_SHINGLES, hot_shingle: int = HOT_SHINGLE,
-                       block: int = BLOCK_SHINGLES, entries: int = BUCKET_ENTRIES) -> DataFrame:
+                       block: int = BLOCK_SHINGLES, entries: int = BUCKET_ENTRIES, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (repeated rows too).
 
     Null texts and texts without words have no shingle and are their own component. A null doc_id is never linked and
@@ -398,42 +425,83 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int =
     def ordered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = GlobalOrder(*order.value[:2])
         for batch in _parts(batches):
-            sets = [ordered(own).tobytes() for own in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            sets = [ordered(own) for own in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "size", "set"])
         give_back()
 
-    ids = materialize(shared.select("doc_id").distinct())
-    sets = materialize(join_ids(heads, ids, "doc_id", "left_semi").mapInArrow(ordered_sets, "doc_id long, set binary"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """pairs: a, b, n1, n (sizes). Links among them, as many as join all that they join; one probe a group."""
+        ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        sets = materialize(join_ids(heads, ids, "doc_id", "left_semi").mapInArrow(ordered_sets, "doc_id long, size long, set binary"))
+        probes = pairs.groupBy(F.col("a").alias("grp")).agg(F.max("n1").alias("n")).select("grp", F.col("grp").alias("doc_id"), "n", F.col("grp").alias("root"))
+        others = pairs.select(F.col("a").alias("grp"), F.col("b").alias("doc_id"), "n", F.col("b").alias("root"))
+        return walk_groups(probes, others, sets, percent, block).select("a", "b")
 
     # every group's first document against the others; what is left out here comes again below
     near = shared.where("doc_id <> first").where(_may_link(percent)).groupBy("first", "doc_id", "n1", "n").agg(F.count("*").alias("c")).where(_enough(percent))
-    near = materialize(near.groupBy("first", "doc_id").agg(F.max("n1").alias("n1"), F.max("n").alias("n")))
-    firsts = near.groupBy(F.col("first").alias("grp")).agg(F.max("n1").alias("n")).select("grp", F.col("grp").alias("doc_id"), "n", F.col("grp").alias("root"))
-    others = near.select(F.col("first").alias("grp"), "doc_id", "n", F.col("doc_id").alias("root"))
+    near = materialize(near.groupBy(F.col("first").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n1").alias("n1"), F.max("n").alias("n")))
     several = member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     same = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    roots = materialize(components(tree_links(firsts, others, sets, percent, block).unionByName(same)))
-
-    # groups of several components: all but the largest component of each against all
-    at = shared.select("k", "doc_id", "n", "first").join(roots, shared["doc_id"] == roots["node"], "left").select(
-        "k", "doc_id", "n", F.col("first").alias("grp"), F.coalesce("root", "doc_id").alias("root"))
-    mixed = materialize(at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
-    if not mixed.isEmpty():
-        group = materialize(join_ids(at, mixed, "k", "left_semi").groupBy("grp", "doc_id", "root").agg(F.max("n").alias("n")))
-        largest = group.groupBy("grp", "root").agg(F.sum("n").alias("w")).groupBy("grp").agg(F.max_by("root", F.struct("w", "root")).alias("largest"))
-        few = largest.count() <= BROADCAST_IDS
-        rest = group.join(F.broadcast(largest) if few else largest, "grp").where("root <> largest").drop("largest")
-        more = components(tree_links(rest, group, sets, percent, block))
-        outer = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    roots = materialize(components(verified(near).unionByName(same)))
+
+    while True:
+        found, more = _candidates(shared, roots, percent, block, most)
+        if found.isEmpty():
+            break
+        new = components(verified(found).join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+            roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select(
+            F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        outer = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = materialize(
             roots.join(outer, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            .unionByName(more.join(roots.select("node"), "node", "left_anti")))
+            .unionByName(new.join(roots.select("node"), "node", "left_anti")))
+        if not more:
+            break
+        most *= 16
     # a copy has its head's component; a document of several sets is in the one component of their heads
     where = member.groupBy("doc_id").agg(F.min("head").alias("head"))
     by_head = where.join(roots, where["head"] == roots["node"], "left").select("doc_id", F.coalesce("root", "head").alias("component"))
     return digests.join(by_head, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _candidates(shared: DataFrame, roots: DataFrame, percent: int, block: int, most: int) -> tuple[DataFrame, bool]:
+    """a, b, n1, n: documents of different components that may link by the prefix shingles they share, `most` for each probe
+    of a group; and whether any probe has more.
+
+    At the first shingle that two linking sets share, the smaller one still has all the overlap needed before it, so it
+    has the shingle among its first n - ceil(2 t n / (1 + t)) + 1; and the larger one is no smaller.
+    """
+    at = shared.select("k", "doc_id", "pos", "n", "first").join(roots, shared["doc_id"] == roots["node"], "left").select(
+        "k", "doc_id", "n", F.col("first").alias("grp"), F.coalesce("root", "doc_id").alias("root"),
+        (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).alias("early"))
+    smallest = F.min(F.when(F.col("early"), F.col("n"))).alias("smallest")
+    mixed = materialize(at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), smallest).where("lo <> hi").select("k", "smallest"))
+    few = mixed.count() <= BROADCAST_IDS
+    at = materialize(at.join(F.broadcast(mixed) if few else mixed, "k"))
+    group = at.where("smallest IS NOT NULL AND (early OR n >= smallest)").groupBy("grp", "doc_id", "root").agg(F.max("n").alias("n"))
+    several = group.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
+    group = materialize(join_ids(group, materialize(several), "grp", "left_semi"))
+    largest = materialize(group.groupBy("grp", "root").agg(F.count("*").alias("w")).groupBy("grp").agg(F.max_by("root", F.struct("w", "root")).alias("largest")))
+    few = largest.count() <= BROADCAST_IDS
+    rest = group.join(F.broadcast(largest) if few else largest, "grp").where("root <> largest").drop("largest")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.sort(np.array(k, np.int64).view(np.uint64)).tobytes() for k in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary())], ["doc_id", "size", "set"])
+
+    # what documents of different components share, they share at mixed shingles
+    own = join_ids(at, materialize(group.select("doc_id").distinct()), "doc_id", "left_semi")
+    prefixes = own.groupBy("doc_id", F.col("n").cast("long").alias("size")).agg(F.collect_set("k").alias("keys")).mapInArrow(
+        pack, "doc_id long, size long, set binary")
+    found = materialize(walk_groups(rest, group, prefixes, percent, block, most))
+    n = group.groupBy("doc_id").agg(F.max("n").alias("n"))
+    pairs = found.select("a", "b").distinct().join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("n1")), "a").join(
+        n.select(F.col("doc_id").alias("b"), "n"), "b")
+    return materialize(pairs), not found.where("more").isEmpty()
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -1,9 +1,9 @@
 """Hierarchical language identification: family first, then one-versus-one linear SVMs inside the family.
 
 Features are relative frequencies of hashed byte bigrams and trigrams of the lower-cased text, a space at either end.
-Linear machines (Spark ML LinearSVC) are trained for every pair of families and for every pair of languages of one
-family, on a bounded sample of labelled documents. Scoring needs no feature vectors: a document's margin is the mean of
-the machine's weights over the document's n-grams.
+Linear support vector machines are trained for every pair of families and for every pair of languages of one family, on
+a bounded sample of labelled documents: each pair is one group, so Spark fits the pairs side by side. Scoring needs no
+feature vectors: a document's margin is the mean of the machine's weights over the document's n-grams.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import fold, materialize, table
+from newsloom.llm.common import fold, give_back, materialize, table
 from newsloom.llm.words import chunks, text_buffer
 
 #: Language families; a language without an entry is a family of its own.
@@ -37,6 +38,8 @@ LETTER = r"\p{L}"
 
 #: Documents whose feature vectors are made at once.
 VECTORS = 256
+#: Of the machines: weight of |w|^2 / 2 against the mean hinge loss, and passes over the sample at most.
+PENALTY, PASSES = 0.01, 30
 
 
 def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -58,19 +61,47 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def sample_features(docs: DataFrame, label: str) -> DataFrame:
-    """label, features (relative frequencies times BUCKETS) of every row."""
-    from pyspark.ml.functions import array_to_vector
+    """label, at, share (n-gram buckets and their relative frequencies times BUCKETS, packed) of every row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part.slice(i, VECTORS) for part in batches for i in range(0, part.num_rows, VECTORS)):
             for a, b, grams, owner in _grams(batch.column(1)):
-                dense = np.bincount(owner * BUCKETS + grams, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS)
-                share = (dense * (BUCKETS / dense.sum(axis=1, keepdims=True))).astype(np.float32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BUCKETS), pa.array(share.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["label", "f"])
+                key, n = np.unique(owner * BUCKETS + grams, return_counts=True)
+                cut = np.searchsorted(key, np.arange(b - a + 1) * BUCKETS)
+                at, sizes = (key % BUCKETS).astype(np.uint16), np.bincount(owner, minlength=b - a)
+                rows = [(at[i:j], (n[i:j] * (BUCKETS / size)).astype(np.float32)) for i, j, size in zip(cut, cut[1:], sizes)]
+                packed = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *packed], ["label", "at", "share"])
 
     rows = docs.select(F.col(label).alias("label"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(count, "label string, f array<float>")).select("label", array_to_vector("f").alias("features"))
+    return materialize(rows.mapInArrow(count, "label string, at binary, share binary"))
+
+
+def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of the linear support vector machine that minimises the mean hinge loss plus penalty / 2 |w|^2,
+    by dual coordinate descent over centred features in a fixed order. y: 1 or -1. x is changed."""
+    centre = x.mean(axis=0, dtype=float)
+    x -= centre.astype(np.float32)
+    norm = np.maximum(np.einsum("ij,ij->i", x, x), 1e-12)
+    constant = float(np.sqrt(norm.mean()))  # the intercept is the weight of one more feature of this size
+    norm += constant**2
+    upper = 1 / (penalty * len(y))
+    alpha, w, bias = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0
+    rng = np.random.default_rng(1)
+    for _ in range(passes):
+        worst = 0.0
+        for i in rng.permutation(len(y)):
+            gradient = y[i] * (float(x[i] @ w) + constant * bias) - 1
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), upper)
+            if new != alpha[i]:
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * x[i]
+                bias += step * constant
+                worst = max(worst, abs(step) * norm[i])
+                alpha[i] = new
+        if worst < 0.01:
+            break
+    return w.astype(float), bias * constant - float(w @ centre)
 
 
 def learnable(docs: DataFrame, train: Column, sample: int = SAMPLE) -> DataFrame:
@@ -87,12 +118,12 @@ def learnable(docs: DataFrame, train: Column, sample: int = SAMPLE) -> DataFrame
 def train_machines(docs: DataFrame, train: Column, families: dict[str, str] | None = None, typical: bool = False) -> dict:
     """{"families": {family: [languages]}, (a, b): (weights, intercept)}: a machine's margin is positive for b.
 
-    With typical, also {"typical": {language: (ln of its n-grams' shares, their mean over its own n-grams)}}.
+    With typical, also {"typical": {language: (ln of its n-grams' shares, their mean over its own n-grams)}}. Rows without
+    text, letter or language are not learnt; without any other rows there are no families. A pair's group holds about
+    SAMPLE rows of each of its languages, so it is bounded whatever the table; ties between machines are _decide's.
     """
-    from pyspark.ml.classification import LinearSVC
-
     families = FAMILIES if families is None else families
-    data = sample_features(learnable(docs, train), "lang").cache()
+    data = sample_features(learnable(docs, train), "lang")
     found = sorted(r["label"] for r in data.select("label").distinct().collect())  # one row a language
     groups: dict[str, list[str]] = {}
     for lang in found:
@@ -100,17 +131,37 @@ def train_machines(docs: DataFrame, train: Column, families: dict[str, str] | No
     model: dict = {"families": groups}
     pairs = [(f"family {a}", f"family {b}", groups[a], groups[b]) for a, b in combinations(sorted(groups), 2)]
     pairs += [(a, b, [a], [b]) for langs in groups.values() for a, b in combinations(langs, 2)]
-    for a, b, left, right in pairs:
-        rows = data.where(F.col("label").isin(left + right)).select("features", F.col("label").isin(right).cast("double").alias("label"))
-        machine = LinearSVC(maxIter=25, regParam=0.01, standardization=False).fit(rows)
-        model[a, b] = (machine.coefficients.toArray() * BUCKETS, machine.intercept)
+    parts: dict[str, list] = {lang: [] for lang in found}  # which pairs a language takes part in, and on which side
+    for k, (_, _, left, right) in enumerate(pairs):
+        for lang in left + right:
+            parts[lang].append((k, lang in right))
     if typical:
-        from pyspark.ml.stat import Summarizer
-
-        means = data.groupBy("label").agg(Summarizer.mean(F.col("features")).alias("m")).collect()  # one row a language
-        shares = {r["label"]: (r["m"].toArray() + 0.01) / (r["m"].toArray() + 0.01).sum() for r in means}
+        for k, lang in enumerate(found):
+            parts[lang].append((len(pairs) + k, True))
+    if not found:
+        return model | ({"typical": {}} if typical else {})
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["pair"].iloc[0])
+        rows = rows.sort_values(["y", "at", "share"])  # the same order whenever the task runs again
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, (at, share) in enumerate(zip(rows["at"], rows["share"], strict=True)):
+            x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(share, np.float32)
+        w, c = fit_machine(x, np.where(rows["y"], 1, -1)) if k < len(pairs) else (x.mean(axis=0, dtype=float), 0.0)
+        return pd.DataFrame({"pair": [k], "w": [w.tobytes()], "c": [c]})
+
+    of = F.create_map(*[x for lang, sides in parts.items() for x in (
+        F.lit(lang), F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(y).alias("y")) for k, y in sides]) if sides
+        else F.array().cast("array<struct<pair: int, y: boolean>>"))])
+    rows = data.withColumn("side", F.explode(F.element_at(of, F.col("label")))).select("side.pair", "side.y", "at", "share")
+    made = rows.groupBy("pair").applyInPandas(fit, "pair int, w binary, c double").collect()  # BUCKETS numbers a pair
+    weights = {r["pair"]: (np.frombuffer(r["w"]), r["c"]) for r in made}
+    for k, (a, b, _, _) in enumerate(pairs):
+        model[a, b] = (weights[k][0] * BUCKETS, weights[k][1])
+    if typical:
+        shares = {lang: (weights[len(pairs) + k][0] + 0.01) for k, lang in enumerate(found)}
+        shares = {lang: x / x.sum() for lang, x in shares.items()}
         model["typical"] = {lang: (np.log(x), float((x * np.log(x)).sum())) for lang, x in shares.items()}
-    data.unpersist()
     return model
 
 
@@ -146,6 +197,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made = ["lang_pred string", "score double"] + (["fit double"] if "typical" in model else [])
     kept = [c for c in docs.columns if c not in {m.split()[0] for m in made}]
+    extra = docs.schema["text"].dataType.simpleString() != "string"  # else the texts need not go to the workers twice
+    place = kept.index("text")
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -154,7 +207,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         typical = m.get("typical")
         machines = {k: v for k, v in m.items() if k not in ("families", "typical")}
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__text"))
+            text = batch.column(batch.num_columns - 1 if extra else place)
             lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             fit = np.zeros(batch.num_rows)
             if groups:
@@ -174,11 +227,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                             fit[a + own] = ((np.bincount(owner, log_share[grams], b - a) - mean * size) / (size + PRIOR_GRAMS))[own]
             letters = pc.fill_null(pc.match_substring_regex(text, LETTER), False).to_numpy(zero_copy_only=False)
             lang[~letters], score[~letters] = UNKNOWN, 0.0
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = batch.columns[: len(kept)]
             columns += [pa.array(lang, pa.string()), pa.array(score)] + ([pa.array(fit, mask=lang == UNKNOWN)] if typical is not None else [])
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *(x.split()[0] for x in made)])
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *(x.split()[0] for x in made)])
+        give_back()
 
-    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*kept, *([F.col("text").cast("string").alias("__text")] if extra else []))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + made)
     return rows.mapInArrow(guess, schema)
 

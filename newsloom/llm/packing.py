@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialize, number_rows, table
+from newsloom.llm.common import give_back, materialize, number_rows, table
 
 CAPACITY = 1024
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 #: Slots of packing patterns go to every task up to this number (40 bytes each); beyond it they are joined by blocks of
 #: 2^RANK_BLOCK ranks. There are a few thousand for each power of ten of the input, since lengths are at most `capacity`.
 BROADCAST_SLOTS, RANK_BLOCK = 200_000, 12
@@ -89,16 +89,6 @@ class TokenBytes:
             return self._pieces(first) + b"".join(map(cache.__getitem__, rest))
 
 
-_encoders: dict[str, TokenBytes] = {}
-
-
-def _encoder(path: str, ranks_path: str) -> TokenBytes:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = TokenBytes(path, ranks_path)
-    return _encoders[path]
-
-
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths) of each packing pattern: longest lengths first, each into the shortest open pattern; a new one is
     opened where even that has too little room. histogram: {length: count}, lengths from 1 to capacity; an empty one gives
@@ -161,7 +151,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, capacity: int =
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer, ranks)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode = TokenBytes(tokenizer, ranks)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -169,6 +160,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, capacity: int =
                 total = len(data) // 4
                 rows += [(doc_id, s, min(capacity, total - s), zlib.crc32(data[4 * s : 4 * (s + capacity)]), total) for s in range(0, total, capacity)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del encode
+        give_back()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = materialize(slim.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))

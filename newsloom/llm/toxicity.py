@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import fold, materialize, table
+from newsloom.llm.common import fold, give_back, materialize, table
 from newsloom.llm.words import chunks, text_buffer
 
 #: About so many labelled documents of each class are learnt from.
@@ -34,7 +33,7 @@ STEMS = (3, 4, 5, 6)
 #: A stem counts from such log odds on, and if its counts are so many nats likelier under its own share of toxic
 #: documents than under the sample's (about a million stems are tried, so chance gives 14 nats hardly ever).
 LEAST_ODDS, LEAST_EVIDENCE = 2.5, 14.0
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: What a written character can stand for besides itself; '' is a mere separator.
 LOOKALIKES = {
     "0": ("o",), "1": ("i", "l"), "2": ("z",), "3": ("e",), "4": ("a",), "5": ("s",), "6": ("g", "b"), "7": ("t",), "8": ("b",), "9": ("g",),
@@ -191,23 +190,11 @@ def stems(word: str) -> Iterator[str]:
             yield word[:n] + "-"
 
 
-_kept: dict[str, object] = {}  # of the worker, so that tasks share a cache
-
-
-def _once(name: str, make):
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = make()
-    return _kept[name]
-
-
 def stem_counts(labelled: DataFrame, channel) -> DataFrame:
     """stem, toxic, clean: in how many distinct texts of each label it occurs."""
 
-    name = uuid.uuid4().hex
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = _once(name, lambda: Channel(channel.value)).restore
+        restore = Channel(channel.value).restore
         made: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
@@ -326,10 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: Column, sample: int =
     weights = {r["stem"]: r["w"] for r in strong.collect()}
     shared = spark.sparkContext.broadcast((counts, weights))
 
-    name = uuid.uuid4().hex
-
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = _once(name, lambda: Lexicon(Channel(shared.value[0]), shared.value[1]))
+        lexicon = Lexicon(Channel(shared.value[0]), shared.value[1])
         for batch in batches:
             yield pd.DataFrame({"f": [list(lexicon.features(t)) for t in batch["text"]], "label": batch["toxic"].astype(float)})
 
@@ -345,21 +330,22 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-
-    name = uuid.uuid4().hex
+    extra = docs.schema["text"].dataType.simpleString() != "string"  # else the texts need not go to the workers twice
+    place = kept.index("text")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        lexicon = _once(name, lambda: Lexicon(Channel(m["counts"]), m["weights"]))
+        lexicon = Lexicon(Channel(m["counts"]), m["weights"])
         weights, intercept = m["logistic"]
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(batch.num_columns - 1 if extra else place)
             x = np.array([lexicon.features(text[i].as_py() or "") for i in range(batch.num_rows)]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(x @ weights + intercept, -50, 50)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+        del lexicon
+        give_back()
 
-    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*kept, *([F.col("text").cast("string").alias("__text")] if extra else []))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["score double", "predicted int"])
     return rows.mapInArrow(weigh, schema)
 

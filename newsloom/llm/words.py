@@ -22,7 +22,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.empty(0, _U), np.empty(0, _U)]
 SHINGLE = 5
-CHUNK_BYTES = 1 << 20
+#: Bytes of text worked on at once (tens of bytes of scratch arrays for each); a longer text is worked on by itself.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,13 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of both bases. Those for a chunk are kept by the worker; those for a longer text only while it is read."""
+    tables = _powers
     if len(_powers[0]) < n:
-        m = max(n, 1 << 16)
+        tables = _powers if n <= CHUNK_BYTES else [np.empty(0, _U), np.empty(0, _U)]
         for k, base in enumerate((_P, _P_INV)):
-            run = np.full(m, base, _U)
+            run = np.full(max(n, CHUNK_BYTES), base, _U)
             run[0] = 1
-            _powers[k] = np.cumprod(run)
-    return _powers
+            tables[k] = np.cumprod(run)
+    return tables
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

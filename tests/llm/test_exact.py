@@ -89,7 +89,7 @@ def test_jaccard_edges(spark):
 def test_jaccard_blocks_and_hot_shingles(spark):
     """Small blocks, buckets and bounds of hot shingles: groups are cut everywhere and lose no link."""
     texts = noisy_copies(random.Random(3), 6, 25)
-    found = jaccard_join.jaccard_components(docs_of(spark, texts), frequent=400, hot_shingle=9, block=600, entries=50).collect()
+    found = jaccard_join.jaccard_components(docs_of(spark, texts), frequent=400, hot_shingle=9, block=600, entries=50, most=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
 
 
@@ -105,7 +105,7 @@ def test_jaccard_two_large_groups(spark):
             for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
                 own[rng.randrange(len(own))] = "e%d" % rng.randrange(10**6)
             texts.append(" ".join(own))
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts), block=3000).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts), block=3000, most=1).collect()}
     want = brute_components(texts)
     assert found == want and len({c for _, c in want.values()}) > 4
 
@@ -134,7 +134,8 @@ def test_prefix_tree():
         sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), False), rng.integers(0, 200, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(25)]
         sets += [base, base[:1], sets[0], np.empty(0, np.uint64)]
         labels = np.arange(len(sets)) if trial % 2 else rng.integers(0, 6, len(sets))
-        got = jaccard_join.group_links(sets, labels, sets, labels, 75)
+        sizes = np.array([len(x) for x in sets])
+        got, _ = jaccard_join.walk_group(sets, sizes, labels, sets, sizes, labels, 75)
         root = {c: c for c in set(labels.tolist())}
 
         def find(c, root=root):
@@ -149,6 +150,12 @@ def test_prefix_tree():
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
                 assert not links(a, b) or find(labels[i]) == find(labels[j])
+        # over prefixes: every pair of different components that links is a candidate
+        cut = [x[: len(x) - -(-75 * len(x) // 100) + 1] if len(x) else x for x in sets]
+        pairs, more = jaccard_join.walk_group(cut, sizes, labels, cut, sizes, labels, 75, 10**6)
+        assert not more and {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if links(a, b) and labels[i] != labels[j]} <= set(pairs)
+        fewer, more = jaccard_join.walk_group(cut, sizes, labels, cut, sizes, labels, 75, 1)
+        assert set(fewer) <= set(pairs) and more == (len(fewer) < len(pairs))
 
 
 def test_shingle_sets_match_words():

@@ -123,10 +123,55 @@ def test_languages_odd(spark):
     assert [r.lang_pred for r in out[12:15]] == ["und"] * 3 and [r.score for r in out[12:15]] == [0.0] * 3
     assert out[15].lang_pred == "de" and {r.lang_pred for r in out[:6]} == {"de"} and {r.lang_pred for r in out[6:12]} == {"en"}
     assert language_id.predict(docs.limit(0), model).collect() == []
+    clash = docs.withColumn("__text", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    assert [r.lang_pred for r in language_id.predict(clash, model).orderBy("doc_id").collect()] == [r.lang_pred for r in out]
     nothing = language_id.train_machines(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_decision_against_votes():
+    """Most one-versus-one wins, then the larger sum of probabilities; the score is the winner's mean probability."""
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(200):
+        names = list("abcd")[: rng.randint(1, 4)]
+        margin = {(x, y): np.array([rng.choice([-1.0, -0.2, 0.0, 0.3, 1.5])]) for i, x in enumerate(names) for y in names[i + 1 :]}
+        best, score = language_id._decide(margin, names, "", 1)
+        votes = {}
+        for n in names:
+            wins, chance = 0, 0.0
+            for (x, y), m in margin.items():
+                p = 1 / (1 + math.exp(-4 * m[0]))
+                if n in (x, y):
+                    wins += (m[0] > 0) == (n == y)
+                    chance += p if n == y else 1 - p
+            votes[n] = (wins, chance)
+        top = max(votes.values())
+        assert votes[names[best[0]]] == pytest.approx(top)
+        assert score[0] == pytest.approx(top[1] / (len(names) - 1) if len(names) > 1 else 1.0)
+
+
+def test_machine_reaches_the_optimum():
+    """The dual solution's loss is near the best that plain subgradient descent finds."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 12)) + 1
+    x -= x.mean(axis=0)
+    y = np.where(x[:, 0] + rng.normal(size=80) > 0.3, 1, -1)
+    constant = np.sqrt((x**2).sum(axis=1).mean())
+    loss = lambda w, c: 0.005 * (w @ w + (c / constant) ** 2) + np.maximum(0, 1 - y * (x @ w + c)).mean()
+    w, c = language_id.fit_machine(x.astype(np.float32), y, passes=3000)
+    other, wide = np.zeros(13), np.hstack([x, np.full((80, 1), constant)])
+    best = 1e9
+    for step in range(1, 20_000):
+        best = min(best, loss(other[:12], other[12] * constant))
+        active = y * (wide @ other) < 1
+        other -= (0.01 * other - (y[active, None] * wide[active]).sum(axis=0) / 80) / (20 + step) ** 0.6
+    assert loss(w, c) <= best * 1.01
+
+
 # --- toxicity ---
 
 
