@@ -1,9 +1,14 @@
 """Exact top-k inner-product search by dual-tree traversal of cover trees.
 
 Vectors are dealt to blocks by a hash of their id, queries to query blocks; every pair of blocks meets in one task
-(queries against all rows, in blocks). There both sides are indexed in cover trees whose nodes keep a centre and a
-covering radius. A node pair is pruned when its bound <q, c> + |q| Rc + |c| Rq + Rq Rc is below the worst kth score of
-the query group so far; what remains is scored exactly, and the blocks' best are merged by a window.
+(queries against all rows, in blocks). There both sides are indexed in cover trees. A pair of nodes is pruned when its
+bound <q, c> + |q| Rc + |c| Rq + Rq Rc, with the nodes' points q, c and covering radii Rq, Rc, is below the worst kth
+score of the query group so far; what remains is scored exactly, and the blocks' best are merged by a window. All query
+blocks meet the first data block first; its kth scores are the bounds that every other meeting starts with.
+
+Cover tree: a node is a point that covers its rows within 2^level. Its children are points of the node on the level
+below, itself among them (nesting), each more than 2^(level - 1) apart (separation), and every row lies within that
+distance of its child (covering). Levels on which nothing parts are left out.
 """
 
 from __future__ import annotations
@@ -16,114 +21,144 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialize, table
+from newsloom.llm.common import give_back, materialize, table
 
 TOP = 20
 BLOCK_ROWS = 32_768
 QUERY_BLOCK_ROWS = 8_192
 LEAF = 256
-FAN_OUT = 16
+#: A node is not split where children would hold fewer rows on average, as far as so many of its rows tell.
+FEWEST, PROBED = 8, 256
 
 
 @dataclass
 class Node:
     rows: np.ndarray
-    centre: np.ndarray
-    radius: float
+    point: np.ndarray
+    level: int
+    radius: float  #: the distance to the farthest row, 2^level at most
     children: list[Node] = field(default_factory=list)
 
 
+def _away(points: np.ndarray, rows: np.ndarray, row: int) -> np.ndarray:
+    return np.sqrt(((points[rows] - points[row]) ** 2).sum(axis=1))
+
+
 def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
-    """Children's centres are points of the node, taken farthest first until half the covering radius is reached or the
-    fan-out is; radii are the true distances to the farthest point covered."""
-    own = points[rows]
-    centre = own.mean(axis=0)
-    radius = float(np.sqrt(((own - centre) ** 2).sum(axis=1).max()))
-    node = Node(rows, centre, radius)
-    if len(rows) <= leaf or radius == 0:
-        return node
-    near = ((own - own[0]) ** 2).sum(axis=1)
-    to = np.zeros(len(rows), np.int64)
-    count = 1
-    while count < FAN_OUT and near.max() > (radius / 2) ** 2:
-        gap = ((own - own[near.argmax()]) ** 2).sum(axis=1)
-        to[gap < near] = count
-        near = np.minimum(near, gap)
-        count += 1
-    if count == 1:
-        return node
-    node.children = [cover_tree(points, rows[to == c], leaf) for c in range(count) if (to == c).any()]
-    return node
+    """The cover tree of points[rows] (one row at least), whose leaves hold `leaf` rows at most, or more where these are
+    equal or too far apart for the next level to gather them."""
+
+    def node(own: np.ndarray, row: int, away: np.ndarray) -> Node:
+        radius = float(away.max())
+        return Node(own, points[row], math.ceil(math.log2(radius)) if radius > 0 else -1075, radius)
+
+    root = node(rows, int(rows[0]), _away(points, rows, int(rows[0])))
+    todo = [(root, int(rows[0]))]
+    while todo:
+        at, row = todo.pop()
+        if len(at.rows) <= leaf or at.radius == 0:
+            continue
+        reach = 2.0 ** (at.level - 1)
+        some = points[at.rows[:: max(1, len(at.rows) // PROBED)]]
+        gaps = (some**2).sum(axis=1)
+        close = (gaps[:, None] + gaps[None, :] - 2 * some @ some.T <= reach**2).mean()
+        if close * len(at.rows) < FEWEST:
+            continue
+        # farthest first, so that every new child is more than `reach` from all others
+        near, to, heads = _away(points, at.rows, row), np.zeros(len(at.rows), np.int64), [row]
+        while near.max() > reach:
+            heads.append(int(at.rows[near.argmax()]))
+            away = _away(points, at.rows, heads[-1])
+            to[away < near] = len(heads) - 1
+            near = np.minimum(near, away)
+        by = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[by], np.arange(len(heads) + 1))
+        for k, head in enumerate(heads):
+            inside = by[cuts[k] : cuts[k + 1]]
+            at.children.append(node(at.rows[inside], head, near[inside]))
+            todo.append((at.children[-1], head))
+    return root
 
 
 class _Search:
-    """Best k of each query over the blocks seen, as one sortable integer: score, then smaller id."""
-
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
-        order = np.argsort(ids, kind="stable")
-        self.points, self.ids = points[order], ids[order]
-        self.queries, self.query_ids, self.k = queries, query_ids, k
-        self.best = np.full((len(queries), k), np.iinfo(np.int64).min)
-        self.bits = max(1, int(len(ids)).bit_length())
+    """Best k of each query over the points seen: by score, then smaller id. floors: scores below which nothing counts."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None):
+        self.points, self.ids, self.queries, self.query_ids, self.k = points, ids, queries, query_ids, k
+        lowest = -np.inf if queries.dtype.kind == "f" else np.iinfo(np.int64).min
+        self.lowest = np.array(lowest, queries.dtype)
+        self.floors = np.full(len(queries), self.lowest) if floors is None else floors
+        self.best = np.full((len(queries), k), self.lowest)  # descending
+        self.best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.pruned = self.scored = 0
 
-    def worst(self, rows: np.ndarray) -> int:
-        low = self.best[rows, 0].min()
-        return low >> self.bits if low != np.iinfo(np.int64).min else low
-
-    def run(self, q: Node, c: Node) -> None:
-        cross = float(q.centre @ c.centre)
-        bound = cross + np.linalg.norm(q.centre) * c.radius + np.linalg.norm(c.centre) * q.radius + q.radius * c.radius
-        if bound + 1e-6 * (abs(bound) + 1) < self.worst(q.rows):
-            self.pruned += 1
-            return
-        if q.children and (not c.children or q.radius >= c.radius):
-            for child in q.children:
-                self.run(child, c)
-        elif c.children:
-            for child in sorted(c.children, key=lambda n: -float(q.centre @ n.centre) - np.linalg.norm(q.centre) * n.radius):
-                self.run(q, child)
-        else:
-            for i in range(0, len(c.rows), 4096):  # equal vectors can make a large leaf
-                self.score(q.rows, c.rows[i : i + 4096])
+    def run(self, queries: Node, data: Node) -> None:
+        todo = [(queries, data)]
+        while todo:
+            q, c = todo.pop()
+            bound = self.bound(q, c)
+            if bound + 1e-6 * (abs(bound) + 1) < float(np.maximum(self.best[q.rows, -1], self.floors[q.rows]).min()):
+                self.pruned += 1
+            elif q.children and (not c.children or q.radius >= c.radius):
+                todo += [(child, c) for child in q.children]
+            elif c.children:
+                todo += [(q, child) for child in sorted(c.children, key=lambda n: self.bound(q, n))]  # the most promising comes next
+            else:
+                for i in range(0, len(c.rows), 4096):  # far apart or equal vectors can make a large leaf
+                    for j in range(0, len(q.rows), 1024):
+                        self.score(q.rows[j : j + 1024], c.rows[i : i + 4096])
+
+    @staticmethod
+    def bound(q: Node, c: Node) -> float:
+        return float(
+            np.dot(q.point.astype(float), c.point.astype(float)) + np.linalg.norm(q.point.astype(float)) * c.radius
+            + np.linalg.norm(c.point.astype(float)) * q.radius + q.radius * c.radius)
 
     def score(self, q: np.ndarray, c: np.ndarray) -> None:
         self.scored += 1
-        scores = np.rint(self.queries[q] @ self.points[c].T).astype(np.int64)
-        keys = (scores << self.bits) | (len(self.ids) - 1 - c)
-        keys[self.query_ids[q][:, None] == self.ids[c][None, :]] = np.iinfo(np.int64).min
-        better = (keys.max(axis=1) > self.best[q, 0]).nonzero()[0]
+        scores = self.queries[q] @ self.points[c].T
+        scores[self.query_ids[q][:, None] == self.ids[c][None, :]] = self.lowest
+        scores[scores < self.floors[q][:, None]] = self.lowest
+        # a row that only ties with the worst can still have the smaller id
+        better = (scores.max(axis=1) >= self.best[q, -1]).nonzero()[0]
         if len(better):
+            own = scores[better]
+            if own.shape[1] > 2 * self.k:  # what is below the kth of these alone cannot count
+                kth = np.partition(own, own.shape[1] - self.k, axis=1)[:, -self.k]
+                some = (own >= np.maximum(kth, self.best[q[better], -1])[:, None]).any(axis=0)
+                own, c = own[:, some], c[some]
             rows = q[better]
-            both = np.concatenate([self.best[rows], keys[better]], axis=1)
-            self.best[rows] = np.sort(np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :], axis=1)
+            both = np.concatenate([self.best[rows], own], axis=1)
+            ids = np.concatenate([self.best_ids[rows], np.broadcast_to(self.ids[c], own.shape)], axis=1)
+            order = np.lexsort((ids, -both if both.dtype.kind == "f" else ~both), axis=1)[:, : self.k]
+            self.best[rows], self.best_ids[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
 
     def result(self) -> pd.DataFrame:
-        at, col = (self.best != np.iinfo(np.int64).min).nonzero()
-        key = self.best[at, col]
-        return pd.DataFrame({
-            "query_id": self.query_ids[at], "vec_id": self.ids[len(self.ids) - 1 - (key & ((1 << self.bits) - 1))], "score": key >> self.bits})
+        at, col = (self.best != self.lowest).nonzero()
+        return pd.DataFrame({"query_id": self.query_ids[at], "vec_id": self.best_ids[at, col], "score": self.best[at, col].astype(np.int64)})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """vectors and queries: vec_id, v (array of whole numbers). query_id, rank, vec_id, score of each query's k best.
 
     A row whose vec_id is the query's is the query itself and no candidate. Shorter vectors count as padded with zeros.
-    Products must stay below 2^53. Queries without candidates and empty tables give no rows; repeated rows of one
-    vec_id are candidates each, and a repeated query is answered once.
+    Squared lengths must be below 2^62, else an error is raised (below 2^53 scores are doubles, which hold them exactly,
+    beyond that 64-bit integers). Queries without candidates and empty tables give no rows; ties go to the smaller vec_id;
+    repeated rows of one vec_id are candidates each; of a query with several vectors the least one (as an array) is asked.
     """
-    vectors = materialize(vectors)
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    dim = size["dim"] or 1
-    queries = materialize(queries.dropDuplicates(["vec_id"]))
-    n_blocks, n_query_blocks = max(1, math.ceil(size["n"] / block_rows)), max(1, math.ceil(queries.count() / query_rows))
+    vectors = materialize(vectors.select("vec_id", "v"))
+    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    queries = materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    size = vectors.select("v").unionByName(queries.select("v")).agg(F.max(F.size("v")).alias("dim"), F.max(squared).alias("squared")).first()
+    if (size["squared"] or 0) >= 2.0**62:
+        raise ValueError("inner products may leave 64 bits")
+    dim, kind = size["dim"] or 1, np.float64 if (size["squared"] or 0) < 2.0**53 else np.int64
+    n_blocks, n_query_blocks = max(1, math.ceil(vectors.count() / block_rows)), max(1, math.ceil(queries.count() / query_rows))
     spread = lambda df, salt, n: df.withColumn(salt, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = spread(vectors, "cb", n_blocks).withColumn("qb", every(n_query_blocks))
-    asked = spread(queries, "qb", n_query_blocks).withColumn("cb", every(n_blocks))
+    data, asked = spread(vectors, "cb", n_blocks), spread(queries, "qb", n_query_blocks)
 
     def matrix(column: pd.Series) -> np.ndarray:
-        out = np.zeros((len(column), dim))
+        out = np.zeros((len(column), dim), kind)
         for i, v in enumerate(column):
             out[i, : len(v)] = v
         return out
@@ -131,11 +166,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        search = _Search(matrix(left["v"]), left["vec_id"].to_numpy(), matrix(right["v"]), right["vec_id"].to_numpy(), k)
+        low = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+        floors = np.array([low if x is None or x != x else x for x in left["floor"].tolist()], kind)
+        search = _Search(matrix(left["v"]), left["vec_id"].to_numpy(), matrix(right["v"]), right["vec_id"].to_numpy(), k, floors)
         search.run(cover_tree(search.queries, np.arange(len(left)), 64), cover_tree(search.points, np.arange(len(right))))
-        return search.result()
+        out = search.result()
+        give_back()
+        return out
 
-    found = asked.groupBy("cb", "qb").cogroup(data.groupBy("cb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    def meetings(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """The best of every query in the data blocks from first to before last."""
+        every = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+        left = asked.withColumn("cb", every(first, last))
+        right = data.where(F.col("cb").between(first, last - 1)).withColumn("qb", every(0, n_query_blocks))
+        return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
+
+    found = meetings(asked.withColumn("floor", F.lit(None).cast("long")), 0, 1)
+    if n_blocks > 1:
+        found = materialize(found)
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        found = found.unionByName(meetings(asked.join(floors, "vec_id", "left"), 1, n_blocks))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

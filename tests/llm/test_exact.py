@@ -339,11 +339,44 @@ def test_top_k_prunes_and_ties(spark):
     for q in range(0, len(points), 20):
         order = sorted((i for i in range(len(points)) if i != q), key=lambda i: (-scores[q, i], i))[:20]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, scores[q, i]) for i in order]
+    shifted = frame.select("vec_id", F.transform("v", lambda x: x * 1_000_000).alias("v"))  # scores beyond 2^53
+    far = {(r.query_id, r["rank"]): (r.vec_id, r.score // 1_000_000**2) for r in topk_search.top_k(shifted, shifted.where("vec_id % 20 = 0"), 20, 1000, 60).collect()}
+    assert max(abs(int(scores.max()) * 1_000_000**2), 0) > 2**53 and far == {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
+    with pytest.raises(ValueError):
+        topk_search.top_k(shifted.select("vec_id", F.transform("v", lambda x: x * 100).alias("v")), frame)
     search = topk_search._Search(by_id[::20].astype(float), np.arange(0, len(points), 20), by_id.astype(float), np.arange(len(points)), 20)
     search.run(topk_search.cover_tree(search.queries, np.arange(len(search.queries)), 16), topk_search.cover_tree(search.points, np.arange(len(points)), 64))
     assert search.pruned > 0
 
 
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(6)
+    for scale, n in ((1, 40), (8, 700), (300, 1500)):
+        points = np.concatenate([rng.normal(size=(n, 3)) * scale, rng.normal(size=(n // 4, 3)) * 0.1, np.ones((20, 3))]).round(2)
+        root = topk_search.cover_tree(points, np.arange(len(points)), 10)
+        todo, seen = [root], 0
+        while todo:
+            node = todo.pop()
+            away = np.sqrt(((points[node.rows] - node.point) ** 2).sum(axis=1))
+            assert away.max() == pytest.approx(node.radius) and node.radius <= 2.0**node.level
+            if node.children:
+                heads = np.array([c.point for c in node.children])
+                gaps = np.sqrt(((heads[:, None] - heads[None]) ** 2).sum(axis=2)) + np.eye(len(heads)) * 1e9
+                assert gaps.min() > 2.0 ** (node.level - 1) and (heads[0] == node.point).all()
+                assert all(c.radius <= 2.0 ** (node.level - 1) and c.level < node.level for c in node.children)
+                assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+                todo += node.children
+            else:
+                seen += len(node.rows)
+        assert seen == len(points) and root.children
+
+
+def test_top_k_repeated_query(spark):
+    frame = spark.createDataFrame([(0, [3, 1]), (0, [1, 3]), (1, [1, 0]), (2, [0, 1])], "vec_id long, v array<long>")
+    got = topk_search.top_k(frame, frame.where("vec_id = 0"), 1).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 3)]  # [1, 3] is the least
+
+
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5], 1), (1, None, 1), (2, [nan, 1.0], 1), (3, [inf, 0.0], 1), (4, [None, 1.0], 1), (5, [-0.01, 0.999], 1), (5, [-0.01, 0.999], 2), (None, [1.0, 1.0], 3)]
