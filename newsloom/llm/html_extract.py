@@ -1,9 +1,10 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes, then hierarchical decoding.
 
-Each page's markup becomes a tree of block elements; every node gets features of its tag, its attribute tokens, its
-subtree (text, tags, links, paragraphs), its depth, its siblings and its ancestors. Boosted trees (Spark ML) give each
-node the probability that it holds main text. Decoding picks the most probable set of nodes that is closed upwards: a
-node can only be kept if its parent is, so an ancestor's and a descendant's choice never contradict each other.
+Each page's markup becomes a tree of block elements, of inline elements with a class or an id, and of text that stands
+directly beside blocks; every node gets features of its tag, its attribute tokens, its subtree (text, tags, links,
+paragraphs), its depth, its siblings and its ancestors. Boosted trees (Spark ML) give each node the probability that it
+holds main text. Decoding picks the most probable set of nodes that is closed upwards: a node can only be kept if its
+parent is, so an ancestor's and a descendant's choice never contradict each other.
 
 The trees are trained on pages that a generator composes from random layouts with known roles (TRAINING_PAGES).
 """
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import table
 
-TRAINING_PAGES = 300
-TREES, TREE_DEPTH = 12, 5
+TRAINING_PAGES = 700
+TREES, TREE_DEPTH = 20, 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+_MARKED = re.compile(r"(?<![a-zA-Z_:-])(?:class|id)\s*+=", re.I)
+_HUGE = re.compile(r"&#0*+[0-9]{8,};?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist textarea button".split())
 _RAW = frozenset("script style title textarea iframe noscript".split())
@@ -50,7 +53,10 @@ _GROUPS = {
 }
 _GROUP_OF = {w: k for k, words in enumerate(_GROUPS.values()) for w in words.split()}
 _TAGS = (("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("div", "section"), ("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",),
-         ("form", "fieldset"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tr", "td", "th", "tbody"), ("blockquote", "pre", "figure", "figcaption"))
+         ("form", "fieldset"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "tr", "td", "th", "tbody"), ("blockquote", "pre", "figure", "figcaption"),
+         ("#text",), ("a",), tuple(sorted(_INLINE - {"a"})))
+#: Where text beside blocks becomes a node of its own.
+_CONTAINERS = frozenset("body div section main article center form aside header footer nav td".split())
 _TAG_OF = {t: k for k, tags in enumerate(_TAGS) for t in tags}
 
 
@@ -70,94 +76,185 @@ class Node:
     roles: set = field(default_factory=set)  #: of training text
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The tree of block elements and, in page order, (node, text) of each block. Unclosed and stray tags are mended as
-    browsers do for the common cases; nothing inside scripts, styles, comments or form fields is text."""
+def _markup(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """(begin, end, name, attributes) of each tag; name begins with '/' for end tags and is empty for comments and
+    declarations. Every character is looked at a bounded number of times: a tag ends at the next '>' outside quotes, a
+    quote that is never closed is a plain character, and markup that never ends takes the rest of the page."""
+    at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    part = re.compile(r"[^>\"']*+")
+    while (begin := page.find("<", at)) >= 0:
+        m = _NAME.match(page, begin + 1)
+        if not m:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else n
+            elif page[begin + 1 : begin + 2] in ("!", "?", "/") and begin + 1 < n:
+                end = page.find(">", begin + 1)
+                at = end + 1 if end >= 0 else n
+            else:  # a plain '<'
+                at = begin + 1
+                continue
+            yield begin, at, "", ""
+            continue
+        k = m.end()
+        while True:
+            k = part.match(page, k).end()
+            if k == n or page[k] == ">":
+                break
+            k = page.find(page[k], k + 1) + 1 if k < last[page[k]] else k + 1
+        at = min(n, k + 1)
+        yield begin, at, m[0].lower(), page[m.end() : k]
+
+
+def _plain(text: str) -> str:
+    """Character references decoded, white space turned into single spaces."""
+    if "&" in text:
+        text = html.unescape(_HUGE.sub("\ufffd", text))
+    return " ".join(text.split())
+
+
+def parse(page: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
+    """The tree and, in page order, the blocks: (node, raw text) of each piece of a block. Unclosed and stray tags are
+    mended as browsers do for the common cases; nothing inside scripts, styles, comments or form fields is text. Takes
+    time in proportion to the page, whatever it holds."""
     nodes = [Node("body", "", -1, 0, 0)]
-    blocks: list[tuple[int, str]] = []
-    stack, open_tags, run = [0], ["body"], []
-    links = at = 0
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(run)).split())
+    blocks: list[list[tuple[int, str]]] = []
+    open_: list[tuple[str, int]] = [("body", 0)]  # elements and the node they write to
+    bases = [0]  # where in open_ the blocks are
+    places: dict[str, list[int]] = {"body": [0]}  # of each name in open_
+    run: list[tuple[int, str]] = []
+    fresh: list[int] = []  # inline nodes of the run that hang from its block
+    parents: set[int] = set()  # blocks that hold blocks
+    never: set[str] = set()  # elements without text that are not closed any more
+    at = skip = 0
+
+    def add(tag: str, attributes: str, up: int) -> int:
+        nodes.append(Node(tag, attributes, up, nodes[up].depth + 1, len(nodes[up].children)))
+        nodes[up].children.append(len(nodes) - 1)
+        return len(nodes) - 1
+
+    def flush(by_block: bool = False) -> None:
+        owner = open_[bases[-1]][1]
+        if any(t.strip() for _, t in run):
+            if owner == 0 or nodes[owner].tag in _CONTAINERS and (by_block or owner in parents):
+                if fresh:
+                    del nodes[owner].children[-len(fresh) :]
+                text = add("#text", "", owner)
+                for k, i in enumerate(fresh):
+                    nodes[i].parent, nodes[i].depth, nodes[i].place = text, nodes[text].depth + 1, k
+                nodes[text].children.extend(fresh)
+                run[:] = [(text if i == owner else i, t) for i, t in run]
+            for i, t in run:
+                t = _plain(t)
+                nodes[i].chars += len(t)
+                nodes[i].stops += sum(map(t.count, ".!?"))
+            blocks.append(run.copy())
         run.clear()
-        if text:
-            node = stack[-1]
-            blocks.append((node, text))
-            nodes[node].chars += len(text)
-            nodes[node].stops += sum(map(text.count, ".!?"))
+        fresh.clear()
 
     def close(to: int) -> None:
-        flush()
-        del stack[to:], open_tags[to:]
-
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            run.append(text)
-            if links:
-                nodes[stack[-1]].link_chars += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        for tag, _ in open_[to:]:
+            places[tag].pop()
+        del open_[to:]
+        while bases[-1] >= to:
+            bases.pop()
+
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(open_))
+        open_.append((tag, node))
+
+    for begin, end, name, attributes in _markup(page):
+        if begin < skip:
+            continue
+        if begin > at:
+            text, node = page[at:begin], open_[-1][1]
+            run.append((node, text))
+            if places.get("a"):
+                nodes[node].link_chars += len(text.strip())
+        at = end
+        if not name:
             continue
-        if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag not in _INLINE and tag in open_tags[1:]:
-                close(len(open_tags) - 1 - open_tags[::-1].index(tag))
-                links = 0
-            elif tag not in _INLINE:
+        if name[0] == "/":
+            tag = name[1:]
+            where = places.get(tag)
+            if tag in _INLINE:
+                if where and where[-1] > bases[-1]:
+                    close(where[-1])
+            else:
                 flush()
+                if where and where[-1]:
+                    close(where[-1])
             continue
-        nodes[stack[-1]].tags += 1
+        tag = name
+        nodes[open_[-1][1]].tags += 1
         if tag == "br":
-            run.append(" ")
+            run.append((open_[-1][1], " "))
         elif tag in _RAW or tag in _UNSEEN:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else (len(page) if tag in _RAW else at)
-            run.append(" ")
-        elif tag == "a":
-            links += 1
+            if not attributes.endswith("/") and tag not in never:
+                over = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
+                if not over:
+                    never.add(tag)
+                at = skip = over.end() if over else (len(page) if tag in _RAW else at)
+            run.append((open_[-1][1], " "))
         elif tag in ("html", "body"):
-            nodes[0].attributes += m[3]
+            nodes[0].attributes += attributes
         elif tag in _VOID:
             flush() if tag == "hr" else None
-        elif tag not in _INLINE:
-            flush()
-            links = 0
-            if tag in _CLOSES_P and open_tags[-1] == "p":
-                close(len(stack) - 1)
-            elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and tag in open_tags:
-                last = len(open_tags) - 1 - open_tags[::-1].index(tag)
-                if not {"ul", "ol", "table", "dl"} & set(open_tags[last + 1 :]):
-                    close(last)
-            up = stack[-1]
-            nodes.append(Node(tag, m[3], up, nodes[up].depth + 1, len(nodes[up].children)))
-            nodes[up].children.append(len(nodes) - 1)
-            if not m[3].endswith("/"):
-                stack.append(len(nodes) - 1)
-                open_tags.append(tag)
+        elif tag in _INLINE:
+            if tag == "a" and places.get("a") and places["a"][-1] > bases[-1]:
+                close(places["a"][-1])
+            node = open_[-1][1]
+            if _MARKED.search(attributes):
+                up, node = node, add(tag, attributes, node)
+                if up == open_[bases[-1]][1]:
+                    fresh.append(node)
+            if not attributes.endswith("/"):
+                push(tag, node)
+        else:
+            flush(True)
+            block = open_[bases[-1]][0]
+            if tag in _CLOSES_P and block == "p":
+                close(bases[-1])
+            elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and places.get(tag):
+                if not any(places.get(t) and places[t][-1] > places[tag][-1] for t in ("ul", "ol", "table", "dl")):
+                    close(places[tag][-1])
+            up = open_[-1][1]
+            parents.add(open_[bases[-1]][1])
+            node = add(tag, attributes, up)
+            if not attributes.endswith("/"):
+                bases.append(len(open_))
+                push(tag, node)
+    if at < len(page):
+        run.append((open_[-1][1], page[at:]))
     flush()
     return nodes, blocks
 
 
+def _top_down(nodes: list[Node]) -> list[int]:
+    """Every node after its parent."""
+    order = [0]
+    for i in order:
+        order.extend(nodes[i].children)
+    return order
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """One row for each node; subtree sums are filled in from the leaves up."""
-    for i in range(len(nodes) - 1, 0, -1):
+    order = _top_down(nodes)
+    for i in reversed(order[1:]):
         node, up = nodes[i], nodes[nodes[i].parent]
         node.paragraphs += node.tag == "p"
-        for name in ("chars", "link_chars", "tags", "stops", "paragraphs"):
-            setattr(up, name, getattr(up, name) + getattr(node, name))
+        up.chars += node.chars
+        up.link_chars += node.link_chars
+        up.tags += node.tags
+        up.stops += node.stops
+        up.paragraphs += node.paragraphs
     page = max(1, nodes[0].chars)
     out = np.zeros((len(nodes), 2 * len(_GROUPS) + 2 * (len(_TAGS) + 1) + 14))
     g, t = len(_GROUPS), len(_TAGS) + 1
-    for i, node in enumerate(nodes):
-        row = out[i]
+    for i in order:
+        node, row = nodes[i], out[i]
         for m in _ATTRIBUTE.finditer(node.attributes):
             if m[1].lower() in ("class", "id", "role", "itemprop"):
                 for word in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()):
@@ -234,7 +331,12 @@ def training_page(rng: random.Random) -> str:
             if rng.random() < 0.15:
                 body = f"<b>{body}" + rng.choice(["</b>", "<br>"])
             elif rng.random() < 0.2:
-                body += f' <a href="/x">{words("main", 3)}</a>'
+                body += f' <a {rng.choice(["", "class=link "])}href="/x">{words("main", 3)}</a>'
+            elif rng.random() < 0.15:
+                body += " " + tag(rng.choice(["span", "em", "small"]), rng.choice(["term", "hl", "date", "name", "lead"]), words("main", rng.randint(1, 6))) + " " + words("main", 5)
+            elif rng.random() < 0.2:
+                label = rng.choice(["advert", "ad-label", "sponsored", "notice", "share", "promo", "newsletter", "comment-count", "social"])
+                body += " " + tag(rng.choice(["span", "small", "a"]), label, words("x", rng.randint(1, 8))) + " " + (words("main", 6) if rng.random() < 0.7 else "")
             return tag("p", "", body)
         if kind < 0.85:
             return tag(rng.choice(["h2", "h3"]), "", words("main", 4))
@@ -243,8 +345,9 @@ def training_page(rng: random.Random) -> str:
         return "<ul>" + "".join(tag("li", "", words("main", rng.randint(2, 20))) for _ in range(rng.randint(2, 5))) + "</ul>"
 
     inner = tag("h1", "", words("main", rng.randint(2, 10))) if rng.random() < 0.8 else ""
+    loose = rng.random() < 0.12  # main text without paragraphs, between breaks
     for _ in range(rng.choice([1, 2, 5, 10, 20])):
-        inner += paragraph()
+        inner += words("main", rng.choice([10, 40, 80])) + rng.choice(["<br>", "<br><br>", ""]) if loose and rng.random() < 0.7 else paragraph()
         if rng.random() < 0.06:
             inner += boilerplate(rng.choice(["ad", "share", "side", "notice"]))
     name, label = rng.choice(_MAIN[0]), rng.choice(_MAIN[1])
@@ -254,6 +357,10 @@ def training_page(rng: random.Random) -> str:
     before = [boilerplate(r) for r in ("header", "nav", "ad", "notice", "form", "side") if rng.random() < 0.5]
     after = [boilerplate(r) for r in ("comments", "side", "share", "ad", "form", "footer") if rng.random() < 0.5]
     rng.shuffle(before)
+    if rng.random() < 0.25:  # stray text and links straight in the body
+        before.insert(rng.choice([0, len(before)]), rng.choice([f"<a href='#c'>{words('x', 3)}</a>", words("x", 2), f"<a class='skip' href='#'>{words('x', 3)}</a> {words('x', 2)}"]))
+    if rng.random() < 0.2:
+        after.insert(rng.choice([0, len(after)]), rng.choice([words("x", rng.randint(1, 8)), f"<a href='/t'>{words('x', 3)}</a> | <a href='/u'>{words('x', 2)}</a>"]))
     page = "".join(before) + main + "".join(after)
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
 
@@ -265,8 +372,8 @@ def training_rows(pages: int = TRAINING_PAGES, seed: int = 7) -> tuple[np.ndarra
     for _ in range(pages):
         nodes, blocks = parse(training_page(rng))
         main = np.zeros(len(nodes))
-        for node, text in blocks:
-            while text[0] == "m" and node >= 0:
+        for node, text in (piece for block in blocks for piece in block):
+            while text.lstrip()[:1] == "m" and node >= 0 and not main[node]:
                 main[node] = 1
                 node = nodes[node].parent
         xs.append(features(nodes)[1:])
@@ -332,12 +439,13 @@ class Forest:
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     """The most probable set of kept nodes that is closed upwards; the root is always kept."""
     gain = odds.copy()  # of keeping a node and the best of its subtree, over dropping all of it
-    for i in range(len(nodes) - 1, 0, -1):
+    order = _top_down(nodes)
+    for i in reversed(order[1:]):
         if gain[i] > 0:
             gain[nodes[i].parent] += gain[i] if nodes[i].parent else 0
     keep = np.zeros(len(nodes), bool)
     keep[0] = True
-    for i in range(1, len(nodes)):
+    for i in order[1:]:
         keep[i] = keep[nodes[i].parent] and gain[i] > 0
     return keep
 
@@ -345,8 +453,9 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages: kept blocks in page order, joined by two newlines.
 
-    Null or empty html, and pages without main text, give an empty text. A page without any block element is one block
-    of the body, which is kept. Repeated rows are extracted each; other columns are ignored.
+    Null or empty html, and pages without main text, give an empty text. Text straight in the body, beside blocks or
+    without any, is a node like others. Repeated rows are extracted each; other columns are ignored; an empty table gives
+    no rows.
     """
     spark = pages.sparkSession
     model = spark.sparkContext.broadcast(model_of(spark))
@@ -362,7 +471,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 for nodes, blocks in parsed:
                     keep = decode(nodes, odds[at : at + len(nodes)])
                     at += len(nodes)
-                    texts.append("\n\n".join(t for n, t in blocks if keep[n]))
+                    texts.append("\n\n".join(t for block in blocks if (t := _plain("".join(x if keep[n] else " " for n, x in block)))))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
