@@ -185,6 +185,24 @@ def test_contained_items(spark, limit):
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in true} and kept.columns == docs_of(spark, docs).columns
 
 
+def test_sketches_make_the_candidates():
+    """Every contained item is a candidate; documents too small for a size class do not probe it; few others are met."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 5, 9, 30, 31, 100, 400)]
+    rows = [(i, h, len(s), int(np.log2(len(s))), k < len(s) - -(-750_000 * len(s) // 1_000_000) + 1) for i, s in enumerate(sets) for k, h in enumerate(s.view(np.int64))]
+    sketches = decontaminate.Sketches(*(np.array(c) for c in zip(*rows, strict=True)), 0.75)
+    met = true = 0
+    for _ in range(300):
+        parts = [rng.choice(s, int(np.ceil(len(s) * rng.choice([0.1, 0.7, 0.75, 0.8, 1.0]))), False) for s in sets if rng.random() < 0.4]
+        own = np.unique(np.concatenate([*parts, rng.integers(0, 2**63, rng.integers(1, 50)).astype(np.uint64)]))
+        want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, own)) >= 75 * len(s)}
+        candidates = set(sketches.candidates(own).tolist())
+        assert want <= candidates and {i for i, _, _ in sketches.contained(own)} == want
+        assert all(len(own) >= 0.75 * 2 ** int(np.log2(len(sets[i]))) for i in candidates)
+        met, true = met + len(candidates), true + len(want)
+    assert true <= met <= 2.5 * true
+
+
 def test_decontaminate_empty(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained_items(docs_of(spark, ["a b c"]), nothing).collect() == []
