@@ -36,8 +36,12 @@ BROADCAST_IDS = 1_000_000
 
 def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """left_semi or left_anti join with a column of ids, without a shuffle of df where the ids are counted to be few."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, column, how)
+    return df.join(small(ids), column, how)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of a few ids or numbers a row, marked for broadcast where it is counted to have BROADCAST_IDS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def most_frequent(df: DataFrame, key: str, count: str, limit: int) -> tuple[DataFrame, bool]:

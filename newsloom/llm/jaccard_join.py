@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import BROADCAST_IDS, give_back, join_ids, materialize, most_frequent, table
+from newsloom.llm.common import give_back, join_ids, materialize, most_frequent, small, table
 from newsloom.llm.words import mix, shingle_sets
 
 PERCENT = 75
@@ -47,7 +47,9 @@ BUCKET_ENTRIES = 1 << 18
 #: Shingles of one task's probes or tree, about (8 bytes each); larger groups are cut into blocks that meet each other.
 BLOCK_SHINGLES = 2_000_000
 #: Candidates that a probe gives in the first round of a group; sixteen times as many in each next one, while any has more.
-MOST = 32
+MOST = 256
+#: Edges that one task contracts, about.
+TASK_EDGES = 500_000
 #: Cells of a task's table of probes by shingles.
 CELLS = 1 << 22
 #: Rows of a group's members go to every task up to this number (about 100 bytes each); beyond it the join shuffles.
@@ -315,18 +317,17 @@ def _enough(percent: int):
     return (F.col("c") + F.greatest(beyond("n1"), beyond("n"))) * (100 + percent) >= (F.col("n1") + F.col("n")) * percent
 
 
-def walk_groups(probes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int, most: int | None = None) -> DataFrame:
-    """walk_group over every group: a, b (doc_id of the probe and of the set) and more (whether the probe's group has more).
+def walk_groups(probes: DataFrame, members: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """walk_group over every group: a, b (doc_id of the probe and of the set), n1, n (their sizes), grp, more (whether the
+    group has more).
 
-    probes, members: grp, doc_id, n (shingles), root (the component); sets: doc_id, size (of the whole set), set (ordered,
-    packed; whole, or with `most` a prefix). The sides of a large group are cut into blocks of about `block` shingles by
-    hashes of their documents, and every block of probes meets every block of members. A doc_id with several sets has
+    probes, members: grp, doc_id, root (the component); blocks: grp, pb, mb for groups that are cut into so many blocks of
+    probes and of members by hashes of their documents, every block of probes meeting every block of members; sets:
+    doc_id, size (of the whole set), set (ordered, packed; whole, or with `most` a prefix). A doc_id with several sets has
     them all on either side. Empty inputs give no rows.
     """
     spark = sets.sparkSession
-    large = probes.groupBy("grp").agg(F.ceil(F.sum("n") / block).alias("pb")).join(
-        members.groupBy("grp").agg(F.ceil(F.sum("n") / block).alias("mb")), "grp").where("pb > 1 OR mb > 1")
-    large = F.broadcast(materialize(large))  # no more rows than all groups have blocks
+    large = F.broadcast(blocks)  # no more rows than all groups have blocks
     at = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.coalesce(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)).cast("int") - 1))
     probes = probes.join(large, "grp", "left").select(
@@ -341,7 +342,7 @@ def walk_groups(probes: DataFrame, members: DataFrame, sets: DataFrame, percent:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])  # (set, size, root, doc_id) of either side
         now = None
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int, int, int, int, bool]] = []
 
         def finish() -> None:
             if held[0] and held[1]:
@@ -349,14 +350,14 @@ def walk_groups(probes: DataFrame, members: DataFrame, sets: DataFrame, percent:
                 sizes = [np.array([r[1] for r in side]) for side in held]
                 cut = len(held[0])
                 pairs, more = walk_group([r[0] for r in held[0]], sizes[0], label[:cut], [r[0] for r in held[1]], sizes[1], label[cut:], percent, most)
-                out.extend((held[0][i][3], held[1][j][3], more) for i, j in pairs)
+                out.extend((held[0][i][3], held[1][j][3], held[0][i][1], held[1][j][1], now[0], more) for i, j in pairs)
             for side in held:
                 side.clear()
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+            columns = [pa.array([r[k] for r in out], pa.int64() if k < 5 else pa.bool_()) for k in range(6)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "n1", "n", "grp", "more"])
 
         for batch in batches:
             own, size, grp, i, j, side, root, doc = (c.to_pylist() for c in batch.columns)
@@ -371,16 +372,47 @@ def walk_groups(probes: DataFrame, members: DataFrame, sets: DataFrame, percent:
         yield flush()
         give_back()
 
-    return dealt.select("set", "size", "grp", "i", "j", "side", "root", "doc_id").mapInArrow(walk, "a long, b long, more boolean")
+    return dealt.select("set", "size", "grp", "i", "j", "side", "root", "doc_id").mapInArrow(
+        walk, "a long, b long, n1 long, n long, grp long, more boolean")
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node reachable from each, where that is another."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, least = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, least[x], low)
+        np.minimum.at(least, least[y], low)
+        while (jumped := least[least]).tolist() != least.tolist():
+            least = jumped
+        apart = least[x] != least[y]
+        x, y = x[apart], y[apart]
+    other = least != np.arange(len(nodes))
+    return nodes[other], nodes[least[other]]
+
+
+def components(edges: DataFrame, rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
+    """edges: a, b. node, root: the least node reachable, for every node of an edge that is not itself the root.
+
+    Each task first contracts the edges it holds, `task_edges` about, to stars; where one task holds all, that is all.
+    Else large-star and small-star steps alternate until the forest is made of stars; each round costs two shuffles of
+    the remaining edges. Raises where `rounds` (about the square of the logarithm of the longest path) do not suffice.
+    Edges with a null and loops are left out.
+    """
 
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+        if held:
+            a, b = _stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: a, b. node, root: the least node reachable, for every node of an edge. Alternates the large-star and
-    small-star steps until the forest is made of stars; each round costs two shuffles of the remaining edges. Raises
-    where `rounds` (about the square of the logarithm of the longest path) do not suffice; edges with a null and loops
-    are left out."""
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     both = materialize(both)
+    tasks = max(1, -(-both.count() // task_edges))
+    both = materialize(both.coalesce(tasks).mapInArrow(contract, "a long, b long"))
+    if tasks == 1:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
     last = None
     for _ in range(rounds):
         wide = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -434,9 +466,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int =
         """pairs: a, b, n1, n (sizes). Links among them, as many as join all that they join; one probe a group."""
         ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
         sets = materialize(join_ids(heads, ids, "doc_id", "left_semi").mapInArrow(ordered_sets, "doc_id long, size long, set binary"))
-        probes = pairs.groupBy(F.col("a").alias("grp")).agg(F.max("n1").alias("n")).select("grp", F.col("grp").alias("doc_id"), "n", F.col("grp").alias("root"))
-        others = pairs.select(F.col("a").alias("grp"), F.col("b").alias("doc_id"), "n", F.col("b").alias("root"))
-        return walk_groups(probes, others, sets, percent, block).select("a", "b")
+        others = pairs.select(F.col("a").alias("grp"), F.col("b").alias("doc_id"), F.col("b").alias("root"))
+        group = materialize(pairs.groupBy(F.col("a").alias("grp")).agg(F.ceil(F.sum("n") / block).alias("mb")))
+        probes = group.select("grp", F.col("grp").alias("doc_id"), F.col("grp").alias("root"))
+        return walk_groups(probes, others, group.where("mb > 1").select("grp", F.lit(1).alias("pb"), "mb"), sets, percent).select("a", "b")
 
     # every group's first document against the others; what is left out here comes again below
     near = shared.where("doc_id <> first").where(_may_link(percent)).groupBy("first", "doc_id", "n1", "n").agg(F.count("*").alias("c")).where(_enough(percent))
@@ -445,18 +478,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int =
     same = member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     roots = materialize(components(verified(near).unionByName(same)))
 
+    only = None
     while True:
-        found, more = _candidates(shared, roots, percent, block, most)
+        found = _candidates(shared, roots, only, percent, block, most)
         if found.isEmpty():
             break
-        new = components(verified(found).join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-            roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").select(
+        pairs = materialize(found.groupBy("a", "b").agg(F.max("n1").alias("n1"), F.max("n").alias("n")))
+        of = lambda c: small(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")))
+        new = components(verified(pairs).join(of("a"), "a", "left").join(of("b"), "b", "left").select(
             F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
         outer = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = materialize(
-            roots.join(outer, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            .unionByName(new.join(roots.select("node"), "node", "left_anti")))
-        if not more:
+            roots.join(small(outer), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            .unionByName(new.join(small(roots.select("node")), "node", "left_anti")))
+        only = materialize(found.where("more").select("grp").distinct())
+        if only.isEmpty():
             break
         most *= 16
     # a copy has its head's component; a document of several sets is in the one component of their heads
@@ -465,26 +501,32 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, frequent: int =
     return digests.join(by_head, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _candidates(shared: DataFrame, roots: DataFrame, percent: int, block: int, most: int) -> tuple[DataFrame, bool]:
+def _candidates(shared: DataFrame, roots: DataFrame, only: DataFrame | None, percent: int, block: int, most: int) -> DataFrame:
     """a, b, n1, n: documents of different components that may link by the prefix shingles they share, `most` for each probe
-    of a group; and whether any probe has more.
+    of a group; grp, more: whether the group has more. Of the groups in `only`, where that is given.
 
     At the first shingle that two linking sets share, the smaller one still has all the overlap needed before it, so it
     has the shingle among its first n - ceil(2 t n / (1 + t)) + 1; and the larger one is no smaller.
     """
-    at = shared.select("k", "doc_id", "pos", "n", "first").join(roots, shared["doc_id"] == roots["node"], "left").select(
+    if only is not None:
+        docs = shared.join(small(only.select(F.col("grp").alias("first"))), "first", "left_semi").select("doc_id").distinct()
+        shared = join_ids(shared, materialize(docs), "doc_id", "left_semi")
+    at = shared.select("k", "doc_id", "pos", "n", "first").join(small(roots.select(F.col("node").alias("doc_id"), "root")), "doc_id", "left").select(
         "k", "doc_id", "n", F.col("first").alias("grp"), F.coalesce("root", "doc_id").alias("root"),
         (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).alias("early"))
     smallest = F.min(F.when(F.col("early"), F.col("n"))).alias("smallest")
     mixed = materialize(at.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), smallest).where("lo <> hi").select("k", "smallest"))
-    few = mixed.count() <= BROADCAST_IDS
-    at = materialize(at.join(F.broadcast(mixed) if few else mixed, "k"))
-    group = at.where("smallest IS NOT NULL AND (early OR n >= smallest)").groupBy("grp", "doc_id", "root").agg(F.max("n").alias("n"))
-    several = group.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-    group = materialize(join_ids(group, materialize(several), "grp", "left_semi"))
-    largest = materialize(group.groupBy("grp", "root").agg(F.count("*").alias("w")).groupBy("grp").agg(F.max_by("root", F.struct("w", "root")).alias("largest")))
-    few = largest.count() <= BROADCAST_IDS
-    rest = group.join(F.broadcast(largest) if few else largest, "grp").where("root <> largest").drop("largest")
+    at = materialize(at.join(small(mixed), "k"))
+    group = at.where("smallest IS NOT NULL AND (early OR n >= smallest)")
+    group = materialize(group.groupBy("grp", "doc_id", "root").agg(F.max("n").alias("n")))
+    sizes = group.groupBy("grp", "root").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).groupBy("grp").agg(
+        F.max_by(F.struct("root", "n"), F.struct("docs", "root")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    if only is not None:
+        sizes = sizes.join(small(only), "grp", "left_semi")
+    # all but the largest component of each group against all
+    sizes = materialize(sizes.where("roots > 1").select(
+        "grp", F.col("largest.root").alias("largest"), F.ceil((F.col("n") - F.col("largest.n")) / block).alias("pb"), F.ceil(F.col("n") / block).alias("mb")))
+    group = materialize(group.join(small(sizes.select("grp", "largest")), "grp").drop("n"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -495,11 +537,7 @@ def _candidates(shared: DataFrame, roots: DataFrame, percent: int, block: int, m
     own = join_ids(at, materialize(group.select("doc_id").distinct()), "doc_id", "left_semi")
     prefixes = own.groupBy("doc_id", F.col("n").cast("long").alias("size")).agg(F.collect_set("k").alias("keys")).mapInArrow(
         pack, "doc_id long, size long, set binary")
-    found = materialize(walk_groups(rest, group, prefixes, percent, block, most))
-    n = group.groupBy("doc_id").agg(F.max("n").alias("n"))
-    pairs = found.select("a", "b").distinct().join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("n1")), "a").join(
-        n.select(F.col("doc_id").alias("b"), "n"), "b")
-    return materialize(pairs), not found.where("more").isEmpty()
+    return materialize(walk_groups(group.where("root <> largest"), group, sizes.where("mb > 1").drop("largest"), prefixes, percent, most))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

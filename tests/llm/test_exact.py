@@ -119,11 +119,21 @@ def test_jaccard_repeated_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5), (6, 5), (6, 5)]
 
 
-def test_components_raise(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    assert {r.root for r in jaccard_join.components(chain).collect()} == {0}
+def test_components(spark):
+    """One task or several, a long path or random edges: the least node of each component."""
+    rng = np.random.default_rng(2)
+    for a, b in ((np.arange(60), np.arange(60) + 1), (rng.integers(0, 300, 200), rng.integers(0, 300, 200))):
+        least = {n: n for n in {*a.tolist(), *b.tolist()}}
+        for _ in range(60):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").repartition(8)
+        for task_edges in (10**6, 30):
+            found = {r.node: r.root for r in jaccard_join.components(edges, task_edges=task_edges).collect()}
+            assert found == {n: r for n, r in least.items() if n != r}
     with pytest.raises(RuntimeError):
-        jaccard_join.components(chain, 2)
+        jaccard_join.components(edges, 1, 30)
+    assert jaccard_join.components(edges.limit(0)).collect() == []
 
 
 def test_prefix_tree():
