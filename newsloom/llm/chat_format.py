@@ -1,8 +1,9 @@
 """Chat formatting over reply trees.
 
-Iterative self-joins double each message's known chain of ancestors until every chain reaches a root, so a tree of
-depth d takes log2(d) joins of message ids (texts stay behind). Leaves name the root-to-leaf paths; paths are ranked
-within their tree by total score; each chosen path becomes one conversation in a template with a loss mask.
+Iterative self-joins double the distance of each message's known ancestor until no chain is longer, so a tree of depth d
+takes log2(d) joins of message ids (texts stay behind). From the leaves up, the same distances in falling order then
+enumerate every message of every root-to-leaf path, one row each. Paths are ranked within their tree by total score;
+each chosen path becomes one conversation in a template with a loss mask.
 """
 
 from __future__ import annotations
@@ -40,35 +41,40 @@ def unescape_role(role: Column) -> Column:
     return out
 
 
-def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
-    """nodes: tree, msg, parent, score, with (tree, msg) unique. Gives tree, leaf, path_score, path: message ids from the root.
+def path_steps(nodes: DataFrame) -> DataFrame:
+    """nodes: tree, msg, parent, with (tree, msg) unique. Gives tree, leaf, msg, up: a row for every message of every
+    root-to-leaf path, with its distance from the leaf.
 
-    A parent that is null or missing from the tree makes its message a root. Messages on a cycle of parents hang from
-    no root and are in no path.
+    A parent that is null or missing from the tree makes its message a root. Messages that hang from a cycle of parents
+    have no root and are in no path. An empty table gives no rows.
     """
-    known = nodes.select("tree", F.col("msg").alias("parent"))
-    # `up` is the nearest ancestor not yet in `chain`; chain ends with the message itself
-    linked = nodes.join(known.withColumn("found", F.lit(True)), ["tree", "parent"], "left")
-    state = materialize(linked.select(
-        "tree", "msg", F.when(F.col("found"), F.col("parent")).alias("up"),
-        F.array("msg").alias("chain"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
-    inner = state.where("up IS NOT NULL").select("tree", F.col("up").alias("msg")).distinct()
-    leaves = materialize(state.select("tree", "msg").join(inner, ["tree", "msg"], "left_anti"))
-    pending = state.where("up IS NOT NULL").count()
-    for _ in range(MAX_ROUNDS):
-        if not pending:
-            break
-        above = state.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("chain").alias("chain2"), F.col("total").alias("total2"))
-        waiting = state.where("up IS NOT NULL").join(above, ["tree", "up"])
-        grown = waiting.select(
-            "tree", "msg", F.col("up2").alias("up"), F.concat("chain2", "chain").alias("chain"), (F.col("total") + F.col("total2")).alias("total"))
-        state = materialize(state.where("up IS NULL").unionByName(grown))
-        left = state.where("up IS NOT NULL").count()
-        if left == pending:  # only cycles remain
+    ids = materialize(nodes.select("tree", "msg", "parent"))
+    known = ids.select("tree", F.col("msg").alias("parent"))
+    # jumps[k]: msg and its ancestor 2^k above, for messages that have one
+    jumps = [materialize(ids.join(known, ["tree", "parent"]).select("tree", "msg", F.col("parent").alias("to")))]
+    leaves = ids.select("tree", "msg").join(jumps[0].select("tree", F.col("to").alias("msg")).distinct(), ["tree", "msg"], "left_anti")
+    pending = jumps[0].count()
+    while pending and len(jumps) < MAX_ROUNDS:
+        above = jumps[-1].select("tree", F.col("msg").alias("to"), F.col("to").alias("further"))
+        longer = materialize(jumps[-1].join(above, ["tree", "to"]).select("tree", "msg", F.col("further").alias("to")))
+        left = longer.count()
+        if left == pending:  # every chain that is left ends in a cycle: else the longest would have got shorter
+            leaves = leaves.join(longer.select("tree", "msg"), ["tree", "msg"], "left_anti")
             break
+        jumps.append(longer)
         pending = left
-    return state.where("up IS NULL").join(leaves, ["tree", "msg"]).select(
-        "tree", F.col("msg").alias("leaf"), F.col("total").alias("path_score"), F.col("chain").alias("path"))
+    steps = materialize(leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).alias("up")))
+    for k in reversed(range(len(jumps))):
+        higher = steps.join(jumps[k], ["tree", "msg"]).select("tree", "leaf", F.col("to").alias("msg"), (F.col("up") + (1 << k)).alias("up"))
+        steps = materialize(steps.unionByName(higher))
+    return steps
+
+
+def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
+    """nodes: tree, msg, parent, score. Gives tree, leaf, path_score, path: message ids from the root (see path_steps)."""
+    scored = path_steps(nodes).join(nodes.select("tree", "msg", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), ["tree", "msg"])
+    path = F.transform(F.sort_array(F.collect_list(F.struct("up", "msg")), asc=False), lambda s: s["msg"])
+    return scored.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"), path.alias("path"))
 
 
 def format_paths(messages: DataFrame, paths_per_tree: int | None = None) -> DataFrame:
@@ -78,12 +84,13 @@ def format_paths(messages: DataFrame, paths_per_tree: int | None = None) -> Data
 
     Null role or text counts as empty; null score as 0. paths_per_tree None keeps every path.
     """
-    nodes = messages.select("tree", "msg", "parent", "score")
-    paths = root_to_leaf_paths(nodes)
+    steps = path_steps(messages)
+    scores = messages.select("tree", "msg", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    paths = steps.join(scores, ["tree", "msg"]).groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
     ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if paths_per_tree is not None:
         ranked = ranked.where(F.col("rank") <= paths_per_tree)
-    steps = ranked.select("tree", "leaf", "rank", F.posexplode("path").alias("pos", "msg"))
+    steps = steps.join(ranked.select("tree", "leaf", "rank"), ["tree", "leaf"]).withColumn("pos", -F.col("up"))
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     parts = messages.select(
         "tree", "msg", (role == "assistant").alias("own"), F.length(escape_role(role)).alias("role_len"), escape_text(text).alias("body"),

@@ -9,18 +9,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder if there are no
+    other machines (tests); else an error, since executors would write to their own disks."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found or 'file:///tmp/checkpoints'}/newsloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all that materialize has written in this application. What was made from it cannot be read any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -267,7 +267,9 @@ def _runs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequent_grams: int = FREQUENT_GRAMS,
                     frequent_words: int = FREQUENT_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs.
+
+    score is the model's log10 probability of the text and its end mark; bits_per_byte the code length over these bytes.
 
     held_out (never null) tells the rows whose texts are not learnt. Null text counts as empty: no words, one end token.
     With nothing learnt every bit has probability 1/2. Repeated rows are scored each; other columns are ignored.
@@ -292,6 +294,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
         for batch in batches:
             n = batch.num_rows
             tokens, known, base, own = (np.zeros(n) for _ in range(4))
+            size = np.diff(text_buffer(batch.column(0))[1]) + 1
             rare: dict[str, list[np.ndarray]] = {"w": [], "wn": [], "g": [], "gn": []}
             cuts = {"w": np.zeros(n + 1, np.int64), "g": np.zeros(n + 1, np.int64)}
 
@@ -318,14 +321,14 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
             lists = {k: pa.ListArray.from_arrays(pa.array(np.cumsum(cuts[k[0]]).astype(np.int32)), join(v)) for k, v in rare.items()}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(n)), batch.column(1), batch.column(2), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)),
-                 pa.array(base - tokens * per_token), pa.array(own / math.log(10)), *lists.values()],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", *lists])
+                 pa.array(base - tokens * per_token), pa.array(own / math.log(10)), pa.array(size), *lists.values()],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bytes", *lists])
             row += n
         give_back()
 
     slim = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))
     parts = materialize(slim.mapInArrow(
-        score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+        score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bytes long, "
         "w array<long>, wn array<long>, g array<long>, gn array<long>"))
     out = parts.drop("w", "wn", "g", "gn")
     each = lambda k: parts.select("row", F.explode(F.arrays_zip(k, k + "n")).alias("r")).select("row", F.col(f"r.{k}").alias("key"), F.col(f"r.{k}n").alias("times"))
@@ -343,7 +346,8 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
     plus = lambda a, b, kind: (F.col(a) + F.coalesce(b, F.lit(0))).cast(kind)
     return out.select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "more_known", "long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        plus("base", "more_base", "double").alias("base_score"), plus("score", "more_score", "double").alias("score"))
+        plus("base", "more_base", "double").alias("base_score"), plus("score", "more_score", "double").alias("score"),
+        (plus("score", "more_score", "double") * (-math.log2(10)) / F.col("bytes")).alias("bits_per_byte"))
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

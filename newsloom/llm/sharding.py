@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import materialize, number_rows, table
+from newsloom.llm.common import materialize, number_rows, small, table
 
 SHARDS = 24
+#: Equal texts of such a part of a shard at most stay together.
+WHOLE = 32
 _DIGITS = ((48, 0x7FFF), (32, 0xFFFF), (16, 0xFFFF), (0, 0xFFFF))
 
 
@@ -72,29 +74,37 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) for every row of docs.
 
     Size is the text's UTF-8 bytes plus 8 (null text: 8). The dimensions are log size, language, source and doc_id;
-    a null language or source is a value of its own, a null doc_id counts as the least. Rows that repeat a doc_id
-    share their tie-breaking bits and so, with equal metadata, their shard. An empty table gives no rows; other
-    columns are ignored.
+    a null language or source is a value of its own, a null doc_id counts as the least. Equal texts (null and empty are
+    equal) stay in one shard where they take no more bytes than the largest row or a WHOLE-th of a shard: they all have the
+    place of their first row. Larger groups, which would make shards unequal, part by doc_id. Rows that repeat a doc_id
+    and a text share a shard. An empty table gives no rows; other columns are ignored.
     """
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("words"),
         *[(F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")) / F.lit(2.0**32)).alias(c) for c in ("lang", "source")],
     )
     slim = materialize(slim)
     ends = slim.agg(
-        F.count("*").alias("rows"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("size").alias("s")).first()
+        F.count("*").alias("rows"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("size").alias("s"), F.sum("size").alias("w")).first()
     rows = ends["rows"]
+    whole = max(ends["s"] or 0, (ends["w"] or 0) // shards // WHOLE)
+    groups = slim.groupBy("words", "text_crc32", "size").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "lang", "source")).alias("first"))
+    groups = materialize(groups.where((F.col("c") > 1) & (F.col("c") * F.col("size") <= whole)).drop("c"))
+    at = slim.join(small(groups), ["words", "text_crc32", "size"], "left")
+    own = lambda c: F.when(F.col("first").isNotNull(), F.col(f"first.{c}")).otherwise(F.col(c)).alias(f"p_{c}")
+    at = materialize(at.select("doc_id", "size", "text_crc32", "words", own("doc_id"), own("lang"), own("source")))
     lit = lambda x: F.lit(float(x or 0))
     dims = {
         "k_size": (F.log(F.col("size").cast("double")), lit(2.0794415), F.log(F.lit(float(max(ends["s"] or 9, 9))))),
-        "k_lang": (F.col("lang"), lit(0), lit(1)),
-        "k_source": (F.col("source"), lit(0), lit(1)),
-        "k_id": (F.col("doc_id").cast("double"), lit(ends["a"]), lit(ends["b"])),
+        "k_lang": (F.col("p_lang"), lit(0), lit(1)),
+        "k_source": (F.col("p_source"), lit(0), lit(1)),
+        "k_id": (F.col("p_doc_id").cast("double"), lit(ends["a"]), lit(ends["b"])),
     }
-    keys = {a: dimension_key(v, lo, hi, F.xxhash64("doc_id", F.lit(a))) for a, (v, lo, hi) in dims.items()}
-    keyed = slim.withColumns(keys)
+    keys = {a: dimension_key(v, lo, hi, F.xxhash64("words", "p_doc_id", F.lit(a))) for a, (v, lo, hi) in dims.items()}
+    keyed = at.withColumns(keys)
     placed = kd_split(keyed, list(keys), "size", shards, "shard").select("doc_id", "size", "text_crc32", "shard")
     return number_rows(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",

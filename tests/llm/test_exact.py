@@ -226,6 +226,9 @@ def test_reply_trees(spark):
     messages = spark.createDataFrame(rows, "tree long, msg long, parent long, role string, text string, score double")
     paths = {(r.tree, r.leaf): r.path for r in chat_format.root_to_leaf_paths(messages).collect()}
     assert paths == {(1, 4): [1, 2, 4], (1, 3): [1, 3], (2, 3): [3], (3, 8): [8]}
+    chain = spark.createDataFrame([(7, i, i - 1 if i else None, 1.0) for i in range(37)], "tree long, msg long, parent long, score double")
+    assert [(r.leaf, r.path, r.path_score) for r in chat_format.root_to_leaf_paths(chain).collect()] == [(36, list(range(37)), 37.0)]
+    assert chat_format.path_steps(chain.limit(0)).collect() == []
     out = {(r.tree, r.rank): r for r in chat_format.read_back(chat_format.format_paths(messages)).collect()}
     assert out[1, 1].leaf == 3 and out[1, 2].leaf == 4
     assert [tuple(t) for t in out[1, 2].turns] == [("user", "hi"), ("assistant", "a<|im_end|>\n"), ("user", "")]
@@ -279,6 +282,24 @@ def test_sharding_against_recursion(spark):
     assert got == want
 
 
+def test_sharding_keeps_equal_texts(spark):
+    """Groups that fit a shard's slack stay whole, whatever their ids, languages and sources; a hot text fills several."""
+    rng = random.Random(5)
+    texts = ["t%d " % i * rng.randint(20, 60) for i in range(400)]
+    texts += [t for t in texts[:60] for _ in range(rng.randint(1, 2))] + ["", None, ""] + ["the hot text " * 10] * 400
+    docs = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de")).withColumn("source", (F.col("doc_id") % 5).cast("string"))
+    rows = sharding.shard_documents(docs).collect()
+    at, size = {}, {}
+    for r in rows:
+        at.setdefault(r.text_crc32, set()).add(r.shard)
+        size.setdefault(r.text_crc32, []).append(r["size"])
+    whole = max(max(x) for x in size.values())
+    assert all(len(at[c]) == 1 for c in at if sum(size[c]) <= whole) and sum(len(x) > 1 for x in size.values()) > 30
+    assert len(at[zlib.crc32(b"the hot text " * 10)]) > 4
+    sizes = [sum(r["size"] for r in rows if r.shard == k) for k in range(24)]
+    assert max(sizes) - min(sizes) <= 5 * whole
+
+
 def test_sharding_empty(spark):
     assert sharding.shard_documents(docs_of(spark, [])).collect() == []
     assert [(r["size"], r.slot) for r in sharding.shard_documents(docs_of(spark, [None], [None])).collect()] == [(8, 0)]

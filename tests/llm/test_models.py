@@ -97,6 +97,7 @@ def test_context_trees(spark, frequent):
         assert row.n_known == sum(w in words for w in own)
         assert row.base_score == pytest.approx(sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
         assert row.score == pytest.approx(score, rel=1e-9)
+        assert row.bits_per_byte == pytest.approx(-score * math.log2(10) / (len((texts[i] or "").encode()) + 1), rel=1e-9)
 
 
 def test_context_trees_odd(spark):
@@ -184,6 +185,31 @@ def test_channel_restores(spark):
     assert "idiot" in toxicity.tokens("you i d i o t there")
 
 
+def test_channel_against_all_paths():
+    """Viterbi finds the most probable of all restorations of short tokens; segments likewise, with boundaries anywhere."""
+    import itertools
+    import re
+
+    import numpy as np
+
+    rng = random.Random(6)
+    counts = np.random.default_rng(1).integers(0, 30, toxicity.SIZE**3) ** 2
+    channel = toxicity.Channel(counts)
+    k = toxicity._CODE
+
+    def probability(word):
+        line = [0, 0, *(k[c] for c in word), 0]
+        return sum(channel.lm[a][b][c] for a, b, c in zip(line, line[1:], line[2:]))
+
+    for _ in range(60):
+        token = "".join(rng.choices("abi10$@!-*", k=rng.randint(1, 6)))
+        options = [channel.options(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", token)]
+        best = max(sum(c for _, c in path) + probability("".join(x for x, _ in path)) for path in itertools.product(*options))
+        made = channel.decode(token)
+        reach = max(sum(c for _, c in path) for path in itertools.product(*options) if "".join(x for x, _ in path) == made)
+        assert reach + probability(made) == pytest.approx(best)
+
+
 def test_trigram_counts(spark):
     counts = toxicity.trigram_counts(spark.createDataFrame([("Ab é",), (None,), ("",)], "text string")).reshape([toxicity.SIZE] * 3)
     a, b, e = toxicity._CODE["a"], toxicity._CODE["b"], toxicity._CODE["é"]
