@@ -17,9 +17,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found or 'file:///tmp/checkpoints'}/newsloom-{spark.sparkContext.applicationId}"
 
 
+#: Bytes of one Arrow batch between Spark and its Python workers, about. Texts are long: by default a batch may take 64 MB,
+#: which both sides hold several times for every task that runs.
+BATCH_BYTES, DEFAULT_BYTES = 4 << 20, f"{64 << 20}b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes for an Arrow batch from the default to BATCH_BYTES; another setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == DEFAULT_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and outlives a lost executor."""
+    """Write df once to the shared folder and read it back: cuts the lineage and outlives a lost executor. Bounds the
+    session's Arrow batches (bound_batches)."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -32,6 +46,8 @@ def drop_tables(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's folder. Bounds the session's Arrow batches (bound_batches)."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ TOP = 2
 #: joined with the full tables.
 FREQUENT_GRAMS = 1_500_000
 FREQUENT_WORDS = 500_000
-GATHER = 4_000_000
+GATHER = 3_000_000
 END = 0xFF
 
 
@@ -330,6 +330,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, frequ
     parts = materialize(slim.mapInArrow(
         score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bytes long, "
         "w array<long>, wn array<long>, g array<long>, gn array<long>"))
+    model.destroy()
     out = parts.drop("w", "wn", "g", "gn")
     each = lambda k: parts.select("row", F.explode(F.arrays_zip(k, k + "n")).alias("r")).select("row", F.col(f"r.{k}").alias("key"), F.col(f"r.{k}n").alias("times"))
     if not all_words:  # the counts of other words
