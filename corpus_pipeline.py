@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, jaccard_join, language_id, packing, toxicity
-from newsloom.llm.common import fold, join_ids, materialize, table
+from newsloom.llm.common import fold, join_ids, materialize, number_rows, table
 
 
 #: A text may fit its language so many times worse than the worst labelled text that was not learnt from.
@@ -40,13 +40,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays; rows with a null doc_id stay."""
-    found = materialize(jaccard_join.jaccard_components(docs))
-    kept = join_ids(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """Of each component of linked documents the one with the smallest doc_id stays; rows with a null doc_id stay. Rows that
+    repeat a doc_id are documents of their own here, later than all others, so one of equal rows stays and other texts do."""
+    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    if not repeated.isEmpty():
+        rows = materialize(join_ids(docs, repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__all", F.lit(0)))
+        after = docs.agg(F.max("doc_id")).first()[0] + 1
+        numbered = number_rows(rows, "__all", docs.columns, "__key", rows.count()).withColumn("__key", F.col("__key") + after).drop("__all")
+        keyed = materialize(join_ids(keyed, repeated, "doc_id", "left_anti").select(*keyed.columns).unionByName(numbered))
+    found = materialize(jaccard_join.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")))
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")))
+    return join_ids(keyed, gone, "__key", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
