@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import alerts, classify, events, feeds, maintenance, search
+from newsloom.operators import alerts, classify, events, extractors, feeds, maintenance, search
 from newsloom.sources import domain
 
 
@@ -49,24 +49,31 @@ def test_mojibake(spark):
 
 
 def test_extractors(spark):
-    people = lambda x, common=None: value(spark, classify.extract_persons(F.col("x"), common), x=x)
-    assert people("Ieri Donald J. Trump ha parlato") == ["Ieri Donald J. Trump"] or people("Ieri Donald J. Trump", ["Ieri"]) == ["Donald J. Trump"]
-    assert people("Anche Mario Rossi Disse", ["Anche", "Disse"]) == ["Mario Rossi"]
-    assert people("JD Vance arriva") == ["JD Vance"]
-    assert people("DI Mario") == []
-    assert value(spark, classify.extract_popes(F.col("x")), x="visita di Papa Giovanni Paolo II a Roma") == ["Papa Giovanni Paolo II"]
-    assert value(spark, classify.extract_alphanumeric_brands(F.col("x")), x="La BMW e la IBM con 7Up DEL") == ["BMW", "IBM", "7Up"]
-    assert value(spark, classify.extract_single_brands(F.col("x")), x="Comprate le Adidas, Nuova no. Forse") == ["Adidas", "Nuova"]
-    assert value(spark, classify.extract_models(F.col("x"), ["Alfa", "Alfa Romeo", "Sony"]), x="la Alfa Romeo 33 Stradale e Sony WH-1000XM5") == ["Alfa Romeo 33 Stradale", "Sony WH-1000XM5"]
+    people = lambda x, *common: value(spark, extractors.extract_persons(F.col("x"), common), x=x)
+    assert people("il regista Carlo B. Neri parla") == ["Carlo B. Neri"]
+    assert people("Domani Lucia Ferri Spiega tutto", "Domani", "Spiega") == ["Lucia Ferri"]
+    assert people("Domani Lucia", "Domani") == [] and people(None) == []
+    assert people("TG Regione apre; poi AC Torino, Piero Gatti e Piero Gatti") == ["TG Regione", "AC Torino", "Piero Gatti"]
+    assert people("NEL Paese Grande") == [] and people("Anna I. Bruni canta") == []
+    assert people("Uno Due Tre") == [] and people("Silvia,Marta Bianchi") == ["Marta Bianchi"]
+    assert value(spark, extractors.extract_popes(F.col("x")), x="ieri Papa Clemente VIII e Papa Leo; Papa re") == ["Papa Clemente VIII", "Papa Leo"]
+    assert value(spark, extractors.extract_alphanumeric_brands(F.col("x")), x="Una KTM, poi 3Com e G7 PER la a4 del DEL") == ["KTM", "3Com", "G7"]
+    assert value(spark, extractors.extract_single_brands(F.col("x"), ("Forse",)), x="Compro Barilla: Mulino, Forse. Sempre") == ["Barilla", "Mulino"]
+    found = lambda x, *brands: value(spark, extractors.extract_models(F.col("x"), brands, ("Oggi",)), x=x)
+    assert found("una lancia Delta HF4 Turbo rossa, poi Lancia Thema", "Lancia", "Lancia Delta") == ["lancia Delta HF4 Turbo", "Lancia Thema"]
+    assert found("Apple iPhone 15 e Sony RAI", "Apple", "Sony") == ["Apple iPhone 15"]
+    assert found("Canon EOS-R5 e Canon Oggi", "Canon") == ["Canon EOS-R5"] and found("Canon") == [] and found(None, "Canon") == []
+    every = value(spark, extractors.extract_all(F.col("x"), ("Fiat",), ()), x="la Fiat Uno di Marco Belli")
+    assert [tuple(r) for r in every] == [("Marco Belli", "person"), ("Fiat", "brand_single"), ("Marco", "brand_single"), ("Belli", "brand_single"), ("Fiat Uno", "model")]
 
 
 def test_scan(spark):
-    terms = ["dell", "intelligenza artificiale", "roma"]
+    terms = ["nord", "nord est", "acqua alta", "est", "c++"]
     found = lambda x: value(spark, classify.scan(F.col("x"), terms), x=x)
-    assert found("Dell fa computer buoni") == ["dell"]
-    assert found("dell'altra notte") == [] and found("dell’altra notte") == []
-    assert found("Era dell'Intelligenza Artificiale ovunque") == ["intelligenza artificiale"]
-    assert found("Romano cesare") == [] and found(None) == []
+    assert found("Nord Est, nord e c++!") == ["nord est", "nord", "c++"]
+    assert found("nord'ovest") == [] and found("nord’ovest") == [] and found("l'ACQUA ALTA cresce") == ["acqua alta"]
+    assert found("nordico estremo") == [] and found(None) == [] and found("") == []
+    assert value(spark, classify.scan(F.col("x"), ["IT"], False), x="IT it") == ["IT"]
 
 
 def test_classify_scores(spark):
@@ -126,6 +133,6 @@ def test_wordpress_reader(spark, tmp_path):
 def test_places(spark, tmp_path):
     head = ";".join(f"c{i}" for i in range(16))
     line = lambda name, code: ";".join(name if i == 5 else code if i == 14 else "v" for i in range(16))
-    (tmp_path / "m.csv").write_text("\n".join([head, line("Castro", "BG"), line("Castro", "LE"), line("Aldino/Aldein", "BZ")]))
+    (tmp_path / "m.csv").write_text("\n".join([head, line("Borgo", "AA"), line("Borgo", "BB"), line("Uno/Eins", "CC")]))
     rows = {r.slug: (r.name, r.aliases) for r in domain.read_places(spark, str(tmp_path / "m.csv")).collect()}
-    assert rows == {"castro-bg": ("Castro (BG)", []), "castro-le": ("Castro (LE)", []), "aldino": ("Aldino", ["Aldein"])}
+    assert rows == {"borgo-aa": ("Borgo (AA)", []), "borgo-bb": ("Borgo (BB)", []), "uno": ("Uno", ["Eins"])}
