@@ -7,9 +7,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Letters with marks and their plain forms (what decomposition leaves of them).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _decomposable() -> tuple[str, str]:
+    """Letters that compatibility decomposition turns into one ASCII letter or digit and marks, and these."""
+    import unicodedata
+
+    pairs = []
+    for point in range(0x80, 0x2500):
+        plain = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode().lower()
+        if len(plain) == 1 and plain.isalnum():
+            pairs.append((chr(point), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _decomposable()
 
 
 def _c(x: Column | str) -> Column:
@@ -27,8 +37,9 @@ def url_hash(x) -> Column:
 
 
 def slugify(x, length: int = 96) -> Column:
-    """Lower-case ASCII words joined by hyphens, `length` at most. Letters outside Latin-1's accents are dropped."""
-    low = F.translate(F.lower(_c(x)), ACCENTED, PLAIN)
+    """Lower-case ASCII words joined by hyphens, `length` characters at most, without a hyphen at the end. Letters lose their
+    marks; what has no ASCII letter under its marks is dropped. Null gives an empty slug."""
+    low = F.lower(F.translate(F.coalesce(_c(x), F.lit("")), ACCENTED, PLAIN))
     dashed = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[^\x00-\x7F]", ""), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.regexp_replace(F.substring(dashed, 1, length), "-+$", "")
 
@@ -91,6 +102,40 @@ def og_image(html) -> Column:
     return F.coalesce(pick("og:image"), pick("twitter:image"))
 
 
+def open_graph(html, base_url) -> Column:
+    """struct<title, description, image, icon>: each from og: properties, else the meta of that name, else (title) the title
+    element; the icon is the page's, else /favicon.ico of its host. Texts have 500 characters at most; null without any."""
+    c = F.coalesce(_c(html), F.lit(""))
+    tags = F.regexp_extract_all(c, F.lit(r"(?is)(<meta\s[^>]*>)"), F.lit(1))
+
+    def meta(key: str) -> Column:
+        own = F.filter(tags, lambda t: t.rlike(rf"(?i)(?:property|name)\s*=\s*[\"']?{key}[\"'\s/>]"))
+        values = F.transform(own, lambda t: F.trim(F.regexp_extract(t, r"(?is)content\s*=\s*[\"']([^\"']*)[\"']", 1)))
+        return F.get(F.filter(values, lambda v: v != ""), F.lit(0))
+
+    title = F.nullif(F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    icon = F.nullif(F.regexp_extract(c, r"(?is)<link\s[^>]*rel=[\"'](?:shortcut )?icon[\"'][^>]*href=[\"']([^\"']+)", 1), F.lit(""))
+    root = F.concat(F.try_parse_url(_c(base_url), F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(_c(base_url), F.lit("AUTHORITY")))
+    return F.struct(
+        F.substring(F.coalesce(meta("og:title"), meta("title"), title), 1, 500).alias("title"),
+        F.substring(F.coalesce(meta("og:description"), meta("description")), 1, 500).alias("description"),
+        F.coalesce(meta("og:image"), meta("image")).alias("image"), F.coalesce(icon, F.concat(root, F.lit("/favicon.ico"))).alias("icon"))
+
+
+def sanitize(html, tags: tuple[str, ...] = ("p", "a", "b", "i", "em", "strong", "ul", "ol", "li", "br", "blockquote", "h2", "h3", "img")) -> Column:
+    """Markup with only the named elements, and of their attributes only href, src, alt and title, no scripts among them. The
+    text inside other elements stays, that of scripts and styles goes. Null gives null."""
+    out = F.regexp_replace(_c(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
+    out = F.regexp_replace(out, rf"(?is)</?(?!(?:{'|'.join(tags)})[\s/>])[a-z][^>]*>", "")
+    out = F.regexp_replace(out, r"(?is)\s(?!(?:href|src|alt|title)\s*=)[a-z-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')(?=[^<]*>)", "")
+    return F.regexp_replace(out, r"(?is)\s(?:href|src)\s*=\s*[\"']\s*javascript:[^\"']*[\"'](?=[^<]*>)", "")
+
+
+def title_and_description(title, description) -> Column:
+    """`title. description`, without what is null or blank."""
+    return F.concat_ws(". ", F.nullif(F.trim(_c(title)), F.lit("")), F.nullif(F.trim(_c(description)), F.lit("")))
+
+
 @F.pandas_udf(StringType())
 def fix_mojibake(x: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252, read again; anything else unchanged."""

@@ -144,7 +144,8 @@ def review_queue(entities: DataFrame, terms: DataFrame, least: int = 5, n: int =
     words = queue.select("normalized", "kind", F.explode(F.array_distinct(F.split("normalized", " "))).alias("term")).where(F.length("term") >= 4)
     last = terms.groupBy("term").agg(F.max("topic_id").alias("hint"))
     hints = words.join(last, "term").groupBy("normalized", "kind").agg(F.sort_array(F.collect_set("hint")).alias("hints"))
-    return queue.join(hints, ["normalized", "kind"], "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<bigint>")))
+    return queue.join(hints, ["normalized", "kind"], "left").withColumn("hints", F.coalesce("hints", F.array().cast("array<bigint>"))).orderBy(
+        F.desc("occurrences"), "normalized", "kind")
 
 
 def confirm_entities(entities: DataFrame, topics: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,20 +9,30 @@ from newsloom.functions.text import normalize_term
 from newsloom.sources.domain import Domain, with_domain
 
 
-def hit_score(name: Column, label: Column, aliases: Column) -> Column:
-    """How well a candidate's label or aliases match a name: equal as written 1.0, normalised 0.85, an alias 0.8; the name's words
-    among the label's 0.75; anything else null."""
-    a, b = normalize_term(name), normalize_term(label)
-    inside = F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
-    return (
-        F.when(name == label, 1.0).when(a == b, 0.85).when(F.array_contains(F.transform(F.coalesce(aliases, F.array().cast("array<string>")), normalize_term), a), 0.8)
-        .when(inside, 0.75)
-    )
+#: The confidence of an exact match by what matched and in which language; aliases of other languages count as English.
+EXACT_SCORES = {("label", "it"): 1.00, ("label", "en"): 0.85, ("alias", "it"): 0.80, ("alias", "en"): 0.70}
+LABEL_WORDS, ALIAS_WORDS = 0.80, 0.75
+
+
+def hit_score(name: Column, matched: Column, kind: Column, language: Column, label: Column, aliases: Column) -> Column:
+    """How well a candidate fits a name: exact (the matched text, its kind label or alias and its language) by EXACT_SCORES, else
+    LABEL_WORDS where all the name's words are in the label, else ALIAS_WORDS where they are in one alias; else null."""
+    a = normalize_term(name)
+    exact = F.lit(None).cast("double")
+    for (k, lang), score in EXACT_SCORES.items():
+        exact = F.coalesce(exact, F.when((kind == k) & (language == lang), score))
+    exact = F.coalesce(exact, F.when(kind == "alias", EXACT_SCORES["alias", "en"]))
+    words = F.filter(F.split(a, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    inside = lambda t: (F.size(words) > 0) & (F.size(F.array_except(words, F.split(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+"))) == 0)
+    some = F.exists(F.coalesce(aliases, F.array().cast("array<string>")), inside)
+    return F.coalesce(F.when(F.lower(F.trim(matched)) == a, exact), F.when(inside(label), LABEL_WORDS), F.when(some, ALIAS_WORDS))
 
 
 def best_candidates(topics: DataFrame, candidates: DataFrame, compatible: Column, least: float = 0.7, n: int = 3) -> DataFrame:
-    """Of each topic's n best candidates (score, then id) the first that is compatible."""
-    scored = topics.join(candidates, "key").withColumn("score", hit_score(F.col("name"), F.col("label"), F.col("aliases"))).where(F.col("score") >= least)
+    """topics: topic_id, key, name; candidates: key, candidate_id, matched, kind, language, label, aliases. Of each topic's n best
+    candidates (score, then id) the first that is compatible; topics without any are left out."""
+    fit = hit_score(F.col("name"), *map(F.col, ("matched", "kind", "language", "label", "aliases")))
+    scored = topics.join(candidates, "key").withColumn("score", fit).where(F.col("score") >= least)
     w = Window.partitionBy("topic_id").orderBy(F.desc("score"), "candidate_id")
     top = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).where(compatible)
     return top.withColumn("m", F.row_number().over(Window.partitionBy("topic_id").orderBy("n"))).where("m = 1").select("topic_id", "candidate_id", "score")
@@ -82,11 +92,36 @@ def discovery(flags: DataFrame) -> DataFrame:
 
 
 def allowed_by_robots(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """requests: origin, path; rules: origin, prefix, allow. The longest matching prefix decides; without one it is allowed."""
-    hit = (requests["origin"] == rules["origin"]) & F.col("path").startswith(F.col("prefix"))
-    joined = requests.withColumn("__id", F.monotonically_increasing_id()).join(rules.select(F.col("origin"), "prefix", "allow"), hit, "left").drop(rules["origin"])
-    decided = F.max_by("allow", F.length("prefix"))
-    return joined.groupBy("__id", "origin", "path").agg(F.coalesce(decided, F.lit(True)).alias("allowed")).drop("__id")
+    """requests: origin, path; rules: origin, prefix, allow. Each distinct request with allowed: by the longest prefix that
+    matches, allow before disallow of one length; without one it is allowed."""
+    asked = requests.select("origin", "path").distinct()
+    hit = (asked["origin"] == rules["origin"]) & F.col("path").startswith(F.col("prefix"))
+    joined = asked.join(rules, hit, "left").select(asked["origin"], "path", "prefix", "allow")
+    decided = F.max_by("allow", F.struct(F.length("prefix"), "allow"))
+    return joined.groupBy("origin", "path").agg(F.coalesce(decided, F.lit(True)).alias("allowed"))
+
+
+def claim_ids(claims: Column, prop: str) -> Column:
+    """The distinct ids (Q...) that a property of an entity's claims (JSON) points to, in order; empty without any."""
+    schema = "array<struct<mainsnak: struct<datavalue: struct<value: struct<id: string>>>>>"
+    ids = F.transform(F.from_json(F.get_json_object(claims, f"$.{prop}"), schema), lambda c: c["mainsnak"]["datavalue"]["value"]["id"])
+    return F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda q: q.startswith("Q")))
+
+
+def build_references(entity: Column, qid: Column, confidence: Column, method: Column) -> Column:
+    """map of references from an entity (JSON): its id, confidence and method, Wikipedia pages, image, classes, countries and
+    owners (ids joined by commas); keys without a value are left out."""
+    get = lambda path: F.nullif(F.get_json_object(entity, path), F.lit(""))
+    claims = F.get_json_object(entity, "$.claims")
+    joined = lambda prop: F.nullif(F.array_join(claim_ids(claims, prop), ","), F.lit(""))
+    image = get("$.claims.P18[0].mainsnak.datavalue.value")
+    values = {
+        "wikidata_qid": qid, "match_confidence": confidence.cast("string"), "match_method": method, "wikipedia_url_it": get("$.sitelinks.itwiki.url"),
+        "wikipedia_url_en": get("$.sitelinks.enwiki.url"),
+        "image": F.concat(F.lit("https://commons.wikimedia.org/wiki/Special:FilePath/"), F.replace(image, F.lit(" "), F.lit("_")), F.lit("?width=512")),
+        "instance_of": joined("P31"), "country": joined("P17"), "owned_by": joined("P127"),
+    }
+    return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
 
 
 def export_snapshot(topics: DataFrame, curated_only: bool = True) -> DataFrame:
@@ -96,13 +131,14 @@ def export_snapshot(topics: DataFrame, curated_only: bool = True) -> DataFrame:
 
 
 def _enrich(spark, sf):
+    """Every topic against all topics with its first two words."""
     d = Domain(spark, sf)
-    first = lambda c: F.substring_index(c, " ", 1)
-    topics = d.topics().where("topic_id % 4 = 0").withColumn("key", first("name"))
-    candidates = d.topics().where("topic_id % 4 <> 0").select(
-        F.col("topic_id").alias("candidate_id"), first("name").alias("key"), F.when(F.col("topic_id") % 3 == 0, F.upper("name")).otherwise(F.col("name")).alias("label"),
-        F.array(F.col("brand")).alias("aliases"), F.col("type").alias("c_type"))
-    return best_candidates(topics, candidates, F.col("type") == F.col("c_type"))
+    topics = d.topics().withColumn("key", F.substring_index("name", " ", 2))
+    kind, language = F.when(F.col("topic_id") % 3 == 0, "alias").otherwise("label"), F.when(F.col("topic_id") % 2 == 0, "it").otherwise("en")
+    candidates = d.topics().select(
+        F.col("topic_id").alias("candidate_id"), F.substring_index("name", " ", 2).alias("key"), F.upper("name").alias("matched"), kind.alias("kind"), language.alias("language"),
+        F.concat("name", F.lit(".com")).alias("label"), F.array(F.col("brand")).alias("aliases"), F.col("type").alias("c_type"))
+    return best_candidates(topics, candidates, F.substring_index("type", " ", 1) == F.substring_index("c_type", " ", 1))
 
 
 def _snapshot(spark, sf):
@@ -120,11 +156,12 @@ def _aliases(spark, sf):
 QUERIES = {"topic_enrichment": _enrich, "topics_snapshot": _snapshot, "alias_merge": _aliases}
 ORACLE_SQL = {
     "topic_enrichment": with_domain("topics", """
-, t AS (SELECT *, split_part(name, ' ', 1) AS key FROM topics WHERE topic_id % 4 = 0),
-c AS (SELECT topic_id AS candidate_id, split_part(name, ' ', 1) AS key, CASE WHEN topic_id % 3 = 0 THEN upper(name) ELSE name END AS label, type AS c_type FROM topics WHERE topic_id % 4 <> 0),
-s AS (SELECT topic_id, candidate_id, type, c_type, CASE WHEN name = label THEN 1.0 WHEN lower(name) = lower(label) THEN 0.85 WHEN list_has_all(string_split(lower(label), ' '), string_split(lower(name), ' ')) THEN 0.75 END::DOUBLE AS score FROM t JOIN c USING (key)),
+, t AS (SELECT topic_id, name, type, string_split(name, ' ')[1] || ' ' || string_split(name, ' ')[2] AS key FROM topics),
+s AS (SELECT t.topic_id, c.topic_id AS candidate_id, split_part(t.type, ' ', 1) = split_part(c.type, ' ', 1) AS fits,
+  CASE WHEN lower(t.name) = lower(c.name) THEN CASE WHEN c.topic_id % 3 = 0 THEN CASE WHEN c.topic_id % 2 = 0 THEN 0.8 ELSE 0.7 END WHEN c.topic_id % 2 = 0 THEN 1.0 ELSE 0.85 END
+    WHEN list_has_all(regexp_split_to_array(lower(c.name) || '.com', '[^a-z0-9]+'), regexp_split_to_array(lower(t.name), '[^a-z0-9]+')) THEN 0.8 END::DOUBLE AS score FROM t JOIN t c USING (key)),
 r AS (SELECT * FROM s WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, candidate_id) <= 3)
-SELECT topic_id, candidate_id, score FROM r WHERE type = c_type QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, candidate_id) = 1"""),
+SELECT topic_id, candidate_id, score FROM r WHERE fits QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, candidate_id) = 1"""),
     "topics_snapshot": with_domain("topics", "SELECT type, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '-') || '-' || topic_id AS slug, name, '{\"brand\":\"' || brand || '\",\"size\":' || size || '}' AS refs FROM topics WHERE is_curated"),
     "alias_merge": with_domain("topics", "SELECT topic_id, name || CASE WHEN lower(brand) <> lower(name) THEN '|' || brand ELSE '' END || CASE WHEN lower(type) NOT IN (lower(name), lower(brand)) THEN '|' || type ELSE '' END AS aliases FROM topics"),
 }

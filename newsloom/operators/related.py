@@ -33,18 +33,22 @@ def related_articles(articles: DataFrame, edges: DataFrame, formula: str = "cove
     """article_id, other_id, n_shared, overlap, rank: the related articles of every dated article with weighted topics.
 
     Candidates are indexed, within `days` of the article and share a topic; one shared topic must weigh strong_single,
-    several min_inter together. Ranked by shared topics, overlap, time distance, then id. Topics' document frequency
-    bounds the self-join on topic; AQE splits the skewed ones.
+    several min_inter together. Ranked by shared topics, overlap, time distance, then id. Articles meet by topic and by
+    span of `days`, each candidate in its own span and both next to it, so a topic's articles of other times never meet;
+    within a span AQE splits a frequent topic. Articles without date or weight have no related ones.
     """
     weighted = edges.join(topic_idf(edges).select("topic_id", "idf"), "topic_id").select("article_id", "topic_id", "idf")
     sums = weighted.groupBy("article_id").agg(F.sum("idf").alias("weight"))
     dated = articles.where("published_at IS NOT NULL").join(sums, "article_id")
-    left = dated.where("weight > 0").select("article_id", F.col("published_at").alias("a_time"), F.col("weight").alias("a_weight"))
-    right = dated.where("status = 'indexed'").select(F.col("article_id").alias("other_id"), F.col("published_at").alias("b_time"), F.col("weight").alias("b_weight"))
+    span = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / (days * 86_400))
+    left = dated.where("weight > 0").select("article_id", F.col("published_at").alias("a_time"), F.col("weight").alias("a_weight"), span.alias("span"))
+    right = dated.where("status = 'indexed'").select(
+        F.col("article_id").alias("other_id"), F.col("published_at").alias("b_time"), F.col("weight").alias("b_weight"), span.alias("own"))
     a = weighted.join(left, "article_id")
-    b = weighted.withColumnRenamed("article_id", "other_id").drop("idf").join(right, "other_id")
+    b = weighted.withColumnRenamed("article_id", "other_id").drop("idf").join(right, "other_id").withColumn(
+        "span", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
     near = F.col("b_time").between(F.col("a_time") - F.make_dt_interval(F.lit(days)), F.col("a_time") + F.make_dt_interval(F.lit(days)))
-    pairs = a.join(b, "topic_id").where((F.col("article_id") != F.col("other_id")) & near)
+    pairs = a.join(b, ["topic_id", "span"]).where((F.col("article_id") != F.col("other_id")) & near)
     both = pairs.groupBy("article_id", "other_id", "a_time", "b_time", "a_weight", "b_weight").agg(F.count("*").alias("n_shared"), F.sum("idf").alias("inter"))
     gate = F.when(F.col("n_shared") == 1, F.col("inter") >= strong_single).otherwise(F.col("inter") >= min_inter)
     kept = both.where(gate).withColumn("overlap", F.round(_overlap(formula), 6)).where(F.col("overlap") >= min_overlap)

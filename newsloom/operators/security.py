@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from newsloom.sources.domain import Domain, with_domain
 
-BUCKET = 256
 
-
-def locate(requests: DataFrame, networks: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """requests: ip (long); networks: first, last, country, asn. Adds country and asn (null where no network holds the ip).
-
-    A range join by buckets of addresses: a network goes to every bucket it touches, a request to its own, so the join
-    is an equi-join with a BETWEEN on what is left."""
-    spread = networks.withColumn("__b", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor(F.col("last") / bucket))))
-    keyed = requests.withColumn("__b", F.floor(F.col("ip") / bucket))
-    hit = (keyed["__b"] == spread["__b"]) & F.col("ip").between(F.col("first"), F.col("last"))
-    return keyed.join(spread, hit, "left").select(*requests.columns, "country", "asn")
+def locate(requests: DataFrame, networks: DataFrame) -> DataFrame:
+    """requests: ip (long); networks: first, last, country, asn. Adds country and asn of the narrowest network that holds the
+    ip, by first address and country where several are as narrow; null where none does, or for a null ip. Columns of these
+    names in requests are replaced.
+
+    A network is a few prefixes of addresses: it is cut into blocks of 2^k addresses that begin at multiples of 2^k, at
+    most two for each k. Distinct ips meet blocks by (k, ip >> k), an equi-join with one row for each width in use."""
+    kept = [c for c in requests.columns if c not in ("country", "asn")]
+    wide = networks.where("first <= last").select(F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("country").alias("to_country"), F.col("asn").alias("to_asn"))
+    ks = F.explode(F.expr("sequence(0, 32)"))
+    # of width k: the block at the lower edge, if the next wider one would begin below lo, and likewise at the upper edge
+    at = wide.withColumn("k", ks).withColumns({"a": F.expr("shiftright(lo + shiftleft(1L, k) - 1, k)"), "b": F.expr("shiftright(hi + 1, k)")}).where("a < b")
+    edges = F.array(F.when(F.expr("a % 2 = 1 OR 2 * shiftright(a + 1, 1) + 2 > b AND a < b"), F.col("a")), F.when(F.expr("b % 2 = 1 OR 2 * shiftright(a + 1, 1) + 2 > b"), F.col("b") - 1))
+    blocks = at.select("lo", "hi", "to_country", "to_asn", "k", F.explode(F.array_distinct(F.filter(edges, lambda x: x.isNotNull()))).alias("block"))
+    widths = F.broadcast(blocks.select("k").distinct())  # 33 at most
+    asked = requests.where("ip IS NOT NULL").select("ip").distinct().crossJoin(widths).withColumn("block", F.expr("shiftright(ip, k)"))
+    hit = asked.join(blocks, ["k", "block"]).groupBy("ip").agg(F.min_by(F.struct("to_country", "to_asn"), F.struct(F.col("hi") - F.col("lo"), "lo", "to_country")).alias("n"))
+    return requests.select(*kept).join(hit, "ip", "left").select(*kept, F.col("n.to_country").alias("country"), F.col("n.to_asn").alias("asn"))
 
 
 def scanner_path(path: Column, parts: list[str]) -> Column:

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import alerts, classify, events, extractors, feeds, maintenance, search
+from newsloom.operators import accounts, alerts, classify, curation, enrichment, events, extractors, feeds, maintenance, search, security
 from newsloom.sources import domain
 
 
@@ -17,7 +17,8 @@ def value(spark, column, **row):
 def test_slugify(spark):
     assert value(spark, T.slugify("x"), x="  Perché  l'Università?! ") == "perche-l-universita"
     assert value(spark, T.slugify("x", 5), x="abcd efgh") == "abcd"
-    assert value(spark, T.slugify("x"), x=None) is None
+    assert value(spark, T.slugify("x"), x=None) == ""
+    assert value(spark, T.slugify("x"), x="Škoda Café Ⅷ Łódź № 5") == "skoda-cafe-odz-5"
 
 
 def test_parse_date(spark):
@@ -43,6 +44,73 @@ def test_html(spark):
     assert value(spark, T.og_image("h"), h='<meta property="og:image" content="http://i/x.png">') == "http://i/x.png"
 
 
+def test_page_metadata(spark):
+    page = """<head><title> A title </title><meta name="description" content=" said "><meta property='og:image' content='http://i/o.png'><link rel="icon" href="/i.ico"></head>"""
+    assert tuple(value(spark, T.open_graph("h", "u"), h=page, u="https://s.it/a/b")) == ("A title", "said", "http://i/o.png", "/i.ico")
+    other = '<meta content="better" property="og:title"><title>worse</title>'
+    assert tuple(value(spark, T.open_graph("h", "u"), h=other, u="https://s.it/a")) == ("better", None, None, "https://s.it/favicon.ico")
+    dirty = '<div class="x"><p onclick="bad()" title="t">text <a href="javascript:no()">link</a><script>gone()</script></p><span>kept</span></div>'
+    assert value(spark, T.sanitize("h"), h=dirty) == '<p title="t">text <a>link</a></p>kept'
+    assert value(spark, T.title_and_description("a", "b"), a=" One ", b="two") == "One. two" and value(spark, T.title_and_description("a", "b"), a="One", b=" ") == "One"
+
+
+def test_entity_workflow(spark):
+    entities = spark.createDataFrame(
+        [(1, "rete nova", "Rete Nova", "person", 9, None, False), (2, "acme", "ACME", "brand_alpha", 7, None, None), (3, "beta", "Beta", "model", 2, None, None), (4, "nova", "Nova", "brand_single", 8, None, True)],
+        "entity_id long, normalized string, surface string, kind string, occurrences long, topic_id long, ignored boolean")
+    terms = spark.createDataFrame([("nova", 70), ("nova", 71), ("rete", 50)], "term string, topic_id long")
+    queue = curation.review_queue(entities, terms).collect()
+    assert [(r.entity_id, r.hints) for r in queue] == [(1, [50, 71]), (2, [])]
+    topics = spark.createDataFrame([(5, "acme", "Acme", "brand", ["A."], False), (6, "zeta", "Zeta", "brand", [], False)], "topic_id long, slug string, name string, type string, aliases array<string>, is_curated boolean")
+    decisions = spark.createDataFrame([(1, "band"), (2, None), (3, None), (3, None)], "entity_id long, as_type string")
+    after, resolved = curation.confirm_entities(entities, topics, decisions)
+    assert sorted(tuple(r) for r in after.select("topic_id", "slug", "type", "aliases", "is_curated").collect()) == [
+        (5, "acme", "brand", ["A.", "ACME"], True), (6, "zeta", "brand", [], False), (7, "rete-nova", "band", [], True), (8, "beta", "model", [], True)]
+    assert {r.entity_id: r.topic_id for r in resolved.collect()} == {1: 7, 2: 5, 3: 8, 4: None}
+    assert {r.entity_id for r in curation.reject_entities(entities, spark.createDataFrame([(1,)], "entity_id long")).where("ignored").collect()} == {1, 4}
+
+
+def test_ancestors_with_cycle(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (8, 9), (9, 8), (5, 77)], "category_id int, parent_id int")
+    found = {(r.category_id, r.ancestor_id, r.distance) for r in curation.ancestors(tree).collect()}
+    assert found == {(2, 1, 1), (3, 2, 1), (3, 1, 2), (4, 3, 1), (4, 2, 2), (4, 1, 3), (8, 9, 1), (9, 8, 1)}
+
+
+def test_export_and_erasure(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "user_id long, x string")
+    accounts.export_user(str(tmp_path), 1, things=rows)
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/things").select("user_id", "x").collect()] == [(1, "a")]
+    assert [r.user_id for r in accounts.erase_user(rows.where("user_id = 1"), things=rows)["things"].collect()] == [2]
+
+
+def test_enrichment(spark):
+    claim = lambda q: '{"mainsnak": {"datavalue": {"value": {"id": "%s"}}}}' % q
+    entity = '{"sitelinks": {"itwiki": {"url": "http://w/it"}}, "claims": {"P31": [%s, %s, %s], "P18": [{"mainsnak": {"datavalue": {"value": "a b.jpg"}}}]}}' % (claim("Q5"), claim("Q7"), claim("Q5"))
+    refs = value(spark, enrichment.build_references(F.col("e"), F.lit("Q1"), F.lit(0.8), F.lit("label")), e=entity)
+    assert refs == {"wikidata_qid": "Q1", "match_confidence": "0.8", "match_method": "label", "wikipedia_url_it": "http://w/it", "instance_of": "Q5,Q7",
+                    "image": "https://commons.wikimedia.org/wiki/Special:FilePath/a_b.jpg?width=512"}
+    score = lambda **r: value(spark, enrichment.hit_score(*map(F.col, ("n", "m", "k", "g", "l", "a"))), **r)
+    assert score(n="Nova", m="nova", k="label", g="it", l="x", a=[]) == 1.0 and score(n="Nova", m="nova", k="alias", g="fr", l="x", a=[]) == 0.7
+    assert score(n="nova", m="no", k="label", g="it", l="Nova.com", a=[]) == 0.8 and score(n="nova", m="no", k="label", g="it", l="x", a=["the nova"]) == 0.75
+    assert score(n="nova", m="no", k="label", g="it", l="x", a=["novae"]) is None
+    rules = spark.createDataFrame([("o", "/a", False), ("o", "/a/b", True), ("o", "/c", True), ("o", "/c", False)], "origin string, prefix string, allow boolean")
+    asked = spark.createDataFrame([("o", "/a/x"), ("o", "/a/b"), ("o", "/c"), ("o", "/z"), ("p", "/a"), ("p", "/a")], "origin string, path string")
+    assert {(r.origin, r.path): r.allowed for r in enrichment.allowed_by_robots(asked, rules).collect()} == {("o", "/a/x"): False, ("o", "/a/b"): True, ("o", "/c"): True, ("o", "/z"): True, ("p", "/a"): True}
+
+
+def test_narrowest_network(spark):
+    import random
+
+    rng = random.Random(4)
+    nets = [(a := rng.randrange(2000), a + rng.choice([0, 1, 5, 60, 900]), f"c{i}", i) for i in range(60)] + [(0, 2**31, "world", 99), (5, 4, "none", 98)]
+    ips = [rng.randrange(3200) for _ in range(300)] + [None, 2**31]
+    rows = security.locate(spark.createDataFrame([(i, ip, "x") for i, ip in enumerate(ips)], "id long, ip long, country string"), spark.createDataFrame(nets, "first long, last long, country string, asn long"))
+    found = {r.id: r.asn for r in rows.collect()}
+    for i, ip in enumerate(ips):
+        holding = [(last - first, first, c, asn) for first, last, c, asn in nets if ip is not None and first <= ip <= last]
+        assert found[i] == (min(holding)[3] if holding else None)
+
+
 def test_mojibake(spark):
     assert value(spark, T.fix_mojibake("x"), x="ForlÃ¬") == "Forlì"
     assert value(spark, T.fix_mojibake("x"), x="Forlì") == "Forlì"
