@@ -18,6 +18,16 @@ def match_alerts(alert_topics: DataFrame, edges: DataFrame, known: DataFrame | N
     return found if known is None else found.join(known, ["alert_id", "article_id"], "left_anti")
 
 
+def alert_problem(topic_ids: F.Column, known: F.Column, invalid: F.Column) -> F.Column:
+    """Why an alert over these topics cannot be: none, too_many (over ten distinct), unknown, invalid; null where it can. known and
+    invalid: arrays of topic ids."""
+    ids = F.array_distinct(F.filter(topic_ids, lambda t: t.isNotNull()))
+    return (
+        F.when(F.coalesce(F.size(ids), F.lit(0)) < 1, "none").when(F.size(ids) > 10, "too_many").when(F.size(F.array_except(ids, known)) > 0, "unknown")
+        .when(F.arrays_overlap(ids, invalid), "invalid")
+    )
+
+
 def alert_title(names) -> F.Column:
     """One name, or up to four joined with how many more there are."""
     names = F.sort_array(names)
@@ -39,9 +49,9 @@ def daily_digest(users: DataFrame, subscriptions: DataFrame, articles: DataFrame
 
 
 def fixture_alerts(edges: DataFrame) -> DataFrame:
-    """Alerts of the articles below 200: their two lowest topics, mode by parity."""
+    """An alert for each article: its two lowest topics, mode by parity."""
     w = Window.partitionBy("article_id").orderBy("topic_id")
-    mine = edges.where("article_id < 200").withColumn("n", F.row_number().over(w)).where("n <= 2")
+    mine = edges.withColumn("n", F.row_number().over(w)).where("n <= 2")
     return mine.select(F.col("article_id").alias("alert_id"), "topic_id", F.when(F.col("article_id") % 2 == 0, "all").otherwise("any").alias("mode"))
 
 
@@ -60,7 +70,7 @@ def _mixed(spark, sf):
 
 def _titles(spark, sf):
     d = Domain(spark, sf)
-    named = d.edges().where("article_id < 300").join(d.topics().select("topic_id", "name"), "topic_id")
+    named = d.edges().join(d.topics().select("topic_id", "name"), "topic_id")
     return named.groupBy("article_id").agg(F.collect_set("name").alias("names")).select("article_id", alert_title(F.col("names")).alias("title"))
 
 
@@ -70,12 +80,12 @@ def _digest(spark, sf):
     return daily_digest(d.table("supplier").select(F.col("s_suppkey").alias("user_id")), d.subscriptions(), d.articles(), t("1998-05-01"), t("1998-05-02"))
 
 
-_A = ", a AS (SELECT article_id AS alert_id, topic_id, CASE WHEN article_id % 2 = 0 THEN 'all' ELSE 'any' END AS mode FROM edges WHERE article_id < 200 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY topic_id) <= 2), h AS (SELECT alert_id, e.article_id, any_value(mode) AS mode, count(*) AS hits FROM a JOIN edges e USING (topic_id) GROUP BY 1, 2), n AS (SELECT alert_id, count(*) AS size FROM a GROUP BY 1) SELECT alert_id, article_id, hits FROM h JOIN n USING (alert_id) WHERE "
+_A = ", a AS (SELECT article_id AS alert_id, topic_id, CASE WHEN article_id % 2 = 0 THEN 'all' ELSE 'any' END AS mode FROM edges QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY topic_id) <= 2), h AS (SELECT alert_id, e.article_id, any_value(mode) AS mode, count(*) AS hits FROM a JOIN edges e USING (topic_id) GROUP BY 1, 2), n AS (SELECT alert_id, count(*) AS size FROM a GROUP BY 1) SELECT alert_id, article_id, hits FROM h JOIN n USING (alert_id) WHERE "
 QUERIES = {"alerts_all": _alerts("all"), "alerts_any": _alerts("any"), "alerts_new": _mixed, "alert_titles": _titles, "digest_counts": _digest}
 ORACLE_SQL = {
     "alerts_all": with_domain("edges", _A + "hits = size"),
     "alerts_any": with_domain("edges", _A + "hits > 0"),
     "alerts_new": with_domain("edges", _A + "(mode = 'any' OR hits = size) AND alert_id <> article_id"),
-    "alert_titles": with_domain("edges topics", ", n AS (SELECT article_id, list_sort(list(DISTINCT name)) AS l FROM edges JOIN topics USING (topic_id) WHERE article_id < 300 GROUP BY 1) SELECT article_id, array_to_string(l[1:4], ', ') || CASE WHEN len(l) > 4 THEN ' +' || (len(l) - 4) ELSE '' END AS title FROM n"),
+    "alert_titles": with_domain("edges topics", ", n AS (SELECT article_id, list_sort(list(DISTINCT name)) AS l FROM edges JOIN topics USING (topic_id) GROUP BY 1) SELECT article_id, array_to_string(l[1:4], ', ') || CASE WHEN len(l) > 4 THEN ' +' || (len(l) - 4) ELSE '' END AS title FROM n"),
     "digest_counts": with_domain("articles subscriptions", "SELECT user_id, count(DISTINCT article_id) AS n, CASE WHEN count(DISTINCT article_id) = 1 THEN '1 new article' ELSE count(DISTINCT article_id) || ' new articles' END AS body FROM subscriptions JOIN articles USING (source_id) WHERE published_at >= '1998-05-01' AND published_at < '1998-05-02' GROUP BY 1"),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,14 @@ from newsloom.sources.domain import Domain, with_domain
 
 
 def descendants(categories: DataFrame, root: int) -> DataFrame:
-    """category_id of the root and all below it; a recursive query, one join a level."""
-    view = "newsloom_categories"
+    """category_id of the root and all below it; a recursive query, one join a level. An unknown root gives no rows."""
+    spark, view = categories.sparkSession, f"categories_{uuid.uuid4().hex}"
     categories.createOrReplaceTempView(view)
-    return categories.sparkSession.sql(
+    found = spark.sql(
         f"WITH RECURSIVE d AS (SELECT category_id FROM {view} WHERE category_id = {int(root)} "
         f"UNION ALL SELECT c.category_id FROM {view} c JOIN d ON c.parent_id = d.category_id) SELECT category_id FROM d")
+    spark.catalog.dropTempView(view)  # the plan holds what it named
+    return found
 
 
 def timeline(articles: DataFrame, source_ids: DataFrame, limit: int = 30, before: tuple | None = None, topic_edges: DataFrame | None = None) -> DataFrame:
@@ -55,7 +59,7 @@ def _topic(spark, sf):
 
 def _public(spark, sf):
     d = Domain(spark, sf)
-    open_ = d.subscriptions().where("user_id <= 5").join(d.categories().where("is_public"), "category_id", "left_semi")
+    open_ = d.subscriptions().join(d.categories().where("is_public"), "category_id", "left_semi")
     return timeline(d.articles(), open_.select("source_id"))
 
 
@@ -118,7 +122,7 @@ ORACLE_SQL = {
         "SELECT source_id FROM subscriptions JOIN categories USING (category_id) WHERE category_id = 101 OR parent_id = 101", "", 30)),
     "timeline_topic": with_domain("articles edges sources", _PAGE_SQL.format(
         "SELECT source_id FROM sources", f"AND EXISTS (SELECT 1 FROM edges e WHERE e.article_id = articles.article_id AND topic_id = {TOPIC})", 30)),
-    "timeline_public": with_domain("articles subscriptions categories", _PAGE_SQL.format(_PUBLIC.format("AND user_id <= 5"), "", 30)),
+    "timeline_public": with_domain("articles subscriptions categories", _PAGE_SQL.format(_PUBLIC.format(""), "", 30)),
     "timeline_global": with_domain("articles subscriptions categories", _PAGE_SQL.format(_PUBLIC.format(""), "", 50)),
     "timeline_hydrated": with_domain("articles edges topics sources", """
 , p AS (SELECT * FROM articles WHERE status = 'indexed' ORDER BY published_at DESC, article_id DESC LIMIT 100)

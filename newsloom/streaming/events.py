@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsloom.operators.events import engagement_counters
 
@@ -44,23 +45,35 @@ def read_counters(spark: SparkSession, counters: str) -> DataFrame:
     return rows.groupBy("target_id").agg(F.sum("reads").alias("reads"), F.sum("opens").alias("opens"), F.max("last_read_at").alias("last_read_at"))
 
 
-def ban_stream(strikes: DataFrame, hours: int = 24) -> DataFrame:
-    """strikes: ip, ts, permanent. ip, expires_at after each batch: the latest strike and 24 hours, null for permanent ones."""
-    until = F.max(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)))
-    return strikes.groupBy("ip").agg(F.when(F.max(F.col("permanent").cast("int")) > 0, None).otherwise(until).alias("expires_at"))
+def strike_increments(strikes: DataFrame) -> DataFrame:
+    """strikes: ip, ts, permanent. The latest strike of each ip and whether any is permanent."""
+    return strikes.groupBy("ip").agg(F.max("ts").alias("ts"), F.max(F.coalesce("permanent", F.lit(False))).alias("permanent"))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is, into Parquet files under path, and reads them. No row passes through the driver.
+def bans(increments: DataFrame, hours: int = 24) -> DataFrame:
+    """ip, expires_at: the latest strike and 24 hours, null for permanent ones."""
+    until = F.col("ts") + F.make_dt_interval(hours=F.lit(hours))
+    return strike_increments(increments).select("ip", F.when(F.col("permanent"), None).otherwise(until).alias("expires_at"))
 
-    append: each micro-batch has its own folder, so one that runs again replaces itself. complete: the latest batch replaces the last.
-    """
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", increments=None) -> DataFrame:
+    """Runs a stream over what there is, into Parquet files under path, and reads them with the batch of each row. No row passes
+    through the driver. Each micro-batch, or what `increments` makes of it, has its own folder, so one that runs again
+    replaces itself. In update mode a key's row of the latest batch counts (latest)."""
     spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=0")  # in case no batch runs
+    make = increments or (lambda batch: batch)
+    schema = make(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=0")  # in case no batch runs
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else batch_id}")
+        make(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(path)
+
+
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of its latest batch."""
+    rest = [c for c in table.columns if c not in keys and c != "batch"]
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

@@ -15,8 +15,12 @@ from newsloom.streaming import events as stream
 
 
 def _work(spark: SparkSession) -> str:
-    """A folder of this run: in the shared checkpoint folder, or a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/newsloom"
+    """A folder of this run in the shared checkpoint folder; where that is unset, a temporary one if there are no other
+    machines, else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or f"file://{tempfile.gettempdir()}/newsloom"
     return os.path.join(top, f"stream-{uuid.uuid4().hex}")
 
 
@@ -30,7 +34,7 @@ def _activity_stream(spark: SparkSession, sf_dir: str, work: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _work(spark)
     limited = stream.rate_limit_stream(_activity_stream(spark, sf_dir, work), 1)
-    out = stream.run_to_table(limited, f"{work}/out", f"{work}/state", "complete")
+    out = stream.latest(stream.run_to_table(limited, f"{work}/out", f"{work}/state", "update"), ["user_id", "window_start"])
     return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
@@ -44,7 +48,7 @@ def stream_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _work(spark)
     e = _activity_stream(spark, sf_dir, work)
     strikes = e.where("status = 500").select((F.col("user_id") % 200).alias("ip"), "ts", (F.col("target_id") == 13).alias("permanent"))
-    out = stream.run_to_table(stream.ban_stream(strikes), f"{work}/out", f"{work}/state", "complete")
+    out = stream.bans(stream.run_to_table(strikes, f"{work}/out", f"{work}/state", increments=stream.strike_increments))
     return out.select("ip", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
@@ -52,7 +56,7 @@ def stream_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and targets with an impression; one row each."""
     work = _work(spark)
     firsts = stream.first_impressions(_activity_stream(spark, sf_dir, work), ["user_id", "target_id"]).select("user_id", "target_id")
-    return stream.run_to_table(firsts, f"{work}/out", f"{work}/state")
+    return stream.run_to_table(firsts, f"{work}/out", f"{work}/state").drop("batch")
 
 
 QUERIES = {"stream_rate_limit": stream_rate_limit, "stream_counters": stream_counters, "stream_bans": stream_bans, "stream_impressions": stream_impressions}

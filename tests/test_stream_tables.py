@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 from newsloom.streaming import events as stream
 
 
-@pytest.mark.parametrize("mode", ["append", "complete"])
+@pytest.mark.parametrize("mode", ["append", "update"])
 def test_run_to_table(spark, tmp_path, mode):
     def run():
         rows = spark.readStream.schema("k long, v long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        rows = rows.groupBy("k").agg(F.sum("v").alias("v")) if mode == "complete" else rows
+        rows = rows.groupBy("k").agg(F.sum("v").alias("v")) if mode == "update" else rows
         out = stream.run_to_table(rows, f"{tmp_path}/out", f"{tmp_path}/state", mode)
         files = out.inputFiles()
         assert files and all(f"{tmp_path}/out/" in f for f in files)
-        return sorted(map(tuple, out.collect()))
+        return sorted(map(tuple, (stream.latest(out, ["k"]) if mode == "update" else out.drop("batch")).collect()))
 
     def add(*rows):
         spark.createDataFrame(rows, "k long, v long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
@@ -23,7 +23,7 @@ def test_run_to_table(spark, tmp_path, mode):
     assert run() == []
     add((1, 1), (2, 5))
     add((1, 2))
-    assert run() == ([(1, 3), (2, 5)] if mode == "complete" else [(1, 1), (1, 2), (2, 5)])
-    assert run() == ([(1, 3), (2, 5)] if mode == "complete" else [(1, 1), (1, 2), (2, 5)])
+    assert run() == ([(1, 3), (2, 5)] if mode == "update" else [(1, 1), (1, 2), (2, 5)])
+    assert run() == ([(1, 3), (2, 5)] if mode == "update" else [(1, 1), (1, 2), (2, 5)])
     add((3, 7))
-    assert run() == ([(1, 3), (2, 5), (3, 7)] if mode == "complete" else [(1, 1), (1, 2), (2, 5), (3, 7)])
+    assert run() == ([(1, 3), (2, 5), (3, 7)] if mode == "update" else [(1, 1), (1, 2), (2, 5), (3, 7)])
