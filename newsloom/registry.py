@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.operators import accounts, alerts, classify, curation, enrichment, events, feeds, maintenance, related, search, security
+from newsloom.operators import accounts, alerts, articles, classify, curation, enrichment, events, feeds, maintenance, related, search, security
 from newsloom.streaming import queries as streaming
 
-_MODULES = (related, feeds, events, alerts, maintenance, classify, search, security, enrichment, curation, accounts, streaming)
+_MODULES = (related, feeds, events, alerts, maintenance, classify, search, security, enrichment, curation, accounts, articles, streaming)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import accounts, alerts, classify, curation, enrichment, events, extractors, feeds, maintenance, search, security
+from newsloom.operators import accounts, alerts, articles, classify, curation, enrichment, events, extractors, feeds, maintenance, search, security
 from newsloom.sources import domain
 
 
@@ -144,6 +144,30 @@ def test_scan(spark):
     assert value(spark, classify.scan(F.col("x"), ["IT"], False), x="IT it") == ["IT"]
 
 
+def test_article_topics(spark):
+    """Dictionary in both cases, ambiguous places, names, collisions, models of known brands, aliases, invalid slugs, composites."""
+    topics = spark.createDataFrame(
+        [(1, "lago", "Lago", "location", [], True, False), (2, "acme", "Acme", "brand", ["Acme Works"], True, False), (3, "us", "US", "location", [], True, True),
+         (4, "energia", "Energia", "subject", [], True, False), (5, "sole", "Sole", "location", [], True, False), (6, "piero-bassi", "Piero Bassi", "invalid", [], False, False),
+         (7, "energia-sole", "Energia del sole", "subject", [], True, False)],
+        "topic_id bigint, slug string, name string, type string, aliases array<string>, is_curated boolean, case_sensitive boolean")
+    docs = spark.createDataFrame(
+        [(1, "la nuova Acme Turbo 500 sul lago", "Il lago e US, con us; dice Marta Neri", ["Energia"]), (2, "il signor Carlo Energia parla", "poi Piero Bassi saluta", None),
+         (3, "Offerta sul lago", "lago", None), (4, None, None, None), (5, "energia del sole", "", None), (6, "x", "scrive Anna Verdi, e Verdi tace", None)],
+        "doc_id long, title string, body string, taxonomy array<string>")
+    edges, new = articles.article_topics(docs, topics, ambiguous_places=("sole",), common=("Turbo", "Carlo"))
+    named = {r.topic_id: (r.slug, r.type) for r in new.collect()}
+    assert sorted(named.values()) == [("acme-turbo-500", "model"), ("anna-verdi", "person"), ("marta-neri", "person")] and sorted(named) == [8, 9, 10]
+    found = {(r.doc_id, named.get(r.topic_id, (r.topic_id,))[0]): (r.score, r.position) for r in edges.collect()}
+    assert found == {
+        (1, 1): (4.0, "both"), (1, 2): (3.0, "title"), (1, 3): (1.0, "body"), (1, 4): (1.0, "body"), (1, "acme-turbo-500"): (3.0, "title"), (1, "marta-neri"): (1.0, "body"),
+        (2, 4): (3.0, "title"), (5, 7): (3.0, "title"), (6, "anna-verdi"): (1.0, "body")}
+    only, none = articles.article_topics(docs, topics, [(7, [1, 4])], curated_only=True, title_only=True)
+    assert none.isEmpty() and {(r.doc_id, r.topic_id, r.score) for r in only.collect()} == {(1, 1, 3.0), (1, 2, 3.0), (2, 4, 3.0), (5, 7, 3.0)}
+    default = spark.createDataFrame([(1,)], "x int")
+    assert articles.rules_or_default(default.limit(0), default).count() == 1
+
+
 def test_classify_scores(spark):
     docs = spark.createDataFrame([(1, "Roma Roma", "a Roma"), (2, "Offerta Roma", "Roma"), (3, None, None)], "doc_id long, title string, body string")
     topics = spark.createDataFrame([(1, "location", "Roma")], "topic_id long, type string, term string")
