@@ -122,16 +122,18 @@ class _Search:
         # a row that only ties with the worst can still have the smaller id
         better = (scores.max(axis=1) >= self.best[q, -1]).nonzero()[0]
         if len(better):
-            own = scores[better]
-            if own.shape[1] > 2 * self.k:  # what is below the kth of these alone cannot count
-                kth = np.partition(own, own.shape[1] - self.k, axis=1)[:, -self.k]
-                some = (own >= np.maximum(kth, self.best[q[better], -1])[:, None]).any(axis=0)
-                own, c = own[:, some], c[some]
-            rows = q[better]
-            both = np.concatenate([self.best[rows], own], axis=1)
-            ids = np.concatenate([self.best_ids[rows], np.broadcast_to(self.ids[c], own.shape)], axis=1)
-            order = np.lexsort((ids, -both if both.dtype.kind == "f" else ~both), axis=1)[:, : self.k]
-            self.best[rows], self.best_ids[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(ids, order, 1)
+            rows, own = q[better], scores[better]
+            least = self.best[rows, -1]
+            if own.shape[1] > self.k:  # what is below the kth of these alone cannot count
+                least = np.maximum(least, np.partition(own, own.shape[1] - self.k, axis=1)[:, -self.k])
+            at, col = ((own >= least[:, None]) & (own > self.lowest)).nonzero()
+            of = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+            both = np.concatenate([self.best[rows].ravel(), own[at, col]])
+            ids = np.concatenate([self.best_ids[rows].ravel(), self.ids[c[col]]])
+            order = np.lexsort((ids, -both if both.dtype.kind == "f" else ~both, of))
+            place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+            order = order[place < self.k].reshape(len(rows), self.k)
+            self.best[rows], self.best_ids[rows] = both[order], ids[order]
 
     def result(self) -> pd.DataFrame:
         at, col = (self.best != self.lowest).nonzero()
