@@ -27,8 +27,9 @@ TOP = 20
 BLOCK_ROWS = 32_768
 QUERY_BLOCK_ROWS = 8_192
 LEAF = 256
-#: A node is not split where children would hold fewer rows on average, as far as so many of its rows tell.
-FEWEST, PROBED = 8, 256
+#: A node is not split where its children would hold fewer rows on average than such a part of a leaf, as far as so many of
+#: its rows tell.
+FEWEST, PROBED = 4, 256
 
 
 @dataclass
@@ -40,37 +41,41 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def _away(points: np.ndarray, rows: np.ndarray, row: int) -> np.ndarray:
-    return np.sqrt(((points[rows] - points[row]) ** 2).sum(axis=1))
-
-
 def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
     """The cover tree of points[rows] (one row at least), whose leaves hold `leaf` rows at most, or more where these are
     equal or too far apart for the next level to gather them."""
 
+    wide = points.astype(float)
+    squares, fewest = (wide**2).sum(axis=1), max(2, leaf // FEWEST)
+
+    def from_point(own: np.ndarray, row: int) -> np.ndarray:
+        """Distances of rows to a row."""
+        return np.sqrt(np.maximum(squares[own] + squares[row] - 2 * (wide[own] @ wide[row]), 0.0))
+
     def node(own: np.ndarray, row: int, away: np.ndarray) -> Node:
         radius = float(away.max())
         return Node(own, points[row], math.ceil(math.log2(radius)) if radius > 0 else -1075, radius)
 
-    root = node(rows, int(rows[0]), _away(points, rows, int(rows[0])))
+    root = node(rows, int(rows[0]), from_point(rows, int(rows[0])))
     todo = [(root, int(rows[0]))]
     while todo:
         at, row = todo.pop()
         if len(at.rows) <= leaf or at.radius == 0:
             continue
         reach = 2.0 ** (at.level - 1)
-        some = points[at.rows[:: max(1, len(at.rows) // PROBED)]]
-        gaps = (some**2).sum(axis=1)
-        close = (gaps[:, None] + gaps[None, :] - 2 * some @ some.T <= reach**2).mean()
-        if close * len(at.rows) < FEWEST:
+        some, gaps = wide[at.rows[:: max(1, len(at.rows) // PROBED)]], squares[at.rows[:: max(1, len(at.rows) // PROBED)]]
+        close = ((gaps[:, None] + gaps[None, :] - 2 * some @ some.T <= reach**2).sum() - len(some)) / max(1, len(some) * (len(some) - 1))
+        if close * len(at.rows) < fewest:
             continue
         # farthest first, so that every new child is more than `reach` from all others
-        near, to, heads = _away(points, at.rows, row), np.zeros(len(at.rows), np.int64), [row]
-        while near.max() > reach:
+        near, to, heads = from_point(at.rows, row), np.zeros(len(at.rows), np.int64), [row]
+        while near.max() > reach and len(heads) * fewest <= len(at.rows):
             heads.append(int(at.rows[near.argmax()]))
-            away = _away(points, at.rows, heads[-1])
+            away = from_point(at.rows, heads[-1])
             to[away < near] = len(heads) - 1
             near = np.minimum(near, away)
+        if near.max() > reach:  # the sample told too much
+            continue
         by = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[by], np.arange(len(heads) + 1))
         for k, head in enumerate(heads):
@@ -97,7 +102,8 @@ class _Search:
         while todo:
             q, c = todo.pop()
             bound = self.bound(q, c)
-            if bound + 1e-6 * (abs(bound) + 1) < float(np.maximum(self.best[q.rows, -1], self.floors[q.rows]).min()):
+            rounding = 1e-6 * (abs(bound) + np.linalg.norm(q.point.astype(float)) * np.linalg.norm(c.point.astype(float)) + 1)
+            if bound + rounding < float(np.maximum(self.best[q.rows, -1], self.floors[q.rows]).min()):
                 self.pruned += 1
             elif q.children and (not c.children or q.radius >= c.radius):
                 todo += [(child, c) for child in q.children]
