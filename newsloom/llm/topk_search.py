@@ -49,8 +49,10 @@ def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
     squares, fewest = (wide**2).sum(axis=1), max(2, leaf // FEWEST)
 
     def from_point(own: np.ndarray, row: int) -> np.ndarray:
-        """Distances of rows to a row."""
-        return np.sqrt(np.maximum(squares[own] + squares[row] - 2 * (wide[own] @ wide[row]), 0.0))
+        """Distances of rows to a row; 0 where only rounding parts them."""
+        both = squares[own] + squares[row]
+        gap = both - 2 * (wide[own] @ wide[row])
+        return np.sqrt(np.where(gap <= 1e-14 * both, 0.0, gap))
 
     def node(own: np.ndarray, row: int, away: np.ndarray) -> Node:
         radius = float(away.max())

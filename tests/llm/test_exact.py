@@ -407,7 +407,7 @@ def test_cover_tree_invariants():
         while todo:
             node = todo.pop()
             away = np.sqrt(((points[node.rows] - node.point) ** 2).sum(axis=1))
-            assert away.max() == pytest.approx(node.radius, abs=1e-6) and node.radius <= 2.0**node.level
+            assert away.max() == pytest.approx(node.radius, abs=1e-4) and node.radius <= 2.0**node.level
             if node.children:
                 heads = np.array([c.point for c in node.children])
                 gaps = np.sqrt(((heads[:, None] - heads[None]) ** 2).sum(axis=2)) + np.eye(len(heads)) * 1e9
