@@ -1,4 +1,7 @@
-"""Alerts as set containment or overlap, and the daily digest."""
+"""Alerts as set containment or overlap, and the daily digest.
+
+Null ids match nothing, rows that repeat count once, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

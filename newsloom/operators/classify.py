@@ -1,4 +1,7 @@
-"""Dictionary classification of texts: scan, score, caps, composites, subsumption; pattern extractors and entity mining."""
+"""Dictionary classification of texts: scan, score, caps, composites, subsumption; pattern extractors and entity mining.
+
+Null texts hold no terms and no names, ties go to the smaller id, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Knowledge enrichment of topics: scoring of candidate entries, type inference, alias and reference merges; source discovery."""
+"""Knowledge enrichment of topics: scoring of candidate entries, type inference, alias and reference merges; source discovery.
+
+Null names and labels match nothing, ties go to the smaller id, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

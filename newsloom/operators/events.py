@@ -1,4 +1,7 @@
-"""Engagement events in batch: coercion, breakdowns, counters, rate limits and bans."""
+"""Engagement events in batch: coercion, breakdowns, counters, rate limits and bans.
+
+Null keys are left out of counters, repeated rows count each, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Timelines with keyset pages, category trees and the joins around them."""
+"""Timelines with keyset pages, category trees and the joins around them.
+
+Null ids and times are in no timeline, equal times are ordered by id, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

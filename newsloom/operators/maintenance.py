@@ -1,4 +1,7 @@
-"""Scheduling, retention, statistics, deduplicating ingest, additive upserts and merges."""
+"""Scheduling, retention, statistics, deduplicating ingest, additive upserts and merges.
+
+Null keys match nothing, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Related articles by IDF-weighted topic overlap, for all source articles at once."""
+"""Related articles by IDF-weighted topic overlap, for all source articles at once.
+
+Null ids and times relate to nothing, repeated edges count as often as they occur, ties end with the id, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

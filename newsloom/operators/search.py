@@ -1,4 +1,7 @@
-"""Full-text search over documents: postings, BM25, highlight, suggestions; and text queries over pages."""
+"""Full-text search over documents: postings, BM25, highlight, suggestions; and text queries over pages.
+
+Null texts hold no words, ties are ordered by id, and empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Traffic rules over request logs: address ranges, block decisions in order, scanner paths, exempt routes."""
+"""Traffic rules over request logs: address ranges, block decisions in order, scanner paths, exempt routes.
+
+Null addresses, agents and paths match no rule, and empty rule tables block nothing.
+"""
 
 from __future__ import annotations
 
