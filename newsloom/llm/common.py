@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder if there are no
     other machines (tests); else an error, since executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{found or 'file:///tmp/checkpoints'}/newsloom-{spark.sparkContext.applicationId}"
 
@@ -32,19 +33,29 @@ def bound_batches(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and outlives a lost executor. Bounds the
     session's Arrow batches (bound_batches)."""
+    return write_table(df)[0]
+
+
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """As materialize, with the table's folder, for a caller that deletes it by drop_folder when it is done."""
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete all that materialize has written in this application. What was made from it cannot be read any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store. What was made from it cannot be read any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all that materialize has written in this application."""
+    drop_folder(spark, shared_dir(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's folder. Bounds the session's Arrow batches (bound_batches)."""
     bound_batches(spark)
