@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("html_extract", "decontaminate", "chat_format", "ctw", "toxicity", "jaccard_join", "language_id", "sharding", "packing", "topk_search", "clustering", "alignment")
+MODULES = ("html_extract", "decontaminate", "chat_format", "ctw", "toxicity", "jaccard_join", "language_id", "sharding", "packing", "topk_search", "cap_filters", "clustering", "alignment")
 
 
 def queries() -> dict:
