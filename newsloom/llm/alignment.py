@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from newsloom.llm import packing
 from newsloom.llm.common import give_back, materialize, most_frequent, small, table
 
-CACHE_WORDS = 60_000
+#: Words whose groups a task keeps, and as many that it met before.
+CACHE_WORDS = 150_000
 #: The most frequent groups go to every task, so many at most and only such as take no more bytes than this; the other
 #: groups are joined by a shuffle.
 BROADCAST_GROUPS, BROADCAST_BYTES = 400_000, 64
@@ -53,25 +54,36 @@ class Aligner:
         self.a_bytes = [t.encode() if i in special else bytes(as_byte[c] for c in t) for i, t in enumerate(map(self.a.id_to_token, range(size)))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = ([len(t) for t in x] for x in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in pieces)
-        self.cache: dict[str, tuple[int, int, tuple[str, ...], str] | None] = {}
+        self.new: dict[str, tuple[int, int, list[str], str]] = {}  # what was met since the last full cache, and before
+        self.old: dict[str, tuple[int, int, list[str], str]] = {}
 
-    def _groups(self, text: str, a: list[int]) -> tuple[int, int, tuple[str, ...], str] | None:
-        """Tokens of A, of B, the groups, these joined; None where the tokens' bytes are not the text's."""
-        b, told = self.b.encode(text), (" " + text).encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != told or b"".join(map(self.b_bytes.__getitem__, b)) != told:
+    def _groups(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[str], str] | None:
+        """Tokens of A, of B, the groups, these joined; None where the tokens' bytes are not a space and the text."""
+        told = (" " + text).encode()
+        if b"".join([self.a_bytes[i] for i in a]) != told or b"".join([self.b_bytes[i] for i in b]) != told:
             return None
-        ends_a, ends_b = self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum()
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        at_a, at_b = ((np.searchsorted(e, both) + 1).tolist() for e in (ends_a, ends_b))
-        a_ids, b_ids = list(map(str, a)), list(map(str, b))
-        groups = tuple(
-            ",".join(a_ids[i:j]) + "|" + ",".join(b_ids[k:m]) for i, j, k, m in zip([0, *at_a[:-1]], at_a, [0, *at_b[:-1]], at_b, strict=True))
+        names, groups = self.names, []
+        if len(a) == len(b) == 1:
+            groups.append(f"{names[a[0]]}|{names[b[0]]}")
+        else:
+            end_a = end_b = i = j = first_a = first_b = 0
+            while i < len(a):
+                end_a += self.a_sizes[a[i]]
+                i += 1
+                while end_b < end_a:
+                    end_b += self.b_sizes[b[j]]
+                    j += 1
+                if end_a == end_b:
+                    groups.append(",".join([names[x] for x in a[first_a:i]]) + "|" + ",".join([names[x] for x in b[first_b:j]]))
+                    first_a, first_b = i, j
         return len(a), len(b), groups, ";".join(groups)
 
-    def _word(self, word: str) -> tuple[int, int, tuple[str, ...], str] | None:
-        return self._groups(word, np.frombuffer(self.words._word(word), np.uint32).tolist())
+    def _words(self, words: list[str]) -> list[tuple[int, int, list[str], str] | None]:
+        ids = [array("I", self.words._word(w)).tolist() for w in words]
+        return [self._groups(*x) for x in zip(words, ids, self.b.encode(words, num_threads=1), strict=True)]
 
     def __call__(self, text: str | None) -> tuple[int, int, str, dict[str, int]]:
         """Tokens of A, of B, digest of the groups, occurrences of each group."""
@@ -80,19 +92,22 @@ class Aligner:
             return none
         plain = self.by_word and packing._PLAIN.fullmatch(text) and text[0] != " " and text[-1] != " "
         if not plain or any(s in text for s in packing._ODD_SPACE):
-            found = self._groups(text, self.a.encode(" " + text, add_special_tokens=False).ids)
+            found = self._groups(text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
             return (*found[:2], hashlib.sha256(found[3].encode()).hexdigest(), Counter(found[2])) if found else none
-        words, cache = text.split(" "), self.cache
+        words = text.split(" ")
         counted = Counter(words)
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        cache = {w: self.new.get(w) or self.old.get(w) for w in counted}
+        missing = [w for w, found in cache.items() if not found]
+        cache |= zip(missing, self._words(missing), strict=True)
+        if None in cache.values():
+            return none
+        self.new |= cache
+        if len(self.new) > CACHE_WORDS:
+            self.new, self.old = {}, self.new
         n_a = n_b = 0
         groups: dict[str, int] = {}
         for word, n in counted.items():
-            if word not in cache:
-                cache[word] = self._word(word)
-            if (found := cache[word]) is None:
-                return none
+            found = cache[word]
             n_a, n_b = n_a + n * found[0], n_b + n * found[1]
             for g in found[2]:
                 groups[g] = groups.get(g, 0) + n
