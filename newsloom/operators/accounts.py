@@ -14,12 +14,12 @@ from newsloom.sources.domain import Domain, with_domain
 SESSION_DAYS = 30
 
 
-def username_problem(name: Column, reserved: Column) -> Column:
-    """invalid, prefix, reserved or null for a usable name: 3 to 30 of a-z, 0-9 and _, not beginning with yf_ (a fixed value),
-    not in the array of reserved words."""
+def username_problem(name: Column, reserved: Column, own_prefix: str = "system_") -> Column:
+    """invalid, prefix, reserved or null for a usable name: 3 to 30 of a-z, 0-9 and _, not beginning with the site's own
+    prefix, not in the array of reserved words."""
     low = F.lower(F.trim(name))
     return (
-        F.when(low.isNull() | ~low.rlike("^[a-z0-9_]{3,30}$"), "invalid").when(low.startswith("yf_"), "prefix")
+        F.when(low.isNull() | ~low.rlike("^[a-z0-9_]{3,30}$"), "invalid").when(low.startswith(own_prefix), "prefix")
         .when(F.array_contains(F.transform(reserved, F.lower), low), "reserved")
     )
 
@@ -120,7 +120,7 @@ def _names(spark, sf):
     names = d.sources().select("source_id", F.concat(F.substring("title", 1, 3), F.when(F.col("source_id") % 2 == 0, "_").otherwise("#"), F.col("source_id") % 50).alias("name"))
     made = names.withColumn("username", username_from_email(F.concat("name", F.lit("@x.org"))))
     reserved = F.array(*[F.lit(w) for w in ("cus_2", "CUS_4", "admin")])
-    return made.select("source_id", "username", username_problem(F.when(F.col("source_id") % 7 == 0, F.concat(F.lit("yf_"), "username")).otherwise(F.col("name")), reserved).alias("problem"))
+    return made.select("source_id", "username", username_problem(F.when(F.col("source_id") % 7 == 0, F.concat(F.lit("sys_"), "username")).otherwise(F.col("name")), reserved, "sys_").alias("problem"))
 
 
 _USERS_SQL = """
@@ -151,6 +151,6 @@ LEFT JOIN (SELECT user_id, count(*) AS n FROM b GROUP BY 1) x USING (user_id) LE
 LEFT JOIN (SELECT user_id, count(*) AS n FROM f GROUP BY 1) z USING (user_id)"""),
     "usernames": with_domain("sources", """
 , n AS (SELECT source_id, substr(title, 1, 3) || CASE WHEN source_id % 2 = 0 THEN '_' ELSE '#' END || (source_id % 50) AS name FROM sources),
-m AS (SELECT source_id, regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g') AS username, lower(CASE WHEN source_id % 7 = 0 THEN 'yf_' || regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g') ELSE name END) AS x FROM n)
-SELECT source_id, username, CASE WHEN NOT regexp_full_match(x, '[a-z0-9_]{3,30}') THEN 'invalid' WHEN starts_with(x, 'yf_') THEN 'prefix' WHEN x IN ('cus_2', 'cus_4', 'admin') THEN 'reserved' END AS problem FROM m"""),
+m AS (SELECT source_id, regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g') AS username, lower(CASE WHEN source_id % 7 = 0 THEN 'sys_' || regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g') ELSE name END) AS x FROM n)
+SELECT source_id, username, CASE WHEN NOT regexp_full_match(x, '[a-z0-9_]{3,30}') THEN 'invalid' WHEN starts_with(x, 'sys_') THEN 'prefix' WHEN x IN ('cus_2', 'cus_4', 'admin') THEN 'reserved' END AS problem FROM m"""),
 }

@@ -28,9 +28,14 @@ def test_block_order(spark):
 
 
 def test_hit_score(spark):
-    score = lambda n, label, a: one(spark, E.hit_score(F.col("n"), F.col("l"), F.col("a")), (n, label, a), "n string, l string, a array<string>")
-    assert score("Roma", "Roma", None) == 1.0 and score("roma ", "Roma", []) == 0.85
-    assert score("Urbe", "Roma", ["URBE"]) == 0.8 and score("mario rossi", "Mario Luigi Rossi", None) == 0.75 and score("a", "b", []) is None
+    columns = ("n", "matched", "kind", "language", "label", "a")
+    score = lambda *row: one(spark, E.hit_score(*map(F.col, columns)), row, "n string, matched string, kind string, language string, label string, a array<string>")
+    assert score("Roma", "roma ", "label", "it", "Roma", None) == 1.0 and score("Roma", "Roma", "label", "en", "Roma", []) == 0.85
+    assert score("Urbe", "URBE", "alias", "it", "Roma", ["URBE"]) == 0.8 and score("Urbe", "Urbe", "alias", "en", "Roma", None) == 0.7
+    assert score("Urbe", "Urbe", "alias", "fr", "Roma", None) == 0.7  # other languages count as English
+    assert score("Roma", "Rome", "label", "it", "Comune di Roma", None) == 0.8 and score("mario rossi", "x", "label", "it", "Mario Luigi Rossi", None) == 0.8
+    assert score("Città Eterna", "x", "label", "it", "Roma", ["altro", "la Città Eterna"]) == 0.75
+    assert score("a", "b", "label", "it", "b", []) is None and score(None, "b", "label", "it", "b", None) is None and score("", "b", "alias", "it", None, [""]) is None
 
 
 def test_types_and_merges(spark):

@@ -125,6 +125,8 @@ def test_extractors(spark):
     assert people("NEL Paese Grande") == [] and people("Anna I. Bruni canta") == []
     assert people("Uno Due Tre") == [] and people("Silvia,Marta Bianchi") == ["Marta Bianchi"]
     assert value(spark, extractors.extract_popes(F.col("x")), x="ieri Papa Clemente VIII e Papa Leo; Papa re") == ["Papa Clemente VIII", "Papa Leo"]
+    assert value(spark, extractors.extract_popes(F.col("x")), x="Papa Leone XIV, Papa Sisto IIII, Papa Giovanni XXIII") == ["Papa Leone XIV", "Papa Sisto", "Papa Giovanni XXIII"]
+    assert [extractors.roman(n) for n in (1, 4, 9, 14, 19, 28, 39)] == ["I", "IV", "IX", "XIV", "XIX", "XXVIII", "XXXIX"]
     assert value(spark, extractors.extract_alphanumeric_brands(F.col("x")), x="Una KTM, poi 3Com e G7 PER la a4 del DEL") == ["KTM", "3Com", "G7"]
     assert value(spark, extractors.extract_single_brands(F.col("x"), ("Forse",)), x="Compro Barilla: Mulino, Forse. Sempre") == ["Barilla", "Mulino"]
     found = lambda x, *brands: value(spark, extractors.extract_models(F.col("x"), brands, ("Oggi",)), x=x)
