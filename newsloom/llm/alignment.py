@@ -14,8 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,29 +60,37 @@ class Aligner:
         self.old: dict[str, tuple[int, int, list[str], str]] = {}
 
     def _groups(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[str], str] | None:
-        """Tokens of A, of B, the groups, these joined; None where the tokens' bytes are not a space and the text."""
-        told = (" " + text).encode()
-        if b"".join([self.a_bytes[i] for i in a]) != told or b"".join([self.b_bytes[i] for i in b]) != told:
+        """Tokens of A, of B, the groups, these joined; None where the tokens' bytes are not a space and the text. (A writes
+        every byte by a token of its vocabulary, so its bytes always are.)"""
+        if b"".join([self.b_bytes[i] for i in b]) != (" " + text).encode():
             return None
-        names, groups = self.names, []
-        if len(a) == len(b) == 1:
-            groups.append(f"{names[a[0]]}|{names[b[0]]}")
-        else:
-            end_a = end_b = i = j = first_a = first_b = 0
-            while i < len(a):
-                end_a += self.a_sizes[a[i]]
-                i += 1
-                while end_b < end_a:
-                    end_b += self.b_sizes[b[j]]
-                    j += 1
-                if end_a == end_b:
-                    groups.append(",".join([names[x] for x in a[first_a:i]]) + "|" + ",".join([names[x] for x in b[first_b:j]]))
-                    first_a, first_b = i, j
+        names, a_sizes, b_sizes, groups = self.names, self.a_sizes, self.b_sizes, []
+        end_a = end_b = j = 0
+        of_a = of_b = ""
+        for x in a:
+            end_a += a_sizes[x]
+            of_a = f"{of_a},{names[x]}" if of_a else names[x]
+            while end_b < end_a:
+                y = b[j]
+                end_b += b_sizes[y]
+                of_b = f"{of_b},{names[y]}" if of_b else names[y]
+                j += 1
+            if end_a == end_b:
+                groups.append(f"{of_a}|{of_b}")
+                of_a = of_b = ""
         return len(a), len(b), groups, ";".join(groups)
 
+    def _ids(self, word: str) -> list[int]:
+        """A's ids of a plain word and the space before it."""
+        merge = self.words.merge
+        if word.isalpha():
+            return merge(f" {word}".encode())
+        if word[-1] in ".,;:" and word[:-1].isalpha():
+            return merge(f" {word[:-1]}".encode()) + merge(word[-1:].encode())
+        return [i for piece in packing._PIECES.findall(" " + word) for i in merge(piece.encode())]
+
     def _words(self, words: list[str]) -> list[tuple[int, int, list[str], str] | None]:
-        ids = [array("I", self.words._word(w)).tolist() for w in words]
-        return [self._groups(*x) for x in zip(words, ids, self.b.encode(words, num_threads=1), strict=True)]
+        return list(map(self._groups, words, map(self._ids, words), self.b.encode(words, num_threads=1)))
 
     def __call__(self, text: str | None) -> tuple[int, int, str, dict[str, int]]:
         """Tokens of A, of B, digest of the groups, occurrences of each group."""
@@ -91,26 +98,39 @@ class Aligner:
         if not text:
             return none
         plain = self.by_word and packing._PLAIN.fullmatch(text) and text[0] != " " and text[-1] != " "
-        if not plain or any(s in text for s in packing._ODD_SPACE):
+        if not plain or any(x in text for x in packing._ODD_SPACE):
             found = self._groups(text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
             return (*found[:2], hashlib.sha256(found[3].encode()).hexdigest(), Counter(found[2])) if found else none
         words = text.split(" ")
         counted = Counter(words)
-        cache = {w: self.new.get(w) or self.old.get(w) for w in counted}
-        missing = [w for w, found in cache.items() if not found]
-        cache |= zip(missing, self._words(missing), strict=True)
-        if None in cache.values():
-            return none
-        self.new |= cache
-        if len(self.new) > CACHE_WORDS:
-            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        cache, missing = {}, []
+        for word in counted:
+            found = new.get(word)
+            if found is None:
+                found = old.get(word)
+                if found is None:
+                    missing.append(word)
+                    continue
+                new[word] = found
+            cache[word] = found
+        if missing:
+            made = self._words(missing)
+            if None in made:
+                return none
+            made = dict(zip(missing, made, strict=True))
+            cache |= made
+            new |= made
+            if len(new) > CACHE_WORDS:
+                self.new, self.old = {}, new
         n_a = n_b = 0
-        groups: dict[str, int] = {}
+        groups: dict[str, int] = defaultdict(int)
         for word, n in counted.items():
-            found = cache[word]
-            n_a, n_b = n_a + n * found[0], n_b + n * found[1]
-            for g in found[2]:
-                groups[g] = groups.get(g, 0) + n
+            of_a, of_b, own, _ = cache[word]
+            n_a += n * of_a
+            n_b += n * of_b
+            for g in own:
+                groups[g] += n
         digest = hashlib.sha256()
         for i in range(0, len(words), 10_000):
             digest.update((";" if i else "").encode() + ";".join([cache[w][3] for w in words[i : i + 10_000]]).encode())
