@@ -16,7 +16,9 @@ import hashlib
 import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ SPACE = "▁"
 PARTS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups array<string>, counts array<long>"
 
 
+#: A text's tokens of A, of B, digest, occurrences of each group; and a word's tokens, groups and these joined.
+Told = tuple[int, int, str, dict[str, int]]
+Found = tuple[int, int, list[str], str]
+NONE: Told = (0, 0, "", {})
+
+
+def _runs(texts: list[str | None], size: int = 1 << 18) -> Iterator[list[str | None]]:
+    """Texts in runs of about `size` characters; a longer one is a run of its own."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > size:
+            yield texts[first:i]
+            first, held = i, 0
+        held += len(t or "")
+    yield texts[first:]
+
+
 def byte_level_bytes() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,32 +72,34 @@ class Aligner:
         self.a_bytes = [t.encode() if i in special else bytes(as_byte[c] for c in t) for i, t in enumerate(map(self.a.id_to_token, range(size)))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_sizes, self.b_sizes = ([len(t) for t in x] for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in pieces)
-        self.new: dict[str, tuple[int, int, list[str], str]] = {}  # what was met since the last full cache, and before
-        self.old: dict[str, tuple[int, int, list[str], str]] = {}
-
-    def _groups(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[str], str] | None:
-        """Tokens of A, of B, the groups, these joined; None where the tokens' bytes are not a space and the text. (A writes
-        every byte by a token of its vocabulary, so its bytes always are.)"""
-        if b"".join([self.b_bytes[i] for i in b]) != (" " + text).encode():
-            return None
-        names, a_sizes, b_sizes, groups = self.names, self.a_sizes, self.b_sizes, []
-        end_a = end_b = j = 0
-        of_a = of_b = ""
-        for x in a:
-            end_a += a_sizes[x]
-            of_a = f"{of_a},{names[x]}" if of_a else names[x]
-            while end_b < end_a:
-                y = b[j]
-                end_b += b_sizes[y]
-                of_b = f"{of_b},{names[y]}" if of_b else names[y]
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{of_a}|{of_b}")
-                of_a = of_b = ""
-        return len(a), len(b), groups, ";".join(groups)
+        self.new: dict[str, Found | None] = {}  # words met since it was last full, and before
+        self.old: dict[str, Found | None] = {}
+        self.known: dict[str, str] = {}
+
+    def _groups(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Found | None]:
+        """Of every text with its ids: tokens of A, of B, the groups, these joined; None where the tokens' bytes are not a space
+        and the text. The texts are cut as one long text, for tokens of both end where each of them ends."""
+        told = [(" " + t).encode() for t in texts]
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ends = np.cumsum([len(t) for t in told])
+        same = b"".join([self.a_bytes[i] for i in flat_a]) == b"".join([self.b_bytes[i] for i in flat_b]) == b"".join(told)
+        ends_a, ends_b = self.a_sizes[flat_a].cumsum(), self.b_sizes[flat_b].cumsum()
+        n_a, n_b = [len(x) for x in a], [len(x) for x in b]
+        if not same or (ends_a[np.cumsum(n_a) - 1] != ends).any() or (ends_b[np.cumsum(n_b) - 1] != ends).any():
+            return [None] if len(texts) == 1 else [self._groups([t], [x], [y])[0] for t, x, y in zip(texts, a, b, strict=True)]
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        at_a, at_b = ((np.searchsorted(e, both) + 1).tolist() for e in (ends_a, ends_b))
+        names_a, names_b = [self.names[i] for i in flat_a], [self.names[i] for i in flat_b]
+        groups = [
+            f"{names_a[i]}|{names_b[k]}" if j - i == m - k == 1 else ",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m])
+            for i, j, k, m in zip([0, *at_a[:-1]], at_a, [0, *at_b[:-1]], at_b, strict=True)]
+        at = (np.searchsorted(both, ends) + 1).tolist()
+        groups = list(map(self.known.setdefault, groups, groups))  # one object for equal groups: counted faster, and smaller
+        own = [groups[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+        return list(zip(n_a, n_b, own, map(";".join, own), strict=True))
 
     def _ids(self, word: str) -> list[int]:
         """A's ids of a plain word and the space before it."""
@@ -89,53 +110,56 @@ class Aligner:
             return merge(f" {word[:-1]}".encode()) + merge(word[-1:].encode())
         return [i for piece in packing._PIECES.findall(" " + word) for i in merge(piece.encode())]
 
-    def _words(self, words: list[str]) -> list[tuple[int, int, list[str], str] | None]:
-        return list(map(self._groups, words, map(self._ids, words), self.b.encode(words, num_threads=1)))
-
-    def __call__(self, text: str | None) -> tuple[int, int, str, dict[str, int]]:
-        """Tokens of A, of B, digest of the groups, occurrences of each group."""
-        none = (0, 0, "", {})
-        if not text:
-            return none
-        plain = self.by_word and packing._PLAIN.fullmatch(text) and text[0] != " " and text[-1] != " "
-        if not plain or any(x in text for x in packing._ODD_SPACE):
-            found = self._groups(text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
-            return (*found[:2], hashlib.sha256(found[3].encode()).hexdigest(), Counter(found[2])) if found else none
-        words = text.split(" ")
-        counted = Counter(words)
-        new, old = self.new, self.old
-        cache, missing = {}, []
-        for word in counted:
-            found = new.get(word)
-            if found is None:
-                found = old.get(word)
-                if found is None:
-                    missing.append(word)
-                    continue
-                new[word] = found
-            cache[word] = found
+    def _learn(self, words: set[str]) -> None:
+        """Cut words that are not held yet."""
+        for word in words & self.old.keys():
+            self.new[word] = self.old[word]
+        missing = list(words - self.new.keys())
         if missing:
-            made = self._words(missing)
-            if None in made:
-                return none
-            made = dict(zip(missing, made, strict=True))
-            cache |= made
-            new |= made
-            if len(new) > CACHE_WORDS:
-                self.new, self.old = {}, new
+            self.new.update(zip(missing, self._groups(missing, list(map(self._ids, missing)), self.b.encode(missing, num_threads=1)), strict=True))
+
+    def _whole(self, text: str) -> Told:
+        found = self._groups([text], [self.a.encode(" " + text, add_special_tokens=False).ids], [self.b.encode(text)])[0]
+        return (*found[:2], hashlib.sha256(found[3].encode()).hexdigest(), Counter(found[2])) if found else NONE
+
+    def _by_words(self, words: list[str], counted: Counter) -> Told:
+        """Of words that are held."""
+        held = self.new
         n_a = n_b = 0
         groups: dict[str, int] = defaultdict(int)
         for word, n in counted.items():
-            of_a, of_b, own, _ = cache[word]
-            n_a += n * of_a
-            n_b += n * of_b
-            for g in own:
+            if (found := held[word]) is None:
+                return NONE
+            n_a += n * found[0]
+            n_b += n * found[1]
+            for g in found[2]:
                 groups[g] += n
         digest = hashlib.sha256()
         for i in range(0, len(words), 10_000):
-            digest.update((";" if i else "").encode() + ";".join([cache[w][3] for w in words[i : i + 10_000]]).encode())
+            digest.update((";" if i else "").encode() + ";".join([held[w][3] for w in words[i : i + 10_000]]).encode())
         return n_a, n_b, digest.hexdigest(), groups
 
+    def __call__(self, texts: list[str | None]) -> list[Told]:
+        """Of every text: tokens of A, of B, digest of the groups, occurrences of each group."""
+        out: list[Told] = [NONE] * len(texts)
+        cut = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            plain = self.by_word and packing._PLAIN.fullmatch(text) and text[0] != " " and text[-1] != " "
+            if not plain or any(x in text for x in packing._ODD_SPACE):
+                out[i] = self._whole(text)
+            else:
+                words = text.split(" ")
+                cut.append((i, words, Counter(words)))
+        if cut:
+            self._learn(set().union(*(c for _, _, c in cut)))
+        for i, words, counted in cut:
+            out[i] = self._by_words(words, counted)
+        if len(self.new) > CACHE_WORDS:
+            self.new, self.old, self.known = {}, self.new, {}
+        return out
+
 
 def align(docs: DataFrame, a: str, ranks: str, b: str, broadcast_groups: int = BROADCAST_GROUPS) -> tuple[DataFrame, DataFrame]:
     """Of every document doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; and the corpus's links:
@@ -149,7 +173,7 @@ def align(docs: DataFrame, a: str, ranks: str, b: str, broadcast_groups: int = B
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         aligner = Aligner(a, ranks, b)
         for batch in batches:
-            found = [aligner(t) for t in batch.column(1).to_pylist()]
+            found = [f for texts in _runs(batch.column(1).to_pylist()) for f in aligner(texts)]
             longs = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), longs([f[0] for f in found]), longs([f[1] for f in found]), longs([sum(f[3].values()) for f in found]),

@@ -80,5 +80,4 @@ def test_words_give_the_ids_of_whole_texts():
     rng = random.Random(5)
     for _ in range(3000):
         text = "".join(rng.choice(["a", "e", "th", "ing", " ", " ", "\n", ".", ",", "'s", "7", "é", "ß", "-", "_", "<", "„"]) for _ in range(rng.randint(1, 40)))
-        found = aligner._groups(text, aligner.a.encode(" " + text, add_special_tokens=False).ids, aligner.b.encode(text))
-        assert aligner(text) == (*found[:2], hashlib.sha256(found[3].encode()).hexdigest(), Counter(found[2]))
+        assert aligner([text]) == [aligner._whole(text)]
