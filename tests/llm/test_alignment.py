@@ -80,4 +80,5 @@ def test_words_give_the_ids_of_whole_texts():
     rng = random.Random(5)
     for _ in range(3000):
         text = "".join(rng.choice(["a", "e", "th", "ing", " ", " ", "\n", ".", ",", "'s", "7", "é", "ß", "-", "_", "<", "„"]) for _ in range(rng.randint(1, 40)))
-        assert aligner([text]) == [aligner._whole(text)]
+        by_word, whole = aligner([text])[0], aligner._whole(text)
+        assert by_word[:3] == whole[:3] and dict(zip(*by_word[3:], strict=True)) == dict(zip(*whole[3:], strict=True))
