@@ -6,6 +6,8 @@ and their 32 bits. A network's length counts from the first of 128 bits, so IPv4
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,27 +26,41 @@ def _v4(text: Column) -> Column:
     return sum((F.get(parts, F.lit(i)).try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, wherever the optimizer puts the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(text: Column) -> Column:
+    """struct<hi, lo> of an IPv6 address in lower case without a dotted end; null for anything else."""
+    # every group with four digits, then zeros for the groups that `::` stands for
+    wide = F.regexp_replace(F.regexp_replace(text, "(^|:)([0-9a-f])", "$1000$2"), "0{0,3}([0-9a-f]{4})(?=:|$)", "$1")
+
+    def numbers(digits: Column) -> Column:
+        half = lambda i: F.conv(F.substring(digits, i, 16), 16, -10).cast("long")
+        wrapped = F.substring(digits, 1, 24) == "0" * 20 + "ffff"
+        return F.struct(F.when(wrapped, 0).otherwise(half(1)).cast("long").alias("hi"),
+                        F.when(wrapped, F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")).otherwise(half(17)).alias("lo"))
+
+    def filled(four: Column, bare: Column, left: Column) -> Column:
+        fits = F.when(F.instr(text, "::") > 0, F.length(bare) <= 28).otherwise(F.length(bare) == 32)
+        return F.when(fits, F.concat(left, F.repeat(F.lit("0"), 32 - F.length(bare)), bare.substr(F.length(left) + 1, F.length(bare))))
+
+    colons = lambda c: F.replace(c, F.lit(":"), F.lit(""))
+    digits = _let(wide, lambda four: _let(colons(four), lambda bare: _let(colons(F.substring_index(four, "::", 1)), lambda left: filled(four, bare, left))))
+    return F.when(text.rlike(f"^{_GROUPS}(?:::{_GROUPS})?$"), _let(digits, lambda d: F.when(d.isNotNull(), numbers(d))))
+
+
 def address(ip: Column | str) -> Column:
     """struct<hi, lo> of an IPv4 or IPv6 address; null for anything else (zones among it), and for null."""
-    low = F.lower(F.trim(_c(ip)))
-    tail = F.regexp_extract(low, rf":({_V4})$", 1)
-    number = _v4(tail)
-    two = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(F.lit(0xFFFF)))))
-    text = F.when(tail != "", F.concat(low.substr(F.lit(1), F.length(low) - F.length(tail)), two)).otherwise(low)
-    # every group with four digits, then zeros for the groups that `::` stands for
-    four = F.regexp_replace(F.regexp_replace(text, "(^|:)([0-9a-f])", "$1000$2"), "0{0,3}([0-9a-f]{4})(?=:|$)", "$1")
-    bare = F.replace(four, F.lit(":"), F.lit(""))
-    left = F.replace(F.substring_index(four, "::", 1), F.lit(":"), F.lit(""))
-    right = bare.substr(F.length(left) + 1, F.length(bare))
-    short = F.instr(text, "::") > 0
-    formed = text.rlike(f"^{_GROUPS}(?:::{_GROUPS})?$") & F.when(short, F.length(bare) <= 28).otherwise(F.length(bare) == 32)
-    digits = F.concat(left, F.repeat(F.lit("0"), 32 - F.length(bare)), right)
-    half = lambda i: F.conv(F.substring(digits, i, 16), 16, -10).cast("long")
-    lo = half(17)
-    wrapped = F.substring(digits, 1, 24) == "0" * 20 + "ffff"
-    v6 = F.struct(half(1).alias("hi"), F.when(wrapped, lo.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(lo).alias("lo"))
-    v4 = F.struct(F.lit(0).cast("long").alias("hi"), _v4(low).alias("lo"))
-    return F.when(low.rlike(f"^{_V4}$"), v4).when(formed, v6)
+
+    def of(low: Column) -> Column:
+        tail = _v4(F.nullif(F.regexp_extract(low, rf":({_V4})$", 1), F.lit("")))
+        hexed = lambda n: F.when(n.isNotNull(), F.concat(F.regexp_replace(low, f"{_V4}$", ""), F.format_string("%x:%x", F.shiftright(n, 16), n.bitwiseAND(F.lit(0xFFFF))))).otherwise(low)
+        v4 = F.struct(F.lit(0).cast("long").alias("hi"), _v4(low).alias("lo"))
+        return F.when(low.rlike(f"^{_V4}$"), v4).otherwise(_let(_let(tail, hexed), _groups))
+
+    return _let(F.lower(F.trim(_c(ip))), of)
 
 
 def masks(length: Column) -> tuple[Column, Column]:
@@ -58,14 +74,19 @@ def masks(length: Column) -> tuple[Column, Column]:
 def network(text: Column | str) -> Column:
     """struct<hi, lo, length> of `address/length` (without a length: of the one address), bits beyond the length set to 0; null
     for anything else."""
-    parts = F.split(F.trim(_c(text)), "/", -1)
-    base = F.get(parts, F.lit(0))
-    at, v4 = address(base), base.rlike(rf"^\s*{_V4}\s*$")
-    written = F.when(F.size(parts) == 1, F.when(v4, 32).otherwise(128)).when((F.size(parts) == 2) & F.get(parts, F.lit(1)).rlike("^[0-9]{1,3}$"), F.get(parts, F.lit(1)).cast("int"))
-    length = F.when(v4 & (written <= 32), written + 96).when(~v4 & (written <= 128), written)
-    hi, lo = masks(length)
-    kept = F.struct(at["hi"].bitwiseAND(hi).alias("hi"), at["lo"].bitwiseAND(lo).alias("lo"), length.alias("length"))
-    return F.when(at.isNotNull() & length.isNotNull(), kept)
+
+    def of(parts: Column) -> Column:
+        base = F.get(parts, F.lit(0))
+        v4, given = base.rlike(rf"^\s*{_V4}\s*$"), F.get(parts, F.lit(1))
+        written = F.when(F.size(parts) == 1, F.when(v4, 32).otherwise(128)).when((F.size(parts) == 2) & given.rlike("^[0-9]{1,3}$"), given.try_cast("int"))
+        length = _let(written, lambda n: F.when(v4 & (n <= 32), n + 96).when(~v4 & (n <= 128), n))
+        return _let(length, lambda n: _let(address(base), lambda at: F.when(at.isNotNull() & n.isNotNull(), kept(at, n))))
+
+    def kept(at: Column, length: Column) -> Column:
+        hi, lo = masks(length)
+        return F.struct(at["hi"].bitwiseAND(hi).alias("hi"), at["lo"].bitwiseAND(lo).alias("lo"), length.alias("length"))
+
+    return _let(F.split(F.trim(_c(text)), "/", -1), of)
 
 
 def _url(text: Column) -> dict[str, Column]:

@@ -25,7 +25,7 @@ def locate_longest(requests: DataFrame, networks: DataFrame, ip: str = "ip") ->
     nets = networks.where("length IS NOT NULL").groupBy("hi", "lo", "length").agg(F.min(F.struct(*values)).alias("__net"))
     mask_hi, mask_lo = masks(F.col("length"))
     lengths = F.broadcast(nets.select("length").distinct().withColumns({"__mask_hi": mask_hi, "__mask_lo": mask_lo}))
-    asked = requests.select(F.col(ip).alias("__ip")).where("__ip IS NOT NULL").distinct().withColumn("__at", address("__ip")).where("__at IS NOT NULL")
+    asked = requests.select(F.col(ip).alias("__ip")).where("__ip IS NOT NULL").distinct().withColumn("__at", address("__ip"))
     masked = asked.crossJoin(lengths).select(
         "__ip", "length", F.col("__at.hi").bitwiseAND(F.col("__mask_hi")).alias("hi"), F.col("__at.lo").bitwiseAND(F.col("__mask_lo")).alias("lo"))
     found = masked.join(nets, ["hi", "lo", "length"]).groupBy("__ip").agg(F.max_by("__net", "length").alias("__net"))

@@ -41,3 +41,9 @@ def once(df: DataFrame, path: str) -> DataFrame:
     """df written to a folder and read back: cuts the lineage and outlives lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def make(spark: SparkSession, path: str) -> None:
+    """An empty folder, with those above it."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)

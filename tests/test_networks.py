@@ -30,8 +30,8 @@ ADDRESSES = """1.2.3.4 0.0.0.0 255.255.255.255 256.1.1.1 1.2.3 1.2.3.4.5 01.2.3.
 
 
 def test_addresses(spark):
-    rows = spark.createDataFrame([(a,) for a in ADDRESSES], "ip string").select("ip", address("ip").alias("a")).collect()
-    for r in rows:
+    rows = spark.createDataFrame([(a,) for a in ADDRESSES], "ip string")
+    for r in rows.withColumn("a", address("ip")).collect():
         try:
             true = None if "%" in (r.ip or "") else number((r.ip or "").strip())
         except ValueError:
@@ -41,7 +41,7 @@ def test_addresses(spark):
 
 def test_networks(spark):
     rows = spark.createDataFrame([(t,) for t in ("10.1.2.3/8", "10.1.2.3", "::/0", "2001:db8:ffff::/33", "1.2.3.4/33", "::1/129", "1.2.3.4/x", "x/3", "0.0.0.0/0", None)], "t string")
-    found = {r.t: (r.n and (unsigned(r.n.hi, r.n.lo), r.n.length)) for r in rows.select("t", network("t").alias("n")).collect()}
+    found = {r.t: (r.n and (unsigned(r.n.hi, r.n.lo), r.n.length)) for r in rows.withColumn("n", network("t")).collect()}
     assert found == {"10.1.2.3/8": (10 << 24, 104), "10.1.2.3": (number("10.1.2.3"), 128), "::/0": (0, 0), "2001:db8:ffff::/33": (number("2001:db8:8000::"), 33), "1.2.3.4/33": None,
                      "::1/129": None, "1.2.3.4/x": None, "x/3": None, "0.0.0.0/0": (0, 96), None: None}
 
