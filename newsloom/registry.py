@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.operators import accounts, alerts, articles, classify, curation, enrichment, events, feeds, maintenance, networks, related, scalar_queries, search, search_index, security
+from newsloom.operators import accounts, alerts, articles, classify, curation, enrichment, events, feed_files, feeds, maintenance, networks, related, scalar_queries, search, search_index, security
 from newsloom.streaming import queries as streaming
 
-_MODULES = (related, feeds, events, alerts, maintenance, classify, search, search_index, security, networks, enrichment, curation, accounts, articles, scalar_queries, streaming)
+_MODULES = (related, feeds, feed_files, events, alerts, maintenance, classify, search, search_index, security, networks, enrichment, curation, accounts, articles, scalar_queries, streaming)
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}

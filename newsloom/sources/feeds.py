@@ -66,9 +66,9 @@ def parse_feeds(files: DataFrame, content: str = "content") -> DataFrame:
 
     XML is read in the charset that it names, where that is Latin-1, else as UTF-8. Blank fields are null."""
     raw = F.col(content)
-    head = F.decode(F.substring(raw, 1, 200), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(raw, 1, 200), "ISO-8859-1")
     latin = head.rlike(r"(?i)encoding\s*=\s*[\"'](iso-8859-1|windows-1252|latin-?1)[\"']")
-    text = F.when(latin, F.decode(raw, F.lit("ISO-8859-1"))).otherwise(F.regexp_replace(raw.cast("string"), "^﻿", ""))
+    text = F.when(latin, F.decode(raw, "ISO-8859-1")).otherwise(F.regexp_replace(raw.cast("string"), "^﻿", ""))
     df = files.withColumn("__text", F.regexp_replace(text, r"^\s+", ""))
     root = F.lower(F.regexp_extract("__text", r"(?s)^(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([A-Za-z:]+)", 1))
     json = F.when(F.col("__text").startswith("{"), F.try_parse_json("__text"))
