@@ -122,15 +122,6 @@ def open_graph(html, base_url) -> Column:
         F.coalesce(meta("og:image"), meta("image")).alias("image"), F.coalesce(icon, F.concat(root, F.lit("/favicon.ico"))).alias("icon"))
 
 
-def sanitize(html, tags: tuple[str, ...] = ("p", "a", "b", "i", "em", "strong", "ul", "ol", "li", "br", "blockquote", "h2", "h3", "img")) -> Column:
-    """Markup with only the named elements, and of their attributes only href, src, alt and title, no scripts among them. The
-    text inside other elements stays, that of scripts and styles goes. Null gives null."""
-    out = F.regexp_replace(_c(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    out = F.regexp_replace(out, rf"(?is)</?(?!(?:{'|'.join(tags)})[\s/>])[a-z][^>]*>", "")
-    out = F.regexp_replace(out, r"(?is)\s(?!(?:href|src|alt|title)\s*=)[a-z-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')(?=[^<]*>)", "")
-    return F.regexp_replace(out, r"(?is)\s(?:href|src)\s*=\s*[\"']\s*javascript:[^\"']*[\"'](?=[^<]*>)", "")
-
-
 def title_and_description(title, description) -> Column:
     """`title. description`, without what is null or blank."""
     return F.concat_ws(". ", F.nullif(F.trim(_c(title)), F.lit("")), F.nullif(F.trim(_c(description)), F.lit("")))

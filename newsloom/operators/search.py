@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.markup import TAGS, normalize_articles
 from newsloom.functions.text import html_to_text, internal_links, mark_matches, source_domain, url_hash
 from newsloom.sources.domain import Domain, with_domain
 
@@ -121,16 +122,22 @@ def _bm25(spark, sf):
     return bm25(postings(docs, "doc_id", F.col("text")), "doc_id", QUERY, stats)
 
 
-def _highlight(spark, sf):
-    docs = Domain(spark, sf).table("documents").where(F.col("text").rlike("(?i)of the"))
-    return docs.select("doc_id", mark_matches(F.substring("text", 1, 180), "of the").alias("snippet"))
-
-
 def _fragments(spark, sf):
     docs = Domain(spark, sf).table("documents").where(F.col("text").rlike("(?i)of the"))
     return docs.select("doc_id", mark_matches("text", "of the").alias("snippet"))
 
 
+def _normalized(spark, sf):
+    """Pages as articles: every second one comes as its feed's markup, the others were fetched."""
+    fetched = F.col("page_id") % 2 == 0
+    rows = Domain(spark, sf).table("pages").select(
+        "page_id", "url", F.when(~fetched, F.col("html")).alias("content_html"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("image_url"), F.when(fetched, F.col("html")).alias("page_html"))
+    safe = F.col("content_html_safe")
+    return normalize_articles(rows).select(
+        "page_id", "used_page", F.sha2("content_text", 256).alias("text_sha256"), F.regexp_count(safe, F.lit("<[a-z]")).cast("long").alias("n_elements"),
+        F.rlike(safe, F.lit(f"<(?!/?(?:{'|'.join(TAGS)})[ >])")).alias("has_others"))
+
+
 def _articles(d: Domain) -> DataFrame:
     return d.texts().withColumn("published_at", F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("doc_id") % 97) * 3600))
 
@@ -152,13 +159,13 @@ _PAGE_TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(replac
 _CUT = "regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
 QUERIES = {
     "search_bm25": _bm25,
-    "search_highlight": _highlight,
     "search_page": _search,
     "search_hydrated": _hydrated,
     "search_rows": lambda spark, sf: search_rows(Domain(spark, sf).articles().select("article_id", F.when(F.col("status") != "new", F.col("status")).alias("status"), "published_at")),
     "search_replaced": lambda spark, sf: replace_documents((d := Domain(spark, sf)).articles().select("article_id", "status"), d.articles().where("status = 'failed'").select("article_id", F.lit(None).cast("string").alias("status")), "article_id"),
     "suggest_all": lambda spark, sf: suggest_all((d := Domain(spark, sf)).topics(), d.sources().withColumn("is_active", F.col("balance") > 0), "an"),
     "search_fragments": _fragments,
+    "pages_normalized": _normalized,
     "search_suggest": lambda spark, sf: suggest(Domain(spark, sf).topics(), "al"),
     "term_statistics": lambda spark, sf: postings(Domain(spark, sf).table("documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).orderBy(F.desc("tf"), "term").limit(200),
     "url_hash": lambda spark, sf: Domain(spark, sf).table("pages").select("page_id", url_hash("url").alias("url_hash")),
@@ -197,7 +204,11 @@ SELECT kind, id, name FROM b WHERE contains(lower(name), 'an') ORDER BY length(n
     "url_hash": "SELECT page_id, sha256(trim(url)) AS url_hash FROM pages",
     "source_domain": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain, count(*) AS n FROM pages GROUP BY 1",
     "html_text": f"WITH a AS (SELECT page_id, {_PAGE_TEXT.format(_CUT.format('html'))} AS x FROM pages), b AS (SELECT page_id, {_PAGE_TEXT.format(_CUT.format('x'))} AS x FROM a) SELECT page_id, sha256(x) AS text_sha256, length(x) AS n FROM b",
-    "search_highlight": "SELECT doc_id, regexp_replace(substr(substr(text, 1, 180), greatest(instr(lower(substr(text, 1, 180)), 'of the') - 60, 1), 180), '(?i)(of the)', '<mark>\\1</mark>', 'g') AS snippet FROM documents WHERE contains(lower(text), 'of the')",
+    "search_fragments": "SELECT doc_id, regexp_replace(substr(text, greatest(instr(lower(text), 'of the') - 60, 1), 180), '(?i)(of the)', '<mark>\\1</mark>', 'g') AS snippet FROM documents WHERE contains(lower(text), 'of the')",
+    "pages_normalized": f"""
+WITH a AS (SELECT page_id, url, html, {_PAGE_TEXT.format(_CUT.format('html'))} AS x, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS m FROM pages),
+b AS (SELECT *, {_PAGE_TEXT.format(_CUT.format('x'))} AS y FROM a)
+SELECT page_id, page_id % 2 = 0 AS used_page, sha256(left(y, 50000)) AS text_sha256, len(regexp_extract_all(m, '(?i)<(?:p|br|ul|li|a|h1)(?:\\s[^>]*)?>')) AS n_elements, false AS has_others FROM b""",
     "internal_links": """
 WITH p AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"#]+)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"#]+)">([^<]*)</a>', 2) AS t FROM pages),
 u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(h) AS url, trim(unnest(t)) AS text, unnest(range(len(h))) AS i FROM p),
