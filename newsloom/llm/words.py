@@ -13,17 +13,17 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_P = _U(0x9E3779B97F4A7C55)
-_P_INV = _U(pow(0x9E3779B97F4A7C55, -1, 2**64))
+_PLACE, _SIZE = _U(0x9E3779B97F4A7C55), _U(0xC2B2AE3D27D4EB4F)
+#: What of eight bytes belongs to a word that has so many left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], _U)
 _Q = [_U(pow(0xD1342543DE82EF95, j, 2**64)) for j in range(8)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = [np.empty(0, _U), np.empty(0, _U)]
 SHINGLE = 5
-#: Bytes of text worked on at once (tens of bytes of scratch arrays for each); a longer text is worked on by itself.
-CHUNK_BYTES = 1 << 18
+#: Bytes of text worked on at once; a longer text is worked on by itself, its words SLICE_WORDS at a time.
+CHUNK_BYTES, SLICE_WORDS = 1 << 18, 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,18 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of both bases. Those for a chunk are kept by the worker; those for a longer text only while it is read."""
-    tables = _powers
-    if len(_powers[0]) < n:
-        tables = _powers if n <= CHUNK_BYTES else [np.empty(0, _U), np.empty(0, _U)]
-        for k, base in enumerate((_P, _P_INV)):
-            run = np.full(max(n, CHUNK_BYTES), base, _U)
-            run[0] = 1
-            tables[k] = np.cumprod(run)
-    return tables
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and the documents' offsets in them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -80,10 +68,25 @@ def _word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[firsts[full]] |= solid[firsts[full]]
     end[lasts[full]] |= solid[lasts[full]]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end)
-    power, inverse = _power_tables(n)
-    total = np.cumsum((_LOWER[raw].astype(_U) + _U(1)) * power[:n])
-    before = np.where(starts > 0, total[starts - 1], _U(0))
-    return mix((total[ends] - before) * inverse[starts]), np.searchsorted(starts, at)
+    data = np.zeros(n + 8, np.uint8)
+    data[:n] = _LOWER[raw]
+    out = np.empty(len(starts), _U)
+    for first in range(0, len(starts), SLICE_WORDS):
+        part = slice(first, first + SLICE_WORDS)
+        out[part] = _spans(data, starts[part], ends[part] + 1 - starts[part])
+    return out, np.searchsorted(starts, at)
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of spans of data, which ends with eight bytes of no span: each eight bytes of a span are mixed with their place
+    in it, added up, and mixed with its size. No such sum has collisions by its form, as a polynomial modulo 2^64 does."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    n = (sizes + 7) >> 3
+    first = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(sizes)), n)
+    place = np.arange(len(of)) - first[of]
+    read = eights[starts[of] + 8 * place] & _LEFT[np.minimum(sizes[of] - 8 * place, 8)]
+    return mix(np.add.reduceat(mix(mix(read) ^ ((place + 1).astype(_U) * _PLACE)), first) + sizes.astype(_U) * _SIZE)
 
 
 def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
