@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import table
 
-TRAINING_PAGES = 700
-TREES, TREE_DEPTH = 20, 5
+TRAINING_PAGES = 1200
+TREES, TREE_DEPTH = 30, 5
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)")
 _ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
@@ -282,14 +282,26 @@ _CONTAINER_NAMES = {
     "ad": (["div", "aside", "section", "ins"], ["ad", "ads", "advert", "sponsored", "ad-slot", "promo"]),
     "notice": (["div", "section", "p"], ["cookie-notice", "consent", "notice", "newsletter-signup", "alert", "paywall"]),
     "form": (["form"], ["search-form", "login", "subscribe", ""]),
-    "comments": (["section", "div", "ol"], ["comments", "comment-list", "discussion", "replies"]),
+    "comments": (["section", "div", "ol"], ["comments", "comment-list", "discussion", "replies", "respond", "comments-area"]),
     "share": (["div", "ul"], ["share", "social", "share-buttons"]),
 }
+#: Words that name blocks on pages of other makers, none of them telling.
+_OTHER_NAMES = "c{n} b-{n} row col-{n} texte inhalt cuerpo testo corpo tekst region wrap inner box cell js-{n} css-{n} u{n} zone grid unit x{n}y seite bloc".split()
 _MAIN = (["article", "main", "div", "section"], ["article", "post-content", "entry", "story-body", "content", ""])
 
 
 def training_page(rng: random.Random) -> str:
-    """A random page; the words of main text begin with 'm', all others with 'x'."""
+    """A random page; the words of main text begin with 'm', all others with 'x'.
+
+    On some pages the blocks of the main text have telling names, on others none or names that tell nothing; boilerplate loses
+    its name only where its element or its links tell what it is."""
+    style = rng.choices(["own", "none", "other"], [0.4, 0.3, 0.3])[0]
+
+    def named(label: str) -> str:
+        """The name of a block of the main text."""
+        if style == "own":
+            return label
+        return "" if style == "none" else rng.choice(_OTHER_NAMES).format(n=rng.randint(1, 99))
 
     def words(role: str, n: int) -> str:
         out = [("m" if role == "main" else "x") + "".join(rng.choices("abeilnorst", k=rng.randint(1, 9))) for _ in range(max(1, n))]
@@ -300,7 +312,7 @@ def training_page(rng: random.Random) -> str:
 
     def tag(name: str, label: str, inside: str) -> str:
         attribute = f' {rng.choice(["class", "class", "id"])}="{label}"' if label else ""
-        return f"<{name}{attribute}>{inside}" + ("" if name in ("p", "li") and rng.random() < 0.3 else f"</{name}>")
+        return f"<{name}{attribute}>{inside}" + ("" if name in ("p", "li") and not label and rng.random() < 0.3 else f"</{name}>")
 
     def links(role: str, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{k}">{words(role, rng.randint(1, 3))}</a></li>' for k in range(n)) + "</ul>"
@@ -313,6 +325,9 @@ def training_page(rng: random.Random) -> str:
         if name == "ul":
             return tag(name, label, "".join(f"<li><a href='#'>{words('x', 2)}</a></li>" for _ in range(rng.randint(3, 8))))
         text = rng.random() < 0.5
+        telling = name in ("nav", "header", "footer", "aside", "form") or role in ("nav", "share") or role in ("header", "side", "footer") and text
+        if telling and style != "own" and rng.random() < 0.5:
+            label = named("")
         if role in ("nav", "share") or role in ("header", "side", "footer") and text:
             inside = links("x", rng.randint(2, 9))
         elif role == "form":
@@ -321,7 +336,7 @@ def training_page(rng: random.Random) -> str:
             inside = "".join(tag(rng.choice(["div", "li"]), rng.choice(["comment", "comment-body", "reply"]), tag("p", "", words("x", rng.randint(5, 50)))) for _ in range(rng.randint(1, 6)))
         else:
             long = words("x", rng.randint(3, 40))
-            inside = long if text else "".join(tag("p", "", words("x", rng.randint(4, 30))) for _ in range(rng.randint(1, 3)))
+            inside = long if text or name == "p" else "".join(tag("p", "", words("x", rng.randint(4, 30))) for _ in range(rng.randint(1, 3)))
         return tag(name, label, inside)
 
     def paragraph() -> str:
@@ -350,10 +365,17 @@ def training_page(rng: random.Random) -> str:
         inner += words("main", rng.choice([10, 40, 80])) + rng.choice(["<br>", "<br><br>", ""]) if loose and rng.random() < 0.7 else paragraph()
         if rng.random() < 0.06:
             inner += boilerplate(rng.choice(["ad", "share", "side", "notice"]))
+        elif rng.random() < 0.08:  # a part of the text in a block of its own
+            inner += tag(rng.choice(["div", "section"]), named(rng.choice(["", "text", "section-body"])), "".join(paragraph() for _ in range(rng.randint(1, 3))))
+    if rng.random() < 0.2:  # comments or a notice inside the block of the text
+        inner += boilerplate(rng.choice(["comments", "comments", "notice", "share"]))
     name, label = rng.choice(_MAIN[0]), rng.choice(_MAIN[1])
-    main = tag(name, label or ("post" if name in ("div", "section") and rng.random() < 0.7 else ""), inner)
-    if rng.random() < 0.4:
-        main = tag("div", rng.choice(["wrapper", "container", "main", ""]), main + (boilerplate("comments") if rng.random() < 0.4 else ""))
+    if style != "own" and rng.random() < 0.7:
+        name = "div"
+    main = tag(name, named(label or ("post" if name in ("div", "section") and rng.random() < 0.7 else "")), inner)
+    for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+        beside = boilerplate(rng.choice(["comments", "side", "share"])) if rng.random() < 0.25 else ""
+        main = tag("div", named(rng.choice(["wrapper", "container", "main", ""])), main + beside)
     before = [boilerplate(r) for r in ("header", "nav", "ad", "notice", "form", "side") if rng.random() < 0.5]
     after = [boilerplate(r) for r in ("comments", "side", "share", "ad", "form", "footer") if rng.random() < 0.5]
     rng.shuffle(before)
@@ -361,6 +383,9 @@ def training_page(rng: random.Random) -> str:
         before.insert(rng.choice([0, len(before)]), rng.choice([f"<a href='#c'>{words('x', 3)}</a>", words("x", 2), f"<a class='skip' href='#'>{words('x', 3)}</a> {words('x', 2)}"]))
     if rng.random() < 0.2:
         after.insert(rng.choice([0, len(after)]), rng.choice([words("x", rng.randint(1, 8)), f"<a href='/t'>{words('x', 3)}</a> | <a href='/u'>{words('x', 2)}</a>"]))
+    if rng.random() < 0.08:  # nothing but text, or text among few blocks
+        bare = rng.choice(["<br>", "\n", " "]).join(words("main", rng.choice([20, 60, 150])) for _ in range(rng.randint(1, 5)))
+        return bare if rng.random() < 0.5 else f"<html><body>{''.join(before[:2])}{bare}{''.join(after[-2:])}</body></html>"
     page = "".join(before) + main + "".join(after)
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
 
@@ -450,6 +475,44 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _text(blocks: list[list[tuple[int, str]]], keep: np.ndarray) -> str:
+    """The text of kept nodes, blocks joined by two newlines."""
+    return "\n\n".join(t for block in blocks if (t := _plain("".join(x if keep[n] else " " for n, x in block))))
+
+
+def rescue(nodes: list[Node], odds: np.ndarray, x: np.ndarray, own: set[int]) -> np.ndarray:
+    """For a page of which no text was kept: the most probable upward-closed set with text among those that the trees would
+    rather drop, unless the text is in an element or under a name of boilerplate, or is mostly links.
+
+    own: nodes with text of their own. x: features of the nodes.
+    """
+    g, t = len(_GROUPS), len(_TAGS) + 1
+    boiler = [_TAG_OF[tag] for tag in ("nav", "header", "footer", "aside", "form")]
+    names = [k for k, group in enumerate(_GROUPS) if group != "main"]
+    bad = x[:, names].any(axis=1) | x[:, 2 * g :][:, boiler].any(axis=1) | x[:, [g + k for k in names]].any(axis=1) | x[:, 2 * g + t :][:, boiler].any(axis=1)
+    order = _top_down(nodes)
+    gain, least, way = odds.copy(), np.full(len(nodes), -np.inf), {}
+    gain[0] = 0
+    for i in reversed(order):
+        node = nodes[i]
+        gain[i] += sum(gain[c] for c in node.children if gain[c] > 0)
+        if not bad[i]:
+            if i in own and node.link_chars * 2 <= node.chars:
+                least[i] = gain[i]
+            for c in node.children:  # what it takes to reach text below
+                if (value := gain[i] + least[c] - max(0.0, gain[c])) > least[i]:
+                    least[i], way[i] = value, c
+    keep = np.zeros(len(nodes), bool)
+    keep[0] = True
+    at = 0
+    while np.isfinite(least[0]) and at in way:
+        at = way[at]
+        keep[at] = True
+    for i in order[1:]:
+        keep[i] |= keep[nodes[i].parent] and gain[i] > 0 and not bad[i]
+    return keep
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages: kept blocks in page order, joined by two newlines.
 
@@ -466,12 +529,16 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for first in range(0, len(batch), 200):  # nodes of so many pages are scored at once
                 parsed = [parse(p or "") for p in batch["html"].iloc[first : first + 200]]
-                odds = forest.log_odds(np.concatenate([features(nodes) for nodes, _ in parsed]))
+                described = [features(nodes) for nodes, _ in parsed]
+                odds = forest.log_odds(np.concatenate(described))
                 at = 0
-                for nodes, blocks in parsed:
-                    keep = decode(nodes, odds[at : at + len(nodes)])
+                for (nodes, blocks), x in zip(parsed, described, strict=True):
+                    own = odds[at : at + len(nodes)]
                     at += len(nodes)
-                    texts.append("\n\n".join(t for block in blocks if (t := _plain("".join(x if keep[n] else " " for n, x in block)))))
+                    text = _text(blocks, decode(nodes, own))
+                    if not text and nodes[0].chars:
+                        text = _text(blocks, rescue(nodes, own, x, {n for block in blocks for n, t in block if t.strip()}))
+                    texts.append(text)
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -187,15 +187,16 @@ def _decide(margin: dict, names: list[str], prefix: str, shape: int) -> tuple[np
     return best, chance[np.arange(shape), best] / (len(names) - 1)
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of docs (any of these names but text are replaced), lang_pred and score (0 to 1).
+def predict(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """All columns of docs, lang_pred and score (0 to 1), whose names begin with `prefix`; columns of docs that have these names
+    are replaced.
 
     If the model has typical, also fit: the mean ln share of the text's n-grams in the predicted language, less that of
     a typical text (0: as typical texts; below: n-grams rare in it), PRIOR_GRAMS typical n-grams added; null for `und`.
     `und` with score 0 where text is null or has no letter, or where nothing was learnt. Empty tables give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made = ["lang_pred string", "score double"] + (["fit double"] if "typical" in model else [])
+    made = [f"{prefix}lang_pred string", f"{prefix}score double"] + ([f"{prefix}fit double"] if "typical" in model else [])
     kept = [c for c in docs.columns if c not in {m.split()[0] for m in made}]
     extra = docs.schema["text"].dataType.simpleString() != "string"  # else the texts need not go to the workers twice
     place = kept.index("text")

@@ -323,13 +323,15 @@ def train(docs: DataFrame, labels: DataFrame, train_fold: Column, sample: int =
     return {"counts": counts, "weights": weights, "logistic": (fitted.coefficients.toArray(), fitted.intercept)}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of docs (score and predicted are replaced), score (0 to 1) and predicted (1 from 0.5 on).
+def score(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """All columns of docs, score (0 to 1) and predicted (1 from 0.5 on), whose names begin with `prefix`; columns of docs that
+    have these names are replaced.
 
     Null text counts as empty. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    made = [f"{prefix}score", f"{prefix}predicted"]
+    kept = [c for c in docs.columns if c not in made]
     extra = docs.schema["text"].dataType.simpleString() != "string"  # else the texts need not go to the workers twice
     place = kept.index("text")
 
@@ -341,12 +343,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             text = batch.column(batch.num_columns - 1 if extra else place)
             x = np.array([lexicon.features(text[i].as_py() or "") for i in range(batch.num_rows)]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(x @ weights + intercept, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, *made])
         del lexicon
         give_back()
 
     rows = docs.select(*kept, *([F.col("text").cast("string").alias("__text")] if extra else []))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["score double", "predicted int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + [f"`{made[0]}` double", f"`{made[1]}` int"])
     return rows.mapInArrow(weigh, schema)
 
 

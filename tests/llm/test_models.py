@@ -327,9 +327,29 @@ HAND = [
 <div class="social-share"><a href="#">Tweet</a> <a href="#">Like</a></div>Let the dough rest for twelve hours before you bake it.</div>
 <div id="comments"><p>Great recipe, thanks!</p><p>Mine burned.</p></div>""",
      "My grandmother baked this bread every week. You need flour, water and a lot of time.\n\nLet the dough rest for twelve hours before you bake it."),
+    ("""<div class="c1"><div class="c2"><p>The valley was quiet when the rain began to fall on Monday.</p><p>Farmers looked at the sky and counted the days, as they do in autumn.</p></div></div>""",
+     "The valley was quiet when the rain began to fall on Monday.\n\nFarmers looked at the sky and counted the days, as they do in autumn."),
+    ("""<div class="texte"><p>Le chat dort sur la chaise, et la maison est calme ce soir.</p></div>""", "Le chat dort sur la chaise, et la maison est calme ce soir."),
+    ("Just a text without any tags. It has two sentences.", "Just a text without any tags. It has two sentences."),
+    ("""<article><h1>Harbour</h1><p>The harbour is closed this week, and ships wait outside the breakwater.</p>
+<section id="respond"><h3>Leave a reply</h3><p>Nice post, thank you so much for it!</p><p>I do not agree at all.</p></section></article>""",
+     "Harbour\n\nThe harbour is closed this week, and ships wait outside the breakwater."),
+    ("""<html><body><nav><a href=/>Home</a></nav><footer>Copyright 2024</footer></body></html>""", ""),
+    ("""<div><div><div><div><p>Deep text in many unnamed blocks, which is still the article of the page.</p></div></div></div></div><div class=footer>All rights</div>""",
+     "Deep text in many unnamed blocks, which is still the article of the page."),
 ]
 
 
+def test_rescue_takes_text_but_no_boilerplate():
+    import numpy as np
+
+    for page, text in (("<div><p>kept</p><p>dropped</p></div>", "kept"), ("<nav><p>a</p></nav><footer>b</footer>", ""), ("<div class=cookie>a</div>", ""), ("<div><a href=x>link</a></div>", "")):
+        nodes, blocks = html_extract.parse(page)
+        odds = np.array([-1.0 - (n.place if n.tag == "p" else 0) for n in nodes])
+        own = {n for block in blocks for n, t in block if t.strip()}
+        assert html_extract._text(blocks, html_extract.rescue(nodes, odds, html_extract.features(nodes), own)) == text
+
+
 def test_pages_by_hand(spark):
     rows = [(i, "u", page) for i, (page, _) in enumerate(HAND)]
     out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from newsloom.llm.common import materialize
 from tests.conftest import SF
@@ -42,6 +44,23 @@ def test_stages(spark):
     assert set(pieces["doc_id"]) == {d for d, _ in after} and (pieces.groupby("sequence_id")["length"].sum() <= 1024).all()
 
 
+def test_columns_of_the_corpus_stay(spark):
+    """Columns that have the names of what the stages compute, and one that cannot be ordered."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    more = docs.unionByName(docs.limit(3)).withColumns(
+        {c: F.lit(v) for c, v in (("score", 0.5), ("predicted", "p"), ("lang_pred", "z"), ("fit", "f"), ("root", 1), ("component_id", "c"))}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    at = materialize(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = materialize(stage(spark, at, SF))
+        assert at.columns == more.columns and at.dtypes == more.dtypes, name
+        assert {(r.score, r.predicted, r.lang_pred, r.fit, r.m["a"]) for r in at.collect()} == {(0.5, "p", "z", "f", 1)}
+
+
 def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, SF))
+    assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(docs.collect())
+
+    assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "decontamination", "packing"]
