@@ -28,15 +28,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     worst = language_id.lowest_fit(docs, held_out, model) if model["families"] else None
     if worst is None:
         return docs.where(F.col("text").rlike(language_id.LETTER))
-    found = language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.where(F.col("fit") >= min(0.0, worst) * FIT_SLACK).select(*docs.columns)
+    found = language_id.predict(docs, model, "__").where(F.col("__lang_pred") != language_id.UNKNOWN)
+    return found.where(F.col("__fit") >= min(0.0, worst) * FIT_SLACK).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. Learnt from the labels of these documents outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels, fold(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.score(docs, model, "__").where(F.col("__predicted") == 0).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
     if not repeated.isEmpty():
-        rows = materialize(join_ids(docs, repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__all", F.lit(0)))
+        rows = materialize(join_ids(docs, repeated, "doc_id", "left_semi").select(*docs.columns).withColumns(
+            {"__all": F.lit(0), "__order": F.to_json(F.struct(*docs.columns))}))  # maps have no order of their own
         after = docs.agg(F.max("doc_id")).first()[0] + 1
-        numbered = number_rows(rows, "__all", docs.columns, "__key", rows.count()).withColumn("__key", F.col("__key") + after).drop("__all")
+        numbered = number_rows(rows, "__all", ["__order"], "__key", rows.count()).withColumn("__key", F.col("__key") + after).drop("__all", "__order")
         keyed = materialize(join_ids(keyed, repeated, "doc_id", "left_anti").select(*keyed.columns).unionByName(numbered))
     found = materialize(jaccard_join.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")))
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")))
