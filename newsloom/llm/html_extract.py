@@ -337,6 +337,8 @@ def training_page(rng: random.Random) -> str:
         else:
             long = words("x", rng.randint(3, 40))
             inside = long if text or name == "p" else "".join(tag("p", "", words("x", rng.randint(4, 30))) for _ in range(rng.randint(1, 3)))
+        if role in ("header", "side", "comments", "form", "footer") and name not in ("ol", "p") and rng.random() < 0.4:
+            inside = tag(rng.choice(["h1", "h1", "h2"] if role == "header" else ["h2", "h3", "h4"]), "", words("x", rng.randint(1, 5))) + inside
         return tag(name, label, inside)
 
     def paragraph() -> str:
@@ -386,6 +388,8 @@ def training_page(rng: random.Random) -> str:
     if rng.random() < 0.08:  # nothing but text, or text among few blocks
         bare = rng.choice(["<br>", "\n", " "]).join(words("main", rng.choice([20, 60, 150])) for _ in range(rng.randint(1, 5)))
         return bare if rng.random() < 0.5 else f"<html><body>{''.join(before[:2])}{bare}{''.join(after[-2:])}</body></html>"
+    if rng.random() < 0.06:  # no article at all
+        before, main, after = before[:2], "", [boilerplate(rng.choice(["footer", "header", "nav", "side"]))]
     page = "".join(before) + main + "".join(after)
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>"
 
