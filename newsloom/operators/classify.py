@@ -5,11 +5,14 @@ Null texts hold no terms and no names, ties go to the smaller id, and empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import normalize_term
+from newsloom.operators.curation import review_queue
 from newsloom.operators.extractors import extract_all
 from newsloom.sources.domain import Domain, with_domain
 
@@ -20,10 +23,10 @@ def scan(text: Column, terms: list[str], ignore_case: bool = True) -> Column:
     wanted = sorted({t for t in terms if t})
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
+        machine = ahocorasick.Automaton()  # once for all batches of a task
         for t in wanted:
             machine.add_word(t, t)
         machine.make_automaton()
@@ -46,7 +49,8 @@ def scan(text: Column, terms: list[str], ignore_case: bool = True) -> Column:
                     end = first + len(best[first])
             return out
 
-        return texts.map(find)
+        for texts in batches:
+            yield texts.map(find)
 
     return run(text)
 
@@ -109,10 +113,6 @@ def mine_entities(texts: DataFrame, brands: tuple[str, ...] = (), common: tuple[
         F.min(F.struct("doc_id", "pos", F.col("c.surface").alias("s")))["s"].alias("surface"), F.count("*").alias("occurrences"), F.count_distinct("source").alias("sources"))
 
 
-def review_top(entities: DataFrame, least: int = 5, n: int = 50) -> DataFrame:
-    return entities.where(F.col("occurrences") >= least).orderBy(F.desc("occurrences"), "normalized", "kind").limit(n)
-
-
 DICTIONARY = [(1, "function", "the"), (2, "function", "and"), (3, "function", "of"), (4, "relative", "that"), (5, "relative", "with"), (6, "phrase", "of the")]
 
 
@@ -128,6 +128,13 @@ def _entities(spark, sf):
     return mine_entities(Domain(spark, sf).table("documents").select("doc_id", "source", "text"))
 
 
+def _review(spark, sf):
+    """The first of the queue, all entities unresolved; hints are the topics whose names their words are."""
+    found = _entities(spark, sf).withColumns({"topic_id": F.lit(None).cast("long"), "ignored": F.lit(False)})
+    terms = Domain(spark, sf).topics().select(normalize_term("name").alias("term"), F.col("topic_id").cast("long").alias("topic_id"))
+    return review_queue(found, terms, 1).select("normalized", "kind", "surface", "occurrences", "sources", F.array_join("hints", ",").alias("hints"))
+
+
 def _scan_sql(c: str) -> str:
     # every boundary character twice, so that one match's end can be the next one's start
     doubled = f"regexp_replace('  ' || lower(replace({c}, '’', '''')) || '  ', '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
@@ -146,7 +153,7 @@ QUERIES = {
     "subsumption": lambda spark, sf: drop_subsumed(_matches(spark, sf), _dictionary(spark).withColumnRenamed("term", "name").select("topic_id", "name")).select("doc_id", "topic_id", "score"),
     "entity_mining": _entities,
     "entity_type_counts": lambda spark, sf: _entities(spark, sf).groupBy("kind").agg(F.count("*").alias("n")),
-    "entity_review": lambda spark, sf: review_top(_entities(spark, sf), 1),
+    "entity_review": _review,
 }
 ORACLE_SQL = {
     "dict_classify": _MATCH_SQL + " SELECT * FROM m",

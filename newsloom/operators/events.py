@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from newsloom.sources.domain import Domain, with_domain
 
-#: The event types that clients may send.
+# The event types that clients may send, and those that a day's report expects.
+ALLOWED = ("impression", "preview_open", "dwell_5s", "dwell_15s", "dwell_60s", "original_open", "related_click", "bookmark", "share", "search")
 SIGNALS = ("impression", "preview_open", "original_open", "bookmark", "share")
 
 
@@ -26,6 +27,11 @@ def coerce_events(raw: DataFrame, now) -> DataFrame:
     })
 
 
+def accepted_events(raw: DataFrame) -> DataFrame:
+    """Client events of the allowed types, as they are written; others, and those without a type, are dropped without a word."""
+    return raw.where(F.col("event_type").isin(*ALLOWED))
+
+
 def engagement_counters(events: DataFrame) -> DataFrame:
     """Reads (previews and originals), opens (originals) and the last of them for each target."""
     read = F.col("event_type").isin("preview_open", "original_open")
@@ -89,7 +95,16 @@ def _pruned(spark, sf):
 
 
 _SIGNALS = ", ".join(f"'{s}'" for s in SIGNALS)
+def _accepted(spark, sf):
+    """The log as clients send it: what they may send, and the server's own types beside it."""
+    d = Domain(spark, sf)
+    sent = d.activity().select("event_id", "event_type").unionByName(d.table("events").select("event_id", F.concat("event_type", F.lit("_5s")).alias("event_type")))
+    sent = sent.unionByName(d.table("events").select("event_id", F.when(F.col("value") > 10, "dwell_15s").when(F.col("value") > 5, "SHARE").alias("event_type")))
+    return accepted_events(sent).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 QUERIES = {
+    "events_accepted": _accepted,
     "event_type_breakdown": _breakdown,
     "event_freshness": _freshness,
     "event_zero_fill": _zero_fill,
@@ -102,6 +117,7 @@ QUERIES = {
     "events_pruned": _pruned,
 }
 ORACLE_SQL = {
+    "events_accepted": with_domain("activity", f", s AS (SELECT event_id, event_type FROM activity UNION ALL SELECT event_id, event_type || '_5s' FROM events UNION ALL SELECT event_id, CASE WHEN value > 10 THEN 'dwell_15s' WHEN value > 5 THEN 'SHARE' END FROM events) SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM s WHERE event_type IN ({', '.join(repr(a) for a in ALLOWED)}) GROUP BY 1"),
     "event_type_breakdown": with_domain("activity", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) FILTER (WHERE status = 200) AS good_users, max(ts) AS last_ts FROM activity GROUP BY 1"),
     "event_freshness": with_domain("activity", "SELECT max(ts) AS last_ts, floor(epoch(TIMESTAMP '2024-02-01' - max(ts)))::BIGINT AS lag_s, count(*) AS n FROM activity"),
     "event_zero_fill": with_domain("activity", f"SELECT w.event_type, count(a.event_id) AS n FROM (SELECT unnest([{_SIGNALS}]) AS event_type) w LEFT JOIN activity a USING (event_type) GROUP BY 1"),

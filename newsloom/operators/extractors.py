@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,7 +31,7 @@ _WORDS = re.compile(r"\w+")
 _CHUNKS = re.compile(r"[\w-]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Word:
     text: str
     start: int
@@ -47,8 +48,9 @@ class Word:
         return 2 <= len(self.text) <= 5 and all(c in UPPER for c in self.text)
 
 
+@lru_cache(maxsize=1)
 def words_of(text: str) -> list[Word]:
-    """The words in order; the full stop of an initial belongs to it."""
+    """The words in order; the full stop of an initial belongs to it. Kept for the next rule that reads the same text."""
     out: list[Word] = []
     last = 0
     for m in _WORDS.finditer(text):

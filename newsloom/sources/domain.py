@@ -98,8 +98,9 @@ def feed_candidates(items: DataFrame, now) -> DataFrame:
         F.coalesce(filled("thumbnail"), enclosed, embedded).alias("image_url"), F.when(F.size(tags) > 0, tags).alias("taxonomy"))
 
 
-def read_wordpress_posts(spark: SparkSession, path: str, after=None) -> DataFrame:
-    """WordPress REST posts (JSON) as candidates; `after` keeps posts modified later. Bad dates: published null, modified null."""
+def read_wordpress_posts(spark: SparkSession, path: str, after=None, now=None) -> DataFrame:
+    """WordPress REST posts (JSON) as candidates; `after` keeps posts modified later. A bad date of publication is `now` (the
+    time of the query where that is not given), a bad one of modification null."""
     schema = (
         "id long, link string, title struct<rendered: string>, excerpt struct<rendered: string>, content struct<rendered: string>, date_gmt string, modified_gmt string, "
         "_embedded struct<author: array<struct<name: string>>, `wp:term`: array<array<struct<name: string>>>, "
@@ -112,7 +113,7 @@ def read_wordpress_posts(spark: SparkSession, path: str, after=None) -> DataFram
     terms = F.transform(F.flatten("_embedded.`wp:term`"), lambda t: t["name"])
     rows = posts.select(
         F.col("link").alias("url"), plain(F.col("title.rendered")).alias("title"), plain(F.col("excerpt.rendered")).alias("description"), F.col("content.rendered").alias("content_html"),
-        F.try_to_timestamp(F.col("date_gmt")).alias("published_at"), F.try_to_timestamp(F.col("modified_gmt")).alias("modified_at"),
+        F.coalesce(F.try_to_timestamp(F.col("date_gmt")), F.current_timestamp() if now is None else F.lit(now).cast("timestamp")).alias("published_at"), F.try_to_timestamp(F.col("modified_gmt")).alias("modified_at"),
         F.get("_embedded.author", F.lit(0))["name"].alias("author"), F.when(F.size(terms) > 0, terms).alias("taxonomy"), sized.alias("image_url"))
     return rows if after is None else rows.where(F.col("modified_at") > F.lit(after))
 
