@@ -76,7 +76,7 @@ def export_user(path: str, user_id: int, **tables: DataFrame) -> None:
 
 def erase_user(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     """The tables without the rows of these users."""
-    gone = F.broadcast(ids.select("user_id").distinct())
+    gone = ids.select("user_id").distinct()
     return {name: rows.join(gone, "user_id", "left_anti").select(*rows.columns) for name, rows in tables.items()}
 
 

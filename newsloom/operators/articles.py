@@ -44,7 +44,7 @@ def dictionary_matches(articles: DataFrame, terms: DataFrame) -> DataFrame:
     texts = articles.select("doc_id", "title", F.concat_ws(" . ", "body", "taxonomy").alias("rest"))
     found = texts.select("doc_id", F.explode(F.concat(*[hit(c, cs, t, 1 - t) for c, t in (("title", 1), ("rest", 0)) for cs in (False, True)])).alias("h"))
     counts = found.groupBy("doc_id", F.col("h.term").alias("term"), F.col("h.cs").alias("cs")).agg(F.sum("h.t").alias("t"), F.sum("h.b").alias("b"))
-    return counts.join(F.broadcast(terms), ["term", "cs"]).groupBy("doc_id", "topic_id", "type").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return counts.join(terms, ["term", "cs"]).groupBy("doc_id", "topic_id", "type").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def _models(text: Column, brands: Column, common: tuple[str, ...]) -> Column:
@@ -60,7 +60,7 @@ def _models(text: Column, brands: Column, common: tuple[str, ...]) -> Column:
 def named_matches(articles: DataFrame, matches: DataFrame, topics: DataFrame, terms: DataFrame, common: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kind, surface, t, b: names by pattern. Models need a brand that the article already has; people that hold a word
     of another kind of curated topic go; brands that are part of a person's name go; each kind keeps its NAME_CAPS best."""
-    brands = matches.join(F.broadcast(topics.where("type = 'brand' AND is_curated").select("topic_id", "name")), "topic_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("brands"))
+    brands = matches.join(topics.where("type = 'brand' AND is_curated").select("topic_id", "name"), "topic_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("brands"))
     rows = articles.select("doc_id", "title", "body").join(brands, "doc_id", "left")
 
     def tagged(surfaces: Column, kind: str, t: int) -> Column:
@@ -73,7 +73,7 @@ def named_matches(articles: DataFrame, matches: DataFrame, topics: DataFrame, te
     each = rows.select("doc_id", F.explode(F.concat(part("title", 1), part("body", 0))).alias("x")).select("doc_id", "x.*")
     tokens = each.where("kind = 'person'").select("doc_id", "surface", F.explode(F.split(F.lower("surface"), " ")).alias("token")).withColumn("token", F.rtrim("token", F.lit(".,;:")))
     other = terms.where("type <> 'person' AND NOT cs").select(F.col("term").alias("token")).distinct()
-    colliding = tokens.where(F.length("token") >= SHORTEST_COLLISION).join(F.broadcast(other), "token", "left_semi").select("doc_id", "surface").distinct().withColumn("kind", F.lit("person"))
+    colliding = tokens.where(F.length("token") >= SHORTEST_COLLISION).join(other, "token", "left_semi").select("doc_id", "surface").distinct().withColumn("kind", F.lit("person"))
     each = each.join(colliding, ["doc_id", "surface", "kind"], "left_anti")
     inside = tokens.join(colliding, ["doc_id", "surface"], "left_anti").select("doc_id", F.col("token").alias("low")).distinct().withColumn("kind", F.lit("brand"))
     each = each.withColumn("low", F.lower("surface")).join(inside, ["doc_id", "low", "kind"], "left_anti")
@@ -86,7 +86,7 @@ def resolve_names(named: DataFrame, topics: DataFrame, terms: DataFrame) -> tupl
     """(matches, new topics). A name that is a term of a curated topic is that topic (the least id); else the topic of its slug,
     and none if that one is invalid; else a new topic, not curated, numbered after the last. Names without a slug go."""
     alias = terms.groupBy("term").agg(F.min("topic_id").alias("by_term"))
-    rows = named.withColumns({"term": normalize_term("surface"), "slug": slugify("surface")}).join(F.broadcast(alias), "term", "left")
+    rows = named.withColumns({"term": normalize_term("surface"), "slug": slugify("surface")}).join(alias, "term", "left")
     rows = rows.join(topics.select("slug", F.col("topic_id").alias("by_slug"), F.col("type").alias("slug_type")), "slug", "left")
     fresh = rows.where("by_term IS NULL AND by_slug IS NULL AND slug <> ''").groupBy("slug").agg(F.min(F.struct("surface", "kind")).alias("f"))
     # numbers without one task for all: the hash of the slug deals them to parts, whose sizes are summed before
@@ -123,7 +123,7 @@ def article_topics(articles: DataFrame, topics: DataFrame, composites: list[tupl
     if composites:
         best = composite_rules(best, list(composites)).join(best.select("doc_id", "topic_id", "position"), ["doc_id", "topic_id"], "left")
     curated = topics.where("is_curated").select("topic_id", "name")
-    known = best.join(F.broadcast(curated.select("topic_id")), "topic_id", "left_semi")
+    known = best.join(curated.select("topic_id"), "topic_id", "left_semi")
     kept = drop_subsumed(known, curated).select("doc_id", "topic_id")
     lost = known.select("doc_id", "topic_id").join(kept, ["doc_id", "topic_id"], "left_anti")
     return best.join(lost, ["doc_id", "topic_id"], "left_anti").select("doc_id", "topic_id", "score", "position"), new

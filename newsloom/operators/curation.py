@@ -40,10 +40,10 @@ def filter_topics(topics: DataFrame, text: str = "", kind: str | None = None, cu
 
 def set_validity(topics: DataFrame, edges: DataFrame, ids: DataFrame, valid: bool) -> tuple[DataFrame, DataFrame]:
     """(topics, edges) after the named topics are made curated, or made `invalid`, not curated, and stripped of edges."""
-    hit = topics.join(F.broadcast(ids.select("topic_id").distinct().withColumn("__hit", F.lit(True))), "topic_id", "left")
+    hit = topics.join(ids.select("topic_id").distinct().withColumn("__hit", F.lit(True)), "topic_id", "left")
     kind = F.when(F.col("__hit"), "invalid").otherwise(F.col("type"))
     out = hit.withColumns({"is_curated": F.when(F.col("__hit"), valid).otherwise(F.col("is_curated"))} | ({} if valid else {"type": kind})).select(*topics.columns)
-    return out, edges if valid else edges.join(F.broadcast(ids.select("topic_id").distinct()), "topic_id", "left_anti").select(*edges.columns)
+    return out, edges if valid else edges.join(ids.select("topic_id").distinct(), "topic_id", "left_anti").select(*edges.columns)
 
 
 def missing_reference(topics: DataFrame, key: str) -> DataFrame:
@@ -98,7 +98,7 @@ def ancestors(tree: DataFrame, most: int = 64) -> DataFrame:
     one of its ancestors again; missing parents end the walk."""
     up = tree.where("parent_id IS NOT NULL").select(F.col("category_id").alias("ancestor_id"), F.col("parent_id").alias("above"))
     known = tree.select(F.col("category_id").alias("above"))
-    up = F.broadcast(up.join(known, "above", "left_semi"))  # user categories: a curated tree
+    up = up.join(known, "above", "left_semi")
     level = tree.select("category_id", F.col("category_id").alias("ancestor_id"), F.array("category_id").alias("path"))
     out = None
     for distance in range(1, most + 1):
@@ -156,7 +156,7 @@ def confirm_entities(entities: DataFrame, topics: DataFrame, decisions: DataFram
     made = decisions.dropDuplicates(["entity_id"]).join(entities, "entity_id").withColumn("slug", slugify("surface")).where("slug <> ''")
     made = made.withColumn("as_type", F.coalesce("as_type", F.element_at(kinds, F.col("kind")), F.lit("subject")))
     extra = made.groupBy("slug").agg(F.sort_array(F.collect_set("surface")).alias("surfaces"), F.min(F.struct("entity_id", "surface", "as_type")).alias("first"))
-    old = topics.join(F.broadcast(extra), "slug", "left")
+    old = topics.join(extra, "slug", "left")
     added = F.filter("surfaces", lambda s: (s != F.col("name")) & ~F.array_contains("aliases", s))
     kept = old.select(
         "topic_id", "slug", "name", "type", F.when(F.col("surfaces").isNotNull(), F.concat("aliases", added)).otherwise(F.col("aliases")).alias("aliases"),
@@ -174,7 +174,7 @@ def confirm_entities(entities: DataFrame, topics: DataFrame, decisions: DataFram
 def reject_entities(entities: DataFrame, ids: DataFrame) -> DataFrame:
     """Entities of the ids become ignored."""
     hit = ids.select("entity_id").distinct().withColumn("__hit", F.lit(True))
-    return entities.join(F.broadcast(hit), "entity_id", "left").withColumn("ignored", F.coalesce("__hit", "ignored", F.lit(False))).select(*entities.columns)
+    return entities.join(hit, "entity_id", "left").withColumn("ignored", F.coalesce("__hit", "ignored", F.lit(False))).select(*entities.columns)
 
 
 # --- queries ---

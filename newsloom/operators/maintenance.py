@@ -89,8 +89,11 @@ def _retention(spark, sf):
 
 
 def _orphans(spark, sf):
+    """Topics that no article has: all parts have some, so suppliers stand for topics beside them, numbered after the last."""
     d = Domain(spark, sf)
-    return d.topics().join(d.edges().where("topic_id % 3 <> 0"), "topic_id", "left_anti").select("topic_id", "name")
+    last = d.topics().agg(F.max("topic_id").alias("last"))
+    more = d.table("supplier").crossJoin(F.broadcast(last)).select((F.col("last") + F.col("s_suppkey")).alias("topic_id"), F.col("s_name").alias("name"))
+    return d.topics().select("topic_id", "name").unionByName(more).join(d.edges().select("topic_id").distinct(), "topic_id", "left_anti").select("topic_id", "name")
 
 
 def _stats(spark, sf):
@@ -143,7 +146,7 @@ QUERIES = {
 ORACLE_SQL = {
     "due_sources": with_domain("articles sources", f", l AS (SELECT source_id, max(published_at) AS t FROM articles GROUP BY 1) SELECT source_id, t AS last_fetched_at FROM sources LEFT JOIN l USING (source_id) WHERE t IS NULL OR floor(epoch(TIMESTAMP '{NOW}' - t)) + 1 >= category_id::BIGINT * 86400 * 30 ORDER BY t NULLS FIRST, source_id LIMIT 50"),
     "retention_candidates": with_domain("articles edges sources activity", "SELECT article_id FROM articles a WHERE published_at < '1997-01-01' AND NOT EXISTS (SELECT 1 FROM activity e WHERE e.target_id = a.article_id AND event_type = 'preview_open') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.article_id = a.article_id AND topic_id % 50 = 0) AND NOT EXISTS (SELECT 1 FROM sources s WHERE s.source_id = a.source_id AND balance > 5000)"),
-    "orphan_topics": with_domain("topics edges", "SELECT topic_id, name FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM edges WHERE topic_id % 3 <> 0)"),
+    "orphan_topics": with_domain("topics edges", ", t AS (SELECT topic_id, name FROM topics UNION ALL SELECT (SELECT max(topic_id) FROM topics) + s_suppkey, s_name FROM supplier) SELECT topic_id, name FROM t WHERE topic_id NOT IN (SELECT topic_id FROM edges)"),
     "topic_stats_by_type": with_domain("topics", "SELECT type, count(*) AS n, count(*) FILTER (WHERE is_curated) AS curated, count(*) FILTER (WHERE size > 25) AS large FROM topics GROUP BY 1"),
     "top_topics": with_domain("topics edges", "SELECT topic_id, count(DISTINCT article_id) AS n, any_value(name) AS name FROM edges JOIN topics USING (topic_id) GROUP BY 1 ORDER BY n DESC, topic_id LIMIT 50"),
     "edges_by_source": with_domain("edges", "SELECT edge_source, count(*) AS n FROM edges GROUP BY 1"),

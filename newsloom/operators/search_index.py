@@ -3,7 +3,7 @@
 Under a root folder (all Parquet):
 
 - `postings/seg=S/bucket=B`: field, term, chunk, doc_id, tf, length, source, published_at, sorted by term. A term's bucket is its
-  hash modulo BUCKETS, so a query opens only the folders of its terms. chunk is doc_id / 2^CHUNK.
+  hash modulo the number of buckets, so a query opens only the folders of its terms. chunk is doc_id / 2^CHUNK.
 - `blocks/seg=S/bucket=B`: field, term, chunk, n, most_tf, least_length: what a chunk's postings of a term can score at most.
 - `docs/seg=S/part=P`: doc_id and the lengths of its fields, to take a replaced document out of the statistics.
 - `dead/seg=S`: doc_id of documents replaced or deleted in segment S; their postings of earlier segments count no more.
@@ -28,7 +28,7 @@ from newsloom.operators.search import ASKED, B, FIELDS, FORMS, K1, ORACLE_SQL as
 from newsloom.sources import store
 from newsloom.sources.domain import Domain
 
-BUCKETS, PARTS, CHUNK = 64, 64, 10
+BUCKETS, CHUNK = 64, 10
 #: Chunks that a search without a total scores first, to learn what the others must reach.
 FIRST_CHUNKS = 16
 #: The distinct words of an update go to every task with their terms up to this number (some 50 bytes each).
@@ -44,11 +44,12 @@ _SCHEMAS = {
 
 
 class SearchIndex:
-    """An index under `root` over the named text fields. stopwords, forms and stem must be the same for every use of a root;
+    """An index under `root` over the named text fields. stopwords, forms, stem and buckets must be the same for every use of a root;
     stem(words, column, out) adds the stems of a column of words to a table, for words without a form."""
 
     def __init__(self, spark: SparkSession, root: str, fields: tuple[str, ...], stopwords: tuple[str, ...] = (), forms: dict[str, str] | None = None,
-                 stem: Callable[[DataFrame, str, str], DataFrame] | None = None):
+                 stem: Callable[[DataFrame, str, str], DataFrame] | None = None, buckets: int = BUCKETS):
+        self.buckets = buckets
         self.spark, self.root, self.fields, self.stopwords = spark, root, fields, stopwords
         self.forms, self.stem = forms or {}, stem
 
@@ -91,7 +92,7 @@ class SearchIndex:
 
     def _write_postings(self, postings: DataFrame, seg: int) -> None:
         """postings: field, term, chunk, doc_id, tf, length, source, published_at."""
-        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         # a very frequent term may not make one task's bucket: buckets are dealt by chunk too
         dealt = dealt.repartition("bucket", F.pmod("chunk", F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/postings/seg={seg}")
@@ -101,7 +102,7 @@ class SearchIndex:
         blocks.sortWithinPartitions("bucket", "term", "field", "chunk").write.partitionBy("bucket").parquet(f"{self.root}/blocks/seg={seg}")
 
     def _write_docs(self, docs: DataFrame, seg: int) -> None:
-        dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).repartition("part").sortWithinPartitions("part", "doc_id")
+        dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")).repartition("part").sortWithinPartitions("part", "doc_id")
         dealt.select("doc_id", "lengths", "part").write.partitionBy("part").parquet(f"{self.root}/docs/seg={seg}")
 
     def _lost(self, ids: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ class SearchIndex:
 
     def _of_terms(self, name: str, terms: list[str]) -> DataFrame:
         """Rows of some terms; opens only their buckets."""
-        buckets = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int")).distinct().collect()
+        buckets = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()
         return self._read(name).where(F.col("bucket").isin([b[0] for b in buckets]) & F.col("term").isin(terms))
 
     def _weights(self, fields: dict[str, float]) -> DataFrame:
@@ -245,7 +246,7 @@ def built(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """An index of all documents that went through every kind of update: a third was first written with other texts and then
     replaced, documents that do not exist were written and deleted, the first segments were compacted."""
     docs = _articles(Domain(spark, sf_dir))
-    index = SearchIndex(spark, store.work_folder(spark, "search"), tuple(FIELDS), ("the",), FORMS)
+    index = SearchIndex(spark, store.work_folder(spark, "search"), tuple(FIELDS), ("the",), FORMS, buckets=8)
     wrong = docs.where("doc_id % 3 = 0")
     index.replace(docs.where("doc_id % 3 <> 0").unionByName(wrong.withColumn("title", F.lit("edges with ble")).withColumn("body", F.upper("title"))))
     gone = docs.withColumn("doc_id", -F.col("doc_id") - 1)

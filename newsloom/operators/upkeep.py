@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import normalize_term, slugify
+from newsloom.operators import maintenance
 from newsloom.operators.accounts import SESSION_DAYS, _sessions, active_sessions
 from newsloom.operators.alerts import daily_digest
 from newsloom.operators.curation import per_source_totals, reject_entities, source_key, upsert
@@ -71,6 +73,58 @@ def topic_statistics(topics: DataFrame, refs: str, identity: str, wanted: tuple[
     return topics.groupBy("type").agg(F.count("*").alias("n"), F.count_if(has(identity)).alias("with_identity"), F.count_if(lacks).alias("lacking"))
 
 
+def swept(candidates: DataFrame, key: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows of the candidates: what a retention sweep leaves, of articles and of all that hangs on them."""
+    gone = candidates.select(key).distinct()
+    return {name: rows.join(gone, key, "left_anti").select(*rows.columns) for name, rows in tables.items()}
+
+
+def alias_targets(topics: DataFrame) -> DataFrame:
+    """term, target_id: every name and alias of a curated valid topic, normalised; of several topics with a term the first."""
+    rows = topics.where("is_curated AND type <> 'invalid'").select("topic_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("raw"))
+    return rows.select(normalize_term("raw").alias("term"), "topic_id").where("term <> ''").groupBy("term").agg(F.min("topic_id").alias("target_id"))
+
+
+def merge_by_alias(topics: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topics, edges) after each topic that is not curated and whose name is a term of a curated one has given its edges to it
+    and is deleted. An article that has the curated topic keeps that edge; else the best of those moved stays."""
+    named = topics.where("NOT is_curated").select("topic_id", normalize_term("name").alias("term"))
+    moves = named.join(alias_targets(topics), "term").select("topic_id", "target_id")
+    moved = edges.join(moves, "topic_id", "left").select("article_id", F.coalesce("target_id", "topic_id").alias("topic_id"), "score", F.col("target_id").isNull().alias("own"))
+    best = moved.groupBy("article_id", "topic_id").agg(F.max(F.struct("own", "score")).alias("b")).select("article_id", "topic_id", "b.score")
+    return topics.join(moves, "topic_id", "left_anti").select(*topics.columns), best
+
+
+def slugs_within(rows: DataFrame, name: str, key: str, groups: list[str]) -> DataFrame:
+    """The groups, key and slug of each row: the name's slug, numbered from 2 in the order of the key where it repeats within the
+    groups (nulls are one group)."""
+    made = rows.select(*groups, key, slugify(name).alias("__base"))
+    n = F.row_number().over(Window.partitionBy(*groups, "__base").orderBy(key))
+    return made.withColumn("slug", F.when(n > 1, F.concat_ws("-", "__base", n)).otherwise(F.col("__base"))).drop("__base")
+
+
+def _swept(spark, sf):
+    d = Domain(spark, sf)
+    left = swept(maintenance.QUERIES["retention_candidates"](spark, sf), "article_id", articles=d.articles(), edges=d.edges())
+    n = lambda df, c: df.groupBy("article_id").agg(F.count("*").alias(c))
+    return n(left["articles"], "articles").join(n(left["edges"], "edges"), "article_id", "left").join(d.articles().select("article_id", "source_id"), "article_id").groupBy(
+        "source_id").agg(F.sum("articles").alias("articles"), F.sum("edges").alias("edges"))
+
+
+def _merged(spark, sf):
+    d = Domain(spark, sf)
+    aliases = F.array(F.concat(F.substring_index("name", " ", 2), F.lit(" "), F.substring_index("name", " ", -1)))
+    topics, edges = merge_by_alias(d.topics().withColumn("aliases", aliases), d.edges())
+    per = edges.groupBy("topic_id").agg(F.count("*").alias("n"), F.sum("score").cast("double").alias("score"))
+    return topics.select("topic_id", "is_curated").join(per, "topic_id", "left")
+
+
+def _slugs(spark, sf):
+    d = Domain(spark, sf)
+    rows = d.table("customer").select("c_custkey", F.col("c_nationkey").alias("user_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("parent"), F.concat(F.lit("Cat "), F.col("c_custkey") % 4).alias("name"))
+    return slugs_within(rows, "name", "c_custkey", ["user_id", "parent"])
+
+
 def _upserted(spark, sf):
     d = Domain(spark, sf)
     url = F.concat(F.lit("https://s"), F.col("source_id"), F.lit(".example/feed"))
@@ -127,6 +181,7 @@ def _references(spark, sf):
 
 QUERIES = {
     "sources_upserted": _upserted, "snapshot_imported": _snapshot, "digests_due": _due, "entities_rejected": _rejected, "mention_totals": _mentions, "topic_gaps": _gaps, "topic_references": _references,
+    "retention_swept": _swept, "topics_merged": _merged, "category_slugs": _slugs,
 }
 ORACLE_SQL = {
     "sources_upserted": with_domain("sources topics", """
@@ -146,4 +201,19 @@ SELECT user_id, n, CASE WHEN n = 1 THEN '1 new article' ELSE n || ' new articles
     "topic_references": with_domain("topics", """
 SELECT topic_id, (5 + (topic_id % 2 = 0)::INT)::INT AS n_keys, 'Q' || topic_id AS wikidata_qid, CASE topic_id % 4 WHEN 0 THEN 'Q0' WHEN 1 THEN 'Q0,Q1' WHEN 2 THEN 'Q0,Q1' ELSE 'Q0,Q1,Q2' END AS instance_of,
   'https://commons.wikimedia.org/wiki/Special:FilePath/Pic_' || topic_id || '.jpg?width=512' AS image, CASE WHEN topic_id % 2 = 0 THEN 'https://it.example/x' END AS wikipedia_url_it FROM topics"""),
+    "retention_swept": f"""
+WITH g AS ({maintenance.ORACLE_SQL["retention_candidates"]}), e AS (SELECT l_orderkey AS article_id, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)
+SELECT o_custkey AS source_id, count(*) AS articles, sum(n)::BIGINT AS edges FROM orders LEFT JOIN e ON e.article_id = o_orderkey WHERE o_orderkey NOT IN (SELECT article_id FROM g) GROUP BY 1""",
+    "topics_merged": with_domain("topics edges", """
+, x AS (SELECT *, lower(trim(name)) AS term, lower(string_split(name, ' ')[1] || ' ' || string_split(name, ' ')[2] || ' ' || string_split(name, ' ')[-1]) AS alias FROM topics),
+a AS (SELECT term, min(topic_id) AS target FROM (SELECT term, topic_id FROM x WHERE is_curated AND type <> 'invalid' UNION ALL SELECT alias, topic_id FROM x WHERE is_curated AND type <> 'invalid') GROUP BY 1),
+m AS (SELECT topic_id, target FROM x JOIN a USING (term) WHERE NOT is_curated),
+v AS (SELECT article_id, coalesce(target, e.topic_id) AS topic_id, score, target IS NULL AS own FROM edges e LEFT JOIN m USING (topic_id)),
+b AS (SELECT article_id, topic_id, coalesce(max(score) FILTER (own), max(score)) AS score FROM v GROUP BY 1, 2),
+p AS (SELECT topic_id, count(*) AS n, sum(score)::DOUBLE AS score FROM b GROUP BY 1)
+SELECT topic_id, is_curated, n, score FROM topics LEFT JOIN p USING (topic_id) WHERE topic_id NOT IN (SELECT topic_id FROM m)"""),
+    "category_slugs": """
+WITH c AS (SELECT c_custkey, c_nationkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS parent, 'cat-' || c_custkey % 4 AS base FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, parent, base ORDER BY c_custkey) AS n FROM c)
+SELECT user_id, parent, c_custkey, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS slug FROM n""",
 }

@@ -42,7 +42,7 @@ def made(spark):
     words = ["alfa", "beta", "gamma", "delta", "eta", "teta", "iota", "kappa"]
     some = lambda k: " ".join(rng.choices(words, weights=range(8, 0, -1), k=k))
     one = lambda: (rng.choice("abc"), f"2024-0{rng.randint(1, 9)}-01", rng.choice([some(2), None, ""]), some(rng.randint(0, 12)))
-    index = SearchIndex(spark, store.work_folder(spark, "test-search"), tuple(FIELDS))
+    index = SearchIndex(spark, store.work_folder(spark, "test-search"), tuple(FIELDS), buckets=8)
     docs = {i * 700: one() for i in range(40)}
     index.replace(table(spark, docs))
     second = {i: one() for i in [*list(docs)[::3], 9, 11]}
