@@ -135,10 +135,10 @@ def _review(spark, sf):
     return review_queue(found, terms, 1).select("normalized", "kind", "surface", "occurrences", "sources", F.array_join("hints", ",").alias("hints"))
 
 
-def _scan_sql(c: str) -> str:
+def _scan_sql(c: str, terms: str = "of  the|that|with|the|and|of") -> str:
     # every boundary character twice, so that one match's end can be the next one's start
     doubled = f"regexp_replace('  ' || lower(replace({c}, '’', '''')) || '  ', '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
-    return f"list_transform(regexp_extract_all({doubled}, '[^\\p{{L}}\\p{{N}}_](of  the|that|with|the|and|of)[^\\p{{L}}\\p{{N}}_'']', 1), lambda x: replace(x, '  ', ' '))"
+    return f"list_transform(regexp_extract_all({doubled}, '[^\\p{{L}}\\p{{N}}_]({terms})[^\\p{{L}}\\p{{N}}_'']', 1), lambda x: replace(x, '  ', ' '))"
 
 
 _MATCH_SQL = with_domain("texts", f"""
