@@ -15,9 +15,19 @@ def match_alerts(alert_topics: DataFrame, edges: DataFrame, known: DataFrame | N
     """alert_topics: alert_id, topic_id, mode. Pairs whose alert's topics are all (`all`), or any of them (`any`), among
     the article's; an unknown mode counts as `all`; an alert without topics matches nothing; `known` pairs are left out."""
     topics = alert_topics.dropDuplicates(["alert_id", "topic_id"])
-    sizes = topics.groupBy("alert_id").agg(F.count("*").alias("size"), F.first("mode").alias("mode"))
-    hits = topics.select("alert_id", "topic_id").join(edges.select("article_id", "topic_id").distinct(), "topic_id").groupBy("alert_id", "article_id").agg(F.count("*").alias("hits"))
-    found = hits.join(sizes, "alert_id").where((F.col("mode") == "any") | (F.col("hits") == F.col("size"))).select("alert_id", "article_id", "hits")
+    sizes = topics.groupBy("alert_id").agg(F.count("*").alias("size"), F.coalesce(F.first("mode"), F.lit("all")).alias("mode"))
+    topics, pairs = topics.select("alert_id", "topic_id").join(sizes, "alert_id"), edges.select("article_id", "topic_id").distinct()
+    some = topics.where("mode = 'any'").join(pairs, "topic_id").groupBy("alert_id", "article_id").agg(F.count("*").alias("hits"))
+    # an article with all of an alert's topics has the rarest of them: only its articles are asked for the others
+    every = topics.where("mode <> 'any'")
+    counts = pairs.groupBy("topic_id").agg(F.count("*").alias("n"))
+    ranked = every.join(counts, "topic_id", "left").groupBy("alert_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "topic_id"))["topic_id"].alias("rarest"), F.first("size").alias("size"))
+    candidates = ranked.join(pairs.withColumnRenamed("topic_id", "rarest"), "rarest")
+    single = candidates.where("size = 1").select("alert_id", "article_id", F.lit(1).cast("long").alias("hits"))
+    others = every.join(ranked.select("alert_id", "rarest"), "alert_id").where("topic_id <> rarest").select("alert_id", "topic_id")
+    several = candidates.where("size > 1").select("alert_id", "article_id", "size").join(others, "alert_id").join(pairs, ["article_id", "topic_id"])
+    several = several.groupBy("alert_id", "article_id").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size - 1").select("alert_id", "article_id", F.col("size").alias("hits"))
+    found = some.unionByName(single).unionByName(several)
     return found if known is None else found.join(known, ["alert_id", "article_id"], "left_anti")
 
 
