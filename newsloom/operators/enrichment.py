@@ -34,11 +34,16 @@ def hit_score(name: Column, matched: Column, kind: Column, language: Column, lab
 def best_candidates(topics: DataFrame, candidates: DataFrame, compatible: Column, least: float = 0.7, n: int = 3) -> DataFrame:
     """topics: topic_id, key, name; candidates: key, candidate_id, matched, kind, language, label, aliases. Of each topic's n best
     candidates (score, then id) the first that is compatible; topics without any are left out."""
-    fit = hit_score(F.col("name"), *map(F.col, ("matched", "kind", "language", "label", "aliases")))
-    scored = topics.join(candidates, "key").withColumn("score", fit).where(F.col("score") >= least)
-    w = Window.partitionBy("topic_id").orderBy(F.desc("score"), "candidate_id")
-    top = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).where(compatible)
-    return top.withColumn("m", F.row_number().over(Window.partitionBy("topic_id").orderBy("n"))).where("m = 1").select("topic_id", "candidate_id", "score")
+    texts = ["matched", "kind", "language", "label", "aliases"]
+    # the score is the texts' alone: each distinct name meets the n least ids of each distinct candidate text
+    w = Window.partitionBy("key", *texts).orderBy("candidate_id")
+    some = candidates.where("key IS NOT NULL").withColumn("__same", F.row_number().over(w)).where(F.col("__same") <= n).drop("__same")
+    names = topics.select("key", "name").distinct()
+    scored = names.join(some, "key").withColumn("score", hit_score(F.col("name"), *map(F.col, texts))).where(F.col("score") >= least)
+    w = Window.partitionBy("key", "name").orderBy(F.desc("score"), "candidate_id")
+    top = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+    fitting = topics.join(top, ["key", "name"]).where(compatible)
+    return fitting.withColumn("m", F.row_number().over(Window.partitionBy("topic_id").orderBy("n"))).where("m = 1").select("topic_id", "candidate_id", "score")
 
 
 def infer_type(classes: Column, rules: list[tuple[str, list[str]]]) -> Column:
