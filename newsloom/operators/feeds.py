@@ -51,8 +51,7 @@ def _user(spark, sf, **more):
 
 def _user_category(spark, sf):
     d = Domain(spark, sf)
-    subscribed = d.subscriptions().join(descendants(d.categories(), 101), "category_id", "left_semi")
-    return timeline(d.articles(), subscribed.select("source_id"))
+    return timeline(d.articles(), d.followed_sources(descendants(d.categories(), 101)))
 
 
 def _topic(spark, sf):
@@ -62,14 +61,12 @@ def _topic(spark, sf):
 
 def _public(spark, sf):
     d = Domain(spark, sf)
-    open_ = d.subscriptions().join(d.categories().where("is_public"), "category_id", "left_semi")
-    return timeline(d.articles(), open_.select("source_id"))
+    return timeline(d.articles(), d.followed_sources(d.categories().where("is_public")))
 
 
 def _global(spark, sf):
     d = Domain(spark, sf)
-    open_ = d.subscriptions().join(d.categories().where("is_public"), "category_id", "left_semi")
-    return timeline(d.articles(), open_.select("source_id"), limit=50)
+    return timeline(d.articles(), d.followed_sources(d.categories().where("is_public")), limit=50)
 
 
 def _hydrated(spark, sf):
