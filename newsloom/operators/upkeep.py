@@ -55,13 +55,13 @@ def import_snapshot(spark: SparkSession, path: str, required: tuple[str, ...] =
     return rows.where("slug IS NOT NULL AND slug <> ''")
 
 
-def due_digests(users: DataFrame, subscriptions: DataFrame, articles: DataFrame, sessions: DataFrame, sent: DataFrame, since, until, now, days: int = SESSION_DAYS) -> DataFrame:
+def due_digests(users: DataFrame, subscriptions: DataFrame, articles: DataFrame, sessions: DataFrame, sent: DataFrame, since, until, now, days: int = SESSION_DAYS, by: str = "source_id") -> DataFrame:
     """user_id, n, body: users with new articles between the times, who were active within `days` before now and have had no
-    digest on the day of now. sent: user_id, sent_at."""
+    digest on the day of now. sent: user_id, sent_at; by as in daily_digest."""
     active = active_sessions(sessions, now, days).select("user_id")
     today = F.to_date(F.lit(now).cast("timestamp_ntz"))
     had = sent.where(F.to_date("sent_at") == today).select("user_id")
-    return daily_digest(users.join(active, "user_id", "left_semi").join(had, "user_id", "left_anti"), subscriptions, articles, since, until)
+    return daily_digest(users.join(active, "user_id", "left_semi").join(had, "user_id", "left_anti"), subscriptions, articles, since, until, by)
 
 
 def topic_statistics(topics: DataFrame, refs: str, identity: str, wanted: tuple[str, ...]) -> DataFrame:
@@ -146,9 +146,9 @@ def _snapshot(spark, sf):
 
 def _due(spark, sf):
     d, t = Domain(spark, sf), lambda x: F.lit(x).cast("timestamp_ntz")
-    users = d.table("supplier").select(F.col("s_suppkey").alias("user_id"))
+    users = d.user_categories()
     sent = d.activity().where("event_type = 'preview_open'").select("user_id", F.col("ts").alias("sent_at"))
-    return due_digests(users, d.subscriptions(), d.articles(), _sessions(d), sent, t("1998-05-01"), t("1998-05-02"), "2024-01-29 12:00:00")
+    return due_digests(users.select("user_id"), users, d.categorised_articles(), _sessions(d), sent, t("1998-05-01"), t("1998-05-02"), "2024-01-29 12:00:00", by="category_id")
 
 
 def _rejected(spark, sf):
