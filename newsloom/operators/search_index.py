@@ -2,10 +2,11 @@
 
 Under a root folder (all Parquet):
 
-- `postings/seg=S/bucket=B`: field, term, chunk, doc_id, tf, length, source, published_at, sorted by term. A term's bucket is its
-  hash modulo the number of buckets, so a query opens only the folders of its terms. chunk is doc_id / 2^CHUNK.
-- `blocks/seg=S/bucket=B`: field, term, chunk, n, most_tf, least_length: what a chunk's postings of a term can score at most.
-- `docs/seg=S/part=P`: doc_id and the lengths of its fields, to take a replaced document out of the statistics.
+- `postings/seg=S/bucket=B`: field, term, chunk, n, most_tf, least_length, docs, sorted by term: what a chunk's documents hold of a
+  term, and what that can score at most. chunk is doc_id / 2^CHUNK; docs lists doc_id, tf, length, source, published_at. A term's
+  bucket is its hash modulo the number of buckets, so a query opens only the folders of its terms. A term of a chunk can have
+  several rows. The term '' (no word) lists every document with the length of its field, to take a replaced document out of
+  the statistics.
 - `dead/seg=S`: doc_id of documents replaced or deleted in segment S; their postings of earlier segments count no more.
 - `stats/seg=S`: field, n, words: what the segment adds to (or takes from) the numbers of documents and words.
 - `commits/seg=S`: written last; segments without it do not exist for readers, so a failed update leaves nothing behind but
@@ -31,12 +32,12 @@ from newsloom.sources.domain import Domain
 BUCKETS, CHUNK = 64, 10
 #: Chunks that a search without a total scores first, to learn what the others must reach.
 FIRST_CHUNKS = 16
+#: Documents that were replaced or deleted go to every task up to this number (some 20 bytes each).
+BROADCAST_DEAD = 1_000_000
 #: The distinct words of an update go to every task with their terms up to this number (some 50 bytes each).
 BROADCAST_WORDS = 500_000
 _SCHEMAS = {
-    "postings": "field string, term string, chunk long, doc_id long, tf long, length long, source string, published_at timestamp, seg int, bucket int",
-    "blocks": "field string, term string, chunk long, n long, most_tf long, least_length long, seg int, bucket int",
-    "docs": "doc_id long, lengths map<string,long>, seg int, part int",
+    "postings": "field string, term string, chunk long, n long, most_tf long, least_length long, docs array<struct<doc_id: long, tf: long, length: long, source: string, published_at: timestamp>>, seg int, bucket int",
     "dead": "doc_id long, seg int",
     "stats": "field string, n long, words long, seg int",
     "commits": "covers array<int>, seg int",
@@ -57,10 +58,13 @@ class SearchIndex:
         """word, term of the distinct words of a table (word): the form that a word is read as, else its stem, else itself."""
         words = words.distinct()
         words = self.stem(words, "word", "term") if self.stem else words.withColumn("term", F.col("word"))
+        return words.withColumn("term", self._form(F.col("word"), F.col("term")))
+
+    def _form(self, word: Column, term: Column) -> Column:
+        """The form that a word is read as, else the term."""
         if not self.forms:
-            return words
-        table = F.create_map(*[F.lit(x) for kv in self.forms.items() for x in kv])
-        return words.withColumn("term", F.coalesce(F.try_element_at(table, F.col("word")), "term"))
+            return term
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.forms.items() for x in kv]), word), term)
 
     def _all(self, name: str) -> DataFrame:
         reader = self.spark.read.schema(_SCHEMAS[name])
@@ -77,71 +81,77 @@ class SearchIndex:
         return self._all(name).where(F.col("seg").isin(self.segments()))
 
     def _next(self) -> int:
-        names = [n for t in ("commits", "postings", "dead", "docs", "stats", "blocks") for n in store.children(self.spark, f"{self.root}/{t}")]
+        names = [n for t in ("commits", "postings", "dead", "stats") for n in store.children(self.spark, f"{self.root}/{t}")]
         return max([int(n.removeprefix("seg=")) for n in names if n.startswith("seg=")], default=0) + 1
 
-    def _alive(self, rows: DataFrame, dead: DataFrame) -> DataFrame:
-        """rows without those whose document a later segment replaced or deleted."""
-        return rows.join(dead.select("doc_id", F.col("seg").alias("until")), "doc_id", "left").where("until IS NULL OR seg >= until").drop("until")
-
-    def _dead(self) -> DataFrame:
-        return self._read("dead").groupBy("doc_id").agg(F.max("seg").alias("seg"))
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Rows of postings without the documents that a later segment replaced or deleted."""
+        dead, segments = self._read("dead").select("doc_id", F.col("seg").alias("until")), self.segments()
+        count = dead.count()
+        if not count:
+            return rows
+        # of every chunk and segment the documents that no longer count there, as bits of 64 ids each
+        each = dead.withColumn("chunk", F.shiftright("doc_id", CHUNK)).withColumn("seg", F.explode(F.array(*map(F.lit, segments)))).where("seg < until")
+        bits = each.groupBy("chunk", "seg", F.shiftright("doc_id", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 AS int))")).alias("b"))
+        gone = bits.groupBy("chunk", "seg").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("gone"))
+        joined = rows.join(F.broadcast(gone) if count <= BROADCAST_DEAD else gone, ["chunk", "seg"], "left")
+        lives = lambda x: F.coalesce(F.getbit(F.try_element_at("gone", F.shiftright(x["doc_id"], 6)), x["doc_id"].bitwiseAND(63).cast("int")), F.lit(0)) == 0
+        left = F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lives))
+        kept = joined.withColumn("docs", left).where(F.size("docs") > 0)
+        return kept.withColumns({"n": F.size("docs").cast("long"), "most_tf": F.array_max("docs.tf"), "least_length": F.array_min("docs.length")}).select(*rows.columns)
 
     def _commit(self, seg: int, covers: list[int]) -> None:
         self.spark.createDataFrame([(covers,)], "covers array<int>").coalesce(1).write.parquet(f"{self.root}/commits/seg={seg}")
 
     def _write_postings(self, postings: DataFrame, seg: int) -> None:
-        """postings: field, term, chunk, doc_id, tf, length, source, published_at."""
-        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        # a very frequent term may not make one task's bucket: buckets are dealt by chunk too
-        dealt = dealt.repartition("bucket", F.pmod("chunk", F.lit(8))).sortWithinPartitions("bucket", "term", "field", "doc_id")
+        """postings: field, term, chunk, n, most_tf, least_length, docs, written as they are dealt."""
+        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).sortWithinPartitions("bucket", "term", "field", "chunk")
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/postings/seg={seg}")
-        written = self.spark.read.schema(_SCHEMAS["postings"]).parquet(f"{self.root}/postings").where(F.col("seg") == seg)
-        blocks = written.groupBy("bucket", "field", "term", "chunk").agg(
-            F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
-        blocks.sortWithinPartitions("bucket", "term", "field", "chunk").write.partitionBy("bucket").parquet(f"{self.root}/blocks/seg={seg}")
 
-    def _write_docs(self, docs: DataFrame, seg: int) -> None:
-        dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")).repartition("part").sortWithinPartitions("part", "doc_id")
-        dealt.select("doc_id", "lengths", "part").write.partitionBy("part").parquet(f"{self.root}/docs/seg={seg}")
+    def _documents(self, rows: DataFrame) -> DataFrame:
+        """doc_id, field, length of the documents of rows of postings."""
+        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit("")), F.lit(self.buckets)).cast("int")).first()[0]
+        return rows.where((F.col("bucket") == bucket) & (F.col("term") == "")).select("field", F.explode("docs").alias("d")).select("d.doc_id", "field", "d.length")
 
     def _lost(self, ids: DataFrame) -> DataFrame:
-        """doc_id, lengths of the living documents among ids."""
-        return self._alive(self._read("docs").join(ids, "doc_id", "left_semi"), self._dead()).select("doc_id", "lengths")
+        """doc_id, field, length of the living documents among ids."""
+        return self._documents(self._alive(self._read("postings"))).join(ids, "doc_id", "left_semi")
 
     def _write_stats(self, new: DataFrame | None, lost: DataFrame, seg: int) -> None:
-        count = lambda df, sign: df.select(F.explode("lengths").alias("field", "length")).groupBy("field").agg(
-            (F.count("*") * sign).alias("n"), (F.sum("length") * sign).alias("words"))
+        """new, lost: doc_id, field, length."""
+        count = lambda df, sign: df.groupBy("field").agg((F.count("*") * sign).alias("n"), (F.sum("length") * sign).alias("words"))
         both = count(lost, -1) if new is None else count(new, 1).unionByName(count(lost, -1))
         both.groupBy("field").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).coalesce(1).write.parquet(f"{self.root}/stats/seg={seg}")
 
     def replace(self, docs: DataFrame) -> int:
         """Write documents (doc_id, source, published_at, the fields), in place of those of the same doc_id. The new segment."""
         seg = self._next()
-        rest = [c for c in ("source", "published_at", *self.fields)]
-        own = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("published_at", "source", *self.fields)).alias("r"))
-        own = own.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"r.{c}").alias(c) for c in rest])
-        read = own.select("doc_id", "source", F.col("published_at").cast("timestamp").alias("published_at"), *[search_tokens(F.col(f), self.stopwords).alias(f) for f in self.fields])
-        read = store.once(read, f"{self.root}/reading/seg={seg}")
+        rest = ["published_at", "source", *self.fields]
+        # dealt once by chunk: documents, their terms and the chunks' postings are all found in the one task that has the chunk
+        own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *rest).withColumn("chunk", F.shiftright("doc_id", CHUNK))
+        own = own.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk").groupBy("chunk", "doc_id").agg(F.max(F.struct(*rest)).alias("r"))
+        read = own.select("chunk", "doc_id", "r.source", F.col("r.published_at").cast("timestamp").alias("published_at"), *[search_tokens(F.col(f"r.{f}"), self.stopwords).alias(f) for f in self.fields])
         each = F.explode(F.create_map(*[x for f in self.fields for x in (F.lit(f), F.col(f))])).alias("field", "words")
-        words = read.select("doc_id", "source", "published_at", each).select("*", F.size("words").cast("long").alias("length"))
-        key = ["field", "doc_id", "length", "source", "published_at"]
-        postings = words.select(*key, F.explode("words").alias("word")).groupBy("word", *key).agg(F.count("*").alias("tf"))
-        if self.forms or self.stem:
-            terms = store.once(self._terms(postings.select("word")), f"{self.root}/terms/seg={seg}")
+        words = read.select("chunk", "doc_id", "source", "published_at", each).withColumn("length", F.size("words").cast("long"))
+        key = ["chunk", "field", "doc_id", "length", "source", "published_at"]
+        words = words.select(*key, F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
+        if self.stem:
+            terms = store.once(self._terms(words.select("word").where("word <> ''")), f"{self.root}/terms/seg={seg}")
             terms = F.broadcast(terms) if terms.count() <= BROADCAST_WORDS else terms
-            postings = postings.join(terms, "word").groupBy("term", *key).agg(F.sum("tf").alias("tf"))
+            words = words.join(terms, "word", "left").withColumn("term", F.coalesce("term", "word"))
         else:
-            postings = postings.withColumnRenamed("word", "term")
-        lengths = read.select("doc_id", F.create_map(*[x for f in self.fields for x in (F.lit(f), F.size(f).cast("long"))]).alias("lengths"))
-        lost = store.once(self._lost(read.select("doc_id")), f"{self.root}/lost/seg={seg}")
-        postings = postings.withColumn("chunk", F.shiftright("doc_id", CHUNK))
-        self._write_postings(postings.select("field", "term", "chunk", "doc_id", "tf", "length", "source", "published_at"), seg)
-        self._write_docs(lengths, seg)
-        lost.select("doc_id").write.parquet(f"{self.root}/dead/seg={seg}")
-        self._write_stats(lengths, lost, seg)
+            words = words.withColumn("term", self._form(F.col("word"), F.col("word")))
+        postings = words.groupBy("term", *key).agg(F.count("*").alias("tf"))
+        postings = postings.groupBy("chunk", "field", "term").agg(
+            F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("doc_id", "tf", "length", "source", "published_at")).alias("docs"))
+        self._write_postings(postings, seg)
+        written = self.spark.read.schema(_SCHEMAS["postings"]).parquet(f"{self.root}/postings").where(F.col("seg") == seg)
+        new = self._documents(written)
+        lost = store.once(self._lost(new.select("doc_id").distinct()), f"{self.root}/lost/seg={seg}")
+        lost.select("doc_id").distinct().write.parquet(f"{self.root}/dead/seg={seg}")
+        self._write_stats(new, lost, seg)
         self._commit(seg, [])
-        for name in ("reading", "terms", "lost"):
+        for name in ("terms", "lost"):
             store.delete(self.spark, f"{self.root}/{name}/seg={seg}")
         return seg
 
@@ -149,7 +159,7 @@ class SearchIndex:
         """Take the documents of ids (doc_id) out. The new segment."""
         seg = self._next()
         lost = store.once(self._lost(ids.select("doc_id").distinct()), f"{self.root}/lost/seg={seg}")
-        lost.select("doc_id").write.parquet(f"{self.root}/dead/seg={seg}")
+        lost.select("doc_id").distinct().write.parquet(f"{self.root}/dead/seg={seg}")
         self._write_stats(None, lost, seg)
         self._commit(seg, [])
         store.delete(self.spark, f"{self.root}/lost/seg={seg}")
@@ -157,9 +167,8 @@ class SearchIndex:
 
     def compact(self) -> int:
         """One segment of all that lives, in place of the segments so far; their files stay until `vacuum`."""
-        seg, old, dead = self._next(), self.segments(), self._dead()
-        self._write_postings(self._alive(self._read("postings"), dead).drop("seg", "bucket"), seg)
-        self._write_docs(self._alive(self._read("docs"), dead).select("doc_id", "lengths"), seg)
+        seg, old = self._next(), self.segments()
+        self._write_postings(self._alive(self._read("postings")).drop("seg", "bucket"), seg)
         self._read("stats").groupBy("field").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).coalesce(1).write.parquet(f"{self.root}/stats/seg={seg}")
         self._commit(seg, old)
         return seg
@@ -167,7 +176,7 @@ class SearchIndex:
     def vacuum(self) -> None:
         """Delete the files of segments that a compaction stands for, and of updates that failed. Their commits go last."""
         living = {f"seg={s}" for s in self.segments()}
-        for name in ("postings", "blocks", "docs", "dead", "stats", "reading", "terms", "lost", "commits"):
+        for name in ("postings", "dead", "stats", "terms", "lost", "commits"):
             for child in store.children(self.spark, f"{self.root}/{name}"):
                 if child.startswith("seg=") and child not in living:
                     store.delete(self.spark, f"{self.root}/{name}/{child}")
@@ -200,21 +209,18 @@ class SearchIndex:
         query in one of the fields, by weighted BM25 (ties: newest, then doc_id).
 
         A blank query, one of stop words only, and an empty list of sources find nothing; None asks all sources. limit is
-        bounded to 1 to 50, offset to 1,000. Without total, chunks whose blocks' bounds stay below what the page needs are
-        not read.
+        bounded to 1 to 50, offset to 1,000. Without total, chunks whose bounds stay below what the page needs are
+        not scored.
         """
         limit, offset = min(max(limit, 1), 50), min(max(offset, 0), 1000)
         terms = self.query_terms(query)
         if not terms or sources == []:
             none = self.spark.createDataFrame([], "doc_id long, score double, total long")
             return none if total else none.drop("total")
-        postings = self._of_terms("postings", terms).where(F.col("field").isin(list(fields)))
+        blocks = self._alive(self._of_terms("postings", terms).where(F.col("field").isin(list(fields))))
         weights = F.broadcast(self._weights(fields))
-        if any(store.children(self.spark, f"{self.root}/dead/seg={s}") for s in self.segments()):
-            postings = self._alive(postings, self._dead())
-            df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-        else:
-            df = self._of_terms("blocks", terms).groupBy("field", "term").agg(F.sum("n").alias("df"))
+        df = blocks.groupBy("field", "term").agg(F.sum("n").alias("df"))
+        postings = blocks.select("field", "term", "chunk", F.explode("docs").alias("d")).select("field", "term", "chunk", "d.*")
         about = F.broadcast(df.join(weights, "field"))  # a row for each field and term of the query
 
         def hits(rows: DataFrame) -> DataFrame:
@@ -226,8 +232,7 @@ class SearchIndex:
             found = hits(postings)
             page = found.orderBy(*order).offset(offset).limit(limit)
             return page.crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).select("doc_id", "score", "total")
-        blocks = self._of_terms("blocks", terms).where(F.col("field").isin(list(fields)))
-        bounds = blocks.join(about, ["field", "term"]).groupBy("chunk", "field", "term").agg(F.max(self._part("most_tf", "least_length")).alias("most"))
+        bounds = blocks.drop("docs").join(about, ["field", "term"]).groupBy("chunk", "field", "term").agg(F.max(self._part("most_tf", "least_length")).alias("most"))
         bounds = bounds.groupBy("chunk").agg((F.sum("most") + 1e-5).alias("most"))  # scores are rounded to six places
         first = [r["chunk"] for r in bounds.orderBy(F.desc("most"), "chunk").limit(FIRST_CHUNKS).collect()]
         best = hits(postings.where(F.col("chunk").isin(first))).orderBy(*order).limit(offset + limit).select("score").collect()

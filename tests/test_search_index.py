@@ -107,3 +107,17 @@ def test_a_query_opens_only_its_buckets(spark, made):
     filters = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert re.search(r"bucket#\d+ (=|IN) ", filters) and "seg#" in filters
     assert "EqualTo(term,kappa)" in plan.split("PushedFilters: [")[1]
+
+
+def test_an_update_deals_documents_once(spark):
+    """Postings are counted and written by the task that has the chunk: no shuffle of terms, no table beside the postings."""
+    index = SearchIndex(spark, store.work_folder(spark, "test-search"), tuple(FIELDS), buckets=8)
+    plans, write = [], index._write_postings
+    index._write_postings = lambda rows, seg: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, seg))
+    index.replace(table(spark, {i: ("a", "2024-01-01", "alfa", "beta") for i in (-1500, -1, 0, 63, 64, 1023, 1024)}))
+    assert plans[0].count("Exchange ") == 1
+    index.delete(spark.createDataFrame([(i,) for i in (-1, 63, 1024)], "doc_id long"))
+    index.compact()
+    assert plans[1].count("Exchange ") <= 3  # of the dead alone
+    assert [r["doc_id"] for r in index.search("beta", FIELDS).orderBy("doc_id").collect()] == [-1500, 0, 64, 1023]
+    assert "blocks" not in store.children(spark, index.root)
