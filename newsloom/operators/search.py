@@ -29,6 +29,13 @@ def postings(docs: DataFrame, key: str, text: Column, stopwords: tuple[str, ...]
     return tokens.select(key, "length", F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
+def term_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, df, tf. Texts are dealt by key once, so that a document's terms are counted where it is."""
+    terms = docs.select(key, text).repartition(key).select(key, F.explode(search_tokens(F.col(text))).alias("term"))
+    each = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return each.groupBy("term").agg(F.count(key).alias("df"), F.sum("tf").alias("tf"))
+
+
 def bm25(index: DataFrame, key: str, query: list[str], stats: DataFrame, limit: int | None = 20, offset: int = 0) -> DataFrame:
     """The best documents by BM25, ties by key (all, in no order, if limit is None). stats: one row with n documents and their average length."""
     hits = index.where(F.col("term").isin(*query))  # pushed to the index
@@ -167,7 +174,7 @@ QUERIES = {
     "search_fragments": _fragments,
     "pages_normalized": _normalized,
     "search_suggest": lambda spark, sf: suggest(Domain(spark, sf).topics(), "al"),
-    "term_statistics": lambda spark, sf: postings(Domain(spark, sf).table("documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).orderBy(F.desc("tf"), "term").limit(200),
+    "term_statistics": lambda spark, sf: term_statistics(Domain(spark, sf).table("documents"), "doc_id", "text").orderBy(F.desc("tf"), "term").limit(200),
     "url_hash": lambda spark, sf: Domain(spark, sf).table("pages").select("page_id", url_hash("url").alias("url_hash")),
     "source_domain": lambda spark, sf: Domain(spark, sf).table("pages").groupBy(source_domain("url").alias("domain")).agg(F.count("*").alias("n")),
     "html_text": lambda spark, sf: Domain(spark, sf).table("pages").select("page_id", F.sha2(html_to_text("html"), 256).alias("text_sha256"), F.length(html_to_text("html")).cast("bigint").alias("n")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import registry
 from newsloom.operators.alerts import daily_digest
 from newsloom.operators.enrichment import best_candidates
+from newsloom.operators.search import term_statistics
 from newsloom.sources import archives, store
 from tests.conftest import SF
 
@@ -86,3 +87,10 @@ def test_shared_members_equal_own(spark):
         archives.write_archives(members, path)
         read.append(sorted(map(tuple, archives.read_archives(spark, path).collect())))
     assert read[0] == read[1] and len(read[0]) == 6
+
+
+def test_term_statistics_count_a_repeated_document_once(spark):
+    docs = spark.createDataFrame([(1, "alfa beta alfa"), (1, "alfa"), (2, "beta"), (None, "beta"), (3, None)], "doc_id long, text string")
+    out = term_statistics(docs, "doc_id", "text")
+    assert {tuple(r) for r in out.collect()} == {("alfa", 1, 3), ("beta", 2, 3)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 2
