@@ -16,6 +16,7 @@ from newsloom.operators.articles import _topics, article_topics
 from newsloom.operators.changes import apply_changes, changes
 from newsloom.operators.classify import _scan_sql
 from newsloom.operators.search import search_rows
+from newsloom.sources import store
 from newsloom.sources.domain import Domain, with_domain
 
 #: What a run gives.
@@ -31,7 +32,7 @@ def process_articles(articles: DataFrame, sources: DataFrame, topics: DataFrame,
     own = new.join(sources.select("source_id"), "source_id", "left_semi").select(*articles.columns)
     whole = normalize_articles(own)
     found, made = article_topics(own.select(F.col("article_id").alias("doc_id"), "title", F.lit("").alias("body"), F.array().cast("array<string>").alias("taxonomy")), topics, title_only=True, **how)
-    found = found.select(F.col("doc_id").alias("article_id"), "topic_id", "score", "position")
+    found = store.once(found.select(F.col("doc_id").alias("article_id"), "topic_id", "score", "position"), f"{store.work_folder(articles.sparkSession, 'run')}/found")
     ids = own.select("article_id")
     log = changes(edges.join(ids, "article_id", "left_semi"), found, ["article_id", "topic_id"], ["score", "position"])
     every = topics.unionByName(made)
@@ -58,7 +59,7 @@ def _run(d: Domain) -> dict[str, DataFrame]:
         F.lit("new").alias("status")).withColumnRenamed("body", "content_html")
     sources = texts.where("source IS NOT NULL AND source NOT LIKE '%7'").select(F.col("source").alias("source_id"), F.lit(None).cast("string").alias("url_site"), F.concat(F.lit("https://"), "source", F.lit(".example/feed")).alias("url_feed"), F.lit("rss").alias("kind")).distinct()
     edges = texts.where("doc_id % 4 = 0").select(F.col("doc_id").alias("article_id"), F.lit(3).cast("bigint").alias("topic_id"), F.lit(3.0).alias("score"), F.lit("title").alias("position"))
-    alerts = d.spark.createDataFrame([(1, 1, "any"), (2, 1, "all"), (2, 3, "all"), (3, 2, "any"), (3, 3, "any")], "alert_id int, topic_id bigint, mode string")
+    alerts = store.listed(d.spark, [(1, 1, "any"), (2, 1, "all"), (2, 3, "all"), (3, 2, "any"), (3, 3, "any")], "alert_id int, topic_id bigint, mode string")
     return process_articles(articles, sources, _topics(d.spark).where("topic_id < 4"), edges, alerts, curated_only=True)
 
 

@@ -7,13 +7,13 @@ Null texts and lists are empty. Ties go to the smaller id or the surface that co
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import normalize_term, slugify
-from newsloom.operators.classify import cap_topics, composite_rules, drop_subsumed, scan
-from newsloom.operators.extractors import extract_persons, extract_single_brands, models
+from newsloom.operators.classify import cap_topics, composite_rules, drop_subsumed, term_counts
+from newsloom.operators.extractors import found_names, models, persons, single_brands
+from newsloom.sources import store
 from newsloom.sources.domain import Domain
 
 # How many names of each kind an article gives, and the titles that get no topics.
@@ -40,21 +40,8 @@ def term_index(topics: DataFrame, ambiguous_places: tuple[str, ...] = ()) -> Dat
 def dictionary_matches(articles: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, topic_id, type, t, b: how often a topic's terms stand in the title, and in the body or taxonomy."""
     words = {cs: [r["term"] for r in terms.where(F.col("cs") == cs).select("term").distinct().collect()] for cs in (False, True)}  # curated rules
-    hit = lambda c, cs, t, b: F.transform(scan(F.col(c), words[cs], not cs), lambda m: F.struct(m.alias("term"), F.lit(cs).alias("cs"), F.lit(t).alias("t"), F.lit(b).alias("b")))
-    texts = articles.select("doc_id", "title", F.concat_ws(" . ", "body", "taxonomy").alias("rest"))
-    found = texts.select("doc_id", F.explode(F.concat(*[hit(c, cs, t, 1 - t) for c, t in (("title", 1), ("rest", 0)) for cs in (False, True)])).alias("h"))
-    counts = found.groupBy("doc_id", F.col("h.term").alias("term"), F.col("h.cs").alias("cs")).agg(F.sum("h.t").alias("t"), F.sum("h.b").alias("b"))
-    return counts.join(terms, ["term", "cs"]).groupBy("doc_id", "topic_id", "type").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-
-def _models(text: Column, brands: Column, common: tuple[str, ...]) -> Column:
-    kept = frozenset(common)
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([list(dict.fromkeys(models(t, tuple(b), kept))) if t and b is not None and len(b) else [] for t, b in zip(texts, names, strict=True)], dtype=object)
-
-    return run(text, brands)
+    counts = term_counts(articles.select("doc_id", "title", F.concat_ws(" . ", "body", "taxonomy").alias("body")), words)
+    return counts.join(F.broadcast(terms), ["term", "cs"]).groupBy("doc_id", "topic_id", "type").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
 def named_matches(articles: DataFrame, matches: DataFrame, topics: DataFrame, terms: DataFrame, common: tuple[str, ...] = ()) -> DataFrame:
@@ -62,15 +49,19 @@ def named_matches(articles: DataFrame, matches: DataFrame, topics: DataFrame, te
     of another kind of curated topic go; brands that are part of a person's name go; each kind keeps its NAME_CAPS best."""
     brands = matches.join(topics.where("type = 'brand' AND is_curated").select("topic_id", "name"), "topic_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("brands"))
     rows = articles.select("doc_id", "title", "body").join(brands, "doc_id", "left")
+    kept = frozenset(common)
 
-    def tagged(surfaces: Column, kind: str, t: int) -> Column:
-        return F.transform(surfaces, lambda s: F.struct(s.alias("surface"), F.lit(kind).alias("kind"), F.lit(t).alias("t"), F.lit(1 - t).alias("b")))
-
-    def part(c: str, t: int) -> Column:
-        return F.concat(tagged(extract_persons(F.col(c), common), "person", t), tagged(extract_single_brands(F.col(c), common), "brand", t),
-                        tagged(_models(F.col(c), F.col("brands"), common), "model", t))
-
-    each = rows.select("doc_id", F.explode(F.concat(part("title", 1), part("body", 0))).alias("x")).select("doc_id", "x.*")
+    def find(row: dict) -> list[tuple]:
+        own = tuple(row["brands"] or ())
+        out = []
+        for text, t in ((row["title"], 1), (row["body"], 0)):
+            if text:
+                each = (("person", persons(text, kept)), ("brand", single_brands(text, kept)), ("model", models(text, own, kept) if own else []))
+                out += [(s, kind, t, 1 - t) for kind, found in each for s in dict.fromkeys(found)]
+        return out
+
+    each = found_names(rows, ("doc_id",), "surface string, kind string, t long, b long", lambda: find)
+    each = store.once(each, f"{store.work_folder(articles.sparkSession, 'names')}/names")  # read several times; texts are not
     tokens = each.where("kind = 'person'").select("doc_id", "surface", F.explode(F.split(F.lower("surface"), " ")).alias("token")).withColumn("token", F.rtrim("token", F.lit(".,;:")))
     other = terms.where("type <> 'person' AND NOT cs").select(F.col("term").alias("token")).distinct()
     colliding = tokens.where(F.length("token") >= SHORTEST_COLLISION).join(other, "token", "left_semi").select("doc_id", "surface").distinct().withColumn("kind", F.lit("person"))
@@ -112,10 +103,12 @@ def article_topics(articles: DataFrame, topics: DataFrame, composites: list[tupl
     if title_only:
         rows = rows.withColumns({"body": F.lit(""), "taxonomy": F.array().cast("array<string>")})
     terms = term_index(topics, ambiguous_places)
-    found = dictionary_matches(rows, terms)
+    folder = store.work_folder(articles.sparkSession, "matches")
+    found = store.once(dictionary_matches(rows, terms), f"{folder}/dictionary")  # what follows reads matches several times, texts once
     new = topics.limit(0)
     if not curated_only:
-        named, new = resolve_names(named_matches(rows, found, topics, terms, common), topics, terms)
+        named, new = resolve_names(store.once(named_matches(rows, found, topics, terms, common), f"{folder}/named"), topics, terms)
+        new = store.once(new, f"{folder}/new")
         found = found.unionByName(named)
     position = F.when((F.col("t") > 0) & (F.col("b") > 0), "both").when(F.col("t") > 0, "title").otherwise("body")
     scored = found.withColumns({"score": 3.0 * F.col("t") + F.col("b"), "position": position}).where(F.col("score") >= least)
@@ -123,15 +116,12 @@ def article_topics(articles: DataFrame, topics: DataFrame, composites: list[tupl
     if composites:
         best = composite_rules(best, list(composites)).join(best.select("doc_id", "topic_id", "position"), ["doc_id", "topic_id"], "left")
     curated = topics.where("is_curated").select("topic_id", "name")
-    known = best.join(curated.select("topic_id"), "topic_id", "left_semi")
-    kept = drop_subsumed(known, curated).select("doc_id", "topic_id")
-    lost = known.select("doc_id", "topic_id").join(kept, ["doc_id", "topic_id"], "left_anti")
-    return best.join(lost, ["doc_id", "topic_id"], "left_anti").select("doc_id", "topic_id", "score", "position"), new
+    return drop_subsumed(best.select("doc_id", "topic_id", "score", "position"), curated), new
 
 
 def _topics(spark: SparkSession) -> DataFrame:
     rows = [(1, "the", "The", "function", [], True, False), (2, "of-the", "Of the", "phrase", ["with the"], True, False), (3, "und", "Und", "brand", [], True, False), (4, "thand", "Thand", "invalid", [], False, False)]
-    return spark.createDataFrame(rows, "topic_id bigint, slug string, name string, type string, aliases array<string>, is_curated boolean, case_sensitive boolean")
+    return store.listed(spark, rows, "topic_id bigint, slug string, name string, type string, aliases array<string>, is_curated boolean, case_sensitive boolean")
 
 
 def _edges(spark, sf):

@@ -5,7 +5,8 @@ Null texts hold no terms and no names, ties go to the smaller id, and empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,48 +14,75 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import normalize_term
 from newsloom.operators.curation import review_queue
-from newsloom.operators.extractors import extract_all
+from newsloom.operators.extractors import all_names, found_names
 from newsloom.sources.domain import Domain, with_domain
+from newsloom.sources.store import listed
+
+def matcher(terms: list[str], ignore_case: bool = True) -> Callable[[str | None], list[str]]:
+    """A function of a text: its leftmost-longest matches that do not overlap, in order, as `scan` says. One automaton over all
+    terms reads a text once, however many terms there are."""
+    import ahocorasick
+
+    wanted = sorted({t for t in terms if t})
+    machine = ahocorasick.Automaton()
+    for t in wanted:
+        machine.add_word(t, t)
+    machine.make_automaton()
+    inside = lambda c: c.isalnum() or c == "_"
+
+    def find(x: str | None) -> list[str]:
+        if not x or not wanted:
+            return []
+        x = x.replace("’", "'")
+        x = x.lower() if ignore_case else x
+        best: dict[int, str] = {}  # the longest term that begins at a place
+        for last, t in machine.iter(x):
+            first, after = last + 1 - len(t), x[last + 1 : last + 2]
+            if not (first and inside(x[first - 1])) and not (after and (inside(after) or after == "'")) and len(t) > len(best.get(first, "")):
+                best[first] = t
+        out, end = [], 0
+        for first in sorted(best):
+            if first >= end:
+                out.append(best[first])
+                end = first + len(best[first])
+        return out
+
+    return find
+
 
 def scan(text: Column, terms: list[str], ignore_case: bool = True) -> Column:
     """The leftmost-longest matches that do not overlap, in order. terms: a dictionary's terms (a broadcast rule set),
     normalised where case is ignored. A match stands between characters that are no letters, digits or underscores, and no
-    apostrophe follows. One automaton over all terms reads a text once, however many terms there are. Null text: none."""
-    wanted = sorted({t for t in terms if t})
+    apostrophe follows. Null text: none."""
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()  # once for all batches of a task
-        for t in wanted:
-            machine.add_word(t, t)
-        machine.make_automaton()
-        inside = lambda c: c.isalnum() or c == "_"
-
-        def find(x: str | None) -> list[str]:
-            if not x or not wanted:
-                return []
-            x = x.replace("’", "'")
-            x = x.lower() if ignore_case else x
-            best: dict[int, str] = {}  # the longest term that begins at a place
-            for last, t in machine.iter(x):
-                first, after = last + 1 - len(t), x[last + 1 : last + 2]
-                if not (first and inside(x[first - 1])) and not (after and (inside(after) or after == "'")) and len(t) > len(best.get(first, "")):
-                    best[first] = t
-            out, end = [], 0
-            for first in sorted(best):
-                if first >= end:
-                    out.append(best[first])
-                    end = first + len(best[first])
-            return out
-
+        find = matcher(terms, ignore_case)  # once for all batches of a task
         for texts in batches:
             yield texts.map(find)
 
     return run(text)
 
 
+def term_counts(texts: DataFrame, terms: dict[bool, list[str]]) -> DataFrame:
+    """texts: doc_id, title, body. doc_id, term, cs, t, b: how often each term stands in title and body, one row for each term that
+    a row of texts holds. terms: those of each case sensitivity."""
+
+    def start() -> Callable[[dict], list[tuple]]:
+        finders = [(cs, matcher(ts, not cs)) for cs, ts in terms.items() if ts]
+
+        def find(row: dict) -> list[tuple]:
+            out = []
+            for cs, matches in finders:
+                t, b = Counter(matches(row["title"])), Counter(matches(row["body"]))
+                out += [(term, cs, t[term], b[term]) for term in t | b]
+            return out
+
+        return find
+
+    return found_names(texts.select("doc_id", "title", "body"), ("doc_id",), "term string, cs boolean, t long, b long", start)
+
+
 def classify(articles: DataFrame, dictionary: DataFrame, min_score: float = 1.0, skip_title: str = r"(?iu)\b(offerta|offerte)\b") -> DataFrame:
     """articles: doc_id, title, body; dictionary: topic_id, type, term (at least two characters).
     doc_id, topic_id, score (3 a title match, 1 a body match), position (both, title, body).
@@ -65,9 +93,7 @@ def classify(articles: DataFrame, dictionary: DataFrame, min_score: float = 1.0,
     dictionary = dictionary.where(F.length("term") >= 2).withColumn("term", normalize_term("term"))
     terms = [r["term"] for r in dictionary.select("term").distinct().collect()]  # the curated rule set
     kept = articles.where(~F.coalesce(F.col("title"), F.lit("")).rlike(skip_title))
-    side = lambda c, t, b: F.transform(scan(F.col(c), terms), lambda m: F.struct(m.alias("term"), F.lit(t).alias("t"), F.lit(b).alias("b")))
-    hits = kept.select("doc_id", F.explode(F.concat(side("title", 1, 0), side("body", 0, 1))).alias("h"))
-    counts = hits.groupBy("doc_id", F.col("h.term").alias("term")).agg(F.sum("h.t").alias("t"), F.sum("h.b").alias("b"))
+    counts = term_counts(kept, {False: terms})
     scored = counts.join(F.broadcast(dictionary.select("term", "topic_id", "type").distinct()), "term").groupBy("doc_id", "topic_id", "type").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     position = F.when((F.col("t") > 0) & (F.col("b") > 0), "both").when(F.col("t") > 0, "title").otherwise("body")
     return scored.select("doc_id", "topic_id", "type", (3.0 * F.col("t") + F.col("b")).alias("score"), position.alias("position")).where(F.col("score") >= min_score)
@@ -98,26 +124,31 @@ def _apply_rule(m: Column, composite: int, ids: Column) -> Column:
 
 
 def drop_subsumed(matches: DataFrame, names: DataFrame) -> DataFrame:
-    """Without the matches whose tokens are a contiguous proper part of another match's of the document."""
-    named = matches.join(F.broadcast(names), "topic_id").withColumn("padded", F.concat(F.lit(" "), normalize_term("name"), F.lit(" ")))
-    longer = named.select("doc_id", F.col("padded").alias("other"))
-    inside = named.join(longer, "doc_id").where(F.contains("other", "padded") & (F.length("other") > F.length("padded")))
-    return matches.join(inside.select("doc_id", "topic_id").distinct(), ["doc_id", "topic_id"], "left_anti")
+    """Without the matches whose tokens are a contiguous proper part of another match's of the document. Matches without a name
+    stay. The matches of a document meet in one row."""
+    padded = names.select("topic_id", F.concat(F.lit(" "), normalize_term("name"), F.lit(" ")).alias("p")).groupBy("topic_id").agg(F.collect_set("p").alias("__padded"))
+    own = matches.join(F.broadcast(padded), "topic_id", "left").groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in matches.columns if c != "doc_id"], "__padded")).alias("m"))
+    own = own.withColumn("all", F.array_distinct(F.flatten(F.filter(F.transform("m", lambda x: x["__padded"]), lambda p: p.isNotNull()))))
+    inside = lambda p: F.exists("all", lambda q: F.contains(q, p) & (F.length(q) > F.length(p)))
+    kept = F.filter("m", lambda x: F.col("doc_id").isNull() | x["__padded"].isNull() | ~F.exists(x["__padded"], inside))
+    return own.select("doc_id", F.inline(kept)).select(*matches.columns)
 
 
 def mine_entities(texts: DataFrame, brands: tuple[str, ...] = (), common: tuple[str, ...] = ()) -> DataFrame:
     """texts: doc_id, source, text. normalized, kind, surface (first by document), occurrences, sources. Null texts have no
     entities; occurrences of one document count once for each surface."""
-    each = texts.select("doc_id", "source", F.posexplode(extract_all(F.col("text"), brands, common)).alias("pos", "c"))
-    return each.groupBy(normalize_term(F.col("c.surface")).alias("normalized"), F.col("c.kind").alias("kind")).agg(
-        F.min(F.struct("doc_id", "pos", F.col("c.surface").alias("s")))["s"].alias("surface"), F.count("*").alias("occurrences"), F.count_distinct("source").alias("sources"))
+    kept = frozenset(common)
+    each = found_names(texts.select("doc_id", "source", "text"), ("doc_id", "source"), "pos int, surface string, kind string", lambda: lambda row: [
+        (i, *name) for i, name in enumerate(all_names(row["text"], brands, kept))])
+    return each.groupBy(normalize_term("surface").alias("normalized"), "kind").agg(
+        F.min(F.struct("doc_id", "pos", F.col("surface").alias("s")))["s"].alias("surface"), F.count("*").alias("occurrences"), F.count_distinct("source").alias("sources"))
 
 
 DICTIONARY = [(1, "function", "the"), (2, "function", "and"), (3, "function", "of"), (4, "relative", "that"), (5, "relative", "with"), (6, "phrase", "of the")]
 
 
 def _dictionary(spark):
-    return spark.createDataFrame(DICTIONARY, "topic_id bigint, type string, term string")
+    return listed(spark, DICTIONARY, "topic_id bigint, type string, term string")
 
 
 def _matches(spark, sf):

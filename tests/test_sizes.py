@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import registry
 from newsloom.operators.alerts import daily_digest
+from newsloom.operators.classify import drop_subsumed, term_counts
 from newsloom.operators.enrichment import best_candidates
 from newsloom.operators.search import term_statistics
 from newsloom.sources import archives, store
@@ -94,3 +95,26 @@ def test_term_statistics_count_a_repeated_document_once(spark):
     out = term_statistics(docs, "doc_id", "text")
     assert {tuple(r) for r in out.collect()} == {("alfa", 1, 3), ("beta", 2, 3)}
     assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 2
+
+
+def python_nodes(df) -> int:
+    """How many times the plan sends rows to Python workers."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    return plan.count("ArrowEvalPython") + plan.count("MapInArrow") + plan.count("BatchEvalPython") + plan.count("ExistingRDD")
+
+
+@pytest.mark.parametrize(("name", "most"), [("composite_rules", 1), ("subsumption", 1), ("dict_classify", 1), ("article_topics", 0), ("articles_processed", 0), ("articles_alerted", 0)])
+def test_texts_are_read_once(spark, name, most):
+    assert python_nodes(registry.QUERIES[name](spark, SF)) == most
+
+
+def test_terms_of_a_text_are_counted_where_they_are_found(spark):
+    docs = spark.createDataFrame([(1, "the The", "the " * 5000), (2, None, "x"), (3, "und", None), (None, "the", "")], "doc_id long, title string, body string")
+    found = term_counts(docs, {False: ["the", "und"], True: ["The"]})
+    assert {tuple(r) for r in found.collect()} == {(1, "the", False, 2, 5000), (1, "The", True, 1, 0), (3, "und", False, 1, 0), (None, "the", False, 1, 0)}
+
+
+def test_subsumed_matches_of_one_document(spark):
+    matches = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 9, 1.0), (2, 1, 1.0), (None, 1, 1.0), (None, 2, 1.0)], "doc_id long, topic_id long, score double")
+    names = spark.createDataFrame([(1, "The"), (2, "of the"), (3, None)], "topic_id long, name string")
+    assert {tuple(r) for r in drop_subsumed(matches, names).collect()} == {(1, 2, 1.0), (1, 9, 1.0), (2, 1, 1.0), (None, 1, 1.0), (None, 2, 1.0)}
