@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import slugify
+from newsloom.sources import store
 from newsloom.sources.domain import Domain, with_domain
 
 # Markup that a text should not hold, titles of pages that keep robots out, types by kind of entity.
@@ -141,6 +142,7 @@ def review_queue(entities: DataFrame, terms: DataFrame, least: int = 5, n: int =
     words (four letters or more) name; terms: term, topic_id (of several topics of a term the last)."""
     queue = entities.where(F.col("topic_id").isNull() & ~F.coalesce("ignored", F.lit(False)) & (F.col("occurrences") >= least))
     queue = queue.orderBy(F.desc("occurrences"), "normalized", "kind").limit(n)
+    queue = store.once(queue, f"{store.work_folder(entities.sparkSession, 'queue')}/queue")  # read twice; what it is made from once
     words = queue.select("normalized", "kind", F.explode(F.array_distinct(F.split("normalized", " "))).alias("term")).where(F.length("term") >= 4)
     last = terms.groupBy("term").agg(F.max("topic_id").alias("hint"))
     hints = words.join(last, "term").groupBy("normalized", "kind").agg(F.sort_array(F.collect_set("hint")).alias("hints"))

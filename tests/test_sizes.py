@@ -1,5 +1,7 @@
 """Work that grows with the input, not with products of it: the rows that joins give, over tables where products are large."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import registry
 from newsloom.operators import alerts as alert_operators
+from newsloom.operators import extractors
 from newsloom.operators.alerts import daily_digest, match_alerts
 from newsloom.operators.classify import drop_subsumed, term_counts
 from newsloom.operators.enrichment import best_candidates
@@ -104,7 +107,7 @@ def python_nodes(df) -> int:
     return plan.count("ArrowEvalPython") + plan.count("MapInArrow") + plan.count("BatchEvalPython") + plan.count("ExistingRDD")
 
 
-@pytest.mark.parametrize(("name", "most"), [("composite_rules", 1), ("subsumption", 1), ("dict_classify", 1), ("article_topics", 0), ("articles_processed", 0), ("articles_alerted", 0)])
+@pytest.mark.parametrize(("name", "most"), [("composite_rules", 1), ("subsumption", 1), ("dict_classify", 1), ("entity_review", 0), ("article_topics", 0), ("articles_processed", 0), ("articles_alerted", 0)])
 def test_texts_are_read_once(spark, name, most):
     assert python_nodes(registry.QUERIES[name](spark, SF)) == most
 
@@ -146,3 +149,17 @@ def test_alerts_beyond_what_is_carried(spark, monkeypatch):
         true = {(a, b, len(ts & own)) for a, (m, ts) in wanted.items() for b, own in has.items() if ts & own and (m == "any" or ts <= own) and (seen is None or (a, b) not in gone)}
         rows = [tuple(r) for r in match_alerts(alerts, edges, seen).collect()]
         assert set(rows) == true and len(rows) == len(true)
+
+
+def test_words_are_those_that_rules_look_at():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "à", "B", "É", "Ñ", "7", "²", "_", " ", "\n", ".", "-", "’", "Abcd", "XY", "J.", "Papa", " Anna"], k=rng.randint(0, 25)))
+        every = [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        ends = {b: a for (_, _, a), (_, b, _) in zip(every, every[1:], strict=False)}  # where the word before each word ends
+        kept = [(t, a, t[0] in extractors.UPPER and len(t) == 1 and text[b : b + 1] == ".", b) for t, a, b in every if t[0] in extractors.UPPER + "0123456789"]
+        assert [(w.text, w.start, w.initial, w.end - w.initial) for w in extractors.words_of(text)] == kept
+        for w in extractors.words_of(text):
+            between = text[ends[w.start] : w.start] if w.start in ends else "x"
+            before = [x for x in extractors.words_of(text) if x.end - x.initial == ends.get(w.start)]
+            assert w.near == (bool(before) and (between[1:] if before and before[0].initial else between).isspace())
