@@ -21,11 +21,12 @@ def due_sources(sources: DataFrame, now, limit: int = 50) -> DataFrame:
 
 
 def retention_candidates(articles: DataFrame, counters: DataFrame, protected: list[DataFrame], before) -> DataFrame:
-    """article_id of articles published before the time, without reads, and in none of the protected sets."""
-    out = articles.where(F.col("published_at") < F.lit(before).cast("timestamp_ntz")).join(counters.where("reads > 0"), "article_id", "left_anti")
+    """article_id of articles published before the time, without reads, and in none of the protected sets. What is kept is one
+    table, so articles are sorted and joined once, however many sets there are."""
+    kept = counters.where("reads > 0").select("article_id")
     for ids in protected:
-        out = out.join(ids.select("article_id"), "article_id", "left_anti")
-    return out.select("article_id")
+        kept = kept.unionByName(ids.select("article_id"))
+    return articles.where(F.col("published_at") < F.lit(before).cast("timestamp_ntz")).select("article_id").join(kept, "article_id", "left_anti")
 
 
 def insert_absent(existing: DataFrame, candidates: DataFrame, key: str, order: list[str]) -> DataFrame:

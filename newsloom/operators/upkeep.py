@@ -74,8 +74,10 @@ def topic_statistics(topics: DataFrame, refs: str, identity: str, wanted: tuple[
 
 
 def swept(candidates: DataFrame, key: str, **tables: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the rows of the candidates: what a retention sweep leaves, of articles and of all that hangs on them."""
+    """The tables without the rows of the candidates: what a retention sweep leaves, of articles and of all that hangs on them.
+    The candidates are found once, for all tables; a task hashes its own (each once) and sorts no table."""
     gone = candidates.select(key).distinct()
+    gone = store.once(gone, f"{store.work_folder(gone.sparkSession, 'swept')}/gone").hint("shuffle_hash")
     return {name: rows.join(gone, key, "left_anti").select(*rows.columns) for name, rows in tables.items()}
 
 
@@ -106,9 +108,8 @@ def slugs_within(rows: DataFrame, name: str, key: str, groups: list[str]) -> Dat
 def _swept(spark, sf):
     d = Domain(spark, sf)
     left = swept(maintenance.QUERIES["retention_candidates"](spark, sf), "article_id", articles=d.articles(), edges=d.edges())
-    n = lambda df, c: df.groupBy("article_id").agg(F.count("*").alias(c))
-    return n(left["articles"], "articles").join(n(left["edges"], "edges"), "article_id", "left").join(d.articles().select("article_id", "source_id"), "article_id").groupBy(
-        "source_id").agg(F.sum("articles").alias("articles"), F.sum("edges").alias("edges"))
+    edges = left["edges"].groupBy("article_id").agg(F.count("*").alias("edges"))
+    return left["articles"].join(edges, "article_id", "left").groupBy("source_id").agg(F.count("*").alias("articles"), F.sum("edges").alias("edges"))
 
 
 def _merged(spark, sf):

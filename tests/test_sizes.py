@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import registry
 from newsloom.operators import alerts as alert_operators
-from newsloom.operators import extractors
+from newsloom.operators import extractors, maintenance, upkeep
 from newsloom.operators.alerts import daily_digest, match_alerts
 from newsloom.operators.classify import drop_subsumed, term_counts
 from newsloom.operators.enrichment import best_candidates
@@ -163,3 +163,27 @@ def test_words_are_those_that_rules_look_at():
             between = text[ends[w.start] : w.start] if w.start in ends else "x"
             before = [x for x in extractors.words_of(text) if x.end - x.initial == ends.get(w.start)]
             assert w.near == (bool(before) and (between[1:] if before and before[0].initial else between).isspace())
+
+
+def test_sweep_sorts_no_table(spark):
+    """Articles and edges meet the candidates hashed; the candidates are found once, by one sorted join with all that is kept."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plans = [registry.QUERIES[q](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1] for q in ("retention_swept", "retention_candidates")]
+    finally:
+        spark.conf.set(threshold, before)
+    assert plans[0].count("ShuffledHashJoin") == 2 and "events" not in plans[0] and plans[0].count("Sort [") <= 2
+    assert len(re.findall(r"SortMergeJoin \[\S*\], \[\S*\], LeftAnti", plans[1])) == 1
+
+
+def test_sweep_with_nulls_and_repeats(spark):
+    articles = spark.createDataFrame([(i, datetime(2020, 1, 1)) for i in (1, 2, 2, 3, 4, None)], "article_id long, published_at timestamp_ntz")
+    counters = spark.createDataFrame([(1, 2), (2, 0), (None, 5)], "article_id long, reads long")
+    kept = spark.createDataFrame([(3,), (3,), (None,)], "article_id long")
+    gone = maintenance.retention_candidates(articles, counters, [kept, kept.limit(0)], "2021-01-01")
+    assert sorted(r[0] or 0 for r in gone.collect()) == [0, 2, 2, 4]
+    edges = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (None, 7)], "article_id long, topic_id long")
+    left = upkeep.swept(gone, "article_id", articles=articles.select("article_id"), edges=edges)
+    assert {k: sorted((r[0] or 0) for r in v.collect()) for k, v in left.items()} == {"articles": [0, 1, 3], "edges": [0, 1]}
