@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import events as batch
 from newsloom.sources.domain import Domain, with_domain
-from newsloom.sources.store import delete, work_folder
+from newsloom.sources.store import children, delete, work_folder
 from newsloom.streaming import events as stream
 from newsloom.streaming import state
 from newsloom.streaming.event_table import EventTable, stream_to_table
@@ -59,15 +59,20 @@ SLICES = 4
 
 
 def _ordered_stream(rows: DataFrame, work: str) -> DataFrame:
-    """rows (with ts) as a stream of SLICES micro-batches in the order of their times; a day of watermark. The slices are
-    written one after another, since a file source takes the oldest files first."""
+    """rows (with ts) as a stream of SLICES micro-batches in the order of their times (rows without one first); a day of
+    watermark. The slices are written one after another, since a file source takes the oldest files first, each by all tasks as
+    equally many files: empty ones fill up those that have too few rows."""
     spark = rows.sparkSession
-    cuts = rows.approxQuantile("__at", [i / SLICES for i in range(1, SLICES)], 0.01) if not rows.isEmpty() else [0.0] * (SLICES - 1)
+    files = spark.sparkContext.defaultParallelism
+    cuts = rows.approxQuantile("__at", [i / SLICES for i in range(1, SLICES)], 0.01) if not rows.isEmpty() else []
+    cuts = cuts or [0.0] * (SLICES - 1)
     for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
         part = rows.where(F.col("__at") >= low) if low is not None else rows
-        part = part.where(F.col("__at") < high) if high is not None else part
-        part.drop("__at").coalesce(1).write.parquet(f"{work}/in/slice={i}")
-    source = spark.readStream.schema(rows.drop("__at").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{work}/in")
+        part = part.where((F.col("__at") < high) | F.col("__at").isNull() if low is None else F.col("__at") < high) if high is not None else part
+        part.drop("__at").repartition(files).write.parquet(f"{work}/in/slice={i}")
+        for _ in range(files - sum(name.endswith(".parquet") for name in children(spark, f"{work}/in/slice={i}"))):
+            part.drop("__at").where(F.lit(False)).coalesce(1).write.mode("append").parquet(f"{work}/in/slice={i}")
+    source = spark.readStream.schema(rows.drop("__at").schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(f"{work}/in")
     return source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
 
 

@@ -7,10 +7,9 @@ times within a micro-batch; one that is older than what its key has seen changes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,11 +25,6 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, PROVIDER)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    frames = list(rows)
-    return pd.concat(frames).sort_values(by, kind="stable")
-
-
 class Health(StatefulProcessor):
     """source_id, ts, event_id, ok -> failures in a row, status and last success after the micro-batch."""
 
@@ -39,15 +33,18 @@ class Health(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         failures, status, success, seen = self.state.get() if self.state.exists() else (0, "pending", None, None)
-        for ts, ok in _in_order(rows, ["ts", "event_id"])[["ts", "ok"]].itertuples(index=False):
-            if seen is not None and ts < seen:
-                continue
-            seen = ts
-            if ok:
-                failures, status, success = 0, "active", ts
-            else:
-                failures += 1
-                status = "broken" if failures >= FAILURES else status
+        tail = None  # the last success so far and the failures after it
+        for frame in rows:
+            frame = frame if seen is None else frame[frame["ts"] >= seen]
+            tail = (frame if tail is None else pd.concat([tail, frame])).sort_values(["ts", "event_id"], kind="stable")
+            ok = tail["ok"].to_numpy(dtype=bool)
+            tail = tail.iloc[len(ok) - 1 - ok[::-1].argmax() :] if ok.any() else tail
+        if len(tail):
+            if tail["ok"].iloc[0]:
+                failures, status, success = -1, "active", tail["ts"].iloc[0]
+            failures += len(tail)
+            status = "broken" if failures >= FAILURES else status
+            seen = tail["ts"].iloc[-1]
         self.state.update((failures, status, success, seen))
         yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "status": [status], "last_success_at": [pd.Timestamp(success) if success is not None else pd.NaT]})
 
@@ -65,33 +62,39 @@ def source_health(events: DataFrame) -> DataFrame:
 
 
 class Bans(StatefulProcessor):
-    """ip, ts, permanent -> the ban that holds after the micro-batch; a timer ends it."""
+    """ip, at (microseconds), permanent -> the ban that holds after the micro-batch; a timer ends it. A ban that is not permanent
+    has one timer, which is not moved with every strike: where it finds that the ban holds longer, it is set anew."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("ban", "expires timestamp, permanent boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        expires, permanent = self.state.get() if self.state.exists() else (None, False)
-        for frame in rows:
-            permanent = permanent or bool(frame["permanent"].fillna(False).any())
-            until = frame["ts"].max().to_pydatetime() + timedelta(hours=BAN_HOURS)
+        self.state = handle.getValueState("ban", "expires long, permanent boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.state.get()
+        expires, permanent = old or (None, False)
+        for row in rows:
+            permanent = permanent or bool(row.permanent)
+            until = row.at + BAN_HOURS * 3_600_000_000
             expires = until if expires is None else max(expires, until)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if not permanent:
-            self.handle.registerTimer(int(pd.Timestamp(expires).timestamp() * 1000))
-        self.state.update((expires, permanent))
+        if old is None and not permanent:
+            self.handle.registerTimer(expires // 1000)
+        if old is None or tuple(old) != (expires, permanent):
+            self.state.update((expires, permanent))
         yield self._row(key, expires, permanent, True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         expires, permanent = self.state.get()
+        if permanent:
+            return
+        if expires // 1000 > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(expires // 1000)
+            return
         self.state.clear()
         yield self._row(key, expires, permanent, False)
 
     @staticmethod
-    def _row(key, expires: datetime, permanent: bool, active: bool) -> pd.DataFrame:
-        return pd.DataFrame({"ip": [key[0]], "expires_at": [pd.NaT if permanent else pd.Timestamp(expires)], "active": [active]})
+    def _row(key, expires: int, permanent: bool, active: bool) -> Row:
+        return Row(ip=key[0], expires=None if permanent else expires, active=active)
 
     def close(self) -> None:
         pass
@@ -100,8 +103,9 @@ class Bans(StatefulProcessor):
 def ending_bans(strikes: DataFrame) -> DataFrame:
     """A stream of strikes (ip, ts with a watermark, permanent): the ban of every ip with new strikes, BAN_HOURS from the last
     one (null: permanent, which stays), and a row with active = false when the watermark passes its end."""
-    rows = strikes.where("ip IS NOT NULL AND ts IS NOT NULL").select(F.col("ip").cast("long").alias("ip"), "ts", "permanent")
-    return rows.groupBy("ip").transformWithStateInPandas(Bans(), "ip long, expires_at timestamp, active boolean", outputMode="Update", timeMode="EventTime")
+    rows = strikes.where("ip IS NOT NULL AND ts IS NOT NULL").select(F.col("ip").cast("long").alias("ip"), "ts", F.unix_micros("ts").alias("at"), "permanent")
+    held = rows.groupBy("ip").transformWithState(Bans(), "ip long, expires long, active boolean", outputMode="Update", timeMode="EventTime")
+    return held.select("ip", F.timestamp_micros("expires").alias("expires_at"), "active")
 
 
 def tier_limits(events: DataFrame, limits: dict[str, int], window: str = "60 seconds") -> DataFrame:
