@@ -63,8 +63,8 @@ def list_events(events: DataFrame, since=None, limit: int = 100, **equal) -> Dat
 
 def replace_edges(edges: DataFrame, fresh: DataFrame, articles: DataFrame) -> DataFrame:
     """Edges of the given articles replaced by fresh ones: what is not among these is gone. Fresh edges of other articles are
-    ignored; of equal (article, topic) the highest score counts."""
-    ids = articles.select("article_id").distinct()
+    ignored; of equal (article, topic) the highest score counts. A task hashes its articles' ids (each once) and sorts no edges."""
+    ids = articles.select("article_id").distinct().hint("shuffle_hash")
     best = fresh.groupBy("article_id", "topic_id").agg(F.max("score").alias("score"))
     return edges.select("article_id", "topic_id", "score").join(ids, "article_id", "left_anti").unionByName(best.join(ids, "article_id", "left_semi"))
 

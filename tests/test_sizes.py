@@ -187,3 +187,14 @@ def test_sweep_with_nulls_and_repeats(spark):
     edges = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (None, 7)], "article_id long, topic_id long")
     left = upkeep.swept(gone, "article_id", articles=articles.select("article_id"), edges=edges)
     assert {k: sorted((r[0] or 0) for r in v.collect()) for k, v in left.items()} == {"articles": [0, 1, 3], "edges": [0, 1]}
+
+
+def test_replacing_edges_sorts_none(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = registry.QUERIES["edges_replaced"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
