@@ -2,11 +2,11 @@
 
 Under a root folder (all Parquet):
 
-- `postings/seg=S/bucket=B`: field, term, chunk, n, most_tf, least_length, docs, sorted by term: what a chunk's documents hold of a
-  term, and what that can score at most. chunk is doc_id / 2^CHUNK; docs lists doc_id, tf, length, source, published_at. A term's
-  bucket is its hash modulo the number of buckets, so a query opens only the folders of its terms. A term of a chunk can have
-  several rows. The term '' (no word) lists every document with the length of its field, to take a replaced document out of
-  the statistics.
+- `postings/seg=S/bucket=B`: field, term, chunk, most_tf, least_length, posts, docs, sorted by term: what a chunk's documents hold of
+  a term, and what bounds their scores. chunk is doc_id / 2^CHUNK; a post is the rest of a doc_id and, from bit CHUNK on, the
+  occurrences. A term's bucket is its hash modulo the number of buckets, so a query opens only the folders of its terms. A term of
+  a chunk can have several rows. The term '' (no word) lists every document in docs too (null for other terms): doc_id, length of
+  the field, source, published_at, to score, choose and order what is found and to take a replaced document out of the statistics.
 - `dead/seg=S`: doc_id of documents replaced or deleted in segment S; their postings of earlier segments count no more.
 - `stats/seg=S`: field, n, words: what the segment adds to (or takes from) the numbers of documents and words.
 - `commits/seg=S`: written last; segments without it do not exist for readers, so a failed update leaves nothing behind but
@@ -18,9 +18,12 @@ update the last published counts (ties: the greatest source and texts).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +37,72 @@ BUCKETS, CHUNK = 64, 10
 FIRST_CHUNKS = 16
 #: Documents that were replaced or deleted go to every task up to this number (some 20 bytes each).
 BROADCAST_DEAD = 1_000_000
+#: Words that a task counts at once, about.
+COUNTED = 1 << 20
 #: The distinct words of an update go to every task with their terms up to this number (some 50 bytes each).
 BROADCAST_WORDS = 500_000
 _SCHEMAS = {
-    "postings": "field string, term string, chunk long, n long, most_tf long, least_length long, docs array<struct<doc_id: long, tf: long, length: long, source: string, published_at: timestamp>>, seg int, bucket int",
+    "postings": "field string, term string, chunk long, most_tf long, least_length long, posts array<long>, docs array<struct<doc_id: long, length: long, source: string, published_at: timestamp>>, seg int, bucket int",
     "dead": "doc_id long, seg int",
     "stats": "field string, n long, words long, seg int",
     "commits": "covers array<int>, seg int",
 }
 
 
+def _slices(chunks: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, cut between chunks, with about COUNTED words each."""
+    edges = np.append(np.flatnonzero(np.diff(chunks)) + 1, len(chunks))
+    group = np.append(0, np.cumsum(words))[edges] // COUNTED
+    ends = edges[np.append(np.flatnonzero(np.diff(group)), len(group) - 1)]
+    return zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+
+
+def _counter(forms: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (chunk, doc_id, source, published_at, field, words: words joined by spaces), best by chunk, to postings."""
+    read_as = pa.array(list(forms), pa.string())
+
+    def counted(rows: pa.RecordBatch, field: str) -> Iterator[pa.RecordBatch]:
+        m, texts = rows.num_rows, rows["words"]
+        chunk, rest = np.asarray(rows["chunk"]), np.asarray(rows["doc_id"]) & (1 << CHUNK) - 1
+        split = pc.split_pattern(texts, " ")
+        some = np.asarray(pc.not_equal(texts, ""))  # no text has one empty word
+        length = np.where(some, np.asarray(pc.list_value_length(split)), 0).astype(np.int64)
+        words = pc.list_flatten(split.filter(pa.array(some)))
+        found = words.dictionary_encode()
+        index, terms = np.asarray(found.indices).astype(np.int64), found.dictionary
+        if pc.any(pc.is_in(terms, read_as)).as_py():
+            again = pa.array([forms.get(w, w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+            index, terms = np.asarray(again.indices).astype(np.int64)[index], again.dictionary
+        keys, tf = np.unique(index * m + np.repeat(np.arange(m), length), return_counts=True)
+        for term, row, tf in ((None, np.arange(m), np.ones(m, np.int64)), (*np.divmod(keys, m), tf)):
+            if not len(row):
+                continue
+            new = np.diff(chunk[row]) != 0
+            starts = np.flatnonzero(np.append(True, new if term is None else new | (np.diff(term) != 0)))
+            offsets, k = pa.array(np.append(starts, len(row)).astype(np.int32)), len(starts)
+            docs = pa.StructArray.from_arrays([rows["doc_id"], pa.array(length), rows["source"], rows["published_at"]], ["doc_id", "length", "source", "published_at"])
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(field, k), pa.repeat("", k) if term is None else terms.take(pa.array(term[starts])), pa.array(chunk[row[starts]]),
+                pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length[row], starts)), pa.ListArray.from_arrays(offsets, pa.array(rest[row] | tf << CHUNK)),
+                pa.ListArray.from_arrays(offsets, docs) if term is None else pa.nulls(k, pa.list_(docs.type)),
+            ], ["field", "term", "chunk", "most_tf", "least_length", "posts", "docs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for a, b in _slices(np.asarray(batch["chunk"]), np.asarray(pc.count_substring(batch["words"], " "))):
+                    part = batch.slice(a, b - a)
+                    for field in pc.unique(part["field"]).to_pylist():
+                        yield from counted(part.filter(pc.equal(part["field"], field)), field)
+
+    return count
+
+
+def _word(x: Column) -> Column:
+    """Which 64 documents of its chunk a doc_id or post is of."""
+    return F.shiftright(x.bitwiseAND((1 << CHUNK) - 1), 6).cast("int")
+
+
 class SearchIndex:
     """An index under `root` over the named text fields. stopwords, forms, stem and buckets must be the same for every use of a root;
     stem(words, column, out) adds the stems of a column of words to a table, for words without a form."""
@@ -87,35 +146,37 @@ class SearchIndex:
     def _alive(self, rows: DataFrame) -> DataFrame:
         """Rows of postings without the documents that a later segment replaced or deleted."""
         dead, segments = self._read("dead").select("doc_id", F.col("seg").alias("until")), self.segments()
+        # of every chunk and segment the documents that no longer count there, as bits of 64 ids each
+        each = dead.withColumn("chunk", F.shiftright("doc_id", CHUNK)).withColumn("seg", F.explode(F.array(*map(F.lit, segments)))).where("seg < until")
+        bits = each.groupBy("chunk", "seg", _word(F.col("doc_id")).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 AS int))")).alias("b"))
+        words = F.map_from_entries(F.collect_list(F.struct("w", "b")))
+        gone = bits.groupBy("chunk", "seg").agg(words.alias("words")).select(
+            "chunk", "seg", F.transform(F.sequence(F.lit(0), F.lit((1 << CHUNK - 6) - 1)), lambda i: F.coalesce(F.try_element_at("words", i), F.lit(0).cast("long"))).alias("gone"))
         count = dead.count()
         if not count:
             return rows
-        # of every chunk and segment the documents that no longer count there, as bits of 64 ids each
-        each = dead.withColumn("chunk", F.shiftright("doc_id", CHUNK)).withColumn("seg", F.explode(F.array(*map(F.lit, segments)))).where("seg < until")
-        bits = each.groupBy("chunk", "seg", F.shiftright("doc_id", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(doc_id & 63 AS int))")).alias("b"))
-        gone = bits.groupBy("chunk", "seg").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("gone"))
         joined = rows.join(F.broadcast(gone) if count <= BROADCAST_DEAD else gone, ["chunk", "seg"], "left")
-        lives = lambda x: F.coalesce(F.getbit(F.try_element_at("gone", F.shiftright(x["doc_id"], 6)), x["doc_id"].bitwiseAND(63).cast("int")), F.lit(0)) == 0
-        left = F.when(F.col("gone").isNull(), F.col("docs")).otherwise(F.filter("docs", lives))
-        kept = joined.withColumn("docs", left).where(F.size("docs") > 0)
-        return kept.withColumns({"n": F.size("docs").cast("long"), "most_tf": F.array_max("docs.tf"), "least_length": F.array_min("docs.length")}).select(*rows.columns)
+        lives = lambda x: F.getbit(F.get("gone", _word(x)), x.bitwiseAND(63).cast("int")) == 0
+        left = {"posts": F.filter("posts", lives), "docs": F.filter("docs", lambda d: lives(d["doc_id"]))}
+        cut = {c: F.when(F.col("gone").isNull(), F.col(c)).otherwise(x) for c, x in left.items()}  # bounds stay: they hold for what is left
+        return joined.withColumns(cut).where(F.size("posts") > 0).select(*rows.columns)
 
     def _commit(self, seg: int, covers: list[int]) -> None:
-        self.spark.createDataFrame([(covers,)], "covers array<int>").coalesce(1).write.parquet(f"{self.root}/commits/seg={seg}")
+        store.listed(self.spark, [(covers,)], "covers array<int>").coalesce(1).write.parquet(f"{self.root}/commits/seg={seg}")
 
     def _write_postings(self, postings: DataFrame, seg: int) -> None:
-        """postings: field, term, chunk, n, most_tf, least_length, docs, written as they are dealt."""
+        """postings as the table has them, written as they are dealt."""
         dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).sortWithinPartitions("bucket", "term", "field", "chunk")
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/postings/seg={seg}")
 
     def _documents(self, rows: DataFrame) -> DataFrame:
-        """doc_id, field, length of the documents of rows of postings."""
+        """chunk, field, doc_id, length, source, published_at of the documents of rows of postings."""
         bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit("")), F.lit(self.buckets)).cast("int")).first()[0]
-        return rows.where((F.col("bucket") == bucket) & (F.col("term") == "")).select("field", F.explode("docs").alias("d")).select("d.doc_id", "field", "d.length")
+        return rows.where((F.col("bucket") == bucket) & (F.col("term") == "")).select("chunk", "field", F.explode("docs").alias("d")).select("chunk", "field", "d.*")
 
     def _lost(self, ids: DataFrame) -> DataFrame:
         """doc_id, field, length of the living documents among ids."""
-        return self._documents(self._alive(self._read("postings"))).join(ids, "doc_id", "left_semi")
+        return self._documents(self._alive(self._read("postings"))).select("doc_id", "field", "length").join(ids, "doc_id", "left_semi")
 
     def _write_stats(self, new: DataFrame | None, lost: DataFrame, seg: int) -> None:
         """new, lost: doc_id, field, length."""
@@ -129,24 +190,23 @@ class SearchIndex:
         rest = ["published_at", "source", *self.fields]
         # dealt once by chunk: documents, their terms and the chunks' postings are all found in the one task that has the chunk
         own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *rest).withColumn("chunk", F.shiftright("doc_id", CHUNK))
-        own = own.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk").groupBy("chunk", "doc_id").agg(F.max(F.struct(*rest)).alias("r"))
+        own = own.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "chunk").groupBy("chunk", "doc_id").agg(F.max(F.struct(*rest)).alias("r")).sortWithinPartitions("chunk", "doc_id")
         read = own.select("chunk", "doc_id", "r.source", F.col("r.published_at").cast("timestamp").alias("published_at"), *[search_tokens(F.col(f"r.{f}"), self.stopwords).alias(f) for f in self.fields])
         each = F.explode(F.create_map(*[x for f in self.fields for x in (F.lit(f), F.col(f))])).alias("field", "words")
-        words = read.select("chunk", "doc_id", "source", "published_at", each).withColumn("length", F.size("words").cast("long"))
-        key = ["chunk", "field", "doc_id", "length", "source", "published_at"]
-        words = words.select(*key, F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
+        key = ["chunk", "doc_id", "source", "published_at", "field"]
+        words = read.select(*key[:-1], each)
         if self.stem:
-            terms = store.once(self._terms(words.select("word").where("word <> ''")), f"{self.root}/terms/seg={seg}")
+            words = words.select(*key, F.explode_outer("words").alias("word"))
+            terms = store.once(self._terms(words.select("word").where("word IS NOT NULL")), f"{self.root}/terms/seg={seg}")
             terms = F.broadcast(terms) if terms.count() <= BROADCAST_WORDS else terms
-            words = words.join(terms, "word", "left").withColumn("term", F.coalesce("term", "word"))
-        else:
-            words = words.withColumn("term", self._form(F.col("word"), F.col("word")))
-        postings = words.groupBy("term", *key).agg(F.count("*").alias("tf"))
-        postings = postings.groupBy("chunk", "field", "term").agg(
-            F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("doc_id", "tf", "length", "source", "published_at")).alias("docs"))
+            words = words.join(terms, "word", "left").groupBy(*key).agg(F.collect_list(F.coalesce("term", "word")).alias("words")).sortWithinPartitions("chunk", "doc_id")
+        # words have neither spaces nor signs; one text a row passes to Python faster than its words
+        texts = words.select(*key, F.array_join("words", " ").alias("words"))
+        schema = ", ".join(c for c in _SCHEMAS["postings"].split(", ") if c.split()[0] not in ("seg", "bucket"))
+        postings = texts.mapInArrow(_counter({} if self.stem else self.forms), schema)
         self._write_postings(postings, seg)
         written = self.spark.read.schema(_SCHEMAS["postings"]).parquet(f"{self.root}/postings").where(F.col("seg") == seg)
-        new = self._documents(written)
+        new = self._documents(written).select("doc_id", "field", "length")
         lost = store.once(self._lost(new.select("doc_id").distinct()), f"{self.root}/lost/seg={seg}")
         lost.select("doc_id").distinct().write.parquet(f"{self.root}/dead/seg={seg}")
         self._write_stats(new, lost, seg)
@@ -188,7 +248,7 @@ class SearchIndex:
 
     def _of_terms(self, name: str, terms: list[str]) -> DataFrame:
         """Rows of some terms; opens only their buckets."""
-        buckets = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()
+        buckets = store.listed(self.spark, [(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int")).distinct().collect()
         return self._read(name).where(F.col("bucket").isin([b[0] for b in buckets]) & F.col("term").isin(terms))
 
     def _weights(self, fields: dict[str, float]) -> DataFrame:
@@ -219,20 +279,23 @@ class SearchIndex:
             return none if total else none.drop("total")
         blocks = self._alive(self._of_terms("postings", terms).where(F.col("field").isin(list(fields))))
         weights = F.broadcast(self._weights(fields))
-        df = blocks.groupBy("field", "term").agg(F.sum("n").alias("df"))
-        postings = blocks.select("field", "term", "chunk", F.explode("docs").alias("d")).select("field", "term", "chunk", "d.*")
+        df = blocks.groupBy("field", "term").agg(F.sum(F.size("posts")).alias("df"))
         about = F.broadcast(df.join(weights, "field"))  # a row for each field and term of the query
+        postings = blocks.select("field", "term", "chunk", F.explode("posts").alias("p")).select(
+            "field", "term", "chunk", (F.shiftleft("chunk", CHUNK) + F.col("p").bitwiseAND((1 << CHUNK) - 1)).alias("doc_id"), F.shiftright("p", CHUNK).alias("tf"))
+        documents = self._documents(self._alive(self._of_terms("postings", [""]).where(F.col("field").isin(list(fields)))))
+        documents = documents if sources is None else documents.where(F.col("source").isin(sources))
 
         def hits(rows: DataFrame) -> DataFrame:
-            rows = rows if sources is None else rows.where(F.col("source").isin(sources))
-            return rows.join(about, ["field", "term"]).groupBy("doc_id").agg(F.round(F.sum(self._part("tf", "length")), 6).alias("score"), F.max("published_at").alias("t"))
+            rows = rows.join(about, ["field", "term"]).join(documents, ["chunk", "field", "doc_id"])
+            return rows.groupBy("doc_id").agg(F.round(F.sum(self._part("tf", "length")), 6).alias("score"), F.max("published_at").alias("t"))
 
         order = [F.desc("score"), F.desc("t"), "doc_id"]
         if total:
             found = hits(postings)
             page = found.orderBy(*order).offset(offset).limit(limit)
             return page.crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).select("doc_id", "score", "total")
-        bounds = blocks.drop("docs").join(about, ["field", "term"]).groupBy("chunk", "field", "term").agg(F.max(self._part("most_tf", "least_length")).alias("most"))
+        bounds = blocks.select("field", "term", "chunk", "most_tf", "least_length").join(about, ["field", "term"]).groupBy("chunk", "field", "term").agg(F.max(self._part("most_tf", "least_length")).alias("most"))
         bounds = bounds.groupBy("chunk").agg((F.sum("most") + 1e-5).alias("most"))  # scores are rounded to six places
         first = [r["chunk"] for r in bounds.orderBy(F.desc("most"), "chunk").limit(FIRST_CHUNKS).collect()]
         best = hits(postings.where(F.col("chunk").isin(first))).orderBy(*order).limit(offset + limit).select("score").collect()

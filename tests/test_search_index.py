@@ -3,10 +3,14 @@
 import math
 import random
 import re
+from collections import Counter
+from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators import search_index
 from newsloom.operators.search import B, K1
 from newsloom.operators.search_index import SearchIndex
 from newsloom.sources import store
@@ -121,3 +125,46 @@ def test_an_update_deals_documents_once(spark):
     assert plans[1].count("Exchange ") <= 3  # of the dead alone
     assert [r["doc_id"] for r in index.search("beta", FIELDS).orderBy("doc_id").collect()] == [-1500, 0, 64, 1023]
     assert "blocks" not in store.children(spark, index.root)
+
+
+def test_words_are_counted_where_they_are(spark):
+    """The words of a text never are rows of their own."""
+    index = SearchIndex(spark, store.work_folder(spark, "test-search"), tuple(FIELDS), buckets=8)
+    plans, write = [], index._write_postings
+    index._write_postings = lambda rows, seg: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, seg))
+    index.replace(table(spark, {1: ("a", "2024-01-01", "alfa", "beta " * 5000)}))
+    assert plans[0].count("MapInArrow") >= 1 and plans[0].count("Generate ") <= 1 and "collect_list" not in plans[0]
+    assert [tuple(r) for r in index.search("beta", FIELDS).select("doc_id", "total").collect()] == [(1, 1)]
+
+
+@pytest.mark.parametrize("counted", [1, 7, 1 << 20])
+def test_counter_against_dictionaries(monkeypatch, counted):
+    monkeypatch.setattr(search_index, "COUNTED", counted)
+    rng, ids = random.Random(counted), sorted(random.Random(1).sample(range(-3000, 3000), 60))
+    rows = [(i >> search_index.CHUNK, i, rng.choice(["s", None]), f, " ".join(rng.choices(["alfa", "beta", "bles", "ble"], k=rng.choice([0, 1, 9])))) for i in ids for f in FIELDS]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("chunk", "doc_id", "source", "field", "words"), r, strict=True)) | {"published_at": datetime(2024, 1, 1)} for r in rows],
+                                       schema=pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("field", pa.string()), ("words", pa.string()), ("published_at", pa.timestamp("us", "UTC"))]))
+    found, listed, keys = Counter(), [], []
+    for r in (r for out in search_index._counter({"bles": "ble"})([batch, batch.slice(0, 0)]) for r in out.to_pylist()):
+        posts = [((r["chunk"] << search_index.CHUNK) + (p & (1 << search_index.CHUNK) - 1), p >> search_index.CHUNK) for p in r["posts"]]
+        keys.append((r["field"], r["term"], r["chunk"]))
+        lengths = {i: len(w.split()) for _, i, _, f, w in rows if f == r["field"]}
+        assert r["most_tf"] == max(n for _, n in posts) and r["least_length"] == min(lengths[i] for i, _ in posts)
+        if r["term"]:
+            found.update({(r["field"], r["term"], i): n for i, n in posts})
+            assert r["docs"] is None
+        else:
+            assert [(d["doc_id"], 1) for d in r["docs"]] == posts
+            listed += [(r["chunk"], d["doc_id"], d["source"], r["field"], d["length"]) for d in r["docs"]]
+    assert found == Counter((f, {"bles": "ble"}.get(w, w), i) for _, i, _, f, words in rows for w in words.split())
+    assert sorted(listed, key=str) == sorted([(*r[:4], len(r[4].split())) for r in rows], key=str)
+    assert len(keys) == len(set(keys))  # one batch is cut between chunks
+
+
+def test_stems_are_counted_as_words(spark):
+    stem = lambda words, column, out: words.withColumn(out, F.substring(column, 1, 3))
+    index = SearchIndex(spark, store.work_folder(spark, "test-search"), tuple(FIELDS), stem=stem, buckets=8)
+    docs = {1: ("a", "2024-01-01", None, "alfa alfe beta"), 2: ("a", "2024-01-02", "alfi", ""), 3: ("a", "2024-01-02", "gamma", "beta")}
+    index.replace(table(spark, docs))
+    read = {i: (s, t, *[" ".join(w[:3] for w in (x or "").split()) for x in rest]) for i, (s, t, *rest) in docs.items()}
+    same(index.search("alfo", FIELDS).collect(), brute(read, ["alf"], None, 20, 0))
