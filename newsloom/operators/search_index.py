@@ -35,8 +35,8 @@ from newsloom.sources.domain import Domain
 BUCKETS, CHUNK = 64, 10
 #: Chunks that a search without a total scores first, to learn what the others must reach.
 FIRST_CHUNKS = 16
-#: Documents that were replaced or deleted go to every task up to this number (some 20 bytes each).
-BROADCAST_DEAD = 1_000_000
+#: Chunks with documents that were replaced or deleted go to every task up to this number (each with a bit a document, 400 bytes at most).
+BROADCAST_GONE = 100_000
 #: Words that a task counts at once, about.
 COUNTED = 1 << 20
 #: The distinct words of an update go to every task with their terms up to this number (some 50 bytes each).
@@ -152,10 +152,10 @@ class SearchIndex:
         words = F.map_from_entries(F.collect_list(F.struct("w", "b")))
         gone = bits.groupBy("chunk", "seg").agg(words.alias("words")).select(
             "chunk", "seg", F.transform(F.sequence(F.lit(0), F.lit((1 << CHUNK - 6) - 1)), lambda i: F.coalesce(F.try_element_at("words", i), F.lit(0).cast("long"))).alias("gone"))
-        count = dead.count()
+        count = gone.count() if segments else 0
         if not count:
             return rows
-        joined = rows.join(F.broadcast(gone) if count <= BROADCAST_DEAD else gone, ["chunk", "seg"], "left")
+        joined = rows.join(F.broadcast(gone) if count <= BROADCAST_GONE else gone, ["chunk", "seg"], "left")
         lives = lambda x: F.getbit(F.get("gone", _word(x)), x.bitwiseAND(63).cast("int")) == 0
         left = {"posts": F.filter("posts", lives), "docs": F.filter("docs", lambda d: lives(d["doc_id"]))}
         cut = {c: F.when(F.col("gone").isNull(), F.col(c)).otherwise(x) for c, x in left.items()}  # bounds stay: they hold for what is left

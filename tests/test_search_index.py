@@ -168,3 +168,23 @@ def test_stems_are_counted_as_words(spark):
     index.replace(table(spark, docs))
     read = {i: (s, t, *[" ".join(w[:3] for w in (x or "").split()) for x in rest]) for i, (s, t, *rest) in docs.items()}
     same(index.search("alfo", FIELDS).collect(), brute(read, ["alf"], None, 20, 0))
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_chunks_of_dead_documents_go_to_every_task(spark, monkeypatch, most):
+    """Their chunks are counted, not the documents."""
+    for name in ("BROADCAST_GONE", "BROADCAST_DEAD"):
+        monkeypatch.setattr(search_index, name, most, raising=False)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    index = SearchIndex(spark, store.work_folder(spark, "test-search"), tuple(FIELDS), buckets=8)
+    index.replace(table(spark, {i: ("a", "2024-01-01", "alfa", "beta") for i in range(-200, 200)}))
+    index.delete(spark.range(-150, 190).withColumnRenamed("id", "doc_id"))
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = index._alive(index._read("postings"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert ("BroadcastHashJoin" in plan) == (most > 0)
+    index.compact()
+    assert sorted(r["doc_id"] for r in index._documents(index._read("postings").where("field = 'body'")).collect()) == [*range(-200, -150), *range(190, 200)]
